@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, one for each operator of the engine."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
