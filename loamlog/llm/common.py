@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,30 +104,87 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_powers(n: int, base: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64."""
-    out = np.full(max(n, 1), np.uint64(base), np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: Odd base of the polynomial hashes, its inverse modulo 2^64, and a value for each byte.
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x1000003D9E3779B1) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``raw``; spans may not be empty.
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i modulo 2^64 for i < n, kept between calls."""
+    if len(_powers[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for k, base in enumerate((BASE, INVERSE)):
+            grown = np.full(size, base, np.uint64)
+            grown[0] = 1
+            _powers[k] = np.multiply.accumulate(grown)
+    return _powers[0][:n], _powers[1][:n]
 
-    Each span is a polynomial in an odd base, summed over the span alone, then mixed with
-    its length. Equal bytes give equal values wherever they stand.
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """n + 1 prefix sums of value_i * BASE^i, from which any span's hash follows."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values))[0], out=out[1:])
+    return out
+
+
+def spans_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end): equal content gives equal values anywhere."""
+    inverse = powers(len(sums))[1]
+    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans of ``raw``."""
+    return spans_of(prefix_sums(BYTE_VALUE[raw]), starts, ends)
+
+
+#: ASCII lower case of each byte (A-Z alone change), and the white space bytes 09-0D and 20.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of words made of letters and digits; those over 7F belong to other scripts' letters.
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of True that do not cross the offsets."""
+    n = len(inside)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:n]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | edge[1:n]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts end to end, and the word counts' offsets.
+
+    ``inside`` tells which byte values are part of a word.
     """
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    longest = int(lengths.max())
-    powers = byte_powers(longest, base)
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
-    inside = np.arange(total, dtype=np.int64) - np.repeat(first, lengths)
-    at = np.repeat(starts, lengths) + inside
-    values = (raw[at].astype(np.uint64) + np.uint64(1)) * powers[inside]
-    return mix64(np.add.reduceat(values, first) + lengths.astype(np.uint64) * GOLDEN)
+    low = LOWER[raw]
+    starts, ends = runs(inside[low], offsets)
+    return span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 6_000_000):
+    """Zero-copy slices of a batch with about ``most`` bytes of text each."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= most:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield batch.slice(start)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamlog.llm import sharding, token_files, warc
+from loamlog.llm import language_id, sharding, token_files, toxicity, warc
 from loamlog.llm.common import table
 
 
@@ -24,12 +24,27 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_toxicity_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_hypergeometric_sharding, op5_token_files, op8_warc_revisits)
+    f.__name__: f
+    for f in (
+        op2_hypergeometric_sharding,
+        op5_token_files,
+        op7_toxicity_factorization,
+        op8_warc_revisits,
+        op9_language_id,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
