@@ -11,6 +11,7 @@ compressed bytes, ids, 1 where doc_id is null); ``<q q`` (offset of the index, d
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import uuid
@@ -24,47 +25,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlog.llm.common import filesystem, fresh_path
+from loamlog.llm.words import Encoder, batches_of
 
 MAGIC = b"LLTK0001"
 ENTRY = struct.Struct("<qqIIB")
 TAIL = struct.Struct("<qq")
-#: Documents a call to the tokenizer gets at once; memory of a task follows it.
-BATCH_BYTES = 4_000_000
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    by_word = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    return Encoder(Tokenizer.from_file(path), "\u0120", by_word)
 
 
-def encode_texts(path: str, texts: list[str], end_id: int, dtype) -> list[np.ndarray]:
+def encode_texts(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
     """Ids of each text followed by ``end_id``, from whole texts."""
-    out = []
-    for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False):
-        ids = np.empty(len(e.ids) + 1, dtype)
-        ids[:-1] = e.ids
-        ids[-1] = end_id
-        out.append(ids)
-    return out
-
-
-def batches_of(texts: list[str]):
-    """Consecutive index ranges of about BATCH_BYTES characters each."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= BATCH_BYTES:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def id_type(path: str):
-    return np.dtype("<u2") if tokenizer(path).get_vocab_size() <= 65536 else np.dtype("<u4")
+    held = encoder(path)
+    end = np.array([end_id], held.dtype)
+    return [np.concatenate([ids, end]) for ids in held.encode(texts)]
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, sample_chars: int, size: int) -> bytes:
@@ -77,7 +61,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
         .limit(sample_docs)
         .collect()
     )
-    samples = [x.tobytes() for x in encode_texts(tokenizer_path, [r["t"] for r in rows], end_id, id_type(tokenizer_path))]
+    samples = [x.tobytes() for x in encode_texts(tokenizer_path, [r["t"] for r in rows], end_id)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -153,14 +137,14 @@ def write_token_files(
     driver holds one row per file.
     """
     dictionary = train_dictionary(docs, tokenizer_path, end_id, sample_docs, sample_chars, dictionary_bytes)
-    dtype = id_type(tokenizer_path)
+    dtype = encoder(tokenizer_path).dtype
 
     def encoded(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batches_of(texts):
-                yield from zip(ids[a:b], encode_texts(tokenizer_path, texts[a:b], end_id, dtype), strict=True)
+                yield from zip(ids[a:b], encode_texts(tokenizer_path, texts[a:b], end_id), strict=True)
 
     def write(batches):
         from pyspark import TaskContext
