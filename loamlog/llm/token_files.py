@@ -55,12 +55,10 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_d
     """A dictionary from at most ``sample_docs`` documents, the ones of smallest id hash, at
     most ``sample_chars`` characters of each: a bounded sample, as the dictionary only sets
     how well files compress. Too few samples to train on give an empty dictionary."""
-    rows = (
-        docs.select(F.xxhash64("doc_id").alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("t"))
-        .orderBy("h", "t")
-        .limit(sample_docs)
-        .collect()
-    )
+    keyed = docs.withColumn("h", F.xxhash64("doc_id"))
+    lowest = keyed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = keyed.where(F.col("h") <= F.lit(lowest)).select("h", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("t")).limit(sample_docs).collect()
+    rows.sort()
     samples = [x.tobytes() for x in encode_texts(tokenizer_path, [r["t"] for r in rows], end_id)]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()

@@ -44,7 +44,7 @@ class Encoder:
     tokenizer that splits otherwise, go through the library whole.
     """
 
-    #: Words kept at most; then the collection starts anew.
+    #: Words kept at most. Frequent words come early, so later new ones are not kept.
     WORDS = 500_000
 
     def __init__(self, tokenizer, marker: str, by_word: bool, first_led: bool = False):
@@ -59,9 +59,6 @@ class Encoder:
             self.led_by_space[i] = token.startswith(marker)
         special = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
         self.irregular = re.compile("|".join([r" \s|\s |^ | \Z", re.escape(marker), *special]))
-        self.clear()
-
-    def clear(self) -> None:
         self.index, self.ids = Index(), np.zeros(0, self.dtype)
         self.starts = np.zeros(1, np.int64)
 
@@ -94,9 +91,9 @@ class Encoder:
                 firsts.append(more.pop(0))
             counts.append(len(more))
             words += more
-        if len(self.index) > self.WORDS:
-            self.clear()
+        known = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        new = self.index.new
         self.learn()
         lengths = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(lengths)
@@ -105,4 +102,9 @@ class Encoder:
         heads = [flat[:0]] * len(regular) if self.first_led else self.whole(firsts)
         for k, (i, ids) in enumerate(zip(regular, heads, strict=True)):
             out[i] = np.concatenate([ids, flat[cuts[k] : cuts[k + 1]]])
+        if len(self.index) > self.WORDS:
+            for word in new:
+                del self.index[word]
+            self.starts = self.starts[: known + 1]
+            self.ids = self.ids[: self.starts[-1]]
         return out
