@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamlog.llm import decontamination, language_id, sentencepiece_backend, sharding, token_files, toxicity, warc
+from loamlog.llm import decontamination, embedding_dedup, language_id, sentencepiece_backend, sharding, token_files, toxicity, warc
 from loamlog.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_backend.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontamination,
         op2_hypergeometric_sharding,
         op3_sentencepiece,
+        op4_embedding_range_join,
         op5_token_files,
         op7_toxicity_factorization,
         op8_warc_revisits,
