@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamlog.llm import decontamination, embedding_dedup, language_id, sentencepiece_backend, sharding, token_files, toxicity, warc
+from loamlog.llm import decontamination, embedding_dedup, language_id, sentencepiece_backend, sharding, suffix_dedup, token_files, toxicity, warc
 from loamlog.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_toxicity_factorization,
         op8_warc_revisits,
         op9_language_id,
+        op10_suffix_dedup,
     )
 }
 
