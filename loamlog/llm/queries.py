@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamlog.llm import decontamination, embedding_dedup, language_id, sentencepiece_backend, sharding, suffix_dedup, token_files, toxicity, warc
+from loamlog.llm import decontamination, embedding_dedup, jaccard_join, language_id, sentencepiece_backend, sharding, suffix_dedup, token_files, toxicity, warc
 from loamlog.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sentencepiece,
         op4_embedding_range_join,
         op5_token_files,
+        op6_jaccard_join,
         op7_toxicity_factorization,
         op8_warc_revisits,
         op9_language_id,
