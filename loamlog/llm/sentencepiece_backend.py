@@ -2,7 +2,7 @@
 
 The model's protobuf is parsed, and normaliser, metaspace marker, unigram scores or merges
 and byte fallback are rebuilt as a tokenizer. Batches are encoded by the library's threads.
-Every text's ids are compared with those of the SentencePiece library, and decoded again.
+The ids are compared with those of the SentencePiece library, and decoded again.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamlog.llm.common import slices
 from loamlog.llm.words import Encoder, batches_of
 
 #: Fixed values of the model format: the marker of a space, piece types and model types.
@@ -104,18 +105,18 @@ class Backend:
         spec = model.normalizer_spec
         self.tokenizer = build_tokenizer(model)
         plain = words_apart(model) and bool(spec.add_dummy_prefix) and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
-        self.encoder = Encoder(self.tokenizer, MARKER, plain, first_led=True)
-        self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
+        self.encoder = Encoder(self.tokenizer, MARKER, plain, first_led=True, reference=self.reference_ids)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encoder.encode(texts)
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        return self.encoder.encode_checked(texts)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
     def reference_ids(self, texts: list[str]) -> list[list[int]]:
-        return self.reference.encode(texts, num_threads=self.threads)
+        return self.library.encode(texts, num_threads=self.threads)
 
 
 @lru_cache(maxsize=2)
@@ -126,9 +127,10 @@ def backend(path: str, threads: int) -> Backend:
 def encode_column(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """``docs`` with ``ids`` array<int>, ``parity`` and ``round_trip``.
 
-    ids are those of the whole text (null: empty text, no ids). Where the rebuilt tokenizer
-    and the SentencePiece library disagree, ``parity`` is false and the library's ids are
-    given: ties between equal scores are broken by place there and by rank here.
+    ids are those of the whole text (null: empty text, no ids). Parity is verified on all that
+    goes through the tokenizer: where no piece joins words, every word once, else every text.
+    Where the SentencePiece library disagrees, ``parity`` is false and its ids are given: it
+    breaks ties between equal scores by place, the rebuilt tokenizer by rank.
     ``round_trip`` tells whether decoding gives the text back. Extra columns pass through.
     """
     at = docs.columns.index("text")
@@ -138,16 +140,11 @@ def encode_column(docs: DataFrame, model_path: str, threads: int = 2) -> DataFra
 
     def run(batches):
         held = backend(model_path, threads)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in batches_of(texts):
                 part = texts[a:b]
-                found = held.encode(part)
-                parity = []
-                for i, want in enumerate(held.reference_ids(part)):
-                    want = np.array(want, np.int32)
-                    parity.append(bool(np.array_equal(found[i], want)))
-                    found[i] = want if not parity[-1] else found[i].astype(np.int32)
+                found, parity = held.encode(part)
                 back = [x == y for x, y in zip(held.decode(found), part, strict=True)]
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
