@@ -9,6 +9,10 @@ document is the pivot, every member's distance to it is computed, members within
 join its Voronoi cell, and of the rest only pairs from different components whose distances
 to the pivot differ by no more than the radius (the triangle window) are compared, in the
 next round. No pair at or above the threshold is lost.
+
+Before texts are compared, a second triangle bound is tried: counts of a set's shingles in 512
+hash classes map sets to vectors so that their difference never exceeds the sets' symmetric
+difference. Pairs whose vectors are too far apart cannot link, and their texts stay at rest.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ NUM, DEN = 4, 5
 COUNTERS = 1 << 20
 CLASS_BITS = 6
 STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Hash classes of the count vectors.
+CLASSES = 512
+#: Rows of (set, document) names that may be broadcast; some 10 MB.
+FEW = 200_000
 
 
 def shingle_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +89,7 @@ def frequent_counters(docs: DataFrame) -> np.ndarray:
 
 def sets(docs: DataFrame, frequent) -> DataFrame:
     """doc_id, text_key, n (set size), sid (hash of the set), prefix, index (how many of the
-    prefix suffice for the smaller set of a pair).
+    prefix suffice for the smaller set of a pair), counts (shingles by hash class).
 
     Of equal sets in a task's part only the first carries its prefix.
     """
@@ -109,13 +117,17 @@ def sets(docs: DataFrame, frequent) -> DataFrame:
                         seen.add(s)
                 edge = np.concatenate([[0], np.cumsum(size)])
                 take = np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)
+                owner = np.repeat(np.arange(len(n)), n) * CLASSES + (flat & np.uint64(CLASSES - 1)).astype(np.int64)
+                vectors = np.minimum(np.bincount(owner, minlength=len(n) * CLASSES), 255).astype(np.uint8).tobytes()
+                counts = [vectors[i : i + CLASSES] for i in range(0, len(vectors), CLASSES)]
                 prefix = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(flat[take].view(np.int64)))
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(n), pa.array(sid), prefix, pa.array(index.astype(np.int32))],
-                    names=["doc_id", "text_key", "n", "sid", "prefix", "index"],
+                    [part.column(0), part.column(1), pa.array(n), pa.array(sid), prefix, pa.array(index.astype(np.int32)), pa.array(counts, pa.binary())],
+                    names=["doc_id", "text_key", "n", "sid", "prefix", "index", "counts"],
                 )
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, sid long, prefix array<long>, index int")
+    schema = "doc_id long, text_key long, n long, sid long, prefix array<long>, index int, counts binary"
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
 def regions(held: DataFrame) -> DataFrame:
@@ -224,7 +236,8 @@ def window_pairs(held: DataFrame, parts: DataFrame, measured: DataFrame) -> Data
     open_regions = held.where(F.size("sids") > 2)
     pivots = open_regions.mapInArrow(with_pivots, "region long, at int, sid long, n long, indexed boolean, pivot long")
     joined = pivots.join(parts, pivots.sid == parts.node, "left").join(measured, (pivots.pivot == measured.a) & (pivots.sid == measured.b), "left")
-    member = F.struct("at", "sid", "n", "indexed", "pivot", F.coalesce("component", "sid").alias("part"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    known = F.when(F.col("pivot") == F.col("sid"), 0.0).otherwise(F.coalesce("distance", F.lit(-1.0)))
+    member = F.struct("at", "sid", "n", "indexed", "pivot", F.coalesce("component", "sid").alias("part"), known.alias("distance"))
     again = joined.groupBy("region").agg(F.sort_array(F.collect_list(member)).alias("m"), F.min(F.coalesce("component", "sid")).alias("lo"), F.max(F.coalesce("component", "sid")).alias("hi"))
     fields = [F.col(f"m.{c}").alias(c) for c in ("sid", "n", "indexed", "pivot", "part", "distance")]
 
@@ -235,7 +248,7 @@ def window_pairs(held: DataFrame, parts: DataFrame, measured: DataFrame) -> Data
                 for i in np.flatnonzero(indexed).tolist():
                     stop = int(np.searchsorted(n, n[i] * DEN // NUM, side="right"))
                     j = np.arange(i + 1, stop)
-                    far = (pivot[j] == pivot[i]) & (np.abs(distance[j] - distance[i]) > 1 - NUM / DEN + 1e-9)
+                    far = (pivot[j] == pivot[i]) & (distance[i] >= 0) & (distance[j] >= 0) & (np.abs(distance[j] - distance[i]) > 1 - NUM / DEN + 1e-9)
                     j = j[(part[j] != part[i]) & ~far & (pivot[j] != sid[i])]
                     left.append(np.full(len(j), sid[i]))
                     right.append(sid[j])
@@ -256,8 +269,40 @@ def with_pivots(batches):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["region", "at", "sid", "n", "indexed", "pivot"])
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, distance, linked): exact Jaccard distances from the shingles of both texts."""
+def near_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The pairs whose count vectors are close enough for a link."""
+    side = lambda c: chosen.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for i in (4, 5))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = pa.array((NUM + DEN) * apart <= (DEN - NUM) * total)
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+    return staged(joined.mapInArrow(run, "a long, b long"), "near-pairs")
+
+
+def fetched(text: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid and text of the wanted sets (sid, doc_id, text_key), each once.
+
+    Up to FEW wanted rows are broadcast, counted first, so that the texts stay where they
+    are; more of them are joined by shuffle.
+    """
+    wanted = staged(wanted.select("sid", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")), "wanted")
+    small = wanted.count() <= FEW
+    same = text.doc_id.eqNullSafe(F.col("_doc")) & (text.text_key == F.col("_key"))
+    return text.join(F.broadcast(wanted) if small else wanted, same).select("sid", "text").dropDuplicates(["sid"])
+
+
+def compare(pairs: DataFrame, chosen: DataFrame, text: DataFrame) -> DataFrame:
+    """(a, b, distance, linked): exact Jaccard distances from the shingles of both texts, for
+    the pairs that may link."""
+    pairs = near_pairs(pairs, chosen)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = staged(fetched(text, chosen.join(needed, "sid")), "near-texts")
     one = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
 
@@ -298,15 +343,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_counters(text))
     held = staged(sets(text, frequent), "shingle-sets")
     found = staged(regions(held), "regions")
-    members = held.where("n > 0").select("doc_id", "text_key", "sid")
+    members = held.where("n > 0").select("doc_id", "text_key", "sid", "n", "counts")
     needed = found.select(F.explode("sids").alias("sid")).distinct()
-    chosen = members.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
-    chosen = chosen.select("sid", F.col("one.doc_id").alias("_doc"), F.col("one.text_key").alias("_key"))
-    texts = text.join(chosen, text.doc_id.eqNullSafe(F.col("_doc")) & (text.text_key == F.col("_key"))).select("sid", "text").dropDuplicates(["sid"])
-    texts = staged(texts, "region-texts")
-    first = compare(pivot_pairs(found), texts)
+    chosen = members.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"))
+    chosen = staged(chosen.select("sid", "n", "counts", "one.doc_id", "one.text_key"), "region-sets")
+    first = compare(pivot_pairs(found), chosen, text)
     parts = components(first.where("linked").select("a", "b"))
-    second = compare(window_pairs(found, parts, first).join(first.select("a", "b"), ["a", "b"], "left_anti"), texts)
+    second = compare(window_pairs(found, parts, first).join(first.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
     parts = components(first.unionAll(second).where("linked").select("a", "b"))
     sid_part = staged(parts, "parts").withColumnRenamed("node", "sid")
     roots = held.select("doc_id", "n", "sid").join(sid_part, "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("root"))

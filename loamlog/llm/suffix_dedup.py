@@ -159,6 +159,13 @@ def shard_transform(symbols: np.ndarray, string: np.ndarray) -> tuple[np.ndarray
     return order, before[order]
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of keys under 2^32, by two passes over 16 bits each."""
+    low = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (keys >> 16).astype(np.uint16)
+    return low if not high.any() else low[np.argsort(high[low], kind="stable")]
+
+
 def merge_transforms(transforms: list[np.ndarray], closings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleaving of sorted shards, and common prefix lengths with the suffix before.
 
@@ -181,7 +188,7 @@ def merge_transforms(transforms: list[np.ndarray], closings: list[int], depth: i
         symbol = joined[at]
         group = np.cumsum(border)
         real = np.flatnonzero(symbol)
-        order = real[np.argsort(symbol[real], kind="stable")]
+        order = real[stable_order(symbol[real])]
         now = np.ones(n, bool)
         s, g = symbol[order], group[order]
         now[ends + 1 :] = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
@@ -297,7 +304,7 @@ def merged(cut_out: DataFrame) -> DataFrame:
     return cut_out.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, extent long, lo long, hi long")
 
 
-def by_anchor(batches, most: int = 6_000_000):
+def by_anchor(batches, most: int = 4_000_000):
     """Tables of whole anchors with about ``most`` bytes each, from batches sorted by anchor."""
     held: list[pa.RecordBatch] = []
     size = 0
