@@ -34,6 +34,8 @@ CLASS_BITS = 6
 STEP = np.uint64(0xD6E8FEB86659FD93)
 #: Hash classes of the count vectors.
 CLASSES = 512
+#: Classes of the short vectors that regions hold for their members.
+BRIEF = 128
 #: Rows of (set, document) names that may be broadcast; some 10 MB.
 FEW = 200_000
 
@@ -87,9 +89,16 @@ def frequent_counters(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def vector_bytes(counts: np.ndarray) -> list[bytes]:
+    """Rows as bytes, one a class; counts over 255 are cut, which only brings rows closer."""
+    data = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    width = counts.shape[1]
+    return [data[i : i + width] for i in range(0, len(data), width)]
+
+
 def sets(docs: DataFrame, frequent) -> DataFrame:
     """doc_id, text_key, n (set size), sid (hash of the set), prefix, index (how many of the
-    prefix suffice for the smaller set of a pair), counts (shingles by hash class).
+    prefix suffice for the smaller set of a pair), counts (shingles by hash class), brief (the same by BRIEF classes).
 
     Of equal sets in a task's part only the first carries its prefix.
     """
@@ -118,15 +127,15 @@ def sets(docs: DataFrame, frequent) -> DataFrame:
                 edge = np.concatenate([[0], np.cumsum(size)])
                 take = np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)
                 owner = np.repeat(np.arange(len(n)), n) * CLASSES + (flat & np.uint64(CLASSES - 1)).astype(np.int64)
-                vectors = np.minimum(np.bincount(owner, minlength=len(n) * CLASSES), 255).astype(np.uint8).tobytes()
-                counts = [vectors[i : i + CLASSES] for i in range(0, len(vectors), CLASSES)]
+                exact = np.bincount(owner, minlength=len(n) * CLASSES).reshape(-1, CLASSES)
+                counts, brief = vector_bytes(exact), vector_bytes(exact.reshape(len(n), -1, BRIEF).sum(axis=1))
                 prefix = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(flat[take].view(np.int64)))
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(n), pa.array(sid), prefix, pa.array(index.astype(np.int32)), pa.array(counts, pa.binary())],
-                    names=["doc_id", "text_key", "n", "sid", "prefix", "index", "counts"],
+                    [part.column(0), part.column(1), pa.array(n), pa.array(sid), prefix, pa.array(index.astype(np.int32)), pa.array(counts, pa.binary()), pa.array(brief, pa.binary())],
+                    names=["doc_id", "text_key", "n", "sid", "prefix", "index", "counts", "brief"],
                 )
 
-    schema = "doc_id long, text_key long, n long, sid long, prefix array<long>, index int, counts binary"
+    schema = "doc_id long, text_key long, n long, sid long, prefix array<long>, index int, counts binary, brief binary"
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
@@ -230,26 +239,30 @@ def pairs_of(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def window_pairs(held: DataFrame, parts: DataFrame, measured: DataFrame) -> DataFrame:
+def window_pairs(held: DataFrame, parts: DataFrame, measured: DataFrame, chosen: DataFrame) -> DataFrame:
     """(a, b) still to be compared: in one region, of different components, of sizes that
-    can link, and within the triangle window where both have the same pivot."""
+    can link, within the triangle window where both have the same pivot, and with short count
+    vectors close enough. What a region emits are such pairs only."""
     open_regions = held.where(F.size("sids") > 2)
     pivots = open_regions.mapInArrow(with_pivots, "region long, at int, sid long, n long, indexed boolean, pivot long")
-    joined = pivots.join(parts, pivots.sid == parts.node, "left").join(measured, (pivots.pivot == measured.a) & (pivots.sid == measured.b), "left")
+    joined = pivots.join(chosen.select(F.col("sid").alias("_sid"), "brief"), pivots.sid == F.col("_sid")).join(parts, pivots.sid == parts.node, "left").join(measured, (pivots.pivot == measured.a) & (pivots.sid == measured.b), "left")
     known = F.when(F.col("pivot") == F.col("sid"), 0.0).otherwise(F.coalesce("distance", F.lit(-1.0)))
-    member = F.struct("at", "sid", "n", "indexed", "pivot", F.coalesce("component", "sid").alias("part"), known.alias("distance"))
+    member = F.struct("at", "sid", "n", "indexed", "pivot", F.coalesce("component", "sid").alias("part"), known.alias("distance"), "brief")
     again = joined.groupBy("region").agg(F.sort_array(F.collect_list(member)).alias("m"), F.min(F.coalesce("component", "sid")).alias("lo"), F.max(F.coalesce("component", "sid")).alias("hi"))
-    fields = [F.col(f"m.{c}").alias(c) for c in ("sid", "n", "indexed", "pivot", "part", "distance")]
+    fields = [F.col(f"m.{c}").alias(c) for c in ("sid", "n", "indexed", "pivot", "part", "distance", "brief")]
 
     def run(batches):
         for batch in batches:
             left, right = [], []
-            for sid, n, indexed, pivot, part, distance in lists(batch, ("sid", "n", "indexed", "pivot", "part", "distance")):
+            briefs = batch.column(6)
+            for row, (sid, n, indexed, pivot, part, distance) in enumerate(lists(batch, ("sid", "n", "indexed", "pivot", "part", "distance"))):
+                brief = np.frombuffer(b"".join(briefs[row].as_py()), np.uint8).reshape(-1, BRIEF).astype(np.int16)
                 for i in np.flatnonzero(indexed).tolist():
                     stop = int(np.searchsorted(n, n[i] * DEN // NUM, side="right"))
                     j = np.arange(i + 1, stop)
                     far = (pivot[j] == pivot[i]) & (distance[i] >= 0) & (distance[j] >= 0) & (np.abs(distance[j] - distance[i]) > 1 - NUM / DEN + 1e-9)
                     j = j[(part[j] != part[i]) & ~far & (pivot[j] != sid[i])]
+                    j = j[may_link(brief[j], brief[i], n[j] + n[i])]
                     left.append(np.full(len(j), sid[i]))
                     right.append(sid[j])
             yield pairs_of(left, right)
@@ -269,6 +282,12 @@ def with_pivots(batches):
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["region", "at", "sid", "n", "indexed", "pivot"])
 
 
+def may_link(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether count vectors leave room for a link of sets with ``total`` shingles together:
+    linked sets differ in (DEN - NUM) / (NUM + DEN) of them at most."""
+    return (NUM + DEN) * np.abs(x - y).sum(axis=-1, dtype=np.int64) <= (DEN - NUM) * total
+
+
 def near_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The pairs whose count vectors are close enough for a link."""
     side = lambda c: chosen.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
@@ -276,9 +295,7 @@ def near_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for i in (4, 5))
-            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
-            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = pa.array((NUM + DEN) * apart <= (DEN - NUM) * total)
+            keep = pa.array(may_link(x, y, batch.column(2).to_numpy() + batch.column(3).to_numpy()))
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
@@ -343,13 +360,13 @@ def link_documents(docs: DataFrame) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_counters(text))
     held = staged(sets(text, frequent), "shingle-sets")
     found = staged(regions(held), "regions")
-    members = held.where("n > 0").select("doc_id", "text_key", "sid", "n", "counts")
+    members = held.where("n > 0").select("doc_id", "text_key", "sid", "n", "counts", "brief")
     needed = found.select(F.explode("sids").alias("sid")).distinct()
-    chosen = members.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"))
-    chosen = staged(chosen.select("sid", "n", "counts", "one.doc_id", "one.text_key"), "region-sets")
+    chosen = members.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
+    chosen = staged(chosen.select("sid", "n", "counts", "brief", "one.doc_id", "one.text_key"), "region-sets")
     first = compare(pivot_pairs(found), chosen, text)
     parts = components(first.where("linked").select("a", "b"))
-    second = compare(window_pairs(found, parts, first).join(first.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
+    second = compare(window_pairs(found, parts, first, chosen).join(first.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
     parts = components(first.unionAll(second).where("linked").select("a", "b"))
     sid_part = staged(parts, "parts").withColumnRenamed("node", "sid")
     roots = held.select("doc_id", "n", "sid").join(sid_part, "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("root"))

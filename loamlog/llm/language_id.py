@@ -33,7 +33,8 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
     """Transition table of the automaton of all substrings, flattened.
 
     Values are next states times ALPHABET. Where a state has no transition the complement of
-    the root's transition is stored, so that a sign tells the end of a phrase.
+    the root's transition is stored, so that a sign tells the end of a phrase. The last row
+    is the state to start from.
     """
     size = 2 * len(text) + 2
     table = np.full((size, ALPHABET), -1, np.int32)
@@ -64,8 +65,12 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
                 link[q] = link[new] = twin
         last = new
     table = table[:states]
-    root = np.where(table[0] < 0, 0, table[0]) * ALPHABET
-    return np.where(table < 0, ~root[None, :], table * ALPHABET).astype(np.int32).ravel()
+    # two states more: after a symbol that the text lacks, where any symbol starts a phrase,
+    # and before the first symbol, where none ends one
+    lone = np.int64(states) * ALPHABET
+    root = np.where(table[0] < 0, lone, table[0].astype(np.int64) * ALPHABET)
+    inner = np.where(table < 0, ~root[None, :], table.astype(np.int64) * ALPHABET)
+    return np.concatenate([inner, ~root[None, :], root[None, :]]).astype(np.int32).ravel()
 
 
 class Parser:
@@ -117,7 +122,7 @@ class Parser:
             padded = np.append(symbols, np.zeros(LANE, np.uint8))
             grid = padded[lane_start[None, :] + np.arange(LANE)[:, None]].astype(np.int32)
             for k, table in enumerate(self.tables):
-                state = np.zeros(len(owner), np.int32)
+                state = np.full(len(owner), len(table) - ALPHABET, np.int32)
                 ended = np.ones(len(owner), np.int32)
                 for step in range(int(lane_size[0])):
                     n = active[step]
@@ -186,8 +191,11 @@ def sample_training(labelled: DataFrame, docs_per_language: int, chars_per_doc:
     return tuple((k, tuple(v)) for k, v in found.items() if any(ch.isalpha() for t in v for ch in t))
 
 
-def identify(docs: DataFrame, labelled: DataFrame, docs_per_language: int = 48, chars_per_doc: int = 800) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1, 1 less the ratio of the two best costs).
+def identify(
+    docs: DataFrame, labelled: DataFrame, docs_per_language: int = 48, chars_per_doc: int = 800, into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the language and its score (0 to 1, 1 less the ratio of the two best costs)
+    in the columns ``into``, which replace columns of these names.
 
     ``labelled`` (doc_id, text, lang) is only sampled. Texts that are null or have no letter
     get ``und`` and 0; so does every text if nothing was learned. Only ``text`` is an input
@@ -195,14 +203,14 @@ def identify(docs: DataFrame, labelled: DataFrame, docs_per_language: int = 48,
     """
     training = docs.sparkSession.sparkContext.broadcast(sample_training(labelled, docs_per_language, chars_per_doc))
     at = docs.columns.index("text")
-    schema = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    schema = docs.drop(*into).withColumns({into[0]: F.lit(""), into[1]: F.lit(0.0)}).schema
+    names = [c for c in docs.columns if c not in into]
 
     def predict(batches):
         for batch in batches:
             languages, scores = parser(training.value).classify(batch.column(at).to_pylist())
             held = [batch.column(docs_at[c]) for c in names]
-            yield pa.record_batch([*held, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.record_batch([*held, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*names, *into])
 
     docs_at = {c: i for i, c in enumerate(docs.columns)}
     return docs.mapInArrow(predict, schema)

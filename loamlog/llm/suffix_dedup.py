@@ -275,7 +275,7 @@ def repeated_starts(data: list[bytes], counts: np.ndarray, anchor: np.ndarray, c
         own, begin = own[order], begin[order]
         cuts = np.searchsorted(own, np.arange(len(data) + 1))
         flags = [begin[cuts[i] : cuts[i + 1]] for i in range(len(data))]
-    return flags
+    return [np.arange(counts[i]) if copies[i] > 1 else f for i, f in enumerate(flags)]
 
 
 def merged(cut_out: DataFrame) -> DataFrame:
