@@ -17,7 +17,8 @@ from loamlog.llm.queries import tokenizer_file
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a language that can be told; texts without any letter go."""
     labelled = docs.where(~language_id.held_out(F.col("doc_id"), 4, 2))
-    return language_id.identify(docs, labelled).where("lang_pred <> 'und'").select(*docs.columns)
+    known = language_id.identify(docs, labelled, into=("_language", "_language_score"))
+    return known.where("_language <> 'und'").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
