@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -174,7 +175,29 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 6_000_000):
+_resident: dict = {}
+
+
+def resident(kind: str, key, build):
+    """What ``build`` makes, kept in this worker until it needs a model of another kind or key:
+    a worker serves all stages, and their models would add up."""
+    if (kind, key) not in _resident:
+        _resident.clear()
+        trim()
+        _resident[kind, key] = build()
+    return _resident[kind, key]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; workers live on after their largest task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1_900_000):
     """Zero-copy slices of a batch with about ``most`` bytes of text each."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -185,6 +208,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 6_000_000):
             start, held = i + 1, 0
     if start < len(sizes):
         yield batch.slice(start)
+    trim()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def frequent_counters(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in slices(batch, 0, 3_000_000):
+            for part in slices(batch, 0):
                 hashes, _ = shingle_hashes(part.column(0))
                 total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         mean = total.mean()
@@ -106,7 +106,7 @@ def sets(docs: DataFrame, frequent) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, 2, 3_000_000):
+            for part in slices(batch, 2):
                 hashes, cuts = shingle_hashes(part.column(2))
                 classes = frequent.value[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 keys = (classes << np.uint64(64 - CLASS_BITS)) | (mix64(hashes) >> np.uint64(CLASS_BITS))
@@ -325,7 +325,7 @@ def compare(pairs: DataFrame, chosen: DataFrame, text: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 2, 2_000_000):
+            for part in slices(batch, 2):
                 x, cx = shingle_hashes(part.column(2))
                 y, cy = shingle_hashes(part.column(3))
                 shared, total = [], []

@@ -8,13 +8,14 @@ needs the fewest phrases, normalised by the length of text and training text, wi
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamlog.llm.common import resident, slices
+
 #: Letters with a symbol of their own; the rest share one. Symbol 0 parts training texts,
 #: 1 is any run of other characters.
 OWN_LETTERS = 61
@@ -173,9 +174,8 @@ def pieces(texts: list[str | None]):
         yield owners, parts
 
 
-@lru_cache(maxsize=2)
 def parser(training: tuple) -> Parser:
-    return Parser(training)
+    return resident("languages", training, lambda: Parser(training))
 
 
 def sample_training(labelled: DataFrame, docs_per_language: int, chars_per_doc: int) -> tuple:
@@ -207,7 +207,7 @@ def identify(
     names = [c for c in docs.columns if c not in into]
 
     def predict(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, at)):
             languages, scores = parser(training.value).classify(batch.column(at).to_pylist())
             held = [batch.column(docs_at[c]) for c in names]
             yield pa.record_batch([*held, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*names, *into])

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import slices
+from loamlog.llm.common import resident, slices
 from loamlog.llm.words import Encoder, batches_of
 
 #: Fixed values of the model format: the marker of a space, piece types and model types.
@@ -107,7 +106,7 @@ class Backend:
         plain = words_apart(model) and bool(spec.add_dummy_prefix) and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
-        self.encoder = Encoder(self.tokenizer, MARKER, plain, first_led=True, reference=self.reference_ids)
+        self.encoder = Encoder(self.tokenizer, MARKER, plain, first_led=True, reference=self.reference_ids, words=250_000)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         return self.encoder.encode_checked(texts)
@@ -119,9 +118,8 @@ class Backend:
         return self.library.encode(texts, num_threads=self.threads)
 
 
-@lru_cache(maxsize=2)
 def backend(path: str, threads: int) -> Backend:
-    return Backend(path, threads)
+    return resident("sentencepiece", (path, threads), lambda: Backend(path, threads))
 
 
 def encode_column(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import BYTE_VALUE, prefix_sums, slices, spans_of, staged, utf8_buffers
+from loamlog.llm.common import BYTE_VALUE, prefix_sums, slices, spans_of, staged, trim, utf8_buffers
 
 WINDOW = 400
 GRAM = 32
@@ -87,7 +87,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 2, 1_500_000):
+            for part in slices(batch, 2):
                 if pa.compute.max(pa.compute.binary_length(part.column(2))).as_py() or 0:
                     raw, offsets = utf8_buffers(part.column(2))
                     if len(raw) <= 2 * PIECE:
@@ -115,7 +115,7 @@ def extent_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 0, 3_000_000):
+            for part in slices(batch, 0):
                 raw, offsets = utf8_buffers(part.column(0))
                 cuts = part.column(1)
                 flat = cuts.flatten()
@@ -283,6 +283,7 @@ def merged(cut_out: DataFrame) -> DataFrame:
 
     def run(batches):
         for table in by_anchor(batches):
+            trim()
             data = [bytes(x) for x in table.column("bytes").to_pylist()]
             counts = table.column("starts").to_numpy().astype(np.int64)
             copies = table.column("n").to_numpy()
@@ -304,7 +305,7 @@ def merged(cut_out: DataFrame) -> DataFrame:
     return cut_out.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, extent long, lo long, hi long")
 
 
-def by_anchor(batches, most: int = 4_000_000):
+def by_anchor(batches, most: int = 2_500_000):
     """Tables of whole anchors with about ``most`` bytes each, from batches sorted by anchor."""
     held: list[pa.RecordBatch] = []
     size = 0

@@ -16,7 +16,6 @@ import os
 import struct
 import uuid
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import filesystem, fresh_path
+from loamlog.llm.common import filesystem, fresh_path, resident, slices
 from loamlog.llm.words import Encoder, batches_of
 
 MAGIC = b"LLTK0001"
@@ -32,8 +31,11 @@ ENTRY = struct.Struct("<qqIIB")
 TAIL = struct.Struct("<qq")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
+    return resident("token files", path, lambda: load_encoder(path))
+
+
+def load_encoder(path: str) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
@@ -138,7 +140,7 @@ def write_token_files(
     dtype = encoder(tokenizer_path).dtype
 
     def encoded(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batches_of(texts):

@@ -47,13 +47,13 @@ class Encoder:
     #: Words kept at most. Frequent words come early, so later new ones are not kept.
     WORDS = 500_000
 
-    def __init__(self, tokenizer, marker: str, by_word: bool, first_led: bool = False, reference=None):
+    def __init__(self, tokenizer, marker: str, by_word: bool, first_led: bool = False, reference=None, words: int | None = None):
         """``marker`` is how the vocabulary writes a leading space; ``by_word`` tells whether
         splitting at spaces holds for this tokenizer; ``first_led`` whether a text's first
         word is encoded as if a space stood before it. ``reference`` encodes texts with
         another library, to compare with whatever goes through this one."""
         self.tokenizer, self.by_word, self.first_led = tokenizer, by_word, first_led
-        self.reference = reference
+        self.reference, self.most_words = reference, words or self.WORDS
         vocabulary = tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if max(vocabulary.values(), default=0) < 65536 else np.dtype("<u4")
         self.led_by_space = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -125,7 +125,7 @@ class Encoder:
         for k, (i, ids, same) in enumerate(zip(regular, *heads, strict=True)):
             out[i] = np.concatenate([ids, flat[cuts[k] : cuts[k + 1]]])
             good[i] = same and bool(wrong[k] == wrong[k + 1])
-        if len(self.index) > self.WORDS:
+        if len(self.index) > self.most_words:
             for word in new:
                 del self.index[word]
             self.starts = self.starts[: known + 1]
