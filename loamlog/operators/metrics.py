@@ -48,3 +48,30 @@ def ledger_gates(log: DataFrame) -> DataFrame:
     place = classes.withColumn("upto", upto).join(rates.select("zone", "n"), "zone").where(F.col("upto") > F.floor(F.col("n") * 0.95)).groupBy("zone").agg(F.min("latency").alias("p95_ms"))
     blocked = F.filter(F.array(F.when(F.col("quality_rate") < 0.7, "quality"), F.when(F.col("reviewer_rate") < 0.85, "reviewer"), F.when(F.col("p95_ms") > 5000, "latency")), lambda x: x.isNotNull())
     return rates.join(place, "zone").withColumn("blockers", F.array_join(blocked, ","))
+
+
+def form_quality(rows: DataFrame) -> DataFrame:
+    """Accuracy, precision and recall of claim candidates, and how many observations stay."""
+    claim = lambda c: F.col(c) == "claim_candidate"
+    sums = rows.agg(
+        F.count("*").alias("n"), F.count_if(F.col("expected") == F.col("predicted")).alias("right"), F.count_if(claim("expected") & claim("predicted")).alias("tp"),
+        F.count_if(claim("predicted")).alias("said"), F.count_if(claim("expected")).alias("due"),
+        F.count_if((F.col("expected") == "observation") & (F.col("predicted") == "observation")).alias("kept"), F.count_if(F.col("expected") == "observation").alias("seen"),
+    )
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(1.0)), 6)
+    return sums.select("n", ratio("right", "n").alias("accuracy"), ratio("tp", "said").alias("claim_precision"), ratio("tp", "due").alias("claim_recall"), ratio("kept", "seen").alias("preservation"))
+
+
+def rank_hits(rows: DataFrame) -> DataFrame:
+    """Per query the top chunk of the offline hybrid rank, and whether it is what was expected
+    and nothing forbidden. Semantic score is 0.8 of the lexical one; weights 1, 1, 0.5."""
+    from loamlog.functions import text as T
+    from loamlog.operators import retrieval as R
+
+    q = T.search_tokens(F.col("query"))
+    fts = R.lexical_score(q, T.search_tokens(F.col("text")))
+    structured = R.structured_score(q, F.col("kind"), F.col("lifecycle"), F.lit("derived"))
+    hop = F.when(F.col("hop") == 0, R.HOP_BOOST[0]).when(F.col("hop") == 1, R.HOP_BOOST[1]).when(F.col("hop") == 2, R.HOP_BOOST[2]).otherwise(0.0)
+    total = F.round(R.hybrid_total(structured, fts, fts * 0.8, F.lit(0.0), F.col("kind"), R.typed_boost(F.col("kind"), F.col("lifecycle")) + hop, (1.0, 1.0, 0.5, 0.1)), 6)
+    top = rows.withColumn("total", total).groupBy("query_id").agg(F.min_by(F.struct("chunk_id", "total", "expected", "forbidden"), F.struct(-F.col("total"), "chunk_id")).alias("t"))
+    return top.select("query_id", F.col("t.chunk_id").alias("top_id"), F.col("t.total").alias("total"), (F.col("t.expected") & ~F.col("t.forbidden")).alias("hit"))

@@ -142,3 +142,66 @@ def hold_repeats(rows: DataFrame, recent: int = 200) -> DataFrame:
     keyed = rows.withColumn("key", F.sha2(T.statement_key(F.col("statement")), 256))
     last = F.lag("position").over(Window.partitionBy("zone", "key").orderBy("position"))
     return keyed.withColumn("gap", F.col("position") - last).select("id", "zone", F.when(F.col("gap") <= recent, "hold").otherwise("promote").alias("decision"), "gap")
+
+
+def inferred_kind(text: Column) -> Column:
+    """constraint, preference, procedure, decision, question or fact: another order and other
+    words than those of candidate spans."""
+    return (
+        F.when(text.rlike(T.words("constraint", "must never")), "constraint").when(text.rlike(T.words("preference", "prefer")), "preference")
+        .when(text.rlike(T.words("procedure", "how to")), "procedure").when(text.rlike(T.words("decision", "we (?:will|decided)")), "decision")
+        .when(text.contains("?"), "open_question").otherwise("fact_candidate")
+    )
+
+
+def sentences(text: Column, most: int = 3) -> Column:
+    """The first sentences of 12 to 240 characters, ``most`` of them."""
+    found = F.transform(F.regexp_extract_all(text, F.lit("([^.!?\n]+[.!?]?)"), F.lit(1)), F.trim)
+    return F.slice(F.filter(found, lambda s: F.length(s).between(12, 240)), 1, most)
+
+
+def best_line(text: Column) -> Column:
+    """The line that reads most like knowledge; of equals the longer, then the earlier."""
+    lines = F.filter(F.transform(F.split(text, "\n+"), F.trim), lambda x: F.length(x) >= 8)
+    strong = T.words("decision", "constraint", "preference", "we will", "must never", "require", "prefer")
+    score = lambda x: F.when(x.rlike(strong), 6).otherwise(0) - F.when(F.length(x) < 16, 3).otherwise(0) + F.when(F.length(x) >= 40, 2).otherwise(0)
+    ranked = F.transform(lines, lambda x, i: F.struct(score(x).alias("score"), F.length(x).alias("length"), (-i).alias("order"), x.alias("line")))
+    return F.array_max(ranked)["line"]
+
+
+def quality_filter(rows: DataFrame) -> DataFrame:
+    """case_id, kind, statement, quote, view -> keep, reason: quotes must stand once in the
+    view, statements must not restate metadata; kinds that are never promoted pass."""
+    q = F.trim(F.coalesce("quote", F.lit("")))
+    times = (F.length("view") - F.length(F.replace(F.col("view"), q, F.lit("")))) / F.length(q)
+    reason = (
+        F.when(~F.col("kind").isin(*PROMOTE_KINDS, "procedure"), "quality_non_promote_kind_passthrough").when(q == "", "quality_empty_quote")
+        .when(~F.contains(F.col("view"), q), "quality_quote_not_in_extract_view").when(times > 1, "quality_ambiguous_quote")
+        .when(F.col("statement").rlike(T.words("hook captured", "captured from provider")), "quality_metadata_restatement").otherwise("quality_ok")
+    )
+    return rows.withColumn("reason", reason).select("case_id", F.col("reason").isin("quality_ok", "quality_non_promote_kind_passthrough").alias("keep"), "reason")
+
+
+def supersession_components(links: DataFrame) -> DataFrame:
+    """Components over source, target and replacement of supersessions: members, id by the
+    hash of the sorted members, and whether a replacement leads back, within four steps from
+    target to replacement, to what it replaces."""
+    from loamlog.operators.components import connected
+    from loamlog.operators.graph import walk
+
+    ends = links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(links.where("replacement IS NOT NULL").select(F.col("source").alias("a"), F.col("replacement").alias("b")))
+    parts = connected(ends)
+    nodes = parts.unionAll(parts.select(F.col("component").alias("node"), "component")).distinct()
+    step = links.where("replacement IS NOT NULL").select(F.col("target").alias("from_id"), F.col("replacement").alias("to_id")).distinct()
+    reached = walk(step.select(F.col("to_id").alias("seed")).distinct(), step, 4, directed=True)
+    back = step.join(reached, (F.col("to_id") == F.col("seed")) & (F.col("from_id") == F.col("node_id"))).select(F.col("to_id").alias("node")).distinct()
+    marked = nodes.join(back.withColumn("cycle", F.lit(True)), "node", "left")
+    out = marked.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("m"), F.coalesce(F.max("cycle"), F.lit(False)).alias("has_cycle"))
+    return out.select(T.content_id("rec_", 16, F.array_join("m", ",")).alias("component_id"), F.array_join("m", ",").alias("members"), "has_cycle")
+
+
+def knowledge_form(rows: DataFrame) -> DataFrame:
+    """Adds ``predicted``: reject, insufficient, observation or claim_candidate."""
+    bad = T.secret_material(F.col("statement")) | (F.length(F.trim("statement")) < 8) | ~F.col("visible")
+    kind = F.when(bad, "reject").when(F.col("evidence") == 0, "insufficient").when(F.col("kind") == "claim", "claim_candidate").otherwise("observation")
+    return rows.withColumn("predicted", kind)

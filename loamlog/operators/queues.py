@@ -157,3 +157,28 @@ def reconcile_import(log: DataFrame) -> DataFrame:
     pulled = log.where("n % 5 = 0").select("event_id", F.when(F.col("n") % 15 == 5, F.col("k") + 1).otherwise(F.col("k")).alias("got"))
     status = F.when(F.col("have").isNull(), "insert").when(F.col("have") == F.col("got"), "skip").otherwise("conflict")
     return pulled.join(have, "event_id", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+def error_class(error: Column) -> Column:
+    """retry, blocked or quota: status codes first, then words."""
+    code = F.regexp_extract(F.coalesce(error, F.lit("")), "HTTP ([0-9]{3})", 1)
+    return (
+        F.when(error.isNull(), F.lit(None)).when(code.isin("408", "429") | code.startswith("5"), "retry").when(code.startswith("4"), "blocked")
+        .when(F.lower(error).contains("quota"), "quota").otherwise("retry")
+    )
+
+
+def job_step(jobs: DataFrame) -> DataFrame:
+    """The next state of each job: leased, pending again (with a delay in seconds, or at the
+    next UTC midnight for a spent quota), dead at its last attempt, blocked, or unchanged."""
+    kind = error_class(F.col("error"))
+    spent = F.col("attempt") >= F.col("max_attempts")
+    lost = (F.col("state") == "leased") & F.col("lease_expired")
+    failed = F.col("state") == "failed"
+    state = (
+        F.when(F.col("state") == "pending", "leased").when((lost | failed) & spent, "dead").when(lost, "pending").when(failed & (kind == "blocked"), "blocked")
+        .when(failed, "pending").otherwise(F.col("state"))
+    )
+    rows = jobs.withColumns({"kind": kind, "next": state})
+    delay = F.when(failed & (F.col("next") == "pending") & (F.col("kind") == "retry"), backoff_seconds(F.col("attempt")))
+    return rows.select("job_id", F.col("next").alias("state"), F.col("kind").alias("error_class"), delay.alias("delay_s"), (failed & (F.col("next") == "pending") & (F.coalesce("kind", F.lit("")) == "quota")).alias("until_midnight"))

@@ -67,6 +67,32 @@ STATEMENTS = [
     (8, "s3", "draft", "copies are kept, twice"),
 ]
 
+KINDS = [
+    (1, "We decided to rotate keys weekly. It costs little."), (2, "Constraint: archives must never shrink!\nNobody objected."), (3, "I prefer short names"),
+    (4, "The procedure has four steps: stop, copy, check, start."), (5, "Which copy is newest?"), (6, "Two copies are kept."), (7, "tiny"), (8, "a\nWe will keep the first answer and drop the rest of them\nok"),
+]
+FILTER = [
+    (1, "decision", "Keep archives", "Keep archives", "Notes: Keep archives. End."), (2, "decision", "Keep archives", "", "Keep archives"),
+    (3, "decision", "Keep archives", "Drop archives", "Keep archives"), (4, "decision", "Keep it", "Keep it", "Keep it. Keep it."), (5, "fact_candidate", "x", "y", "z"),
+    (6, "procedure", "Stop first", "Stop first", "Stop first, then copy"), (7, "constraint", "SessionEnd hook captured from provider", "hook", "the hook fired"),
+]
+LINKS = [("a", "b", "c"), ("c", "d", None), ("e", "f", "e"), ("g", "h", "i"), ("j", "i", "h"), ("k", "l", None)]
+RANKED = [
+    (1, "c1", "claim", "active", "archive index", "the archive index is kept", 0, True, False), (1, "c2", "evidence_excerpt", "active", "archive index", "archive index archive index", 0, False, True),
+    (1, "c3", "summary", "draft", "archive index", "archive", 1, False, False), (2, "c4", "evidence_excerpt", "active", "copy", "copy", 2, False, True),
+    (2, "c5", "decision", "active", "copy", "a copy is made", None, True, False), (3, "c6", "summary", "active", "retry", "nothing here", 0, True, False),
+    (3, "c7", "claim", "active", "retry", "retry twice", 0, False, False),
+]
+FORMS = [
+    (1, "Archives are kept for ten years", "claim", True, 2, "claim_candidate"), (2, "Saw the loader stop twice", "observation", True, 1, "observation"),
+    (3, "Archives are kept forever", "claim", True, 0, "insufficient"), (4, "password: swordfish", "claim", True, 2, "reject"), (5, "Copies are cheap", "claim", False, 2, "reject"),
+    (6, "ok", "observation", True, 1, "reject"), (7, "Copies are expensive now", "claim", True, 1, "claim_candidate"), (8, "The loader ran", "observation", True, 0, "insufficient"),
+]
+JOBS = [
+    (1, "pending", 0, 3, False, None), (2, "leased", 1, 3, True, None), (3, "leased", 3, 3, True, None), (4, "failed", 1, 3, False, "HTTP 503 unavailable"), (5, "failed", 3, 3, False, "HTTP 503 unavailable"),
+    (6, "failed", 1, 3, False, "HTTP 400 bad input"), (7, "failed", 1, 3, False, "quota exceeded today"), (8, "done", 1, 3, False, None), (9, "leased", 1, 3, False, None),
+]
+
 
 def rows(spark: SparkSession, data: list, schema: str) -> DataFrame:
     return spark.createDataFrame(data, schema)

@@ -200,6 +200,17 @@ def hook(column: str) -> str:
     return f"CASE WHEN trim({column}) = '' THEN 'unknown' ELSE CASE regexp_replace(lower(trim({column})), '[\\s_-]+', '', 'g') {known} ELSE trim({column}) END END"
 
 
+PAYLOAD = "CASE {0} WHEN 'EvidenceArtifact' THEN 'art_' WHEN 'Observation' THEN 'obs_' WHEN 'Claim' THEN 'clm_' WHEN 'AcceptanceDecision' THEN 'dec_' ELSE 'sup_' END || {1}"
+BUNDLE = f""",
+    units AS (SELECT *, {statement_key('statement')} AS key FROM log WHERE event_type IN ('Observation', 'Claim') AND lifecycle = 'active'),
+    bundle AS (SELECT arg_max(event_id, (recorded, n)) AS event_id, arg_max(event_type, (recorded, n)) AS event_type, arg_max(statement, (recorded, n)) AS statement
+        FROM units WHERE length(key) >= 8 GROUP BY key ORDER BY max((recorded, n)) DESC LIMIT 100)
+"""
+NOTES = """,
+    notes AS (SELECT l.n, 'claims/' || category || '/' || l.event_id || '.md' AS path, '---' || chr(10) || 'id: "' || l.event_id || '"' || chr(10) || 'zone: "' || l.zone || '"' || chr(10)
+        || 'category: ' || category || chr(10) || '---' || chr(10) || '# ' || statement || chr(10) || chr(10) || 'Subject: [[' || subject || ']]' || chr(10) AS body
+        FROM log l JOIN category c ON c.event_id = l.event_id)
+"""
 MARKER = "chr(10) || '…[truncated]…' || chr(10)"
 PRIORITY = "CASE chunk_kind WHEN 'claim' THEN 1.0 ELSE 0.2 END"
 
@@ -438,4 +449,71 @@ ORACLE_SQL: dict[str, str] = {
             WHEN kind NOT IN ('decision', 'constraint', 'preference') THEN 'hold:kind_not_in_usable_allowlist'
             WHEN confidence IS NULL OR confidence >= 0.55 THEN 'promote:promote_when_verified' ELSE 'hold:hold_confidence_or_features' END AS o FROM g)
         SELECT case_id, grounding, split_part(o, ':', 1) AS decision, split_part(o, ':', 2) AS reason FROM o""",
+    "alias_lookup": LOG + f"""
+        SELECT event_id AS alias, event_id FROM log UNION ALL SELECT {PAYLOAD.format('event_type', 'n')}, event_id FROM log""",
+    "support_resolution": LOG + f"""
+        SELECT c.event_id AS claim_id, coalesce(t.event_id, c.event_id) AS support_id, t.event_id IS NOT NULL AS resolved
+        FROM log c LEFT JOIN log t ON t.n = c.target_n WHERE c.event_type = 'Claim'""",
+    "latest_writers": LOG + """
+        SELECT subject, event_type, arg_min(event_id, (recorded, n)) AS first_id, arg_max(event_id, (recorded, n)) AS last_id, count(*) AS n_events
+        FROM log GROUP BY 1, 2""",
+    "bundle_export": LOG + BUNDLE + "SELECT event_id, event_type, statement, sha256(statement) AS idempotency_key FROM bundle",
+    "bundle_import": LOG + BUNDLE + """
+        SELECT CASE WHEN length(trim(statement)) < 8 THEN 'too_short' WHEN statement IN (SELECT statement FROM log WHERE n % 2 = 0 AND statement IS NOT NULL) THEN 'skipped'
+            ELSE 'imported' END AS status, count(*) AS n FROM bundle GROUP BY 1""",
+    "source_records": LOG + """,
+        r AS (SELECT event_id AS of, zone, lpad(CAST(zone_sequence AS VARCHAR), 16, '0') AS q, event_type, event_id, lifecycle, authority FROM seq
+            UNION SELECT a.event_id, b.zone, lpad(CAST(b.zone_sequence AS VARCHAR), 16, '0'), b.event_type, b.event_id, b.lifecycle, b.authority FROM seq a JOIN seq b ON b.event_id = a.target_id)
+        SELECT of AS event_id, count(*) AS n_records, string_agg(event_id, ',' ORDER BY zone, q, event_type, event_id) AS ids,
+            CASE WHEN bool_or(lifecycle = 'draft') THEN 'draft' ELSE 'active' END AS lifecycle,
+            CASE WHEN bool_or(authority = 'verified') THEN 'verified' WHEN bool_or(authority = 'derived') THEN 'derived'
+                ELSE arg_min(authority, (zone, q, event_type, event_id)) END AS authority FROM r GROUP BY 1""",
+    "vault_notes": LOG + NOTES + "SELECT path, body, sha256(body) AS digest FROM notes",
+    "missing_files": LOG + NOTES + "SELECT path FROM notes WHERE n % 7 = 0",
+    "dashboard": LOG + "SELECT kind, '- ' || kind || ': ' || count(*) || ' (' || max(loop_id) || ')' AS line FROM loops GROUP BY 1",
+    "provenance_paths": LOG + """,
+        h1 AS (SELECT l.event_id AS seed, l.target_id AS node, 1 AS hop FROM log l WHERE l.event_type = 'Observation' AND l.target_id IS NOT NULL),
+        h2 AS (SELECT seed, l.target_id AS node, 2 AS hop FROM h1 JOIN log l ON l.event_id = h1.node WHERE l.target_id IS NOT NULL),
+        h3 AS (SELECT seed, l.target_id AS node, 3 AS hop FROM h2 JOIN log l ON l.event_id = h2.node WHERE l.target_id IS NOT NULL)
+        SELECT seed, max(hop) AS longest, count(*) + 1 AS n_reached FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY 1 HAVING max(hop) >= 2""",
+    "proposal_edges": LOG + """,
+        d AS (SELECT * FROM log WHERE event_type = 'Claim' AND lifecycle = 'draft')
+        SELECT 'derived_from' AS kind, event_id AS from_id, target_id AS to_id FROM d WHERE target_id IS NOT NULL
+        UNION ALL SELECT 'about', event_id, 'subj:' || subject FROM d
+        UNION ALL SELECT 'supports', event_id, target_id FROM d WHERE target_id IS NOT NULL
+        UNION ALL SELECT 'supports', event_id, target_id FROM d WHERE target_id IS NOT NULL AND k % 2 = 1""",
+    "feed_backfill": LOG + """,
+        p AS (SELECT event_id, k % 3 > 0 AS pending, coalesce(sum((k % 3 > 0)::INT) OVER (ORDER BY recorded, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+            FROM log WHERE event_type = 'EvidenceArtifact' AND n % 4 <> 0)
+        SELECT event_id, CASE WHEN pending THEN 'pending' ELSE 'skipped' END AS state FROM p WHERE ahead < 40""",
+    "unit_resolution": """
+        WITH u AS (SELECT doc_id, text, substr(text, 1, 900) AS s, asked FROM documents, (VALUES ('R0'), ('R1'), ('R2'), ('R3')) AS v(asked)),
+        r AS (SELECT *, CASE WHEN asked = 'R3' AND length(text) <= 500 THEN 'R3' WHEN asked >= 'R2' THEN 'R2' WHEN asked = 'R1' AND doc_id % 2 = 0 THEN 'R1' ELSE 'R0' END AS level FROM u)
+        SELECT doc_id, asked, level, sha256(CASE level WHEN 'R3' THEN text WHEN 'R2' THEN CASE WHEN length(s) <= 500 THEN s ELSE substr(s, 1, 499) || '…' END END) AS digest FROM r""",
+    "conversation_roles": """
+        SELECT role, count(*) AS n_turns, count(DISTINCT conv_id) AS n_conversations,
+            sum(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS n_tokens FROM conversations GROUP BY 1""",
+    "quality_filter": f"""
+        WITH c AS (SELECT *, trim(quote) AS q FROM {cases.values(cases.FILTER, 'case_id, kind, statement, quote, view')}),
+        r AS (SELECT *, CASE WHEN kind NOT IN ('decision', 'constraint', 'preference', 'procedure') THEN 'quality_non_promote_kind_passthrough' WHEN q = '' THEN 'quality_empty_quote'
+            WHEN NOT contains(view, q) THEN 'quality_quote_not_in_extract_view' WHEN len(string_split(view, q)) > 2 THEN 'quality_ambiguous_quote'
+            WHEN regexp_matches(statement, '(?i)\\b(hook captured|captured from provider)\\b') THEN 'quality_metadata_restatement' ELSE 'quality_ok' END AS reason FROM c)
+        SELECT case_id, reason IN ('quality_ok', 'quality_non_promote_kind_passthrough') AS keep, reason FROM r""",
+    "knowledge_form": f"""
+        WITH c AS (SELECT *, CASE WHEN regexp_matches(statement, '(?i)\\bpassword\\s*[:=]') OR length(trim(statement)) < 8 OR NOT visible THEN 'reject'
+            WHEN evidence = 0 THEN 'insufficient' WHEN kind = 'claim' THEN 'claim_candidate' ELSE 'observation' END AS p
+            FROM {cases.values(cases.FORMS, 'case_id, statement, kind, visible, evidence, expected')})
+        SELECT count(*) AS n, round(count(*) FILTER (expected = p) / count(*), 6) AS accuracy,
+            round(count(*) FILTER (expected = 'claim_candidate' AND p = 'claim_candidate') / count(*) FILTER (p = 'claim_candidate'), 6) AS claim_precision,
+            round(count(*) FILTER (expected = 'claim_candidate' AND p = 'claim_candidate') / count(*) FILTER (expected = 'claim_candidate'), 6) AS claim_recall,
+            round(count(*) FILTER (expected = 'observation' AND p = 'observation') / count(*) FILTER (expected = 'observation'), 6) AS preservation FROM c""",
+    "job_queue": f"""
+        WITH j AS (SELECT *, regexp_extract(coalesce(error, ''), 'HTTP ([0-9]{{3}})', 1) AS code FROM {cases.values(cases.JOBS, 'job_id, state, attempt, max_attempts, lease_expired, error')}),
+        k AS (SELECT *, CASE WHEN error IS NULL THEN NULL WHEN code IN ('408', '429') OR code LIKE '5%' THEN 'retry' WHEN code LIKE '4%' THEN 'blocked'
+            WHEN contains(lower(error), 'quota') THEN 'quota' ELSE 'retry' END AS kind FROM j),
+        n AS (SELECT *, CASE WHEN state = 'pending' THEN 'leased' WHEN (state = 'failed' OR (state = 'leased' AND lease_expired)) AND attempt >= max_attempts THEN 'dead'
+            WHEN state = 'leased' AND lease_expired THEN 'pending' WHEN state = 'failed' AND kind = 'blocked' THEN 'blocked' WHEN state = 'failed' THEN 'pending' ELSE state END AS nxt FROM k)
+        SELECT job_id, nxt AS state, kind AS error_class,
+            CASE WHEN state = 'failed' AND nxt = 'pending' AND kind = 'retry' THEN CAST(least(3600, pow(2, least(10, attempt - 1))) AS BIGINT) END AS delay_s,
+            state = 'failed' AND nxt = 'pending' AND coalesce(kind, '') = 'quota' AS until_midnight FROM n""",
 }

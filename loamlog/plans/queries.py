@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
-from loamlog.operators import facts, graph, metrics, policy, queues, retrieval
+from loamlog.operators import facts, graph, metrics, policy, queues, records, retrieval
 from loamlog.plans import cases
 from loamlog.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from loamlog.sources import log as L
@@ -63,6 +63,20 @@ of_log("graph_khop", lambda log: graph.walk(log.where("n % 50 = 0").select(F.con
 of_log("graph_threads", lambda log: graph.threads(log, graph.edges(log)))
 of_log("lineage_trace", graph.lineage)
 of_log("ledger_gates", metrics.ledger_gates)
+of_log("alias_lookup", lambda log: records.aliases(log))
+of_log("support_resolution", records.resolved_support)
+of_log("latest_writers", records.latest_writers)
+of_log("bundle_export", lambda log: records.bundle(log, 100))
+of_log("bundle_import", lambda log: records.bundle_import(log.where("n % 2 = 0"), records.bundle(log, 100)))
+of_log("index_rebuild", lambda log: records.index_changes(retrieval.chunks(log.where("n % 10 <> 3")), retrieval.chunks(log)))
+of_log("source_records", records.source_records)
+of_log("vault_notes", lambda log: records.notes(log, facts.claim_category(log)))
+of_log("missing_files", lambda log: records.missing_files(records.notes(log, facts.claim_category(log)), records.notes(log.where("n % 7 <> 0"), facts.claim_category(log))))
+of_log("dashboard", lambda log: records.dashboard(facts.open_loops(log)))
+of_log("provenance_paths", lambda log: records.neighbourhood_paths(log.where("target_id IS NOT NULL").select(F.col("event_id").alias("from_id"), F.col("target_id").alias("to_id")), log.where("event_type = 'Observation'").select(F.col("event_id").alias("seed")), 3))
+of_log("proposal_edges", records.proposal_edges)
+of_log("feed_backfill", lambda log: records.backfill(log, 40))
+of_log("context_pack", lambda log: records.context_pack(log, 12, 600))
 
 
 @query
@@ -173,6 +187,52 @@ def statement_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.duplicate_statements(literal.select("id", "subject", "lifecycle", "statement").unionAll(docs))
 
 
+@query
+def unit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = L.table(spark, sf_dir, "documents")
+    ref = F.when(F.col("doc_id") % 2 == 0, "ref")
+    out = [docs.select("doc_id", F.lit(level).alias("asked"), records.resolve_unit(F.col("text"), F.substring("text", 1, 900), ref, level, 500).alias("u")) for level in ("R0", "R1", "R2", "R3")]
+    rows = out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+    return rows.select("doc_id", "asked", F.col("u.level").alias("level"), F.sha2("u.text", 256).alias("digest"))
+
+
+@query
+def statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cases.rows(spark, cases.KINDS, "case_id int, text string")
+    return rows.select("case_id", policy.inferred_kind(F.col("text")).alias("inferred"), T.kind_of(F.col("text")).alias("candidate"), F.size(policy.sentences(F.col("text"))).alias("n_sentences"), policy.best_line(F.col("text")).alias("quote"))
+
+
+@query
+def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.quality_filter(cases.rows(spark, cases.FILTER, "case_id int, kind string, statement string, quote string, view string"))
+
+
+@query
+def reconcile_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.supersession_components(cases.rows(spark, cases.LINKS, "source string, target string, replacement string"))
+
+
+@query
+def graph_rank_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.rank_hits(cases.rows(spark, cases.RANKED, "query_id int, chunk_id string, kind string, lifecycle string, query string, text string, hop int, expected boolean, forbidden boolean"))
+
+
+@query
+def knowledge_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.form_quality(policy.knowledge_form(cases.rows(spark, cases.FORMS, "case_id int, statement string, kind string, visible boolean, evidence int, expected string")))
+
+
+@query
+def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queues.job_step(cases.rows(spark, cases.JOBS, "job_id int, state string, attempt int, max_attempts int, lease_expired boolean, error string"))
+
+
+@query
+def conversation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = L.table(spark, sf_dir, "conversations")
+    return turns.groupBy("role").agg(F.count("*").alias("n_turns"), F.countDistinct("conv_id").alias("n_conversations"), F.sum(F.size(T.search_tokens(F.col("text")))).alias("n_tokens"))
+
+
 @query
 def transcript_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fold_transcripts(L.table(spark, sf_dir, "conversations"))

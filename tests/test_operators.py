@@ -173,3 +173,88 @@ def test_confusion_and_quality(spark):
 def test_backoff_is_bounded(spark):
     frame = spark.createDataFrame([(1,), (5,), (50,)], "n int")
     assert [r[0] for r in frame.select(queues.backoff_seconds(F.col("n"))).collect()] == [1, 16, 1024]
+
+
+def test_statement_kinds_and_quotes(spark):
+    from loamlog.plans.queries import QUERIES
+
+    got = {r["case_id"]: r for r in QUERIES["statement_kinds"](spark, f"{DATA}/sf0.001").collect()}
+    assert [got[i]["inferred"] for i in range(1, 9)] == ["decision", "constraint", "preference", "procedure", "open_question", "fact_candidate", "fact_candidate", "decision"]
+    assert got[1]["n_sentences"] == 2 and got[7]["n_sentences"] == 0 and got[7]["quote"] is None
+    assert got[8]["quote"] == "We will keep the first answer and drop the rest of them"
+    assert got[2]["quote"] == "Constraint: archives must never shrink!"
+
+
+def test_supersession_components_and_cycles(spark):
+    rows = policy.supersession_components(cases.rows(spark, cases.LINKS, "source string, target string, replacement string")).collect()
+    assert {(r["members"], r["has_cycle"]) for r in rows} == {("a,b,c,d", False), ("e,f", False), ("g,h,i,j", True), ("k,l", False)}
+    assert len({r["component_id"] for r in rows}) == 4
+
+
+def test_offline_rank(spark):
+    schema = "query_id int, chunk_id string, kind string, lifecycle string, query string, text string, hop int, expected boolean, forbidden boolean"
+    got = {r["query_id"]: (r["top_id"], r["hit"]) for r in metrics.rank_hits(cases.rows(spark, cases.RANKED, schema)).collect()}
+    assert got == {1: ("c1", True), 2: ("c5", True), 3: ("c7", False)}
+
+
+def test_index_rebuild_marks_stale_and_added(spark):
+    from loamlog.operators import records
+
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "chunk_id string, text_digest string")
+    new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "chunk_id string, text_digest string")
+    assert {tuple(r) for r in records.index_changes(old, new).collect()} == {("a", "kept"), ("b", "changed"), ("c", "stale"), ("d", "added")}
+
+
+def test_context_pack_skips_what_does_not_fit_and_goes_on(spark):
+    from loamlog.operators import records
+
+    rows = records.context_pack(L.adapted(spark, f"{DATA}/sf0.001"), 5, 150).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["subject"], []).append(r)
+    assert by and all(len(v) <= 5 and sorted(r["place"] for r in v) == list(range(1, len(v) + 1)) for v in by.values())
+
+
+def test_tails_drop_the_cut_line(spark, tmp_path):
+    from loamlog.sources import transcripts
+
+    path = tmp_path / "t.jsonl"
+    path.write_text("".join(f'{{"type": "user", "text": "line number {i:03d}"}}\n' for i in range(100)))
+    lines = transcripts.read_tails(spark, [str(path)], most=200)
+    got = [r["text"] for r in transcripts.parse(lines).orderBy("place").collect()]
+    assert got == [f"line number {i:03d}" for i in range(100 - len(got), 100)] and 3 <= len(got) <= 5
+    assert transcripts.parse(transcripts.read_tails(spark, [str(path)])).count() == 100
+
+
+def test_transcript_lines(spark):
+    from loamlog.sources import transcripts
+
+    lines = [
+        '{"type": "user", "text": "plain"}', '{"message": {"role": "assistant", "content": "said"}}', "not json", '{"role": "user", "prompt": "asked"}',
+        '{"type": "tool", "message": {"role": "user", "content": [{"type": "text", "text": "one"}, {"type": "tool_use", "text": "x"}, {"type": "text", "text": "two"}]}}', '{"type": "user"}',
+    ]
+    rows = transcripts.parse(spark.createDataFrame(list(enumerate(lines)), "place int, line string")).orderBy("place").collect()
+    assert [(r["role"], r["text"]) for r in rows] == [("user", "plain"), ("assistant", "said"), ("user", "asked"), ("user", "one\ntwo")]
+
+
+def test_envelopes(spark):
+    import base64
+
+    from loamlog.sources import transcripts
+
+    pack = lambda s: base64.b64encode(s if isinstance(s, bytes) else s.encode()).decode()
+    data = [
+        (1, pack('{"ordinal": 0, "text": "a"}\n{"ordinal": 1, "text": "b"}\n')), (2, "!!"), (3, pack(b"\xff\xfe")), (4, pack('{"ordinal": 1, "text": "a"}')), (5, pack("nonsense")),
+    ]
+    rows = transcripts.envelope_records(spark.createDataFrame(data, "pack_id int, body string")).collect()
+    assert [(r["ordinal"], r["text"]) for r in rows if r["pack_id"] == 1] == [(0, "a"), (1, "b")]
+    assert {r["pack_id"]: r["error"] for r in rows if r["error"]} == {2: "invalid_base64", 3: "invalid_encoding", 4: "ordinal_mismatch", 5: "invalid_json"}
+
+
+def test_lenient_json(spark):
+    from loamlog.sources import transcripts
+
+    texts = ['{"decision": "keep"}', 'Sure: {"decision": "drop"} as asked', "nothing", "{broken"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in frame.select(transcripts.lenient_json(F.col("t"), "decision string")["decision"]).collect()]
+    assert got == ["keep", "drop", None, None]
