@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import resident, slices
+from loamlog.llm.common import resident, slices, small_batches
 
 #: Letters with a symbol of their own; the rest share one. Symbol 0 parts training texts,
 #: 1 is any run of other characters.
@@ -201,6 +201,7 @@ def identify(
     get ``und`` and 0; so does every text if nothing was learned. Only ``text`` is an input
     of the prediction. Extra columns pass through.
     """
+    small_batches(docs.sparkSession)
     training = docs.sparkSession.sparkContext.broadcast(sample_training(labelled, docs_per_language, chars_per_doc))
     at = docs.columns.index("text")
     schema = docs.drop(*into).withColumns({into[0]: F.lit(""), into[1]: F.lit(0.0)}).schema

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import resident, slices
+from loamlog.llm.common import resident, slices, small_batches
 from loamlog.llm.words import Encoder, batches_of
 
 #: Fixed values of the model format: the marker of a space, piece types and model types.
@@ -122,6 +122,18 @@ def backend(path: str, threads: int) -> Backend:
     return resident("sentencepiece", (path, threads), lambda: Backend(path, threads))
 
 
+def encoded(batches, at: int, model_path: str, threads: int):
+    """(rows of a batch, ids of each, parity of each, round trip of each)."""
+    held = backend(model_path, threads)
+    for batch in (part for whole in batches for part in slices(whole, at)):
+        texts = [t or "" for t in batch.column(at).to_pylist()]
+        for a, b in batches_of(texts):
+            part = texts[a:b]
+            found, parity = held.encode(part)
+            back = [x == y for x, y in zip(held.decode(found), part, strict=True)]
+            yield batch.slice(a, b - a), found, parity, back
+
+
 def encode_column(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """``docs`` with ``ids`` array<int>, ``parity`` and ``round_trip``.
 
@@ -131,42 +143,34 @@ def encode_column(docs: DataFrame, model_path: str, threads: int = 2) -> DataFra
     breaks ties between equal scores by place, the rebuilt tokenizer by rank.
     ``round_trip`` tells whether decoding gives the text back. Extra columns pass through.
     """
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
     names = [c for c in docs.columns if c not in ("ids", "parity", "round_trip")]
     places = [docs.columns.index(c) for c in names]
     schema = docs.select(*names).withColumns({"ids": F.array(F.lit(0)), "parity": F.lit(True), "round_trip": F.lit(True)}).schema
 
     def run(batches):
-        held = backend(model_path, threads)
-        for batch in (part for whole in batches for part in slices(whole, at)):
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in batches_of(texts):
-                part = texts[a:b]
-                found, parity = held.encode(part)
-                back = [x == y for x, y in zip(held.decode(found), part, strict=True)]
-                offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
-                own = [batch.column(p).slice(a, b - a) for p in places]
-                yield pa.record_batch([*own, lists, pa.array(parity), pa.array(back)], names=[*names, "ids", "parity", "round_trip"])
+        for rows, found, parity, back in encoded(batches, at, model_path, threads):
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
+            yield pa.record_batch([*(rows.column(p) for p in places), lists, pa.array(parity), pa.array(back)], names=[*names, "ids", "parity", "round_trip"])
 
     return docs.mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2) -> DataFrame:
     """Per document: doc_id, n_tokens long, ids_crc32 long (ids as little-endian unsigned
-    32-bit integers), parity boolean, round_trip boolean. The ids stay in the tasks."""
+    32-bit integers), parity boolean, round_trip boolean. The ids stay in the tasks, and a
+    task needs one worker with the model."""
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean"
 
     def digest(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        for rows, found, parity, back in encoded(batches, 1, model_path, threads):
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in found]
             yield pa.record_batch(
-                [batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)],
+                [rows.column(0), pa.array(list(map(len, found)), pa.int64()), pa.array(crc, pa.int64()), pa.array(parity), pa.array(back)],
                 names=["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"],
             )
 
-    full = encode_column(docs.select(F.col("doc_id").cast("long"), "text"), model_path, threads)
-    return full.select("doc_id", "ids", "parity", "round_trip").mapInArrow(digest, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digest, schema)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import filesystem, fresh_path, resident, slices
+from loamlog.llm.common import filesystem, fresh_path, resident, slices, small_batches
 from loamlog.llm.words import Encoder, batches_of
 
 MAGIC = b"LLTK0001"
@@ -136,6 +136,7 @@ def write_token_files(
     names that tasks report are listed, so lost executors leave no wrong file behind. The
     driver holds one row per file.
     """
+    small_batches(docs.sparkSession)
     dictionary = train_dictionary(docs, tokenizer_path, end_id, sample_docs, sample_chars, dictionary_bytes)
     dtype = encoder(tokenizer_path).dtype
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import ALNUM, BYTE_VALUE, LOWER, mix64, prefix_sums, runs, slices, spans_of, utf8_buffers
+from loamlog.llm.common import ALNUM, BYTE_VALUE, LOWER, mix64, prefix_sums, runs, slices, small_batches, spans_of, utf8_buffers
 from loamlog.llm.language_id import held_out
 
 BUCKET_BITS = 18
@@ -159,6 +159,7 @@ def score_texts(docs: DataFrame, labelled: DataFrame, labels: DataFrame, per_cla
     ``labelled`` are the documents from which labels may be learned. Null and empty texts
     have no terms and get the sigmoid of the bias. Without labels the score is 0.5.
     """
+    small_batches(docs.sparkSession)
     fm = docs.sparkSession.sparkContext.broadcast(train(*sample_labels(labelled, labels, per_class)))
     at = docs.columns.index("text")
     names = [*docs.columns, "score"]
