@@ -8,6 +8,10 @@ and split over shards, each shard gets its Burrows-Wheeler transform, and the tr
 merged by refining their interleaving symbol by symbol. The merge yields common prefix
 lengths, and its intervals of common prefix WINDOW - 8 and more, with the 8 bytes at a
 window's ends, say exactly which windows occur again.
+
+An anchor with very many different extents, such as that of a line which a third of all
+documents hold, would fill a task. Its windows are told apart by aggregation instead: first
+blocks of eight windows by the bytes that they share, then the windows of repeated blocks.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlog.llm.common import BYTE_VALUE, prefix_sums, slices, spans_of, staged, trim, utf8_buffers
@@ -30,6 +34,8 @@ DEPTH = WINDOW // SYMBOL - 1
 PIECE = 1_000_000
 #: Symbols of a shard whose transform is built by sorting.
 SHARD = 200_000
+#: Different extents of an anchor, of under 800 bytes each, that one task merges at most.
+KINDS = 4096
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -206,6 +212,16 @@ def load(data: bytes | np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1))[at].copy().view("<u8").ravel()
 
 
+def anchor_places(grams: np.ndarray, base: np.ndarray, sizes: np.ndarray, counts: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Place of the anchor in each extent: the first 32-gram with its hash from the last start on."""
+    tail = base + counts - 1
+    span = sizes - counts - GRAM + 2
+    inner = np.concatenate([[0], np.cumsum(span)])
+    at = np.arange(inner[-1]) + np.repeat(tail - inner[:-1], span)
+    hit = np.flatnonzero(grams[at] == np.repeat(anchor.view(np.uint64), span))
+    return at[hit[np.searchsorted(hit, inner[:-1])]] - base
+
+
 def repeated_starts(data: list[bytes], counts: np.ndarray, anchor: np.ndarray, copies: np.ndarray, shard: int = SHARD) -> list[np.ndarray]:
     """Of each extent the window starts whose window occurs again in any of the extents.
 
@@ -216,13 +232,7 @@ def repeated_starts(data: list[bytes], counts: np.ndarray, anchor: np.ndarray, c
     joined = b"".join(data)
     raw = np.frombuffer(joined, np.uint8)
     grams = gram_hashes(prefix_sums(BYTE_VALUE[raw]))
-    # the anchor is the first 32-gram with the anchor's hash from the last start on
-    tail = base + counts - 1
-    span = sizes - counts - GRAM + 2
-    inner = np.concatenate([[0], np.cumsum(span)])
-    at = np.arange(inner[-1]) + np.repeat(tail - inner[:-1], span)
-    hit = np.flatnonzero(grams[at] == np.repeat(anchor.view(np.uint64), span))
-    place = at[hit[np.searchsorted(hit, inner[:-1])]] - base
+    place = anchor_places(grams, base, sizes, counts, anchor)
     first = place % SYMBOL
     blocks = (sizes - first) // SYMBOL
     cut = np.concatenate([[0], np.cumsum(blocks + 1)])  # with a closing symbol each
@@ -305,6 +315,59 @@ def merged(cut_out: DataFrame) -> DataFrame:
     return cut_out.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, extent long, lo long, hi long")
 
 
+def hashed_windows(batches, blocks_only: bool):
+    """Of each extent (anchor, extent, n, starts, bytes) its blocks or, of the blocks listed in
+    a sixth column, its windows: anchor, extent, n, at (block or start), hash.
+
+    Block j has the windows whose start lies 8 j to 8 j + 7 bytes before the anchor; its hash
+    is of the bytes that all eight hold, so equal windows are in equal blocks.
+    """
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            counts, anchor = part.column(3).to_numpy().astype(np.int64), part.column(0).to_numpy()
+            raw, offsets = utf8_buffers(part.column(4).cast(pa.large_binary()).view(pa.large_string()))
+            base, sizes = offsets[:-1], np.diff(offsets)
+            sums = prefix_sums(BYTE_VALUE[raw])
+            place = anchor_places(gram_hashes(sums), base, sizes, counts, anchor)
+            if blocks_only:
+                first, last = (place - counts + 1) // SYMBOL, place // SYMBOL
+                first = np.maximum(first, 0)
+                many = last - first + 1
+                row = np.repeat(np.arange(len(counts)), many)
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[row]
+                begin, length = place[row] - at * SYMBOL, WINDOW - SYMBOL + 1
+            else:
+                lists = part.column(5)
+                row = np.repeat(np.arange(len(counts)), np.diff(lists.offsets.to_numpy()) * SYMBOL)
+                block = np.repeat(lists.flatten().to_numpy(), SYMBOL)
+                at = place[row] - block * SYMBOL - np.tile(np.arange(SYMBOL), len(block) // SYMBOL)
+                inside = (at >= 0) & (at < counts[row])
+                row, at = row[inside], at[inside]
+                begin, length = at, WINDOW
+            hashes = spans_of(sums, base[row] + begin, base[row] + begin + length)
+            take = pa.array(row)
+            yield pa.record_batch(
+                [part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(at, pa.int64()), pa.array(hashes.view(np.int64))],
+                names=["anchor", "extent", "n", "at", "hash"],
+            )
+
+
+def aggregated(cut_out: DataFrame) -> DataFrame:
+    """As ``merged``, for anchors of very many extents: counts by partial aggregation only."""
+    schema = "anchor long, extent long, n long, at long, hash long"
+    held = staged(cut_out, "hot-extents")
+    blocks = held.mapInArrow(lambda batches: hashed_windows(batches, True), schema)
+    twice = lambda rows, *keys: rows.groupBy(*keys).agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    open_blocks = blocks.join(twice(blocks, "anchor", "at", "hash"), ["anchor", "at", "hash"]).groupBy("anchor", "extent").agg(F.collect_set("at").alias("blocks"))
+    windows = held.join(open_blocks, ["anchor", "extent"]).select("anchor", "extent", "n", "starts", "bytes", "blocks")
+    windows = staged(windows.mapInArrow(lambda batches: hashed_windows(batches, False), schema), "hot-windows")
+    again = windows.where("n = 1").join(twice(windows, "anchor", "hash"), ["anchor", "hash"]).select("anchor", "extent", "at")
+    # an extent has under 400 windows
+    island = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "extent").orderBy("at"))
+    return again.withColumn("island", island).groupBy("anchor", "extent", "island").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("anchor", "extent", "lo", "hi")
+
+
 def by_anchor(batches, most: int = 2_500_000):
     """Tables of whole anchors with about ``most`` bytes each, from batches sorted by anchor."""
     held: list[pa.RecordBatch] = []
@@ -348,9 +411,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = staged(anchors(text), "extents")
     each = rows.groupBy("anchor", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "starts")).alias("one"))
     each = staged(each, "extent-counts")
-    many = each.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    wanted = each.join(many, "anchor").select("anchor", "extent", "n", "one.*")
-    part = merged(extent_bytes(text, wanted))
+    many = each.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    wanted = each.join(many, "anchor").select("anchor", "extent", "n", "one.*", "kinds")
+    part = merged(extent_bytes(text, wanted.where(F.col("kinds") <= KINDS)))
+    hot = staged(wanted.where(F.col("kinds") > KINDS), "hot-wanted")
+    if not hot.isEmpty():
+        part = part.unionAll(aggregated(extent_bytes(text, hot)))
     whole = each.where("n > 1").select("anchor", "extent", F.lit(0).cast("long").alias("lo"), (F.col("one.starts") - 1).cast("long").alias("hi"))
     again = staged(whole.unionAll(part), "repeats")
     spans = rows.join(again, ["anchor", "extent"]).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
