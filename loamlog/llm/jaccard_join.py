@@ -13,6 +13,11 @@ next round. No pair at or above the threshold is lost.
 Before texts are compared, a second triangle bound is tried: counts of a set's shingles in 512
 hash classes map sets to vectors so that their difference never exceeds the sets' symmetric
 difference. Pairs whose vectors are too far apart cannot link, and their texts stay at rest.
+
+A region of more than ``MEMBERS`` sets, such as that of a third of all documents that are near
+copies, is never held by one task. Its members stay rows: each is measured against the pivot of
+its size band, which joins the near copies to one component, and what is left, the members of
+other components against all, is compared in blocks of ``BLOCK``.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ CLASSES = 512
 BRIEF = 128
 #: Rows of (set, document) names that may be broadcast; some 10 MB.
 FEW = 200_000
+#: Sets of a region that one task holds at most, and sets of a block of a larger region.
+MEMBERS, BLOCK = 50_000, 4096
 
 
 def shingle_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +146,19 @@ def sets(docs: DataFrame, frequent) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
-def regions(held: DataFrame) -> DataFrame:
+def regions(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Regions of two sets and more: region, sids, sizes, indexed; ordered by (size, sid).
-
-    Regions with the same members are one.
+    Regions with the same members are one. And the members of large regions as rows: region,
+    n, sid, indexed, band.
     """
     rows = held.where(F.size("prefix") > 0).select("n", "sid", "index", F.posexplode("prefix").alias("at", "shingle"))
     rows = rows.select("shingle", "n", "sid", (F.col("at") < F.col("index")).alias("indexed"))
 
+    large = staged(rows.groupBy("shingle").count().where(F.col("count") > MEMBERS).select("shingle"), "large-regions")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
+    big = rows.join(large, "shingle", "left_semi").dropDuplicates(["shingle", "sid"]).select(F.col("shingle").alias("region"), "n", "sid", "indexed", band.alias("band"))
+    rows = rows.join(large, "shingle", "left_anti").select("shingle", "n", "sid", "indexed")
+
     def run(batches):
         rest = None
         for batch in batches:
@@ -167,7 +179,7 @@ def regions(held: DataFrame) -> DataFrame:
         rows.repartition("shingle").sortWithinPartitions("shingle", "n", "sid")
         .mapInArrow(run, "region long, sids array<long>, sizes array<long>, indexed array<boolean>")
     )
-    return found.dropDuplicates(["region"])
+    return found.dropDuplicates(["region"]), big
 
 
 def grouped(table: pa.Table) -> pa.RecordBatch:
@@ -270,6 +282,52 @@ def window_pairs(held: DataFrame, parts: DataFrame, measured: DataFrame, chosen:
     return again.where("lo < hi").select(*fields).mapInArrow(run, "a long, b long").distinct()
 
 
+def band_pivots(big: DataFrame) -> DataFrame:
+    """region, band, pivot: the first set of each size band that may be a pair's smaller one."""
+    return big.where("indexed").groupBy("region", "band").agg(F.min(F.struct("n", "sid")).alias("p")).select("region", "band", F.col("p.sid").alias("pivot"))
+
+
+def block_pairs(big: DataFrame, parts: DataFrame, measured: DataFrame, chosen: DataFrame) -> DataFrame:
+    """As ``window_pairs``, for large regions: members outside a region's largest component
+    against all members, in blocks. The largest component's own pairs need no comparison."""
+    members = (
+        big.join(chosen.select("sid", "brief"), "sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").join(band_pivots(big), ["region", "band"], "left")
+        .join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "distance"), ["pivot", "sid"], "left")
+    )
+    known = F.when(F.col("pivot") == F.col("sid"), 0.0).otherwise(F.coalesce("distance", F.lit(-1.0)))
+    members = staged(members.select("region", "sid", "n", "indexed", F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("component", "sid").alias("part"), known.alias("distance"), "brief"), "large-members")
+    by_part = members.groupBy("region", "part").count().groupBy("region").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("total"), F.max("count").alias("most"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = by_part.where("total > most").select("region", "main", blocks(F.col("total") - F.col("most")).alias("outer"), blocks(F.col("total")).alias("all"))
+    dealt = members.join(shape, "region")
+    own = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    fields = ["sid", "n", "indexed", "pivot", "part", "distance", "brief"]
+    outside = dealt.where(F.col("part") != F.col("main")).select("region", own("outer").alias("x"), every("all").alias("y"), F.lit(True).alias("outside"), *fields)
+    inside = dealt.select("region", every("outer").alias("x"), own("all").alias("y"), F.lit(False).alias("outside"), *fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("outside").to_numpy()
+        sid, n, indexed, pivot, part, distance = (table.column(c).to_numpy() for c in fields[:-1])
+        brief = np.frombuffer(b"".join(table.column("brief").to_pylist()), np.uint8).reshape(-1, BRIEF).astype(np.int16)
+        right = np.flatnonzero(~side)
+        left_sids, right_sids = [], []
+        for i in np.flatnonzero(side).tolist():
+            first = (n[right] < n[i]) | ((n[right] == n[i]) & (sid[right] < sid[i]))  # whether the other one is the smaller
+            marked = np.where(first, indexed[right], indexed[i])
+            fits = DEN * np.minimum(n[right], n[i]) >= NUM * np.maximum(n[right], n[i])
+            far = (pivot[right] == pivot[i]) & (distance[right] >= 0) & (distance[i] >= 0) & (np.abs(distance[right] - distance[i]) > 1 - NUM / DEN + 1e-9)
+            keep = marked & fits & ~far & (part[right] != part[i])
+            j, first = right[keep], first[keep]
+            near = may_link(brief[j], brief[i], n[j] + n[i])
+            j, first = j[near], first[near]
+            left_sids.append(np.where(first, sid[j], sid[i]))
+            right_sids.append(np.where(first, sid[i], sid[j]))
+        return pa.Table.from_batches([pairs_of(left_sids, right_sids)])
+
+    return outside.unionAll(inside).groupBy("region", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def with_pivots(batches):
     for batch in batches:
         out: list[tuple[np.ndarray, ...]] = []
@@ -359,14 +417,22 @@ def link_documents(docs: DataFrame) -> DataFrame:
     text = keyed(docs)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_counters(text))
     held = staged(sets(text, frequent), "shingle-sets")
-    found = staged(regions(held), "regions")
+    found, big = regions(held)
+    found, big = staged(found, "regions"), staged(big, "large-regions-rows")
+    any_big = not big.isEmpty()
     members = held.where("n > 0").select("doc_id", "text_key", "sid", "n", "counts", "brief")
-    needed = found.select(F.explode("sids").alias("sid")).distinct()
+    needed = found.select(F.explode("sids").alias("sid")).unionAll(big.select("sid")).distinct()
     chosen = members.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
     chosen = staged(chosen.select("sid", "n", "counts", "brief", "one.doc_id", "one.text_key"), "region-sets")
-    first = compare(pivot_pairs(found), chosen, text)
+    pairs = pivot_pairs(found)
+    if any_big:
+        pairs = pairs.unionAll(big.join(band_pivots(big), ["region", "band"]).where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))).distinct()
+    first = compare(pairs, chosen, text)
     parts = components(first.where("linked").select("a", "b"))
-    second = compare(window_pairs(found, parts, first, chosen).join(first.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
+    pairs = window_pairs(found, parts, first, chosen)
+    if any_big:
+        pairs = pairs.unionAll(block_pairs(big, parts, first, chosen)).distinct()
+    second = compare(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
     parts = components(first.unionAll(second).where("linked").select("a", "b"))
     sid_part = staged(parts, "parts").withColumnRenamed("node", "sid")
     roots = held.select("doc_id", "n", "sid").join(sid_part, "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("root"))
