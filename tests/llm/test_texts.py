@@ -87,6 +87,23 @@ def test_jaccard_join_of_a_chain_and_a_cluster(spark):
     assert link(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == linked_by_force(rows)
 
 
+def test_jaccard_join_of_large_regions(spark, edges, edge_rows, monkeypatch):
+    """Regions of more than a few sets, as if they were too large for a task."""
+    rng = random.Random(21)
+    rows = [r[:2] for r in edge_rows]
+    for g, size in enumerate((60, 25, 6)):
+        base = prose(rng, 80 + 30 * g).split()
+        for i in range(size):
+            words = list(base)
+            for at in rng.sample(range(len(words)), i % 5):
+                words[at] = f"w{rng.randrange(9)}"
+            rows.append((1000 * (g + 1) + i, " ".join(words[: len(words) - i % 7])))
+    for members, block in ((1, 7), (10, 4096)):
+        monkeypatch.setattr(jaccard_join, "MEMBERS", members)
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        assert link(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == linked_by_force(rows)
+
+
 def test_jaccard_threshold_is_exact(spark):
     """Sets that share exactly four fifths link; one shingle less and they do not."""
     shared = [f"s{i}" for i in range(12)]  # 8 shingles
@@ -134,6 +151,18 @@ def test_suffix_dedup_on_documents(spark):
     assert digests(docs) == removed_by_force([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+def test_suffix_dedup_with_anchors_of_many_extents(spark, edges, edge_rows, monkeypatch):
+    """All anchors, and only some, as if they were too large for a task."""
+    rng = random.Random(8)
+    line = prose(rng, 50)[:200]
+    rows = [(i, prose(rng, 70) + " " + line + " " + prose(rng, 60 + i % 3)) for i in range(40)]
+    rows += [(100 + i, t[i * 3 : i * 3 + 500]) for i, (_, t) in enumerate(rows[:12])] + [r[:2] for r in edge_rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kinds in (1, 8):
+        monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+        assert digests(docs) == removed_by_force(rows)
+
+
 def test_suffix_dedup_of_nothing(nothing):
     assert digests(nothing) == []
 
