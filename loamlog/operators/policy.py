@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
+from loamlog.operators.components import checkpointed
 
 #: Fixed values of the policies.
 PROMOTE_HOOKS = ("Stop", "SessionEnd", "PreCompact")
@@ -133,15 +136,53 @@ def duplicate_statements(rows: DataFrame) -> DataFrame:
     return keyed.groupBy(F.lower("subject").alias("subject"), F.sha2("key", 256).alias("key")).agg(F.min_by("id", F.struct(rank, F.col("id"))).alias("keep_id"), F.count("*").alias("n_statements")).where("n_statements > 1")
 
 
+def before(rows: DataFrame, by: list[str], value: Column, total: Callable[[Column], Column], into: str) -> DataFrame:
+    """``total`` of ``value`` over the rows of the same ``by`` with a smaller number.
+
+    Slices are totalled on their own and the earlier slices' totals are added, so no group
+    has to fit into one task. ``by`` must not be null.
+    """
+    parts = rows.groupBy(*by, "slice").agg(total(value).alias("_part"))
+    earlier = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*by, "slice").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "slice", total(F.col("_part")).over(earlier).alias("_earlier"))
+    both = F.array_compact(F.array("_earlier", "_within"))
+    whole = F.aggregate(both, F.lit(0).cast("long"), lambda x, y: x + y) if total is F.sum else F.array_max(both)
+    return rows.withColumn("_within", total(value).over(within)).join(parts, [*by, "slice"]).withColumn(into, whole).drop("_within", "_earlier")
+
+
 def hold_repeats(rows: DataFrame, recent: int = 200) -> DataFrame:
-    """Holds a statement whose key stood among its zone's ``recent`` statements before it.
+    """Holds a statement whose key stood among its zone's ``recent`` last promotes.
 
-    The previous row of the same key tells the distance, so each window is one key of one
-    zone; positions in the zone come as a column.
+    Rows follow one another by ``position``. ``gap`` counts promotes of the zone from the last
+    one with the same key; held rows do not count, and statements without a key are never held.
+    Whether a row is held changes the distance of later ones: all are decided anew until none
+    changes. Each round settles at least the first wrong one, so the end is what one pass in
+    order would give. Only keys that repeat in their zone take part in the rounds.
     """
-    keyed = rows.withColumn("key", F.sha2(T.statement_key(F.col("statement")), 256))
-    last = F.lag("position").over(Window.partitionBy("zone", "key").orderBy("position"))
-    return keyed.withColumn("gap", F.col("position") - last).select("id", "zone", F.when(F.col("gap") <= recent, "hold").otherwise("promote").alias("decision"), "gap")
+    zone = F.coalesce(F.concat(F.lit("="), F.col("zone").cast("string")), F.lit(""))
+    text = T.statement_key(F.col("statement"))
+    keyed = rows.select("id", "zone", "position", zone.alias("place"), F.sha2(F.when(text != "", text), 256).alias("key"))
+    cut = checkpointed(keyed.repartitionByRange("place", "position").withColumn("slice", F.spark_partition_id()))
+    rank = F.row_number().over(Window.partitionBy("place", "slice").orderBy("position", "id", "key"))
+    sizes = cut.groupBy("place", "slice").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("place").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("place", "slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = checkpointed(cut.withColumn("_rank", rank).join(sizes, ["place", "slice"]).withColumn("number", F.col("_rank") + F.col("_before")).drop("_rank", "_before", "position"))
+    repeated = numbered.where("key IS NOT NULL").groupBy("place", "key").agg(F.count("*").alias("_n")).where("_n > 1").select("place", "key")
+    state = checkpointed(numbered.join(repeated, ["place", "key"]).select("place", "key", "slice", "number", F.lit(False).alias("held"), F.lit(None).cast("long").alias("gap")))
+    while True:
+        turn = F.col("number") - F.coalesce("_held", F.lit(0))
+        counted = before(state, ["place"], F.col("held").cast("long"), F.sum, "_held").withColumn("turn", turn)
+        since = before(counted, ["place", "key"], F.when(~F.col("held"), F.col("turn")), F.max, "_last").withColumn("gap", F.col("turn") - F.col("_last"))
+        now = F.coalesce(F.col("gap") <= recent, F.lit(False))
+        after = since.select("place", "key", "slice", "number", now.alias("held"), "gap", (now != F.col("held")).alias("changed"))
+        after = checkpointed(after)
+        state = after.drop("changed")
+        if after.where("changed").isEmpty():
+            break
+    out = numbered.join(state.select("place", "number", "held", "gap"), ["place", "number"], "left")
+    return out.select("id", "zone", F.when(F.col("held"), "hold").otherwise("promote").alias("decision"), "gap")
 
 
 def inferred_kind(text: Column) -> Column:

@@ -258,3 +258,23 @@ def test_lenient_json(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in frame.select(transcripts.lenient_json(F.col("t"), "decision string")["decision"]).collect()]
     assert got == ["keep", "drop", None, None]
+
+
+def test_holds_count_the_promotes_of_their_zone(spark):
+    """Against one pass in order; positions are global and zones take turns unevenly."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([f"Say {rng.randrange(25)}!", f"say '{rng.randrange(8)}'", "", None, f"only {i}"]), 3 * i) for i in range(900)]
+    want, promoted = {}, {}
+    for i, zone, text, _ in rows:
+        key = "".join(c for c in (text or "").lower() if c.isalnum() or c == " ")
+        done = promoted.setdefault(zone, [])
+        gap = next((n for n, k in enumerate(reversed(done), 1) if k == key), None) if key else None
+        held = gap is not None and gap <= 20
+        want[i] = ("hold" if held else "promote", gap)
+        if not held:
+            done.append(key)
+    frame = spark.createDataFrame(rows, "id long, zone string, statement string, position long").repartition(5)
+    got = {r["id"]: (r["decision"], r["gap"]) for r in policy.hold_repeats(frame, 20).collect()}
+    assert got == want and {d for d, _ in got.values()} == {"hold", "promote"}
