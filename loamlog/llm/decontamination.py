@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlog.llm.common import ALNUM, mix64, slices, staged, utf8_buffers, word_hashes
@@ -59,7 +59,7 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def item_seeds(items: DataFrame) -> DataFrame:
-    """item_id, length of the item, position and hash of each seed."""
+    """Row key of the item, position and hash of each seed."""
 
     def run(batches):
         for batch in batches:
@@ -69,10 +69,10 @@ def item_seeds(items: DataFrame) -> DataFrame:
                 owner = np.searchsorted(offsets, places, side="right") - 1
                 yield pa.record_batch(
                     [part.column(0).take(pa.array(owner)), pa.array(places - offsets[owner], pa.int64()), pa.array(hashes.view(np.int64))],
-                    names=["item_id", "item_at", "seed"],
+                    names=["item", "item_at", "seed"],
                 )
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, item_at long, seed long").distinct()
+    return items.select("item", "text").mapInArrow(run, "item long, item_at long, seed long").distinct()
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
@@ -80,9 +80,9 @@ def item_tokens(items: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1):
                 tokens, offsets = word_hashes(*utf8_buffers(part.column(1)), ALNUM)
-                yield pa.record_batch([part.column(0), arrays(tokens.view(np.int64), offsets)], names=["item_id", "item_tokens"])
+                yield pa.record_batch([part.column(0), arrays(tokens.view(np.int64), offsets)], names=["item", "item_tokens"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "item_id long, item_tokens array<long>")
+    return items.select("item", "text").mapInArrow(run, "item long, item_tokens array<long>")
 
 
 def arrays(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -101,8 +101,13 @@ def filter_of(found: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def doc_key() -> Column:
+    """Rows of one doc_id share a key; rows of null doc_id share one only if their texts agree."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.sha2("text", 256)))
+
+
 def regions(docs: DataFrame, bits) -> DataFrame:
-    """Groups of nearby seeds that pass the filter: doc_id, tokens around them, where these
+    """Groups of nearby seeds that pass the filter: doc_key, tokens around them, where these
     begin in the text, and the seeds with their positions."""
 
     def run(batches):
@@ -132,11 +137,11 @@ def regions(docs: DataFrame, bits) -> DataFrame:
                         part.column(0).take(pa.array(own)), pa.array(start - offsets[own], pa.int64()), arrays(tokens[inner].view(np.int64), begin),
                         arrays(hashes.view(np.int64), cuts), arrays(places - offsets[owner], cuts),
                     ],
-                    names=["doc_id", "start", "tokens", "seeds", "places"],
+                    names=["doc_key", "start", "tokens", "seeds", "places"],
                 )
 
-    schema = "doc_id long, start long, tokens array<long>, seeds array<long>, places array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_key string, start long, tokens array<long>, seeds array<long>, places array<long>"
+    return docs.select(doc_key().alias("doc_key"), "text").mapInArrow(run, schema)
 
 
 def best_window(same: np.ndarray, width: int) -> int:
@@ -146,43 +151,48 @@ def best_window(same: np.ndarray, width: int) -> int:
 
 
 def verify(batches):
-    """doc_id, item_id, matched, width: the best window on the diagonal of a hit."""
+    """region, item, matched, width: the best window on the diagonal of a hit."""
     for batch in batches:
         out = []
         columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4)]
         tokens, wanted = batch.column(3), batch.column(5)
-        for i, (doc_id, item_id, start, shift) in enumerate(zip(*columns, strict=True)):
+        for i, (region, item, start, shift) in enumerate(zip(*columns, strict=True)):
             a, b = tokens[i].values.to_numpy(), wanted[i].values.to_numpy()
             width = min(WINDOW, len(b))
             # place j of the item lies at shift + j in the text, at shift + j - start in a
             lo, hi = max(0, start - shift), min(len(b), start - shift + len(a))
             matched = best_window(a[lo + shift - start : hi + shift - start] == b[lo:hi], width) if hi - lo >= width else 0
-            out.append((doc_id, item_id, matched, width))
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["doc_id", "item_id", "matched", "width"])
+            out.append((region, item, matched, width))
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], names=["region", "item", "matched", "width"])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, matched, width): test items of which a document holds a passage.
+    """(doc_key, doc_id, item_id, matched, width): test items of which a document holds a passage.
 
     A passage is ``WINDOW`` aligned tokens (all of a shorter item) of which at least
     ``share`` agree; tokens are runs of letters and digits with ASCII letters in lower case.
     Items of fewer than five tokens carry no seed and are never found; so are documents
-    without text. Repeated rows and null ids cause no error: rows of one doc_id count
-    together, and items of null item_id take part under null.
+    without text. Every row of ``items`` is compared with its own text, whatever its id: rows
+    of one item_id count together, and those of null item_id under null. Rows of one doc_id
+    count together too; documents of null doc_id are told apart by their texts.
     """
-    found = staged(item_seeds(items.where("text IS NOT NULL")), "item-seeds")
+    texts = items.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
+    texts = staged(texts.withColumn("item", F.monotonically_increasing_id()), "items")
+    found = staged(item_seeds(texts), "item-seeds")
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(found))
     near = staged(regions(docs.where("text IS NOT NULL"), bits).withColumn("region", F.monotonically_increasing_id()), "leak-regions")
     hits = near.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("region", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-    lines = hits.join(found, "seed").select("region", "item_id", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
+    lines = hits.join(found, "seed").select("region", "item", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
     pairs = (
-        near.select("region", "doc_id", "start", "tokens")
+        near.select("region", "start", "tokens")
         .join(lines, "region")
-        .join(item_tokens(items.where("text IS NOT NULL")).dropDuplicates(["item_id"]), "item_id")
-        .select("doc_id", "item_id", "start", "tokens", "shift", "item_tokens")
+        .join(item_tokens(texts), "item")
+        .select("region", "item", "start", "tokens", "shift", "item_tokens")
     )
-    checked = pairs.mapInArrow(verify, "doc_id long, item_id long, matched long, width long")
-    return checked.where((F.col("matched") >= F.ceil(F.col("width") * share)) & (F.col("width") > 0)).groupBy("doc_id", "item_id").agg(
+    checked = pairs.mapInArrow(verify, "region long, item long, matched long, width long")
+    kept = checked.where((F.col("matched") >= F.ceil(F.col("width") * share)) & (F.col("width") > 0))
+    named = kept.join(near.select("region", "doc_key"), "region").join(texts.select("item", "item_id"), "item")
+    return named.groupBy("doc_key", F.expr("try_cast(doc_key AS long)").alias("doc_id"), "item_id").agg(
         F.max("matched").alias("matched"), F.max("width").alias("width")
     )
 
@@ -190,12 +200,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
 def flag_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: doc_id, leaked boolean, n_items long (test items found in it),
     matched long (most agreeing tokens of a window; 0 if none)."""
-    leaks = find_leaks(docs, items).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("matched").alias("m"))
-    return docs.select("doc_id").join(leaks, "doc_id", "left").select(
+    leaks = find_leaks(docs, items).groupBy("doc_key").agg(F.count("*").alias("n"), F.max("matched").alias("m"))
+    return docs.select("doc_id", doc_key().alias("doc_key")).join(leaks, "doc_key", "left").select(
         "doc_id", F.col("n").isNotNull().alias("leaked"), F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("m", F.lit(0)).alias("matched")
     )
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a passage of a test item; all columns stay."""
-    return docs.join(staged(find_leaks(docs, items).select("doc_id").distinct(), "leaked"), "doc_id", "left_anti").select(*docs.columns)
+    leaked = staged(find_leaks(docs, items).select(F.col("doc_key").alias("_leaked")).distinct(), "leaked")
+    return docs.join(leaked, doc_key() == F.col("_leaked"), "left_anti").select(*docs.columns)

@@ -298,6 +298,17 @@ def test_planted_passages_are_found_and_clean_documents_stay(spark, edges):
     assert decontamination.drop_leaks(edges, bench).columns == edges.columns
 
 
+def test_leaks_of_null_and_repeated_ids_are_found(spark):
+    rng = random.Random(31)
+    a, b, c, d = (prose(rng, 20, [f"{x}{k}x" for k in range(300)]) for x in "qrst")
+    bench = spark.createDataFrame([(None, a), (1, b), (1, c), (2, d), (2, d)], "item_id long, text string")
+    rows = [(10, f"see {a} end"), (11, f"see {b} end"), (12, f"see {c} end"), (13, f"{b} {c}"), (None, d), (None, prose(rng, 80)), (None, None), (14, prose(rng, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["leaked"], r["n_items"]) for r in decontamination.flag_documents(docs, bench).collect())
+    assert got == Counter([(10, True, 1), (11, True, 1), (12, True, 1), (13, True, 1), (None, True, 1), (None, False, 0), (None, False, 0), (14, False, 0)])
+    assert Counter(tuple(r) for r in decontamination.drop_leaks(docs, bench).collect()) == Counter(rows[5:])
+
+
 def test_decontamination_of_nothing(spark, nothing, edges):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.flag_documents(nothing, none).count() == 0
