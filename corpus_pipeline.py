@@ -15,10 +15,14 @@ from loamlog.llm.queries import tokenizer_file
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that can be told; texts without any letter go."""
+    """Documents that some learned language accounts for.
+
+    A text goes if it has no letter, or if even the best language's parse breaks more often
+    than at every second symbol. If no language was learned only texts without a letter go.
+    """
     labelled = docs.where(~language_id.held_out(F.col("doc_id"), 4, 2))
-    known = language_id.identify(docs, labelled, into=("_language", "_language_score"))
-    return known.where("_language <> 'und'").select(*docs.columns)
+    known = language_id.identify(docs, labelled, into=("_language", "_language_score", "_language_breaks"))
+    return known.where(F.col("_language_breaks") <= language_id.MOST_BREAKS).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ OWN_LETTERS = 61
 ALPHABET = OWN_LETTERS + 3
 #: Symbols parsed side by side as one lane; a phrase ends where a lane ends.
 LANE = 256
+#: Breaks per symbol over which no learned language accounts for a text.
+MOST_BREAKS = 0.5
 #: Characters worked on at once.
 PIECE = 1_000_000
 
@@ -137,24 +139,35 @@ class Parser:
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` with score 0 where there is no letter."""
+        return self.parse(texts)[:2]
+
+    def parse(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+        """Language, score and breaks of each text.
+
+        Breaks are the phrases per symbol in the language of fewest phrases, less the one that
+        any lane begins with: null without a letter, 0 if no language was learned.
+        """
         n = len(texts)
         phrases = np.zeros((n, len(self.tables)), np.float64)
-        sizes, letters = np.zeros(n), np.zeros(n)
+        sizes, letters, lanes = np.zeros(n), np.zeros(n), np.zeros(n)
         for owners, parts in pieces(texts):
             p, s, c = self.count(parts)
             np.add.at(phrases, owners, p)
             np.add.at(sizes, owners, s)
             np.add.at(letters, owners, c)
+            np.add.at(lanes, owners, -(-s // LANE))
         if not self.tables:
-            return ["und"] * n, [0.0] * n
+            return ["und"] * n, [0.0] * n, [0.0 if c else None for c in letters.tolist()]
         cost = phrases * np.array(self.bits)
         best = cost.argmin(axis=1)
         two = np.sort(cost, axis=1)[:, :2]
         score = np.ones(n) if two.shape[1] == 1 else np.clip(1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0, 1)
         known = letters > 0
+        breaks = (phrases.min(axis=1) - lanes) / np.maximum(sizes, 1)
         return (
             [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)],
             np.where(known, score, 0.0).tolist(),
+            [b if k else None for b, k in zip(breaks.tolist(), known.tolist(), strict=True)],
         )
 
 
@@ -192,10 +205,10 @@ def sample_training(labelled: DataFrame, docs_per_language: int, chars_per_doc:
 
 
 def identify(
-    docs: DataFrame, labelled: DataFrame, docs_per_language: int = 48, chars_per_doc: int = 800, into: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, labelled: DataFrame, docs_per_language: int = 48, chars_per_doc: int = 800, into: tuple[str, ...] = ("lang_pred", "score")
 ) -> DataFrame:
     """``docs`` with the language and its score (0 to 1, 1 less the ratio of the two best costs)
-    in the columns ``into``, which replace columns of these names.
+    in the columns ``into``, which replace columns of these names; a third name takes the breaks.
 
     ``labelled`` (doc_id, text, lang) is only sampled. Texts that are null or have no letter
     get ``und`` and 0; so does every text if nothing was learned. Only ``text`` is an input
@@ -204,14 +217,14 @@ def identify(
     small_batches(docs.sparkSession)
     training = docs.sparkSession.sparkContext.broadcast(sample_training(labelled, docs_per_language, chars_per_doc))
     at = docs.columns.index("text")
-    schema = docs.drop(*into).withColumns({into[0]: F.lit(""), into[1]: F.lit(0.0)}).schema
+    schema = docs.drop(*into).withColumns({into[0]: F.lit(""), into[1]: F.lit(0.0)} | {c: F.lit(None).cast("double") for c in into[2:]}).schema
     names = [c for c in docs.columns if c not in into]
 
     def predict(batches):
         for batch in (part for whole in batches for part in slices(whole, at)):
-            languages, scores = parser(training.value).classify(batch.column(at).to_pylist())
+            languages, *numbers = parser(training.value).parse(batch.column(at).to_pylist())
             held = [batch.column(docs_at[c]) for c in names]
-            yield pa.record_batch([*held, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*names, *into])
+            yield pa.record_batch([*held, pa.array(languages, pa.string()), *(pa.array(x, pa.float64()) for x in numbers[: len(into) - 1])], names=[*names, *into])
 
     docs_at = {c: i for i, c in enumerate(docs.columns)}
     return docs.mapInArrow(predict, schema)

@@ -264,3 +264,21 @@ def test_pipeline_stages(spark):
         docs = out
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "suffix_dedup", "decontamination", "sentencepiece"]
     assert corpus_pipeline.run(spark, f"{DATA}/sf0.001").count() == n
+
+
+def test_language_stage_rejects_what_no_language_accounts_for(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxzBCDFGHJKLM0123456789+/") for _ in range(n)) for n in (60, 400, 5000)]
+    junk += [" ".join("".join(rng.choice("qwxzkvjpg") for _ in range(5)) for _ in range(80)), "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059 " * 30]
+    planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate([*junk, "12 34 !!", None])], "doc_id long, text string")
+    rows = docs.unionByName(planted, allowMissingColumns=True)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, rows, "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    unlabelled = rows.withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, unlabelled, "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in rows.collect()} - {10**9 + len(junk), 10**9 + len(junk) + 1}
