@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -194,12 +195,20 @@ def resident(kind: str, key, build):
     """What ``build`` makes, kept in this worker until it needs a model of another kind or key:
     a worker serves all stages, and their models would add up."""
     if (kind, key) not in _resident:
-        _resident.clear()
-        trim()
+        release()
         _resident[kind, key] = build()
     return _resident[kind, key]
 
 
+def release() -> None:
+    """Forgets the model and the scratch arrays that earlier tasks left in this worker."""
+    if _resident or len(_powers[0]) > 1:
+        _resident.clear()
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        gc.collect()
+        trim()
+
+
 def trim() -> None:
     """Gives freed memory back to the system; workers live on after their largest task."""
     pa.default_memory_pool().release_unused()
@@ -209,8 +218,13 @@ def trim() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1_900_000):
-    """Zero-copy slices of a batch with about ``most`` bytes of text each."""
+def slices(batch: pa.RecordBatch, column: int, most: int = 1_900_000, model: bool = False):
+    """Zero-copy slices of a batch with about ``most`` bytes of text each.
+
+    Unless the caller works with a resident ``model``, one left by another stage is freed.
+    """
+    if not model and _resident:
+        release()
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -223,6 +237,66 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1_900_000):
     trim()
 
 
+def bounded_sample(rows: DataFrame, kind: str, hash_: str, most: int) -> list[tuple]:
+    """Of each kind (few values, none null) the ``most`` smallest hashes, each once.
+
+    The number of different hashes of a kind is estimated first, which gives a threshold that
+    some more than ``most`` pass, so tasks cut their rows before anything is exchanged and no
+    kind meets in one task. What the driver gets is bounded by ``most`` a kind.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(kind).agg(F.approx_count_distinct(hash_)).collect()}
+    found: dict = {k: [] for k in counts}
+    share = {k: 2.0 * most / max(n, 1) for k, n in counts.items()}
+    while share:
+        limits = {k: min((1 << 63) - 1, int(-(1 << 63) + s * 2.0**64)) if s < 1 else (1 << 63) - 1 for k, s in share.items()}
+        cut = F.lit(False)
+        for k, limit in limits.items():
+            cut = cut | ((F.col(kind) == F.lit(k)) & (F.col(hash_) <= F.lit(limit)))
+        for r in rows.where(cut).select(kind, hash_).distinct().collect():
+            found[r[0]].append(r[1])
+        # a kind of which the estimate let too few pass is asked again
+        share = {k: 4 * s for k, s in share.items() if s < 1 and len(found[k]) < most}
+        for k in share:
+            found[k] = []
+    return [(k, h) for k in sorted(found) for h in sorted(found[k])[:most]]
+
+
+#: A key with more than 1 / HOT of all rows is hot, so there are fewer than HOT of them; their
+#: rows are dealt over SALT parts. Below LEAST rows a key is never hot.
+HOT, SALT, LEAST = 512, 64, 500
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys of more than 1 / HOT of the rows: fewer than HOT values."""
+    counts = rows.groupBy(key).count()
+    total = rows.count()
+    return [r[0] for r in counts.where(F.col("count") > max(total // HOT, LEAST)).select(key).collect() if r[0] is not None]
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``left`` joined to ``right`` by ``key`` ("inner" or "left"), rows of hot keys spread.
+
+    ``left`` may hold a third of its rows under one key; it is counted first, unless ``hot``
+    names the keys. ``right`` has few rows a key, which go to all parts of a hot one.
+    """
+    if hot is None:
+        hot = hot_keys(left, key)
+    if not hot:
+        return left.join(right, key, how)
+    parted = F.when(F.col(key).isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).otherwise(0)
+    every = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    salt = free_name("salt", [*left.columns, *right.columns])
+    return left.withColumn(salt, parted).join(right.withColumn(salt, F.explode(every)), [key, salt], how).drop(salt)
+
+
+def free_name(stem: str, taken: list[str]) -> str:
+    """A column name that no input column has, whatever its case."""
+    name, used = f"_{stem}", {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge list (a long, b long), component = smallest node reached.
 

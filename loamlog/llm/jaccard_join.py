@@ -5,19 +5,22 @@ Pivots and the triangle inequality alone cannot part a corpus: most documents ar
 therefore laid around shared shingles first. Under one order of all shingles, two sets with
 similarity t share a shingle among the first floor((1 - t) n) + 1 of each; the documents that
 have a shingle there form a region. In a region distances tell documents apart: its first
-document is the pivot, every member's distance to it is computed, members within the radius
-join its Voronoi cell, and of the rest only pairs from different components whose distances
-to the pivot differ by no more than the radius (the triangle window) are compared, in the
-next round. No pair at or above the threshold is lost.
-
-Before texts are compared, a second triangle bound is tried: counts of a set's shingles in 512
-hash classes map sets to vectors so that their difference never exceeds the sets' symmetric
+document of each size band is a pivot, every member's distance to it is computed, and members
+within the radius join its Voronoi cell. Regions with members outside one component are open.
+They choose further pivots, those with most possible partners in other components, are joined
+again, and so on until no open pair is left. Of two members with the same first pivot only those
+whose distances to it differ by no more than the radius (the triangle window) are compared. No
+pair at or above the threshold is lost.
+
+Before texts are compared, a second bound is tried: counts of a set's shingles in 512 hash
+classes map sets to vectors so that their difference never exceeds the sets' symmetric
 difference. Pairs whose vectors are too far apart cannot link, and their texts stay at rest.
 
 A region of more than ``MEMBERS`` sets, such as that of a third of all documents that are near
-copies, is never held by one task. Its members stay rows: each is measured against the pivot of
-its size band, which joins the near copies to one component, and what is left, the members of
-other components against all, is compared in blocks of ``BLOCK``.
+copies, is never held by one task. Its members stay rows: they are measured against pivots of
+their size band, which joins the near copies to one component, then against ``MORE`` pivots of
+those outside it, and what is left, members of other components against all, is compared in
+blocks of ``BLOCK``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import LOWER, SPACE, components, mix64, slices, span_hashes, staged, runs, utf8_buffers
+from loamlog.llm.common import LOWER, SPACE, components, free_name, hot_keys, mix64, runs, skew_join, slices, span_hashes, staged, utf8_buffers
 
 WORDS = 5
 #: Similarity as a fraction: sets link when DEN * intersection >= NUM * union.
@@ -44,7 +47,10 @@ BRIEF = 128
 #: Rows of (set, document) names that may be broadcast; some 10 MB.
 FEW = 200_000
 #: Sets of a region that one task holds at most, and sets of a block of a larger region.
-MEMBERS, BLOCK = 50_000, 4096
+MEMBERS, BLOCK = 4096, 4096
+#: Pivots that an open region chooses before all its members take that part, and members
+#: among which it chooses.
+MORE, TRIED = 8, 64
 
 
 def shingle_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +94,7 @@ def frequent_counters(docs: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(np.append(out, -1)), pa.array(np.append(total[out], total.sum()))], names=["counter", "n"])
 
     rows = docs.select("text").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).orderBy(F.col("counter") >= 0, F.desc("n"), "counter").limit(1 << 16).collect()
-    out = np.zeros(COUNTERS, np.uint64)
+    out = np.zeros(COUNTERS, np.uint8)
     mean = max(1.0, rows[0]["n"] / COUNTERS) if rows else 1.0
     for r in rows[1:]:
         if r["n"] > 4 * mean + 8:
@@ -115,7 +121,7 @@ def sets(docs: DataFrame, frequent) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 2):
                 hashes, cuts = shingle_hashes(part.column(2))
-                classes = frequent.value[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                classes = frequent.value[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
                 keys = (classes << np.uint64(64 - CLASS_BITS)) | (mix64(hashes) >> np.uint64(CLASS_BITS))
                 own = [np.unique(keys[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 n = np.array([len(x) for x in own], np.int64)
@@ -129,7 +135,7 @@ def sets(docs: DataFrame, frequent) -> DataFrame:
                 for i, s in enumerate(sid.tolist()):
                     if s in seen:
                         size[i] = 0
-                    elif len(seen) < 1_000_000:
+                    elif len(seen) < 200_000:
                         seen.add(s)
                 edge = np.concatenate([[0], np.cumsum(size)])
                 take = np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)
@@ -251,55 +257,109 @@ def pairs_of(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def window_pairs(held: DataFrame, parts: DataFrame, measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(a, b) still to be compared: in one region, of different components, of sizes that
-    can link, within the triangle window where both have the same pivot, and with short count
-    vectors close enough. What a region emits are such pairs only."""
-    open_regions = held.where(F.size("sids") > 2)
-    pivots = open_regions.mapInArrow(with_pivots, "region long, at int, sid long, n long, indexed boolean, pivot long")
-    joined = pivots.join(chosen.select(F.col("sid").alias("_sid"), "brief"), pivots.sid == F.col("_sid")).join(parts, pivots.sid == parts.node, "left").join(measured, (pivots.pivot == measured.a) & (pivots.sid == measured.b), "left")
+def member_rows(held: DataFrame) -> DataFrame:
+    """Members of the regions of three sets and more as rows, with their first pivots."""
+    return held.where(F.size("sids") > 2).mapInArrow(with_pivots, "region long, at int, sid long, n long, indexed boolean, pivot long")
+
+
+def open_regions(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of regions that lie in more than one component, with ``part``."""
+    rows = rows.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
+    several = rows.groupBy("region").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    return rows.join(several.select("region"), "region", "left_semi")
+
+
+def window_pairs(rows: DataFrame, measured: DataFrame, chosen: DataFrame, pivots: int | None) -> DataFrame:
+    """(a, b) to be compared next in the open regions ``rows``: at most ``pivots`` members, or
+    all, against the members of other components whose sizes and count vectors allow a link
+    and that lie in the triangle window where both have the same first pivot."""
     known = F.when(F.col("pivot") == F.col("sid"), 0.0).otherwise(F.coalesce("distance", F.lit(-1.0)))
-    member = F.struct("at", "sid", "n", "indexed", "pivot", F.coalesce("component", "sid").alias("part"), known.alias("distance"), "brief")
-    again = joined.groupBy("region").agg(F.sort_array(F.collect_list(member)).alias("m"), F.min(F.coalesce("component", "sid")).alias("lo"), F.max(F.coalesce("component", "sid")).alias("hi"))
-    fields = [F.col(f"m.{c}").alias(c) for c in ("sid", "n", "indexed", "pivot", "part", "distance", "brief")]
+    joined = rows.join(chosen.select("sid", "counts"), "sid").join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "distance"), ["pivot", "sid"], "left")
+    member = F.struct("at", "sid", "n", "indexed", "pivot", "part", known.alias("distance"), "counts")
+    again = joined.groupBy("region").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    fields = [F.col(f"m.{c}").alias(c) for c in ("sid", "n", "indexed", "pivot", "part", "distance", "counts")]
 
     def run(batches):
         for batch in batches:
             left, right = [], []
-            briefs = batch.column(6)
-            for row, (sid, n, indexed, pivot, part, distance) in enumerate(lists(batch, ("sid", "n", "indexed", "pivot", "part", "distance"))):
-                brief = np.frombuffer(b"".join(briefs[row].as_py()), np.uint8).reshape(-1, BRIEF).astype(np.int16)
-                for i in np.flatnonzero(indexed).tolist():
-                    stop = int(np.searchsorted(n, n[i] * DEN // NUM, side="right"))
-                    j = np.arange(i + 1, stop)
-                    far = (pivot[j] == pivot[i]) & (distance[i] >= 0) & (distance[j] >= 0) & (np.abs(distance[j] - distance[i]) > 1 - NUM / DEN + 1e-9)
-                    j = j[(part[j] != part[i]) & ~far & (pivot[j] != sid[i])]
-                    j = j[may_link(brief[j], brief[i], n[j] + n[i])]
-                    left.append(np.full(len(j), sid[i]))
-                    right.append(sid[j])
+            vectors = batch.column(6)
+            for row, members in enumerate(lists(batch, ("sid", "n", "indexed", "pivot", "part", "distance"))):
+                x = np.frombuffer(b"".join(vectors[row].as_py()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
+                a, b = near_members(*members, x, pivots)
+                left.append(a)
+                right.append(b)
             yield pairs_of(left, right)
 
-    return again.where("lo < hi").select(*fields).mapInArrow(run, "a long, b long").distinct()
+    return again.select(*fields).mapInArrow(run, "a long, b long").distinct()
+
+
+def near_members(sid, n, indexed, pivot, part, distance, x, pivots: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (smaller set, larger set) of the pivots and the members near them.
+
+    Members are ordered by size. If ``pivots`` is None all are pivots. Otherwise those are
+    chosen, one after the other, that have most near members not yet near a chosen one.
+    """
+
+    def partners(i: int) -> np.ndarray:
+        j = np.arange(np.searchsorted(n, -(-n[i] * NUM // DEN)), np.searchsorted(n, n[i] * DEN // NUM, side="right"))
+        far = (pivot[j] == pivot[i]) & (distance[i] >= 0) & (distance[j] >= 0) & (np.abs(distance[j] - distance[i]) > 1 - NUM / DEN + 1e-9)
+        marked = np.where(j < i, indexed[j], indexed[i])
+        j = j[marked & (part[j] != part[i]) & ~far & (pivot[j] != sid[i]) & (pivot[i] != sid[j])]
+        return j[may_link(x[j], x[i], n[j] + n[i])]
+
+    if pivots is None:
+        found = [(i, (j := partners(i))[j > i]) for i in np.flatnonzero(indexed).tolist()]
+    else:
+        tried = np.argsort(mix64(sid.view(np.uint64)))[:TRIED].tolist()
+        near = {i: partners(i) for i in tried}
+        covered, found = np.zeros(len(sid), bool), []
+        while len(found) < pivots and near:
+            best = max(near, key=lambda i: (~covered[near[i]]).sum())
+            j = near.pop(best)
+            if covered[j].all():
+                break
+            covered[j] = True
+            found.append((best, j))
+    none = np.zeros(0, np.int64)
+    i = np.concatenate([none, *(np.full(len(j), i) for i, j in found)])
+    j = np.concatenate([none, *(j for _, j in found)])
+    return sid[np.minimum(i, j)], sid[np.maximum(i, j)]
 
 
 def band_pivots(big: DataFrame) -> DataFrame:
-    """region, band, pivot: the first set of each size band that may be a pair's smaller one."""
-    return big.where("indexed").groupBy("region", "band").agg(F.min(F.struct("n", "sid")).alias("p")).select("region", "band", F.col("p.sid").alias("pivot"))
+    """key (of region and band), pivot: the first set of each band that may be a pair's smaller one."""
+    return big.where("indexed").groupBy("key").agg(F.min(F.struct("n", "sid")).alias("p")).select("key", F.col("p.sid").alias("pivot"))
+
 
+def labelled(big: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of large regions with ``part`` and ``main``, the component of most members of the region."""
+    rows = staged(big.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component"), "large-parts")
+    by_part = rows.groupBy("region", "part").count().groupBy("region").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("total"), F.max("count").alias("most"))
+    return staged(skew_join(rows, staged(by_part.where("total > most"), "large-shapes"), "region"), "large-open")
 
-def block_pairs(big: DataFrame, parts: DataFrame, measured: DataFrame, chosen: DataFrame) -> DataFrame:
-    """As ``window_pairs``, for large regions: members outside a region's largest component
-    against all members, in blocks. The largest component's own pairs need no comparison."""
-    members = (
-        big.join(chosen.select("sid", "brief"), "sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").join(band_pivots(big), ["region", "band"], "left")
-        .join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "distance"), ["pivot", "sid"], "left")
+
+def further_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of at most ``MORE`` pivots of each region and size band, from members outside the
+    main component, with the members of other components whose sizes allow a link."""
+    outside = rows.where("part <> main").groupBy("region", "band", F.pmod(F.xxhash64("sid"), F.lit(MORE)).alias("of")).agg(F.min(F.struct("n", "sid", "indexed", "part")).alias("p"))
+    pivots = outside.select("region", F.col("p.sid").alias("p_sid"), F.col("p.n").alias("p_n"), F.col("p.indexed").alias("p_indexed"), F.col("p.part").alias("p_part"))
+    first = (F.col("n") < F.col("p_n")) | ((F.col("n") == F.col("p_n")) & (F.col("sid") < F.col("p_sid")))  # whether the member is the smaller set
+    met = skew_join(rows.select("region", "sid", "n", "indexed", "part"), staged(pivots, "further-pivots"), "region").where(
+        (F.col("part") != F.col("p_part")) & (DEN * F.least("n", "p_n") >= NUM * F.greatest("n", "p_n")) & F.when(first, F.col("indexed")).otherwise(F.col("p_indexed"))
     )
+    return met.select(F.when(first, F.col("sid")).otherwise(F.col("p_sid")).alias("a"), F.when(first, F.col("p_sid")).otherwise(F.col("sid")).alias("b")).distinct()
+
+
+def block_pairs(rows: DataFrame, measured: DataFrame, chosen: DataFrame) -> DataFrame:
+    """As ``window_pairs`` with all members, for large regions: members outside a region's main
+    component against all, in blocks. The main component's own pairs need no comparison."""
+    members = rows.join(chosen.select("sid", "brief"), "sid").join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "distance"), ["pivot", "sid"], "left")
     known = F.when(F.col("pivot") == F.col("sid"), 0.0).otherwise(F.coalesce("distance", F.lit(-1.0)))
-    members = staged(members.select("region", "sid", "n", "indexed", F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("component", "sid").alias("part"), known.alias("distance"), "brief"), "large-members")
-    by_part = members.groupBy("region", "part").count().groupBy("region").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.sum("count").alias("total"), F.max("count").alias("most"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    shape = by_part.where("total > most").select("region", "main", blocks(F.col("total") - F.col("most")).alias("outer"), blocks(F.col("total")).alias("all"))
-    dealt = members.join(shape, "region")
+    dealt = members.select(
+        "region", "sid", "n", "indexed", F.coalesce("pivot", F.lit(0)).alias("pivot"), "part", "main", known.alias("distance"), "brief",
+        blocks(F.col("total") - F.col("most")).alias("outer"), blocks(F.col("total")).alias("all"),
+    )
     own = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     fields = ["sid", "n", "indexed", "pivot", "part", "distance", "brief"]
@@ -356,7 +416,8 @@ def near_pairs(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
             keep = pa.array(may_link(x, y, batch.column(2).to_numpy() + batch.column(3).to_numpy()))
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+    pairs = staged(pairs, "pairs")
+    joined = skew_join(skew_join(pairs, side("a"), "a"), side("b"), "b", hot=hot_keys(pairs, "b")).select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
     return staged(joined.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
@@ -373,9 +434,7 @@ def fetched(text: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, chosen: DataFrame, text: DataFrame) -> DataFrame:
-    """(a, b, distance, linked): exact Jaccard distances from the shingles of both texts, for
-    the pairs that may link."""
-    pairs = near_pairs(pairs, chosen)
+    """(a, b, distance, linked): exact Jaccard distances from the shingles of both texts."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     texts = staged(fetched(text, chosen.join(needed, "sid")), "near-texts")
     one = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
@@ -399,7 +458,7 @@ def compare(pairs: DataFrame, chosen: DataFrame, text: DataFrame) -> DataFrame:
                     names=["a", "b", "distance", "linked"],
                 )
 
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    joined = skew_join(skew_join(pairs, one, "a"), two, "b", hot=hot_keys(pairs, "b")).select("a", "b", "text_a", "text_b")
     return staged(joined.mapInArrow(run, "a long, b long, distance double, linked boolean"), "distances")
 
 
@@ -407,45 +466,79 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reached by links).
-
-    Null and blank texts have empty sets and link with nothing, not even each other. Texts
-    with equal sets link. Rows that repeat a doc_id are documents of their own and share the
-    id; a null doc_id takes part, and a component of null ids only gets null.
-    """
+def document_roots(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n, root per document (the same root: linked; null: no shingles), written."""
     text = keyed(docs)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_counters(text))
     held = staged(sets(text, frequent), "shingle-sets")
     found, big = regions(held)
     found, big = staged(found, "regions"), staged(big, "large-regions-rows")
-    any_big = not big.isEmpty()
-    members = held.where("n > 0").select("doc_id", "text_key", "sid", "n", "counts", "brief")
     needed = found.select(F.explode("sids").alias("sid")).unionAll(big.select("sid")).distinct()
-    chosen = members.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
+    carriers = held.where(F.size("prefix") > 0).select("doc_id", "text_key", "sid", "n", "counts", "brief")
+    chosen = carriers.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
     chosen = staged(chosen.select("sid", "n", "counts", "brief", "one.doc_id", "one.text_key"), "region-sets")
+    any_big = not big.isEmpty()
     pairs = pivot_pairs(found)
     if any_big:
-        pairs = pairs.unionAll(big.join(band_pivots(big), ["region", "band"]).where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))).distinct()
-    first = compare(pairs, chosen, text)
-    parts = components(first.where("linked").select("a", "b"))
-    pairs = window_pairs(found, parts, first, chosen)
-    if any_big:
-        pairs = pairs.unionAll(block_pairs(big, parts, first, chosen)).distinct()
-    second = compare(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
-    parts = components(first.unionAll(second).where("linked").select("a", "b"))
-    sid_part = staged(parts, "parts").withColumnRenamed("node", "sid")
-    roots = held.select("doc_id", "n", "sid").join(sid_part, "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("root"))
-    roots = staged(roots, "roots")
-    least = staged(roots.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
-    linked = roots.where("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return linked.unionAll(roots.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        banded = staged(big.withColumn("key", F.xxhash64("region", "band")), "large-bands")
+        pivots = staged(band_pivots(banded), "band-pivots")
+        big = staged(skew_join(banded, pivots, "key", "left").drop("key"), "large-pivots")
+        pairs = pairs.unionAll(big.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))).distinct()
+    measured = compare(near_pairs(pairs, chosen), chosen, text)
+    parts = components(measured.where("linked").select("a", "b"))
+    rows = staged(open_regions(member_rows(found), parts), "open-regions")
+    for pivots in (MORE, None):
+        pairs = window_pairs(rows, measured, chosen, pivots)
+        if any_big:
+            wide = labelled(big, parts)
+            more = block_pairs(wide, measured, chosen) if pivots is None else further_pairs(wide)
+            pairs = pairs.unionAll(near_pairs(more, chosen)).distinct()
+        pairs = staged(pairs, "open-pairs")
+        if pairs.isEmpty():
+            continue
+        new = compare(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
+        measured = measured.unionAll(new)
+        parts = components(measured.where("linked").select("a", "b"))
+        if pivots is not None:
+            rows = staged(open_regions(rows.drop("part"), parts), "open-regions")
+    named = held.select("doc_id", "text_key", "n", "sid")
+    linked = skew_join(named.where("n > 0"), staged(parts, "parts").withColumnRenamed("node", "sid"), "sid", "left")
+    linked = linked.select("doc_id", "text_key", "n", F.coalesce("component", "sid").alias("root"))
+    return staged(linked.unionAll(named.where("n = 0").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("root"))), "roots")
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reached by links).
+
+    Null and blank texts have empty sets and link with nothing, not even each other. Texts
+    with equal sets link. Rows that repeat a doc_id are documents of their own and share the
+    id; a null doc_id takes part, and a component of null ids only gets null.
+    """
+    roots = document_roots(docs)
+    least = staged(roots.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    linked = skew_join(roots.where("root IS NOT NULL"), least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return linked.unionAll(roots.where("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest id; all columns stay.
+    """``docs`` with one row of each component, one of smallest id; all columns stay.
 
-    Rows that repeat that id stay together.
+    Null ids come last, ties go by the text's hash. Texts without words are all kept, but of
+    rows that repeat both id and text one is kept, whatever its other columns are.
     """
-    kept = staged(link_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    roots = document_roots(docs)
+    least = roots.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one"))
+    kept = least.select("one.doc_id", "one.text_key").unionAll(roots.where("root IS NULL").select("doc_id", "text_key").distinct())
+    row = F.xxhash64("doc_id", "text_key")
+    again = staged(roots.groupBy("doc_id", "text_key").count().where("count > 1").select(row.alias("row")).distinct(), "again")
+    doc, key, at = (free_name(x, docs.columns) for x in ("doc", "key", "row"))
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    ours = docs.withColumns({key: text_key, at: F.xxhash64(F.col("doc_id").cast("long"), text_key)})
+    kept = staged(kept.select(F.col("doc_id").alias(doc), F.col("text_key").alias(f"{key}2"), row.alias(at)), "kept")
+    found = skew_join(ours, kept, at, hot=hot_keys(roots.select(row.alias(at)), at)).where(F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(f"{key}2")))
+    if again.isEmpty():
+        return found.select(*docs.columns)
+    found = staged(found.drop(doc, f"{key}2"), "found")
+    again = again.withColumnRenamed("row", at)
+    once = skew_join(found, again.withColumn(doc, F.lit(True)), at, "left")
+    return once.where(F.col(doc).isNull()).select(*docs.columns).unionAll(once.where(F.col(doc)).dropDuplicates(["doc_id", key]).select(*docs.columns))
