@@ -11,16 +11,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import resident, slices, small_batches
+from loamlog.llm.common import bounded_sample, resident, slices, small_batches
 
-#: Letters with a symbol of their own; the rest share one. Symbol 0 parts training texts,
-#: 1 is any run of other characters.
-OWN_LETTERS = 61
-ALPHABET = OWN_LETTERS + 3
-#: Symbols parsed side by side as one lane; a phrase ends where a lane ends.
+#: Symbol 0 parts training texts, 1 is any run of other characters, the last is a letter that
+#: no training text has. Up to LETTERS letters have a symbol each. Of more, the most frequent
+#: do, and each further one is written as three digits, the first of DIGITS symbols of its own.
+ALPHABET, DIGITS = 64, 16
+LETTERS = ALPHABET - 3
+#: Symbols parsed side by side as one lane; the state at its end goes on into the next one.
 LANE = 256
 #: Breaks per symbol over which no learned language accounts for a text.
 MOST_BREAKS = 0.5
@@ -87,10 +88,15 @@ class Parser:
                 for ch in t.lower():
                     if ch.isalpha():
                         letters[ch] = letters.get(ch, 0) + 1
-        own = sorted(letters, key=lambda ch: (-letters[ch], ch))[:OWN_LETTERS]
+        order = sorted(letters, key=lambda ch: (-letters[ch], ch))
+        own = LETTERS if len(order) <= LETTERS else LETTERS - 2 * DIGITS
         self.symbol = np.fromiter((ALPHABET - 1 if chr(i).isalpha() else 1 for i in range(0x110000)), np.uint8, 0x110000)
-        for i, ch in enumerate(own):
-            self.symbol[ord(ch)] = i + 2
+        self.further = np.zeros((0x110000, 2), np.uint8)
+        for i, ch in enumerate(order):
+            rank = i - own
+            self.symbol[ord(ch)] = i + 2 if rank < 0 else 2 + own + rank // DIGITS**2 % DIGITS
+            if rank >= 0:
+                self.further[ord(ch)] = 2 + own + DIGITS + np.array([rank // DIGITS % DIGITS, rank % DIGITS])
         self.tables, self.bits = [], []
         for _, texts in training:
             parts = [np.append(self.symbols([t])[0], np.uint8(0)) for t in texts]
@@ -107,35 +113,82 @@ class Parser:
         owner = np.repeat(np.arange(len(texts)), sizes)
         keep = np.ones(len(out), bool)
         keep[1:] = (out[1:] != 1) | (out[:-1] != 1) | (owner[1:] != owner[:-1])
-        return out[keep], np.bincount(owner[keep], minlength=len(texts))
-
-    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases (texts x languages), symbols and letters of each text."""
+        out, owner, points = out[keep], owner[keep], points[keep]
+        more = self.further[points]
+        if more.any():
+            every = np.concatenate([out[:, None], more], axis=1).ravel()
+            some = every > 0
+            out, owner = every[some], np.repeat(owner, 3)[some]
+        return out, np.bincount(owner, minlength=len(texts))
+
+    def count(self, texts: list[str], states: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Phrases (texts x languages), symbols and letters of each text, and the automata's
+        states at the texts' ends; ``states`` are those to start from, if texts go on.
+
+        Lanes of a text are parsed side by side from fresh starts. Then each lane is entered
+        with the state at the end of the lane before, up to where its own parse is met; a lane
+        whose last state changes by that sends the next one again.
+        """
         symbols, sizes = self.symbols(texts)
         starts = np.cumsum(sizes) - sizes
         lanes = -(-sizes // LANE)
+        first_lane = np.cumsum(lanes) - lanes
         owner = np.repeat(np.arange(len(texts)), lanes)
-        at = (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        at = (np.arange(lanes.sum()) - np.repeat(first_lane, lanes)) * LANE
         lane_start, lane_size = starts[owner] + at, np.minimum(sizes[owner] - at, LANE)
-        order = np.argsort(-lane_size, kind="stable")
-        owner, lane_start, lane_size = owner[order], lane_start[order], lane_size[order]
         phrases = np.zeros((len(texts), len(self.tables)), np.int64)
-        if len(order):
-            active = np.searchsorted(-lane_size, -np.arange(LANE), side="left")
-            padded = np.append(symbols, np.zeros(LANE, np.uint8))
-            grid = padded[lane_start[None, :] + np.arange(LANE)[:, None]].astype(np.int32)
-            for k, table in enumerate(self.tables):
-                state = np.full(len(owner), len(table) - ALPHABET, np.int32)
-                ended = np.ones(len(owner), np.int32)
-                for step in range(int(lane_size[0])):
-                    n = active[step]
-                    to = table[state[:n] + grid[step, :n]]
+        ends = []
+        order = np.argsort(-lane_size, kind="stable")
+        active = np.searchsorted(-lane_size[order], -np.arange(LANE), side="left")
+        padded = np.append(symbols, np.zeros(LANE, np.uint8))
+        grid = padded[lane_start[None, :] + np.arange(LANE)[:, None]].astype(np.int32)
+        for k, table in enumerate(self.tables):
+            root = len(table) - ALPHABET
+            before = np.full(len(texts), root, np.int32) if states is None else states[k]
+            met = np.zeros((LANE, len(owner)), np.int32)
+            ended = np.zeros((LANE, len(owner)), np.int8)
+            state = np.full(len(owner), root, np.int32)
+            for step in range(int(lane_size.max(initial=0))):
+                run = order[: active[step]]
+                to = table[state[run] + grid[step, run]]
+                sign = to >> 31
+                ended[step, run] = -sign
+                state[run] = met[step, run] = to ^ sign
+            # entered anew: lanes after another one, and first lanes of texts that go on
+            entry = np.full(len(owner), root, np.int32)
+            head = at == 0
+            again = np.flatnonzero(~head | (before[owner] != root))
+            while len(again):
+                entry[again] = np.where(head[again], before[owner[again]], state[again - 1])
+                open_, now = again, entry[again]
+                changed = []
+                for step in range(LANE):
+                    done = lane_size[open_] <= step
+                    if done.any():
+                        changed.append((open_[done], now[done]))
+                        open_, now = open_[~done], now[~done]
+                    if not len(open_):
+                        break
+                    to = table[now + grid[step, open_]]
                     sign = to >> 31
-                    ended[:n] -= sign
-                    state[:n] = to ^ sign
-                phrases[:, k] = np.bincount(owner, ended, len(texts))
+                    ended[step, open_] = -sign
+                    now = to ^ sign
+                    differs = met[step, open_] != now
+                    met[step, open_] = now
+                    open_, now = open_[differs], now[differs]
+                if len(open_):
+                    changed.append((open_, now))
+                if not changed:
+                    break
+                lane = np.concatenate([x for x, _ in changed])
+                state[lane] = np.concatenate([x for _, x in changed])
+                follows = lane[lane + 1 < len(owner)] + 1
+                again = np.sort(follows[~head[follows]])
+            phrases[:, k] = np.bincount(owner, ended.sum(axis=0), len(texts))
+            last = first_lane + lanes - 1
+            ends.append(np.where(lanes > 0, state[np.maximum(last, 0)] if len(state) else root, before).astype(np.int32))
         letters = np.bincount(np.repeat(np.arange(len(texts)), sizes), symbols >= 2, len(texts))
-        return phrases, sizes, letters
+        return phrases, sizes, letters, ends
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; ``und`` with score 0 where there is no letter."""
@@ -144,26 +197,27 @@ class Parser:
     def parse(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
         """Language, score and breaks of each text.
 
-        Breaks are the phrases per symbol in the language of fewest phrases, less the one that
-        any lane begins with: null without a letter, 0 if no language was learned.
+        Breaks are the ends of phrases per symbol in the language of fewest phrases: null
+        without a letter, 0 if no language was learned.
         """
         n = len(texts)
-        phrases = np.zeros((n, len(self.tables)), np.float64)
-        sizes, letters, lanes = np.zeros(n), np.zeros(n), np.zeros(n)
+        broken = np.zeros((n, len(self.tables)), np.float64)
+        sizes, letters = np.zeros(n), np.zeros(n)
         for owners, parts in pieces(texts):
-            p, s, c = self.count(parts)
-            np.add.at(phrases, owners, p)
-            np.add.at(sizes, owners, s)
-            np.add.at(letters, owners, c)
-            np.add.at(lanes, owners, -(-s // LANE))
+            states = None
+            for part in parts:
+                p, s, c, states = self.count(part, states)
+                np.add.at(broken, owners, p)
+                np.add.at(sizes, owners, s)
+                np.add.at(letters, owners, c)
         if not self.tables:
             return ["und"] * n, [0.0] * n, [0.0 if c else None for c in letters.tolist()]
-        cost = phrases * np.array(self.bits)
+        cost = (broken + (sizes > 0)[:, None]) * np.array(self.bits)
         best = cost.argmin(axis=1)
         two = np.sort(cost, axis=1)[:, :2]
         score = np.ones(n) if two.shape[1] == 1 else np.clip(1 - two[:, 0] / np.maximum(two[:, 1], 1e-9), 0, 1)
         known = letters > 0
-        breaks = (phrases.min(axis=1) - lanes) / np.maximum(sizes, 1)
+        breaks = broken.min(axis=1) / np.maximum(sizes, 1)
         return (
             [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)],
             np.where(known, score, 0.0).tolist(),
@@ -172,36 +226,56 @@ class Parser:
 
 
 def pieces(texts: list[str | None]):
-    """(owners, texts) groups of about PIECE characters; longer texts come in several parts."""
-    owners, parts, held = [], [], 0
+    """(owners, parts): texts of some PIECE characters together in one part; a longer text
+    alone, in several parts that follow one another. Parts end after a letter or the text."""
+    owners, held, size = [], [], 0
     for i, t in enumerate(texts):
-        t = t or ""
-        for a in range(0, len(t), PIECE):
+        if t and len(t) > PIECE:
+            cuts = [0]
+            while len(t) - cuts[-1] > PIECE:
+                end = cuts[-1] + PIECE
+                while end < len(t) and not (t[end - 1].isalpha() or t[end].isalpha()):
+                    end += 1
+                cuts.append(end)
+            yield [i], [[t[a:b]] for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True) if b > a]
+        elif t:
             owners.append(i)
-            parts.append(t[a : a + PIECE])
-            held += len(parts[-1])
-            if held >= PIECE:
-                yield owners, parts
-                owners, parts, held = [], [], 0
+            held.append(t)
+            size += len(t)
+            if size >= PIECE:
+                yield owners, [held]
+                owners, held, size = [], [], 0
     if owners:
-        yield owners, parts
+        yield owners, [held]
 
 
 def parser(training: tuple) -> Parser:
     return resident("languages", training, lambda: Parser(training))
 
 
+def spans(text: Column, chars: int, parts: int = 4) -> Column:
+    """``parts`` equal pieces spread evenly over a text, ``chars`` in all; shorter ones whole."""
+    size = chars // parts
+    at = lambda i: F.floor((F.length(text) - size) * i / (parts - 1)) + 1
+    pieces_ = F.array(*[F.substr(text, at(F.lit(i)).cast("int"), F.lit(size)) for i in range(parts)])
+    return F.when(F.length(text) <= chars, F.array(text)).otherwise(pieces_)
+
+
 def sample_training(labelled: DataFrame, docs_per_language: int, chars_per_doc: int) -> tuple:
-    """(language, texts) pairs from a bounded sample: of each language the documents of
-    smallest id hash, at most ``docs_per_language``, at most ``chars_per_doc`` characters each."""
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
-        "lang", F.substring("text", 1, chars_per_doc).alias("t"), F.xxhash64("doc_id").alias("h")
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    found: dict[str, list[str]] = {}
-    for r in rows.withColumn("r", rank).where(F.col("r") <= docs_per_language).orderBy("lang", "r").collect():
-        found.setdefault(r["lang"], []).append(r["t"])
-    return tuple((k, tuple(v)) for k, v in found.items() if any(ch.isalpha() for t in v for ch in t))
+    """(language, pieces of text) from a bounded sample of labelled rows: of each language
+    ``docs_per_language`` different texts at most, the ones of smallest hash, and of each
+    ``chars_per_doc`` characters at most, in pieces spread over the whole text."""
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    chosen = bounded_sample(rows.select("lang", "h"), "lang", "h", docs_per_language)
+    if not chosen:
+        return ()
+    # at most docs_per_language rows for each language that is learned: small by parameter
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(chosen, "lang string, h long"))
+    found = rows.join(wanted, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", spans(F.col("text"), chars_per_doc).alias("parts")).collect()
+    out: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["lang"], r["h"])):
+        out.setdefault(r["lang"], []).extend(r["parts"])
+    return tuple((k, tuple(v)) for k, v in out.items() if any(ch.isalpha() for t in v for ch in t))
 
 
 def identify(
@@ -221,7 +295,7 @@ def identify(
     names = [c for c in docs.columns if c not in into]
 
     def predict(batches):
-        for batch in (part for whole in batches for part in slices(whole, at)):
+        for batch in (part for whole in batches for part in slices(whole, at, model=True)):
             languages, *numbers = parser(training.value).parse(batch.column(at).to_pylist())
             held = [batch.column(docs_at[c]) for c in names]
             yield pa.record_batch([*held, pa.array(languages, pa.string()), *(pa.array(x, pa.float64()) for x in numbers[: len(into) - 1])], names=[*names, *into])
