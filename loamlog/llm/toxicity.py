@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import ALNUM, BYTE_VALUE, LOWER, mix64, prefix_sums, runs, slices, small_batches, spans_of, utf8_buffers
+from loamlog.llm.common import ALNUM, BYTE_VALUE, LOWER, bounded_sample, mix64, prefix_sums, runs, slices, small_batches, spans_of, utf8_buffers
 from loamlog.llm.language_id import held_out
 
 BUCKET_BITS = 18
@@ -137,10 +137,12 @@ def sample_labels(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
     """Terms and labels of at most ``per_class`` documents of each class, the ones of
     smallest id hash. A document with several labels counts as toxic if one says so."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= per_class).select("doc_id", "y")
-    # At most 2 * per_class narrow rows: bounded by a parameter, so they can be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
+    chosen = bounded_sample(known.select("y", F.xxhash64("doc_id").alias("h")), "y", "h", per_class)
+    if not chosen:
+        return [], np.zeros(0, np.float32)
+    # at most 2 * per_class narrow rows: bounded by a parameter, so they can be broadcast
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "y int, k long"))
+    rows = docs.select("doc_id", "text").join(wanted, F.xxhash64(F.col("doc_id").cast(known.schema["doc_id"].dataType)) == F.col("k")).select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
 
     def extract(batches):
         for batch in batches:
@@ -154,13 +156,15 @@ def sample_labels(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[l
 
 
 def score_texts(docs: DataFrame, labelled: DataFrame, labels: DataFrame, per_class: int = 3000) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``score`` (0 to 1) from the terms of the whole text.
+    """``docs`` (doc_id, text, ...) with ``score`` (0 to 1) from the terms of the whole text; it
+    replaces a column of that name, other columns pass through.
 
     ``labelled`` are the documents from which labels may be learned. Null and empty texts
     have no terms and get the sigmoid of the bias. Without labels the score is 0.5.
     """
     small_batches(docs.sparkSession)
     fm = docs.sparkSession.sparkContext.broadcast(train(*sample_labels(labelled, labels, per_class)))
+    docs = docs.drop("score")
     at = docs.columns.index("text")
     names = [*docs.columns, "score"]
 
