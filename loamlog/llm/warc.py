@@ -1,8 +1,9 @@
 """WARC archives in which repeated payloads become revisit records.
 
-Headers (digest, page id) are shuffled by payload digest and reduced to the first page of
-each payload; revisits then point at that response. Archives get fresh headers: new record
-ids, digests and lengths.
+Headers (digest, page id, address) are shuffled by payload digest and joined to the first page of
+each payload, the original response. What is found for a row comes back to it by its page id and
+digest, so payloads are never dealt by their digest. Archives get fresh headers: new record ids,
+digests and lengths.
 """
 
 from __future__ import annotations
@@ -16,40 +17,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import filesystem, fresh_path, staged
+from loamlog.llm.common import filesystem, fresh_path, hot_keys, skew_join, staged
 
 #: Fixed values of the format: the revisit profile and line end.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = b"\r\n"
+#: Rows of marks that may be broadcast; some 30 MB.
+FEW = 200_000
 
 
 def resolve_revisits(pages: DataFrame, smallest: int = 100) -> DataFrame:
-    """``pages`` (page_id, url, html) plus payload_bytes, payload_digest, record_type, refers_to.
+    """``pages`` (page_id, url, html) plus payload_bytes, payload_digest, record_type, refers_to,
+    repeated (rows of this id and payload are several), target_url, target_repeated.
 
     Of the pages with equal payloads of at least ``smallest`` bytes, the one of smallest
     page_id is the response and others revisit it; a row that repeats the page_id as well is
     a response again. A null html is the empty payload; a null page_id never is a target
-    while another page has the payload. Payloads that occur once, and short ones, take no
-    part in the join, so their rows are not dealt by digest to one task.
+    while another page has the payload.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     full = pages.select("page_id", "url", html.alias("payload")).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)}
     )
-    headers = full.where(F.col("payload_bytes") >= smallest).select("payload_digest", "page_id")
-    first = headers.groupBy("payload_digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
-    first = staged(first.where("n > 1").drop("n"), "warc-first").withColumnRenamed("payload_digest", "_digest")
-    out = full.join(first, full.payload_digest == first._digest, "left").drop("_digest")
-    again = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
+    full = full.withColumn("row", F.xxhash64("page_id", "payload_digest"))
+    headers = staged(full.select("page_id", "url", "payload_bytes", "payload_digest", "row"), "warc-headers")
+    copies = headers.groupBy("page_id", "payload_digest", "row").agg(F.count("*").alias("n"), F.min("url").alias("url"), F.any_value("payload_bytes").alias("payload_bytes"))
+    copies = staged(copies, "warc-copies")
+    long = copies.where(F.col("payload_bytes") >= smallest)
+    one = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", (F.col("n") > 1).alias("again")))
+    first = long.groupBy("payload_digest").agg(one.alias("one"), F.count("*").alias("pages")).where("pages > 1")
+    first = staged(first.select("payload_digest", F.col("one.page_id").alias("first_page"), F.col("one.url").alias("target_url"), F.col("one.again").alias("target_repeated")), "warc-first")
+    revisits = skew_join(long, first, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("first_page").isNotNull())
+    marks = revisits.select("row", "page_id", "payload_digest", "first_page", "target_url", "target_repeated", (F.col("n") > 1).alias("repeated"))
+    others = copies.where("n > 1").join(revisits.select("row", "page_id", "payload_digest"), ["row", "payload_digest"], "left_anti")
+    blank = [F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ("first_page", "target_url", "target_repeated")]
+    marks = staged(marks.unionAll(others.select("row", "page_id", "payload_digest", *blank, F.lit(True))), "warc-marks")
+    marks = marks.withColumnsRenamed({"page_id": "_page", "payload_digest": "_digest"})
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("payload_digest") == F.col("_digest"))
+    if marks.count() <= FEW:
+        out = full.join(F.broadcast(marks.withColumnRenamed("row", "_row")), (F.col("row") == F.col("_row")) & same, "left")
+    else:
+        out = skew_join(full, marks.select(*marks.columns), "row", "left", hot=hot_keys(headers, "row")).withColumn("first_page", F.when(same, F.col("first_page")))
+    again = F.col("first_page").isNotNull()
     return out.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first_page")).alias("refers_to"),
+        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"),
+        F.col("first_page").alias("refers_to"), F.coalesce("repeated", F.lit(False)).alias("repeated"), "target_url", F.coalesce("target_repeated", F.lit(False)).alias("target_repeated"),
     )
 
 
-def record_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
+def record_id(page_id, digest: str, place: str = "") -> str:
+    """An id of the page and its payload; rows that repeat both add their place."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}{place}')}>"
 
 
 def clean(value) -> str:
@@ -57,18 +75,21 @@ def clean(value) -> str:
     return " ".join(str(value or "").split())
 
 
-def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str) -> bytes:
-    """One gzip member with one record."""
+def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str, place: str = "", target_url=None, target_repeated: bool = False) -> bytes:
+    """One gzip member with one record. A revisit names its target's record id, but for a target
+    that several equal rows hold: address and date tell those."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http;msgtype=response",
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {clean(target_url)}", f"WARC-Refers-To-Date: {date}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if not target_repeated:
+            head.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
     head.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(head).encode() + CRLF * 2 + block + CRLF * 2, compresslevel=1, mtime=0)
 
@@ -117,17 +138,17 @@ def write_archives(pages: DataFrame, out: str, date: str = "2024-01-01T00:00:00Z
 
         from loamlog.llm.common import write_atomically
 
-        n = 0
+        n, part = 0, TaskContext.get().partitionId()
 
         def blocks():
             nonlocal n
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    page_id, url, payload, _, digest, kind, target = row
+                    page_id, url, payload, _, digest, kind, target, repeated, target_url, target_repeated = row
                     n += 1
-                    yield record(page_id, url, payload, digest, kind, target, date)
+                    yield record(page_id, url, payload, digest, kind, target, date, f"/{part}/{n}" if repeated else "", target_url, target_repeated)
 
-        name = f"{out}/pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+        name = f"{out}/pages-{part:06d}-{uuid.uuid4().hex}.warc.gz"
         write_atomically(name, blocks())
         yield pa.record_batch([pa.array([name]), pa.array([n])], names=["file", "records"])
 
