@@ -38,19 +38,28 @@ def communication_matrix(block_rows: np.ndarray, cells: np.ndarray, seed: int) -
     return out
 
 
+#: Rows that a block or a cell should hold, and the least and most blocks (and cells): the matrix
+#: has 2048 x 2048 counts at most, 32 MB. Beyond 8.6 billion rows blocks grow instead.
+ROWS, FEWEST, MOST = 1 << 22, 256, 2048
+
+
 def shuffle_into_shards(
-    rows: DataFrame, keys: list[str], shards: int = 24, seed: int = 7, blocks: int = 256, cells_per_shard: int = 16
+    rows: DataFrame, keys: list[str], shards: int = 24, seed: int = 7, blocks: int | None = None, cells_per_shard: int | None = None
 ) -> DataFrame:
     """``rows`` with ``shard`` int and ``slot`` long, a uniform permutation for ``seed``.
 
     Shard counts differ by one row at most; slots of a shard are 0, 1, 2, ... without gaps.
     ``keys`` identify rows (nulls allowed); rows that agree in all keys are interchangeable.
-    The matrix has ``blocks * shards * cells_per_shard`` counts whatever the input is, and
-    only the block counts (``blocks`` numbers) come to the driver. An empty table gives an
-    empty result. The input should be narrow: texts need not travel to be dealt out.
+    The number of blocks and cells follows the number of rows, which is counted, unless it is
+    given. Only the block counts (``blocks`` numbers) come to the driver. An empty table gives
+    an empty result. The input should be narrow: texts need not travel to be dealt out.
     """
     key = F.xxhash64(*keys, F.lit(seed)) if keys else F.lit(seed)
-    held = staged(rows.withColumn("_block", F.pmod(key, F.lit(blocks)).cast("int")), "shard-rows")
+    held = staged(rows, "shard-rows")
+    wanted = min(MOST, max(FEWEST, -(-held.count() // ROWS)))
+    blocks = blocks or wanted
+    cells_per_shard = cells_per_shard or max(1, -(-max(wanted, 384) // shards))
+    held = held.withColumn("_block", F.pmod(key, F.lit(blocks)).cast("int"))
     counts = np.zeros(blocks, np.int64)
     for r in held.groupBy("_block").count().collect():
         counts[r["_block"]] = r["count"]
@@ -61,10 +70,11 @@ def shuffle_into_shards(
     cuts = (np.cumsum(matrix, axis=1) + np.arange(blocks)[:, None] * wide).ravel()
     base = (np.cumsum(sizes, axis=1) - sizes).ravel()
     n_cells = sizes.size
+    cuts = rows.sparkSession.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("int")
     def cell_of(block: pd.Series, rank: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, block.to_numpy() * wide + rank.to_numpy(), side="right")
+        at = np.searchsorted(cuts.value, block.to_numpy() * wide + rank.to_numpy(), side="right")
         return pd.Series((at - block.to_numpy().astype(np.int64) * n_cells).astype(np.int32))
 
     def order(salt: int) -> list[Column]:
@@ -73,6 +83,7 @@ def shuffle_into_shards(
     dealt = held.withColumn("_rank", F.row_number().over(Window.partitionBy("_block").orderBy(*order(1))) - 1)
     dealt = dealt.withColumn("_cell", cell_of("_block", "_rank")).drop("_block", "_rank")
     out = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy(*order(2))) - 1)
+
     @F.pandas_udf("long")
     def start_of(cell: pd.Series) -> pd.Series:
         return pd.Series(base[cell.to_numpy()])
