@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import ALNUM, mix64, slices, staged, utf8_buffers, word_hashes
+from loamlog.llm.common import ALNUM, mix64, skew_join, slices, staged, utf8_buffers, word_hashes
 
-#: 1 counts, 0 is ignored. Each mask has five places that count.
+#: 1 counts, 0 is ignored. Each mask has five places that count. Items of fewer tokens have one
+#: seed, the whole item; texts are hashed by such a mask only if there are items of its length.
 MASKS = ("11111", "1101011", "110010011", "1010110001")
+SHORT = ("1", "11", "111", "1111")
 #: log2 of the bits of the filter that hashes of training texts pass before they are joined:
 #: 2 MB whatever the benchmark's size; a fuller filter lets more through, never less.
 FILTER_BITS = 24
@@ -26,13 +28,13 @@ WINDOW, SHARE = 13, 0.8
 MARGIN = WINDOW
 
 
-def seeds(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def seeds(tokens: np.ndarray, offsets: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and position of every mask at every place where it fits into one text."""
     n = len(tokens)
     end = np.repeat(offsets[1:], np.diff(offsets))
     at = np.arange(n)
     hashes, places = [], []
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
         if n < len(mask):
             continue
         total = np.zeros(n - len(mask) + 1, np.uint64)
@@ -40,7 +42,7 @@ def seeds(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             if x == "1":
                 total = total * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + len(total)]
         fits = at[: len(total)] + len(mask) <= end[: len(total)]
-        hashes.append(mix64(total[fits] + np.uint64(k + 1)))
+        hashes.append(mix64(total[fits] + np.uint64(int(mask, 2))))
         places.append(at[: len(total)][fits])
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -65,14 +67,19 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1):
                 tokens, offsets = word_hashes(*utf8_buffers(part.column(1)), ALNUM)
-                hashes, places = seeds(tokens, offsets)
-                owner = np.searchsorted(offsets, places, side="right") - 1
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(owner)), pa.array(places - offsets[owner], pa.int64()), pa.array(hashes.view(np.int64))],
-                    names=["item", "item_at", "seed"],
-                )
+                for mask in (*MASKS, *SHORT):
+                    hashes, places = seeds(tokens, offsets, (mask,))
+                    owner = np.searchsorted(offsets, places, side="right") - 1
+                    if mask in SHORT:  # for items of this length only
+                        whole = np.diff(offsets)[owner] == len(mask)
+                        hashes, places, owner = hashes[whole], places[whole], owner[whole]
+                    length = np.full(len(owner), len(mask) if mask in SHORT else 0, np.int32)
+                    yield pa.record_batch(
+                        [part.column(0).take(pa.array(owner)), pa.array(places - offsets[owner], pa.int64()), pa.array(hashes.view(np.int64)), pa.array(length)],
+                        names=["item", "item_at", "seed", "short"],
+                    )
 
-    return items.select("item", "text").mapInArrow(run, "item long, item_at long, seed long").distinct()
+    return items.select("item", "text").mapInArrow(run, "item long, item_at long, seed long, short int").distinct()
 
 
 def item_tokens(items: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def doc_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.sha2("text", 256)))
 
 
-def regions(docs: DataFrame, bits) -> DataFrame:
+def regions(docs: DataFrame, bits, masks: tuple[str, ...]) -> DataFrame:
     """Groups of nearby seeds that pass the filter: doc_key, tokens around them, where these
     begin in the text, and the seeds with their positions."""
 
@@ -114,7 +121,7 @@ def regions(docs: DataFrame, bits) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1):
                 tokens, offsets = word_hashes(*utf8_buffers(part.column(1)), ALNUM)
-                hashes, places = seeds(tokens, offsets)
+                hashes, places = seeds(tokens, offsets, masks)
                 keep = passes(bits.value, hashes)
                 hashes, places = hashes[keep], places[keep]
                 order = np.argsort(places, kind="stable")
@@ -171,8 +178,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
 
     A passage is ``WINDOW`` aligned tokens (all of a shorter item) of which at least
     ``share`` agree; tokens are runs of letters and digits with ASCII letters in lower case.
-    Items of fewer than five tokens carry no seed and are never found; so are documents
-    without text. Every row of ``items`` is compared with its own text, whatever its id: rows
+    Items without tokens are never found; so are documents without text. Every row of ``items`` is compared with its own text, whatever its id: rows
     of one item_id count together, and those of null item_id under null. Rows of one doc_id
     count together too; documents of null doc_id are told apart by their texts.
     """
@@ -180,15 +186,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     texts = staged(texts.withColumn("item", F.monotonically_increasing_id()), "items")
     found = staged(item_seeds(texts), "item-seeds")
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(found))
-    near = staged(regions(docs.where("text IS NOT NULL"), bits).withColumn("region", F.monotonically_increasing_id()), "leak-regions")
+    short = sorted(r[0] for r in found.where("short > 0").select("short").distinct().collect())  # four values at most
+    masks = (*MASKS, *(SHORT[n - 1] for n in short))
+    near = staged(regions(docs.where("text IS NOT NULL"), bits, masks).withColumn("region", F.monotonically_increasing_id()), "leak-regions")
     hits = near.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("region", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-    lines = hits.join(found, "seed").select("region", "item", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
-    pairs = (
-        near.select("region", "start", "tokens")
-        .join(lines, "region")
-        .join(item_tokens(texts), "item")
-        .select("region", "item", "start", "tokens", "shift", "item_tokens")
-    )
+    # a passage may be in a third of all texts: its seeds and its item are dealt over several tasks
+    lines = staged(skew_join(hits, found.drop("short"), "seed").select("region", "item", (F.col("place") - F.col("item_at")).alias("shift")).distinct(), "leak-lines")
+    pairs = skew_join(lines, item_tokens(texts), "item").join(near.select("region", "start", "tokens"), "region").select("region", "item", "start", "tokens", "shift", "item_tokens")
     checked = pairs.mapInArrow(verify, "region long, item long, matched long, width long")
     kept = checked.where((F.col("matched") >= F.ceil(F.col("width") * share)) & (F.col("width") > 0))
     named = kept.join(near.select("region", "doc_key"), "region").join(texts.select("item", "item_id"), "item")
