@@ -54,12 +54,15 @@ def encode_texts(path: str, texts: list[str], end_id: int) -> list[np.ndarray]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, sample_docs: int, sample_chars: int, size: int) -> bytes:
-    """A dictionary from at most ``sample_docs`` documents, the ones of smallest id hash, at
-    most ``sample_chars`` characters of each: a bounded sample, as the dictionary only sets
-    how well files compress. Too few samples to train on give an empty dictionary."""
+    """A dictionary from at most ``sample_docs`` documents, the ones of smallest id hash, and of
+    each one piece of at most ``sample_chars`` characters from a place that the hash gives: a
+    bounded sample, as the dictionary only sets how well files compress. Too few samples to
+    train on give an empty dictionary."""
     keyed = docs.withColumn("h", F.xxhash64("doc_id"))
     lowest = keyed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    rows = keyed.where(F.col("h") <= F.lit(lowest)).select("h", F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("t")).limit(sample_docs).collect()
+    text = F.coalesce("text", F.lit(""))
+    start = F.pmod(F.col("h"), F.greatest(F.length(text) - sample_chars + 1, F.lit(1))) + 1
+    rows = keyed.where(F.col("h") <= F.lit(lowest)).select("h", F.substr(text, start.cast("int"), F.lit(sample_chars)).alias("t")).limit(sample_docs).collect()
     rows.sort()
     samples = [x.tobytes() for x in encode_texts(tokenizer_path, [r["t"] for r in rows], end_id)]
     try:
@@ -129,8 +132,8 @@ def write_token_files(
     docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0, level: int = 3, sample_docs: int = 512,
     sample_chars: int = 4000, dictionary_bytes: int = 32_768,
 ) -> tuple[list[tuple[str, int, int]], bytes]:
-    """Writes ``docs`` (doc_id, text) in ascending doc_id order (ties by text, null ids first)
-    under ``out``: (file, documents, ids) per file in order, and the dictionary.
+    """Writes ``docs`` (doc_id, text) in ascending doc_id order (ties by text, null ids
+    first) under ``out``: (file, documents, ids) per file in order, and the dictionary.
 
     A null text is empty. Every attempt of a task writes a file of its own name; only the
     names that tasks report are listed, so lost executors leave no wrong file behind. The
@@ -141,7 +144,7 @@ def write_token_files(
     dtype = encoder(tokenizer_path).dtype
 
     def encoded(batches):
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, model=True)):
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batches_of(texts):
@@ -158,7 +161,10 @@ def write_token_files(
         write_atomically(name, file_blocks(encoded(batches), dictionary, dtype, level, index, total))
         yield pa.record_batch([pa.array([x]) for x in (part, name, index[0], total[0])], names=["part", "file", "docs", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are laid by sampled keys, which the driver gets: the first characters of a text are
+    # enough there, as whole texts sort the rows of a range
+    keyed = docs.select(F.col("doc_id").cast("long"), "text")
+    ordered = keyed.repartitionByRange("doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(write, "part long, file string, docs long, ids long").collect()
     return [(r["file"], r["docs"], r["ids"]) for r in sorted(rows, key=lambda r: r["part"]) if r["docs"]], dictionary
 
