@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of one Arrow batch between Spark and Python at most.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -218,8 +218,8 @@ def trim() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1_900_000, model: bool = False):
-    """Zero-copy slices of a batch with about ``most`` bytes of text each.
+def slices(batch: pa.RecordBatch, column: int, most: int = 1_200_000, model: bool = False, rows: int = 4000):
+    """Zero-copy slices of a batch with about ``most`` bytes of text and ``rows`` rows at most each.
 
     Unless the caller works with a resident ``model``, one left by another stage is freed.
     """
@@ -229,7 +229,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1_900_000, model: boo
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         held += n
-        if held >= most:
+        if held >= most or i + 1 - start == rows:
             yield batch.slice(start, i + 1 - start)
             start, held = i + 1, 0
     if start < len(sizes):

@@ -269,10 +269,11 @@ def open_regions(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.join(several.select("region"), "region", "left_semi")
 
 
-def window_pairs(rows: DataFrame, measured: DataFrame, chosen: DataFrame, pivots: int | None) -> DataFrame:
-    """(a, b) to be compared next in the open regions ``rows``: at most ``pivots`` members, or
-    all, against the members of other components whose sizes and count vectors allow a link
-    and that lie in the triangle window where both have the same first pivot."""
+def window_pairs(rows: DataFrame, measured: DataFrame, chosen: DataFrame, pivots: int | None) -> tuple[DataFrame, DataFrame]:
+    """(a, b) to be compared next in the open regions ``rows``, and the regions that have more:
+    at most ``pivots`` members, or all, against the members of other components whose sizes and
+    count vectors allow a link and that lie in the triangle window where both have the same
+    first pivot. Regions with few such pairs give them all at once."""
     known = F.when(F.col("pivot") == F.col("sid"), 0.0).otherwise(F.coalesce("distance", F.lit(-1.0)))
     joined = rows.join(chosen.select("sid", "counts"), "sid").join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "distance"), ["pivot", "sid"], "left")
     member = F.struct("at", "sid", "n", "indexed", "pivot", "part", known.alias("distance"), "counts")
@@ -281,23 +282,32 @@ def window_pairs(rows: DataFrame, measured: DataFrame, chosen: DataFrame, pivots
 
     def run(batches):
         for batch in batches:
-            left, right = [], []
+            left, right, more = [], [], []
             vectors = batch.column(6)
             for row, members in enumerate(lists(batch, ("sid", "n", "indexed", "pivot", "part", "distance"))):
                 x = np.frombuffer(b"".join(vectors[row].as_py()), np.uint8).reshape(-1, CLASSES).astype(np.int16)
-                a, b = near_members(*members, x, pivots)
+                a, b, whole = near_members(*members, x, pivots)
                 left.append(a)
                 right.append(b)
-            yield pairs_of(left, right)
+                if not whole:
+                    more.append(batch.column(7)[row].as_py())
+            pairs = pairs_of(left, right)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.record_batch([pairs.column(0), pairs.column(1), none], names=["a", "b", "region"])
+            none = pa.nulls(len(more), pa.int64())
+            yield pa.record_batch([none, none, pa.array(more, pa.int64())], names=["a", "b", "region"])
 
-    return again.select(*fields).mapInArrow(run, "a long, b long").distinct()
+    found = staged(again.select(*fields, "region").mapInArrow(run, "a long, b long, region long"), "windows")
+    return found.where("region IS NULL").select("a", "b").distinct(), found.where("region IS NOT NULL").select("region")
 
 
-def near_members(sid, n, indexed, pivot, part, distance, x, pivots: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller set, larger set) of the pivots and the members near them.
+def near_members(sid, n, indexed, pivot, part, distance, x, pivots: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs (smaller set, larger set) of the pivots and the members near them, and whether
+    these are all pairs of the region.
 
-    Members are ordered by size. If ``pivots`` is None all are pivots. Otherwise those are
-    chosen, one after the other, that have most near members not yet near a chosen one.
+    Members are ordered by size. If ``pivots`` is None all are pivots, also if there are few
+    pairs in all. Otherwise those are chosen, one after the other, that have most near members
+    not yet near a chosen one.
     """
 
     def partners(i: int) -> np.ndarray:
@@ -307,9 +317,11 @@ def near_members(sid, n, indexed, pivot, part, distance, x, pivots: int | None)
         j = j[marked & (part[j] != part[i]) & ~far & (pivot[j] != sid[i]) & (pivot[i] != sid[j])]
         return j[may_link(x[j], x[i], n[j] + n[i])]
 
-    if pivots is None:
+    whole = pivots is None or len(sid) <= TRIED
+    if whole:
         found = [(i, (j := partners(i))[j > i]) for i in np.flatnonzero(indexed).tolist()]
-    else:
+        whole = pivots is None or sum(len(j) for _, j in found) <= pivots * len(sid)
+    if not whole:
         tried = np.argsort(mix64(sid.view(np.uint64)))[:TRIED].tolist()
         near = {i: partners(i) for i in tried}
         covered, found = np.zeros(len(sid), bool), []
@@ -323,7 +335,7 @@ def near_members(sid, n, indexed, pivot, part, distance, x, pivots: int | None)
     none = np.zeros(0, np.int64)
     i = np.concatenate([none, *(np.full(len(j), i) for i, j in found)])
     j = np.concatenate([none, *(j for _, j in found)])
-    return sid[np.minimum(i, j)], sid[np.maximum(i, j)]
+    return sid[np.minimum(i, j)], sid[np.maximum(i, j)], whole
 
 
 def band_pivots(big: DataFrame) -> DataFrame:
@@ -488,19 +500,18 @@ def document_roots(docs: DataFrame) -> DataFrame:
     parts = components(measured.where("linked").select("a", "b"))
     rows = staged(open_regions(member_rows(found), parts), "open-regions")
     for pivots in (MORE, None):
-        pairs = window_pairs(rows, measured, chosen, pivots)
+        pairs, more = window_pairs(rows, measured, chosen, pivots)
         if any_big:
             wide = labelled(big, parts)
-            more = block_pairs(wide, measured, chosen) if pivots is None else further_pairs(wide)
-            pairs = pairs.unionAll(near_pairs(more, chosen)).distinct()
+            beyond = block_pairs(wide, measured, chosen) if pivots is None else further_pairs(wide)
+            pairs = pairs.unionAll(near_pairs(beyond, chosen)).distinct()
         pairs = staged(pairs, "open-pairs")
-        if pairs.isEmpty():
-            continue
-        new = compare(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
-        measured = measured.unionAll(new)
-        parts = components(measured.where("linked").select("a", "b"))
+        if not pairs.isEmpty():
+            new = compare(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
+            measured = measured.unionAll(new)
+            parts = components(measured.where("linked").select("a", "b"))
         if pivots is not None:
-            rows = staged(open_regions(rows.drop("part"), parts), "open-regions")
+            rows = staged(open_regions(rows.drop("part").join(more, "region", "left_semi"), parts), "open-regions")
     named = held.select("doc_id", "text_key", "n", "sid")
     linked = skew_join(named.where("n > 0"), staged(parts, "parts").withColumnRenamed("node", "sid"), "sid", "left")
     linked = linked.select("doc_id", "text_key", "n", F.coalesce("component", "sid").alias("root"))

@@ -23,19 +23,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import BYTE_VALUE, prefix_sums, slices, spans_of, staged, trim, utf8_buffers
+from loamlog.llm.common import BYTE_VALUE, HOT, LEAST, SPACE, free_name, prefix_sums, release, runs, skew_join, slices, span_hashes, spans_of, staged, trim, utf8_buffers
 
+#: Bytes of a repeat; other lengths are a parameter of the functions.
 WINDOW = 400
 GRAM = 32
-#: Bytes of a symbol, and symbols in the part that all eight windows around a symbol share.
+#: Bytes of a symbol; the part that all eight windows around a symbol share has ``window // SYMBOL - 1``.
 SYMBOL = 8
-DEPTH = WINDOW // SYMBOL - 1
 #: Window starts looked at together: a longer text is worked through in overlapping pieces.
 PIECE = 1_000_000
 #: Symbols of a shard whose transform is built by sorting.
 SHARD = 200_000
-#: Different extents of an anchor, of under 800 bytes each, that one task merges at most.
+#: Different extents of an anchor, of under two windows each, that one task merges at most.
 KINDS = 4096
+#: Words of a passage that is always reported as shared, and words below which none is.
+PASSAGE, PART = 50, 40
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,14 +55,14 @@ def gram_hashes(sums: np.ndarray) -> np.ndarray:
     return spans_of(sums, at, at + GRAM)
 
 
-def extents(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+def extents(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Owner, first start, number of starts, anchor hash, content hash of all extents."""
-    if len(raw) < WINDOW:
+    if len(raw) < window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = prefix_sums(BYTE_VALUE[raw])
     grams = gram_hashes(sums)
-    least = sliding_minimum(grams, WINDOW - GRAM + 1)
-    last = np.maximum(offsets[1:] - WINDOW, offsets[:-1] - 1)  # last start in each text
+    least = sliding_minimum(grams, window - GRAM + 1)
+    last = np.maximum(offsets[1:] - window, offsets[:-1] - 1)  # last start in each text
     edge = np.zeros(len(least) + 1, np.int32)
     some = last >= offsets[:-1]
     np.add.at(edge, offsets[:-1][some], 1)
@@ -76,19 +78,19 @@ def extents(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     # a run that begins in a text ends with that text's last start at the latest
     owner = np.searchsorted(offsets, first, side="right") - 1
     stop = np.minimum(stop, last[owner] + 1)
-    return owner, first, stop - first, least[first], spans_of(sums, first, stop - 1 + WINDOW)
+    return owner, first, stop - first, least[first], spans_of(sums, first, stop - 1 + window)
 
 
-def pieces(text: pa.Array):
+def pieces(text: pa.Array, window: int = WINDOW):
     """(row, place of the piece in its text, bytes) with overlaps for windows across cuts."""
     raw, offsets = utf8_buffers(text)
     for i in range(len(offsets) - 1):
         own = raw[offsets[i] : offsets[i + 1]]
-        for a in range(0, max(1, len(own) - WINDOW + 1), PIECE):
-            yield i, a, own[a : a + PIECE + WINDOW - 1]
+        for a in range(0, max(1, len(own) - window + 1), PIECE):
+            yield i, a, own[a : a + PIECE + window - 1]
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, start, starts, anchor, extent: one row per extent of every text."""
 
     def run(batches):
@@ -99,9 +101,9 @@ def anchors(docs: DataFrame) -> DataFrame:
                     if len(raw) <= 2 * PIECE:
                         groups = [(np.arange(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64), raw, offsets)]
                     else:
-                        groups = ((np.array([i]), np.array([a]), p, np.array([0, len(p)])) for i, a, p in pieces(part.column(2)))
+                        groups = ((np.array([i]), np.array([a]), p, np.array([0, len(p)])) for i, a, p in pieces(part.column(2), window))
                     for rows, shift, data, off in groups:
-                        owner, start, count, anchor, extent = extents(data, off)
+                        owner, start, count, anchor, extent = extents(data, off, window)
                         take = pa.array(rows[owner])
                         yield pa.record_batch(
                             [
@@ -114,7 +116,7 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, start long, starts int, anchor long, extent long")
 
 
-def extent_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def extent_bytes(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
     """anchor, extent, n, starts, bytes of the wanted extents, cut out of their texts."""
     lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "starts", "anchor", "extent", "n")).alias("cuts"))
     found = docs.join(lists, (docs.doc_id.eqNullSafe(lists.doc_id)) & (docs.text_key == lists.text_key)).select("text", "cuts")
@@ -129,7 +131,7 @@ def extent_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(part)), np.diff(cuts.offsets.to_numpy()))
                 a = offsets[owner] + starts
                 data = raw.tobytes()
-                rows = [data[i : i + n + WINDOW - 1] for i, n in zip(a.tolist(), counts.tolist(), strict=True)]
+                rows = [data[i : i + n + window - 1] for i, n in zip(a.tolist(), counts.tolist(), strict=True)]
                 yield pa.record_batch(
                     [flat.field("anchor"), flat.field("extent"), flat.field("n"), flat.field("starts"), pa.array(rows, pa.binary())],
                     names=["anchor", "extent", "n", "starts", "bytes"],
@@ -222,11 +224,14 @@ def anchor_places(grams: np.ndarray, base: np.ndarray, sizes: np.ndarray, counts
     return at[hit[np.searchsorted(hit, inner[:-1])]] - base
 
 
-def repeated_starts(data: list[bytes], counts: np.ndarray, anchor: np.ndarray, copies: np.ndarray, shard: int = SHARD) -> list[np.ndarray]:
+def repeated_starts(
+    data: list[bytes], counts: np.ndarray, anchor: np.ndarray, copies: np.ndarray, shard: int = SHARD, window: int = WINDOW
+) -> list[np.ndarray]:
     """Of each extent the window starts whose window occurs again in any of the extents.
 
     ``counts`` are the extents' window starts, ``copies`` how often an extent occurs.
     """
+    depth = window // SYMBOL - 1
     sizes = np.array([len(x) for x in data], np.int64)
     base = np.cumsum(sizes) - sizes
     joined = b"".join(data)
@@ -253,12 +258,12 @@ def repeated_starts(data: list[bytes], counts: np.ndarray, anchor: np.ndarray, c
         suffixes.append(order + cut[a])
         transforms.append(before)
         closings.append(b - a)
-    source, common = merge_transforms(transforms, closings, DEPTH)
+    source, common = merge_transforms(transforms, closings, depth)
     at = np.empty(len(source), np.int64)
     at[np.argsort(source, kind="stable")] = np.arange(len(source))
     suffix = np.concatenate(suffixes)[at]
-    group = np.cumsum(common < DEPTH)  # suffixes with a common prefix of DEPTH symbols
-    shared = (common >= DEPTH) | np.append(common[1:] >= DEPTH, False)
+    group = np.cumsum(common < depth)  # suffixes with a common prefix of depth symbols
+    shared = (common >= depth) | np.append(common[1:] >= depth, False)
     suffix, group = suffix[shared], group[shared]
     flags = [np.zeros(0, np.int64)] * len(data)
     owners, found = [], []
@@ -269,7 +274,7 @@ def repeated_starts(data: list[bytes], counts: np.ndarray, anchor: np.ndarray, c
         if not len(own):
             continue
         mask = np.uint64((1 << (8 * t)) - 1)
-        edge = (load(joined, base[own] + begin) & mask) | (load(joined, base[own] + begin + WINDOW - SYMBOL) & ~mask)
+        edge = (load(joined, base[own] + begin) & mask) | (load(joined, base[own] + begin + window - SYMBOL) & ~mask)
         order = np.lexsort((edge, g))
         g, edge = g[order], edge[order]
         new = np.ones(len(order), bool)
@@ -288,7 +293,7 @@ def repeated_starts(data: list[bytes], counts: np.ndarray, anchor: np.ndarray, c
     return [np.arange(counts[i]) if copies[i] > 1 else f for i, f in enumerate(flags)]
 
 
-def merged(cut_out: DataFrame) -> DataFrame:
+def merged(cut_out: DataFrame, window: int = WINDOW) -> DataFrame:
     """anchor, extent, lo, hi: runs [lo, hi] of repeated starts in extents that occur once."""
 
     def run(batches):
@@ -298,7 +303,7 @@ def merged(cut_out: DataFrame) -> DataFrame:
             counts = table.column("starts").to_numpy().astype(np.int64)
             copies = table.column("n").to_numpy()
             anchor = table.column("anchor").to_numpy()
-            flags = repeated_starts(data, counts, anchor, copies)
+            flags = repeated_starts(data, counts, anchor, copies, window=window)
             rows, lo, hi = [], [], []
             for i, f in enumerate(flags):
                 if len(f) and copies[i] == 1:
@@ -311,11 +316,13 @@ def merged(cut_out: DataFrame) -> DataFrame:
                 [pa.array(anchor).take(take), table.column("extent").combine_chunks().take(take), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
                 names=["anchor", "extent", "lo", "hi"],
             )
+            del table, data, flags
+        release()
 
     return cut_out.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, extent long, lo long, hi long")
 
 
-def hashed_windows(batches, blocks_only: bool):
+def hashed_windows(batches, blocks_only: bool, window: int = WINDOW):
     """Of each extent (anchor, extent, n, starts, bytes) its blocks or, of the blocks listed in
     a sixth column, its windows: anchor, extent, n, at (block or start), hash.
 
@@ -336,7 +343,7 @@ def hashed_windows(batches, blocks_only: bool):
                 many = last - first + 1
                 row = np.repeat(np.arange(len(counts)), many)
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[row]
-                begin, length = place[row] - at * SYMBOL, WINDOW - SYMBOL + 1
+                begin, length = place[row] - at * SYMBOL, window - SYMBOL + 1
             else:
                 lists = part.column(5)
                 row = np.repeat(np.arange(len(counts)), np.diff(lists.offsets.to_numpy()) * SYMBOL)
@@ -344,7 +351,7 @@ def hashed_windows(batches, blocks_only: bool):
                 at = place[row] - block * SYMBOL - np.tile(np.arange(SYMBOL), len(block) // SYMBOL)
                 inside = (at >= 0) & (at < counts[row])
                 row, at = row[inside], at[inside]
-                begin, length = at, WINDOW
+                begin, length = at, window
             hashes = spans_of(sums, base[row] + begin, base[row] + begin + length)
             take = pa.array(row)
             yield pa.record_batch(
@@ -353,22 +360,22 @@ def hashed_windows(batches, blocks_only: bool):
             )
 
 
-def aggregated(cut_out: DataFrame) -> DataFrame:
+def aggregated(cut_out: DataFrame, window: int = WINDOW) -> DataFrame:
     """As ``merged``, for anchors of very many extents: counts by partial aggregation only."""
     schema = "anchor long, extent long, n long, at long, hash long"
     held = staged(cut_out, "hot-extents")
-    blocks = held.mapInArrow(lambda batches: hashed_windows(batches, True), schema)
+    blocks = held.mapInArrow(lambda batches: hashed_windows(batches, True, window), schema)
     twice = lambda rows, *keys: rows.groupBy(*keys).agg(F.sum("n").alias("total")).where("total > 1").drop("total")
     open_blocks = blocks.join(twice(blocks, "anchor", "at", "hash"), ["anchor", "at", "hash"]).groupBy("anchor", "extent").agg(F.collect_set("at").alias("blocks"))
     windows = held.join(open_blocks, ["anchor", "extent"]).select("anchor", "extent", "n", "starts", "bytes", "blocks")
-    windows = staged(windows.mapInArrow(lambda batches: hashed_windows(batches, False), schema), "hot-windows")
+    windows = staged(windows.mapInArrow(lambda batches: hashed_windows(batches, False, window), schema), "hot-windows")
     again = windows.where("n = 1").join(twice(windows, "anchor", "hash"), ["anchor", "hash"]).select("anchor", "extent", "at")
-    # an extent has under 400 windows
+    # an extent has fewer windows than a window has bytes
     island = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "extent").orderBy("at"))
     return again.withColumn("island", island).groupBy("anchor", "extent", "island").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("anchor", "extent", "lo", "hi")
 
 
-def by_anchor(batches, most: int = 2_500_000):
+def by_anchor(batches, most: int = 1_500_000):
     """Tables of whole anchors with about ``most`` bytes each, from batches sorted by anchor."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -405,25 +412,33 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text_key, spans: for texts with repeats, the runs [lo, hi] of repeated starts."""
     text = keyed(docs)
-    rows = staged(anchors(text), "extents")
+    rows = staged(anchors(text, window), "extents")
     each = rows.groupBy("anchor", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "starts")).alias("one"))
     each = staged(each, "extent-counts")
     many = each.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = each.join(many, "anchor").select("anchor", "extent", "n", "one.*", "kinds")
-    part = merged(extent_bytes(text, wanted.where(F.col("kinds") <= KINDS)))
+    part = merged(extent_bytes(text, wanted.where(F.col("kinds") <= KINDS), window), window)
     hot = staged(wanted.where(F.col("kinds") > KINDS), "hot-wanted")
     if not hot.isEmpty():
-        part = part.unionAll(aggregated(extent_bytes(text, hot)))
+        part = part.unionAll(aggregated(extent_bytes(text, hot, window), window))
     whole = each.where("n > 1").select("anchor", "extent", F.lit(0).cast("long").alias("lo"), (F.col("one.starts") - 1).cast("long").alias("hi"))
     again = staged(whole.unionAll(part), "repeats")
-    spans = rows.join(again, ["anchor", "extent"]).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    # one extent may be in a third of all texts, so its rows are dealt over several tasks
+    key = F.xxhash64("anchor", "extent")
+    spans = skew_join(rows.withColumn("key", key), again.withColumn("key", key).drop("anchor", "extent"), "key", hot=hot_extents(each)).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     return spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def remaining(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+def hot_extents(each: DataFrame) -> list:
+    """Keys of the extents with more than 1 / HOT of all places, fewer than HOT of them."""
+    total = each.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in each.where(F.col("n") > max(total // HOT, LEAST)).select(F.xxhash64("anchor", "extent")).collect()]
+
+
+def remaining(data: bytes, spans: list[tuple[int, int]], window: int = WINDOW) -> tuple[bytes, int]:
     """The bytes outside all windows with starts in the runs, and the number of removed runs."""
     out, at, runs = [], 0, 0
     end = None
@@ -431,46 +446,102 @@ def remaining(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
         if end is None or lo > end:
             out.append(data[at:lo])
             runs += 1
-        end = hi + WINDOW if end is None else max(end, hi + WINDOW)
+        end = hi + window if end is None else max(end, hi + window)
         at = end
     out.append(data[at:])
     return b"".join(out), runs
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``_spans`` (null where nothing repeats)."""
-    spans = staged(repeated_spans(docs), "spans").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans"))
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(spans, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (key == F.col("_key")), "left").drop("_doc", "_key")
+def with_spans(docs: DataFrame, window: int, into: str) -> DataFrame:
+    """``docs`` plus ``into``, the runs of repeated starts (null where nothing repeats)."""
+    doc, key = free_name("doc", [*docs.columns, into]), free_name("key", [*docs.columns, into])
+    spans = staged(repeated_spans(docs, window), "spans").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(into))
+    text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(spans, (F.col("doc_id").cast("long").eqNullSafe(F.col(doc))) & (text_key == F.col(key)), "left").drop(doc, key)
+
+
+def chosen_grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the PART-word strings chosen in each text of PASSAGE words and more: in
+    every PASSAGE words in a row the one of least hash, so equal passages choose equal ones."""
+    raw, offsets = utf8_buffers(column)
+    starts, ends = runs(~SPACE[raw], offsets)
+    at = np.searchsorted(starts, offsets)
+    sums = prefix_sums(span_hashes(raw, starts, ends))
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(starts) < PASSAGE:
+        return none
+    place = np.arange(len(starts) - PART + 1)
+    grams = spans_of(sums, place, place + PART)
+    width = PASSAGE - PART + 1
+    least = sliding_minimum(grams, width)
+    text = np.searchsorted(at, place, side="right") - 1
+    least[place[: len(least)] + PASSAGE > at[text[: len(least)] + 1]] = 0  # windows that leave their text
+    most = ~sliding_minimum(~np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width)
+    take = (most == grams) & (most > 0)
+    return text[take], grams[take]
+
+
+def sharing_texts(docs: DataFrame) -> DataFrame:
+    """text_key of the texts that share a passage with another text or are held more than once.
+
+    All passages of PASSAGE words and more are found, none of fewer than PART words; words are
+    runs of bytes other than white space. Repeats within one text do not count.
+    """
+    text = keyed(docs)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                row, gram = chosen_grams(part.column(1))
+                yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array(gram.view(np.int64))], names=["text_key", "gram"])
+
+    rows = staged(text.select("text_key", "text").mapInArrow(run, "text_key long, gram long"), "grams")
+    by_gram = rows.groupBy("gram").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n"))
+    shared = staged(by_gram.where("lo < hi").select("gram"), "shared-grams")
+    found = skew_join(rows, shared, "gram").select("text_key").distinct()
+    long = F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))) >= PASSAGE
+    copies = text.groupBy("text_key").agg(F.count("*").alias("n"), F.any_value(long).alias("long")).where("n > 1 AND long").select("text_key")
+    return found.unionAll(copies).distinct()
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage.
 
     Texts are UTF-8 bytes (null: empty). Removed is every byte covered by a string of WINDOW
     bytes that also starts anywhere else in the input. Texts shorter than that lose nothing;
-    copies of a longer text lose everything, repeated rows included.
+    copies of a longer text lose everything, repeated rows included. ``shares_passage`` tells
+    whether another document has a passage of PASSAGE words of this one, which may be shorter
+    than WINDOW bytes and then stays.
     """
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, text, spans, shares in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode()
                 kept, n = remaining(data, [(s["lo"], s["hi"]) for s in spans or ()])
-                out.append((doc_id, len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                out.append((doc_id, len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), shares))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.string()], strict=True)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.string(), pa.bool_()], strict=True)],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"],
             )
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return with_spans(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "text", "_spans").mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean"
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    text = keyed(docs)
+    sharing = staged(sharing_texts(docs), "sharing")
+    marks = staged(skew_join(staged(text.select("doc_id", "text_key"), "text-keys"), sharing, "text_key").distinct(), "marks")
+    spans = staged(repeated_spans(docs), "spans")
+    spans = spans.join(marks.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "full")
+    spans = staged(spans.select(F.coalesce("doc_id", "d").alias("_doc"), F.coalesce("text_key", "k").alias("_key"), "spans", F.col("k").isNotNull().alias("shares")), "spans-and-marks")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    return rows.join(spans, same, "left").select("doc_id", "text", "spans", F.coalesce("shares", F.lit(False)).alias("shares")).mapInArrow(run, schema)
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated bytes cut out of ``text``; all columns stay.
+def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with repeated bytes, of strings of ``window`` bytes, cut out of ``text``; all
+    columns stay.
 
     Cuts that fall inside a character leave its other bytes out as well. A text that was
     not empty and of which nothing is left goes.
@@ -483,10 +554,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             texts = []
             for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(at).to_pylist(), strict=True):
                 if spans:
-                    text = remaining(text.encode(), [(s["lo"], s["hi"]) for s in spans])[0].decode("utf-8", "ignore") or None
+                    text = remaining(text.encode(), [(s["lo"], s["hi"]) for s in spans], window)[0].decode("utf-8", "ignore") or None
                 texts.append(text)
             gone = [bool(s) and t is None for s, t in zip(batch.column(at).to_pylist(), texts, strict=True)]
             columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(at)]
             yield pa.record_batch(columns, names=names).filter(pa.array([not g for g in gone], pa.bool_()))
 
-    return with_spans(docs).select(*names, "_spans").mapInArrow(run, docs.schema)
+    into = free_name("spans", names)
+    return with_spans(docs, window, into).select(*names, into).mapInArrow(run, docs.schema)
