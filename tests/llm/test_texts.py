@@ -292,8 +292,8 @@ def test_planted_passages_are_found_and_clean_documents_stay(spark, edges):
     docs = spark.createDataFrame([*clean, *dirty, (400, None), (401, ""), (None, items[2][1])], "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = {r["doc_id"]: r for r in decontamination.flag_documents(docs, bench).collect()}
-    assert {d for d, r in rows.items() if r["leaked"]} == {d for d, _ in dirty}
-    assert {r["doc_id"] for r in decontamination.drop_leaks(docs, bench).collect()} == {d for d, _ in clean} | {400, 401, None}
+    assert {d for d, r in rows.items() if r["leaked"]} == {d for d, _ in dirty} | {None}
+    assert {r["doc_id"] for r in decontamination.drop_leaks(docs, bench).collect()} == {d for d, _ in clean} | {400, 401}
     assert decontamination.flag_documents(edges, bench).where("leaked").count() == 0
     assert decontamination.drop_leaks(edges, bench).columns == edges.columns
 
@@ -309,6 +309,47 @@ def test_leaks_of_null_and_repeated_ids_are_found(spark):
     assert Counter(tuple(r) for r in decontamination.drop_leaks(docs, bench).collect()) == Counter(rows[5:])
 
 
+def leaked_by_force(text, items):
+    """Items of which some window of 13 tokens (all of a shorter item) agrees in 80 of 100 places
+    with a window of the text, one of the masks at least fitting into the agreement."""
+    words = lambda t: [w.lower() for w in re.findall(r"[A-Za-z0-9\x80-\uffff]+", t or "")]
+    a, out = words(text), set()
+    for i, t in items:
+        b = words(t)
+        width = min(13, len(b))
+        for x in range(len(a) - width + 1):
+            for y in range(len(b) - width + 1):
+                same = [a[x + k] == b[y + k] for k in range(width)]
+                if width and sum(same) >= -(-width * 4 // 5):
+                    s = "".join("01"[v] for v in same)
+                    masks = decontamination.MASKS if len(b) >= 5 else ("1" * len(b),)
+                    if any(all(m == "0" or v == "1" for m, v in zip(mask, s[o:], strict=False)) for mask in masks for o in range(width - len(mask) + 1)):
+                        out.add(i)
+    return out
+
+
+def test_leaks_against_all_windows(spark):
+    """Random texts over few words, items of all lengths: every window pair is compared."""
+    rng = random.Random(77)
+    few = [f"w{k}" for k in range(40)]
+    items = [(i, prose(rng, n, few)) for i, n in enumerate((1, 2, 3, 4, 5, 7, 12, 13, 14, 25, 40))] + [(50, None), (51, "!?")]
+    docs = []
+    for d in range(60):
+        words = prose(rng, 60, few).split()
+        if d % 2:
+            source = items[rng.randrange(3, 11)][1].split()
+            for k in range(len(source)):
+                if rng.random() < 0.15:
+                    source[k] = rng.choice(few)
+            words[20:20] = source
+        docs.append((d, " ".join(words)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = defaultdict(set)
+    for r in decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect():
+        got[r["doc_id"]].add(r["item_id"])
+    assert {d: got.get(d, set()) for d, _ in docs} == {d: leaked_by_force(t, items) for d, t in docs}
+
+
 def test_decontamination_of_nothing(spark, nothing, edges):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.flag_documents(nothing, none).count() == 0
@@ -340,8 +381,45 @@ def test_automaton_counts_longest_phrases():
         return phrases
 
     texts = ["abra", "cadcad", "zzz", "dabarac", "b", "racabra" * 20]
-    phrases, sizes, letters = parser.count(texts)
-    assert phrases[:, 0].tolist() == [greedy(t) for t in texts] and sizes.tolist() == [len(t) for t in texts]
+    ends, sizes, letters, _ = parser.count(texts)
+    assert (ends[:, 0] + 1).tolist() == [greedy(t) for t in texts] and sizes.tolist() == [len(t) for t in texts]
+
+
+def test_phrases_go_on_over_lanes_and_parts(monkeypatch):
+    """Whole texts of many lanes and parts have the phrases of one greedy pass."""
+    rng = random.Random(8)
+    source = re.sub(" +", " ", "".join(rng.choice("abc ") for _ in range(900)))
+    parser = language_id.Parser((("a", (source,)),))
+    texts = ["".join(rng.choice("abcc ") for _ in range(n)).replace("  ", " ") for n in (1, 255, 256, 257, 3000, 9000)] + [source, source[100:] * 3, "abc " * 500]
+
+    def greedy(text):
+        phrases, at = 0, 0
+        while at < len(text):
+            n = 1
+            while at + n < len(text) and text[at : at + n + 1] in source:
+                n += 1
+            at += n
+            phrases += 1
+        return phrases
+
+    texts = [re.sub(" +", " ", t) for t in texts]
+    want = [greedy(t) - 1 for t in texts]
+    assert parser.count(texts)[0][:, 0].tolist() == want
+    for piece in (10, 700):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        broken = [(b or 0) * s for b, s in zip(parser.parse(texts)[2], map(len, texts), strict=True)]
+        assert np.allclose(broken, want)
+
+
+def test_languages_of_many_letters():
+    """Two scripts of some 900 letters that share their 100 commonest are told apart."""
+    rng = random.Random(12)
+    common, rest = [chr(0x4E00 + i) for i in range(100)], [[chr(0x5000 + 800 * k + i) for i in range(800)] for k in range(2)]
+    text = lambda k, n: "".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(rest[k]) for _ in range(n))
+    parser = language_id.Parser(tuple((f"l{k}", tuple(text(k, 800) for _ in range(30))) for k in range(2)))
+    tests = [(k, text(k, 120)) for k in (0, 1) for _ in range(50)]
+    found = parser.classify([t for _, t in tests])[0]
+    assert sum(f == f"l{k}" for f, (k, _) in zip(found, tests, strict=True)) > 90
 
 
 def test_languages_of_odd_rows(edges, edge_rows, nothing):
