@@ -26,24 +26,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one of smallest id; a row that repeats
+    another's id and text goes too. Texts without words are no near-duplicates."""
     return jaccard_join.keep_one(docs)
 
 
+#: Bytes of a passage that goes where it occurs again: some 50 short words.
+REPEAT = 256
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur more than once; what becomes empty goes."""
-    cut = suffix_dedup.drop_repeats(docs)
+    """Texts without the passages that occur more than once in what the stage gets, all their
+    occurrences; what becomes empty goes. Null and empty texts stay."""
+    cut = suffix_dedup.drop_repeats(docs, REPEAT)
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in cut.columns else cut
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents that hold no passage of a benchmark item; null texts hold none."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and checksums of the ids of each whole text."""
-    return sentencepiece_backend.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"))
+    """doc_id, the token ids of each whole text (null: none), whether both libraries agree on
+    them and whether they decode to the text again."""
+    out = sentencepiece_backend.encode_column(docs, tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "parity", "round_trip")
 
 
 STAGES = [
