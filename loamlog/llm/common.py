@@ -218,7 +218,7 @@ def trim() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1_200_000, model: bool = False, rows: int = 4000):
+def slices(batch: pa.RecordBatch, column: int, most: int = 900_000, model: bool = False, rows: int = 4000):
     """Zero-copy slices of a batch with about ``most`` bytes of text and ``rows`` rows at most each.
 
     Unless the caller works with a resident ``model``, one left by another stage is freed.

@@ -136,12 +136,19 @@ class Parser:
         owner = np.repeat(np.arange(len(texts)), lanes)
         at = (np.arange(lanes.sum()) - np.repeat(first_lane, lanes)) * LANE
         lane_start, lane_size = starts[owner] + at, np.minimum(sizes[owner] - at, LANE)
-        phrases = np.zeros((len(texts), len(self.tables)), np.int64)
-        ends = []
+        # longest lanes first, so that those with a symbol at a step stand in front
         order = np.argsort(-lane_size, kind="stable")
-        active = np.searchsorted(-lane_size[order], -np.arange(LANE), side="left")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        owner, lane_start, lane_size, head = owner[order], lane_start[order], lane_size[order], at[order] == 0
+        before_lane = place[np.maximum(order - 1, 0)]
+        last = np.append(head[place][1:], True)[order] if len(order) else head
+        after_lane = place[np.minimum(order + 1, len(order) - 1)] if len(order) else place
+        active = np.searchsorted(-lane_size, -np.arange(LANE), side="left")
         padded = np.append(symbols, np.zeros(LANE, np.uint8))
-        grid = padded[lane_start[None, :] + np.arange(LANE)[:, None]].astype(np.int32)
+        grid = padded[lane_start[None, :] + np.arange(LANE)[:, None]]
+        phrases = np.zeros((len(texts), len(self.tables)), np.int64)
+        ends = []
         for k, table in enumerate(self.tables):
             root = len(table) - ALPHABET
             before = np.full(len(texts), root, np.int32) if states is None else states[k]
@@ -149,18 +156,15 @@ class Parser:
             ended = np.zeros((LANE, len(owner)), np.int8)
             state = np.full(len(owner), root, np.int32)
             for step in range(int(lane_size.max(initial=0))):
-                run = order[: active[step]]
-                to = table[state[run] + grid[step, run]]
+                n = active[step]
+                to = table[state[:n] + grid[step, :n]]
                 sign = to >> 31
-                ended[step, run] = -sign
-                state[run] = met[step, run] = to ^ sign
+                ended[step, :n] = -sign
+                state[:n] = met[step, :n] = to ^ sign
             # entered anew: lanes after another one, and first lanes of texts that go on
-            entry = np.full(len(owner), root, np.int32)
-            head = at == 0
             again = np.flatnonzero(~head | (before[owner] != root))
             while len(again):
-                entry[again] = np.where(head[again], before[owner[again]], state[again - 1])
-                open_, now = again, entry[again]
+                open_, now = again, np.where(head[again], before[owner[again]], state[before_lane[again]])
                 changed = []
                 for step in range(LANE):
                     done = lane_size[open_] <= step
@@ -182,11 +186,11 @@ class Parser:
                     break
                 lane = np.concatenate([x for x, _ in changed])
                 state[lane] = np.concatenate([x for _, x in changed])
-                follows = lane[lane + 1 < len(owner)] + 1
-                again = np.sort(follows[~head[follows]])
+                again = np.unique(after_lane[lane[~last[lane]]])
             phrases[:, k] = np.bincount(owner, ended.sum(axis=0), len(texts))
-            last = first_lane + lanes - 1
-            ends.append(np.where(lanes > 0, state[np.maximum(last, 0)] if len(state) else root, before).astype(np.int32))
+            end = before.copy()
+            end[owner[last]] = state[last]
+            ends.append(end)
         letters = np.bincount(np.repeat(np.arange(len(texts)), sizes), symbols >= 2, len(texts))
         return phrases, sizes, letters, ends
 

@@ -31,7 +31,7 @@ GRAM = 32
 #: Bytes of a symbol; the part that all eight windows around a symbol share has ``window // SYMBOL - 1``.
 SYMBOL = 8
 #: Window starts looked at together: a longer text is worked through in overlapping pieces.
-PIECE = 1_000_000
+PIECE = 500_000
 #: Symbols of a shard whose transform is built by sorting.
 SHARD = 200_000
 #: Different extents of an anchor, of under two windows each, that one task merges at most.
@@ -375,7 +375,7 @@ def aggregated(cut_out: DataFrame, window: int = WINDOW) -> DataFrame:
     return again.withColumn("island", island).groupBy("anchor", "extent", "island").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("anchor", "extent", "lo", "hi")
 
 
-def by_anchor(batches, most: int = 1_500_000):
+def by_anchor(batches, most: int = 900_000):
     """Tables of whole anchors with about ``most`` bytes each, from batches sorted by anchor."""
     held: list[pa.RecordBatch] = []
     size = 0
