@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlog.llm import decontamination, jaccard_join, language_id, sentencepiece_backend, suffix_dedup
-from loamlog.llm.common import staged, table
+from loamlog.llm.common import scratch, staged, table
 from loamlog.llm.queries import tokenizer_file
 
 
@@ -67,7 +67,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; what a stage staged for itself goes once it is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch():
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -54,11 +55,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes at its end what is staged within it, but for what is staged with ``keep``.
+
+    To be used where all that follows reads kept folders only. A kept folder belongs to the
+    scratch around this one, if there is any.
+    """
+    held: list[str] = []
+    _scratch.append(held)
+    try:
+        yield
+    finally:
+        _scratch.remove(held)
+        for path in held:
+            with contextlib.suppress(OSError, ValueError):  # a file system that pyarrow cannot open keeps the folder
+                system, inner = filesystem(path)
+                system.delete_dir(inner)
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` once into the shared folder and reads it back: lineage is cut there."""
     spark = df.sparkSession
     small_batches(spark)
     path = fresh_path(spark, label)
+    owners = _scratch[:-1] if keep else _scratch
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import ALNUM, mix64, skew_join, slices, staged, utf8_buffers, word_hashes
+from loamlog.llm.common import ALNUM, free_name, mix64, scratch, skew_join, slices, staged, utf8_buffers, word_hashes
 
 #: 1 counts, 0 is ignored. Each mask has five places that count. Items of fewer tokens have one
 #: seed, the whole item; texts are hashed by such a mask only if there are items of its length.
@@ -204,7 +204,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
 def flag_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: doc_id, leaked boolean, n_items long (test items found in it),
     matched long (most agreeing tokens of a window; 0 if none)."""
-    leaks = find_leaks(docs, items).groupBy("doc_key").agg(F.count("*").alias("n"), F.max("matched").alias("m"))
+    with scratch():
+        leaks = staged(find_leaks(docs, items).groupBy("doc_key").agg(F.count("*").alias("n"), F.max("matched").alias("m")), "leaks", keep=True)
     return docs.select("doc_id", doc_key().alias("doc_key")).join(leaks, "doc_key", "left").select(
         "doc_id", F.col("n").isNotNull().alias("leaked"), F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("m", F.lit(0)).alias("matched")
     )
@@ -212,5 +213,7 @@ def flag_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold a passage of a test item; all columns stay."""
-    leaked = staged(find_leaks(docs, items).select(F.col("doc_key").alias("_leaked")).distinct(), "leaked")
-    return docs.join(leaked, doc_key() == F.col("_leaked"), "left_anti").select(*docs.columns)
+    name = free_name("leaked", docs.columns)
+    with scratch():
+        leaked = staged(find_leaks(docs, items).select(F.col("doc_key").alias(name)).distinct(), "leaked", keep=True)
+    return docs.join(leaked, doc_key() == F.col(name), "left_anti").select(*docs.columns)

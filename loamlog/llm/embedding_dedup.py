@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import components, staged
+from loamlog.llm.common import components, scratch, skew_join, staged
 
 #: Vectors that a cell should hold, vectors that a task compares with as many others, and
 #: pivots over all labels: 2048 vectors are what is broadcast at most.
@@ -175,25 +175,26 @@ def link_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     part; a component's id is its smallest id that is not null. Only vectors of one
     dimension are compared. An empty table gives an empty result.
     """
-    rows = prepared(vectors)
-    usable = rows.where("grp IS NOT NULL")
-    cells = staged(into_cells(usable, choose_pivots(usable), math.sqrt(2 - 2 * least) + SLACK), "vector-cells")
-    many = cells.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = cells.join(staged(many, "vector-blocks"), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
-    keys = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(
-            F.least(j, F.col("own")).alias("lo"), F.greatest(j, F.col("own")).alias("hi"),
-            F.when(j == F.col("own"), 0).when(F.col("own") < j, 1).otherwise(2).alias("side"),
-        ),
-    )
-    pairs = dealt.withColumn("own", own).select("cell", "home", "uid", "unit", F.explode(keys).alias("k"))
-    pairs = pairs.select("cell", "k.lo", "k.hi", "k.side", "home", "uid", "unit")
-    found = staged(pairs.groupBy("cell", "lo", "hi").applyInArrow(join_block(least), "kind int, a long, b long"), "vector-links")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("b").alias("n_links"))
-    linked = components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("uid"), F.col("component").alias("root"))
-    named = rows.select("uid", "vec_id").join(counts, "uid", "left").join(linked, "uid", "left")
-    named = staged(named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "uid").alias("root")), "vector-roots")
-    least_id = staged(named.groupBy("root").agg(F.min("vec_id").alias("component_id")), "vector-least")
-    return named.join(least_id, "root").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    with scratch():
+        rows = prepared(vectors)
+        usable = rows.where("grp IS NOT NULL")
+        cells = staged(into_cells(usable, choose_pivots(usable), math.sqrt(2 - 2 * least) + SLACK), "vector-cells")
+        many = cells.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        dealt = cells.join(staged(many, "vector-blocks"), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
+        keys = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda j: F.struct(
+                F.least(j, F.col("own")).alias("lo"), F.greatest(j, F.col("own")).alias("hi"),
+                F.when(j == F.col("own"), 0).when(F.col("own") < j, 1).otherwise(2).alias("side"),
+            ),
+        )
+        pairs = dealt.withColumn("own", own).select("cell", "home", "uid", "unit", F.explode(keys).alias("k"))
+        pairs = pairs.select("cell", "k.lo", "k.hi", "k.side", "home", "uid", "unit")
+        found = staged(pairs.groupBy("cell", "lo", "hi").applyInArrow(join_block(least), "kind int, a long, b long"), "vector-links")
+        counts = found.where("kind = 0").groupBy(F.col("a").alias("uid")).agg(F.sum("b").alias("n_links"))
+        linked = components(found.where("kind = 1").select("a", "b")).select(F.col("node").alias("uid"), F.col("component").alias("root"))
+        named = rows.select("uid", "vec_id").join(counts, "uid", "left").join(linked, "uid", "left")
+        named = staged(named.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "uid").alias("root")), "vector-roots", keep=True)
+        least_id = staged(named.groupBy("root").agg(F.min("vec_id").alias("component_id")), "vector-least", keep=True)
+    return skew_join(named, least_id, "root").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import LOWER, SPACE, components, free_name, hot_keys, mix64, runs, skew_join, slices, span_hashes, staged, utf8_buffers
+from loamlog.llm.common import LOWER, SPACE, components, free_name, hot_keys, mix64, runs, scratch, skew_join, slices, span_hashes, staged, utf8_buffers
 
 WORDS = 5
 #: Similarity as a fraction: sets link when DEN * intersection >= NUM * union.
@@ -480,42 +480,43 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def document_roots(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n, root per document (the same root: linked; null: no shingles), written."""
-    text = keyed(docs)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_counters(text))
-    held = staged(sets(text, frequent), "shingle-sets")
-    found, big = regions(held)
-    found, big = staged(found, "regions"), staged(big, "large-regions-rows")
-    needed = found.select(F.explode("sids").alias("sid")).unionAll(big.select("sid")).distinct()
-    carriers = held.where(F.size("prefix") > 0).select("doc_id", "text_key", "sid", "n", "counts", "brief")
-    chosen = carriers.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
-    chosen = staged(chosen.select("sid", "n", "counts", "brief", "one.doc_id", "one.text_key"), "region-sets")
-    any_big = not big.isEmpty()
-    pairs = pivot_pairs(found)
-    if any_big:
-        banded = staged(big.withColumn("key", F.xxhash64("region", "band")), "large-bands")
-        pivots = staged(band_pivots(banded), "band-pivots")
-        big = staged(skew_join(banded, pivots, "key", "left").drop("key"), "large-pivots")
-        pairs = pairs.unionAll(big.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))).distinct()
-    measured = compare(near_pairs(pairs, chosen), chosen, text)
-    parts = components(measured.where("linked").select("a", "b"))
-    rows = staged(open_regions(member_rows(found), parts), "open-regions")
-    for pivots in (MORE, None):
-        pairs, more = window_pairs(rows, measured, chosen, pivots)
+    with scratch():
+        text = keyed(docs)
+        frequent = docs.sparkSession.sparkContext.broadcast(frequent_counters(text))
+        held = staged(sets(text, frequent), "shingle-sets")
+        found, big = regions(held)
+        found, big = staged(found, "regions"), staged(big, "large-regions-rows")
+        needed = found.select(F.explode("sids").alias("sid")).unionAll(big.select("sid")).distinct()
+        carriers = held.where(F.size("prefix") > 0).select("doc_id", "text_key", "sid", "n", "counts", "brief")
+        chosen = carriers.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
+        chosen = staged(chosen.select("sid", "n", "counts", "brief", "one.doc_id", "one.text_key"), "region-sets")
+        any_big = not big.isEmpty()
+        pairs = pivot_pairs(found)
         if any_big:
-            wide = labelled(big, parts)
-            beyond = block_pairs(wide, measured, chosen) if pivots is None else further_pairs(wide)
-            pairs = pairs.unionAll(near_pairs(beyond, chosen)).distinct()
-        pairs = staged(pairs, "open-pairs")
-        if not pairs.isEmpty():
-            new = compare(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
-            measured = measured.unionAll(new)
-            parts = components(measured.where("linked").select("a", "b"))
-        if pivots is not None:
-            rows = staged(open_regions(rows.drop("part").join(more, "region", "left_semi"), parts), "open-regions")
-    named = held.select("doc_id", "text_key", "n", "sid")
-    linked = skew_join(named.where("n > 0"), staged(parts, "parts").withColumnRenamed("node", "sid"), "sid", "left")
-    linked = linked.select("doc_id", "text_key", "n", F.coalesce("component", "sid").alias("root"))
-    return staged(linked.unionAll(named.where("n = 0").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("root"))), "roots")
+            banded = staged(big.withColumn("key", F.xxhash64("region", "band")), "large-bands")
+            pivots = staged(band_pivots(banded), "band-pivots")
+            big = staged(skew_join(banded, pivots, "key", "left").drop("key"), "large-pivots")
+            pairs = pairs.unionAll(big.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))).distinct()
+        measured = compare(near_pairs(pairs, chosen), chosen, text)
+        parts = components(measured.where("linked").select("a", "b"))
+        rows = staged(open_regions(member_rows(found), parts), "open-regions")
+        for pivots in (MORE, None):
+            pairs, more = window_pairs(rows, measured, chosen, pivots)
+            if any_big:
+                wide = labelled(big, parts)
+                beyond = block_pairs(wide, measured, chosen) if pivots is None else further_pairs(wide)
+                pairs = pairs.unionAll(near_pairs(beyond, chosen)).distinct()
+            pairs = staged(pairs, "open-pairs")
+            if not pairs.isEmpty():
+                new = compare(pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti"), chosen, text)
+                measured = measured.unionAll(new)
+                parts = components(measured.where("linked").select("a", "b"))
+            if pivots is not None:
+                rows = staged(open_regions(rows.drop("part").join(more, "region", "left_semi"), parts), "open-regions")
+        named = held.select("doc_id", "text_key", "n", "sid")
+        linked = skew_join(named.where("n > 0"), staged(parts, "parts").withColumnRenamed("node", "sid"), "sid", "left")
+        linked = linked.select("doc_id", "text_key", "n", F.coalesce("component", "sid").alias("root"))
+        return staged(linked.unionAll(named.where("n = 0").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("root"))), "roots", keep=True)
 
 
 def link_documents(docs: DataFrame) -> DataFrame:

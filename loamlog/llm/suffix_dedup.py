@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import BYTE_VALUE, HOT, LEAST, SPACE, free_name, prefix_sums, release, runs, skew_join, slices, span_hashes, spans_of, staged, trim, utf8_buffers
+from loamlog.llm.common import BYTE_VALUE, HOT, LEAST, SPACE, free_name, prefix_sums, release, runs, scratch, skew_join, slices, span_hashes, spans_of, staged, trim, utf8_buffers
 
 #: Bytes of a repeat; other lengths are a parameter of the functions.
 WINDOW = 400
@@ -455,7 +455,9 @@ def remaining(data: bytes, spans: list[tuple[int, int]], window: int = WINDOW) -
 def with_spans(docs: DataFrame, window: int, into: str) -> DataFrame:
     """``docs`` plus ``into``, the runs of repeated starts (null where nothing repeats)."""
     doc, key = free_name("doc", [*docs.columns, into]), free_name("key", [*docs.columns, into])
-    spans = staged(repeated_spans(docs, window), "spans").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(into))
+    with scratch():
+        spans = staged(repeated_spans(docs, window), "spans", keep=True)
+    spans = spans.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(into))
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(spans, (F.col("doc_id").cast("long").eqNullSafe(F.col(doc))) & (text_key == F.col(key)), "left").drop(doc, key)
 
@@ -530,11 +532,12 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage boolean"
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     text = keyed(docs)
-    sharing = staged(sharing_texts(docs), "sharing")
-    marks = staged(skew_join(staged(text.select("doc_id", "text_key"), "text-keys"), sharing, "text_key").distinct(), "marks")
-    spans = staged(repeated_spans(docs), "spans")
-    spans = spans.join(marks.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "full")
-    spans = staged(spans.select(F.coalesce("doc_id", "d").alias("_doc"), F.coalesce("text_key", "k").alias("_key"), "spans", F.col("k").isNotNull().alias("shares")), "spans-and-marks")
+    with scratch():
+        sharing = staged(sharing_texts(docs), "sharing")
+        marks = staged(skew_join(staged(text.select("doc_id", "text_key"), "text-keys"), sharing, "text_key").distinct(), "marks")
+        spans = staged(repeated_spans(docs), "spans")
+        spans = spans.join(marks.withColumnsRenamed({"doc_id": "d", "text_key": "k"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "full")
+        spans = staged(spans.select(F.coalesce("doc_id", "d").alias("_doc"), F.coalesce("text_key", "k").alias("_key"), "spans", F.col("k").isNotNull().alias("shares")), "spans-and-marks", keep=True)
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
     return rows.join(spans, same, "left").select("doc_id", "text", "spans", F.coalesce("shares", F.lit(False)).alias("shares")).mapInArrow(run, schema)
 

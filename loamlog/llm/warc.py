@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import filesystem, fresh_path, hot_keys, skew_join, staged
+from loamlog.llm.common import filesystem, fresh_path, hot_keys, scratch, skew_join, staged
 
 #: Fixed values of the format: the revisit profile and line end.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -152,7 +152,8 @@ def write_archives(pages: DataFrame, out: str, date: str = "2024-01-01T00:00:00Z
         write_atomically(name, blocks())
         yield pa.record_batch([pa.array([name]), pa.array([n])], names=["file", "records"])
 
-    rows = resolve_revisits(pages, smallest).mapInArrow(write, "file string, records long").collect()
+    with scratch():
+        rows = resolve_revisits(pages, smallest).mapInArrow(write, "file string, records long").collect()
     return sorted((r["file"], r["records"]) for r in rows if r["records"])
 
 
