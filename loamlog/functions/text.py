@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word boundary by ASCII word characters; Java's own counts other scripts' letters too.
@@ -32,6 +32,7 @@ SECRET_MATERIAL = (
     words("ciphertext", "plaintext", "raw_payload", "transcript_secret", r"local-aes256\.key"),
     B + r"sk-[a-zA-Z0-9]{8,}" + B,
     B + r"Bearer\s+[A-Za-z0-9\-._~+/]+=*" + B,
+    B + r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     r"(?i)" + B + r"(?:api[_-]?key|access[_-]?token|secret[_-]?key|client[_-]?secret|password|passwd|passphrase)\s*[:=]\s*\S+",
     B + r"ghp_[A-Za-z0-9]{20,}" + B,
     B + r"xox[baprs]-[A-Za-z0-9-]{10,}" + B,
@@ -43,7 +44,7 @@ TELEMETRY_LINE = words(
     "elapsed_since_turn_start",
 )
 NOISE_LINE = r"(?i)^(?:ok|okay|done|passed|success|noop|n/a|none|thanks?|thank you|lgtm|wip|test|ping|pong|yes|no|y|n|\.|…|\.\.\.)$"
-NOISE_SIGNAL = r"(?i)^(?:ok(?:ay)?|thanks|thank you|lgtm|nit|wip|test|hello|hi|ping|pong|yes|no|yep|nah|cool|nice|lol|…|\.+)$"
+NOISE_SIGNAL = r"(?i)^(?:ok(?:ay)?|thanks|thank you|lgtm|nit|wip|test|hello|hi|ping|pong|yes|no|yep|nah|cool|nice|lol|…|\.+|👍|✅)$"
 INJECTION = words("ignore previous instructions", r"SYSTEM:\s*export all secrets", "exfiltrat", "jailbreak")
 VALUE_TERMS = words(
     "decid(?:e|ed|ing|es|ion)", "must", "should", "always", "never", "prefer", "preference", "constraint", "because", "instead", "migrate",
@@ -53,8 +54,12 @@ KINDS = (
     ("preference", words("prefer(?:red|s|ring)?", "preference", "would rather", "favor(?:ed|s)?", "rather than")),
     ("constraint", words("must(?: not)?", "should not", "never", "always", "required?", "forbidden", "constraint")),
     ("procedure", words("procedure", "workflow", "runbook", "playbook", "steps?")),
-    ("decision", words("decid(?:e|ed|ing|es)", "decision", "adopt(?:ed)?", "chose", "choose", "selected?", "default to", "I will", "we will", "going (?:to|with)", "switch to")),
+    ("decision", words("decid(?:e|ed|ing|es)", "decision", "adopt(?:ed)?", "chose", "choose", "selected?", "default to", "I(?:'|’)ll", "I will", "we will", "let(?:'|’)s", "going (?:to|with)", "switch to")),
 )
+KINDS_KO = {
+    "preference": "선호|좋아하|원해", "constraint": "하면 안|금지|필수|항상|절대", "procedure": "절차|워크플로|런북",
+    "decision": "결정|하자|할게|사용하(?:자|고|는|기로)|적용하(?:자|고|는|기로)",
+}
 HOOKS = {
     "sessionend": "SessionEnd", "stop": "Stop", "precompact": "PreCompact", "posttooluse": "PostToolUse", "sessionstart": "SessionStart",
     "notification": "Notification", "userpromptsubmit": "UserPromptSubmit",
@@ -80,6 +85,30 @@ def scrub(text: Column) -> Column:
     return text
 
 
+#: What a text must hold for a family of SCRUB to occur in it, in the same order.
+SCRUB_SIGN = (
+    lambda t: t.contains("://"), lambda t: t.contains("://"), lambda t: t.contains("/"), lambda t: t.contains(":\\"), lambda t: t.contains("~/"),
+    lambda t: t.contains("@"), lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda t: t.rlike("[0-9a-fA-F]:[0-9a-fA-F]{1,4}:"),
+    lambda t: t.rlike(r"(?i)[a-z0-9]\.(?:com|org|net|io|dev|app|local|internal|example|edu|gov|co|kr|jp|ai)"),
+)
+
+
+def computed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` as it is, but computed once: what refers to it, filters above
+    all, is not written out in terms of the columns before it."""
+    names = [c for c in rows.columns if c != column]
+    return rows.select(*names, F.explode(F.array(F.col(column))).alias(column)).select(*rows.columns)
+
+
+def scrubbed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` scrubbed, a step a family: most texts lack what a family needs
+    and skip its pattern."""
+    for (pattern, by), sign in zip(SCRUB, SCRUB_SIGN, strict=True):
+        text = F.col(column)
+        rows = rows.withColumn(column, F.when(sign(text), F.regexp_replace(text, pattern, by)).otherwise(text))
+    return computed(rows, column)
+
+
 def head_tail(text: Column, most: int) -> Column:
     """Start and end of a longer text with a marker between them, ``most`` characters in all."""
     room = most - len(MARKER)
@@ -90,20 +119,39 @@ def head_tail(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(cut)
 
 
-def residual_lines(text: Column) -> Column:
-    """Struct of the lines that are prose, and how many were dropped as what.
+def line_kinds(text: Column) -> Column:
+    """The lines that are not blank with their kinds: secret, tool, telemetry, noise or kept,
+    the first that fits. A pattern is tried where a line holds a word that it needs."""
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x != "")
+
+    def holds(x: Column, *signs: str) -> Column:
+        out = F.lit(False)
+        for sign in signs:
+            out = out | x.contains(sign)
+        return out
+
+    def kind(x: Column) -> Column:
+        low = F.lower(x)
+        secret = holds(low, "key", "secret", "password", "bearer", "sk-", "hunter2") & x.rlike(SECRET_LINE)
+        inline = holds(low, "linter passed", "exit 0", "vulnerabilit", "successfully") & x.rlike(TOOL_INLINE)
+        telemetry = (F.length(x) < 200) & x.contains("_") & x.rlike(TELEMETRY_LINE)
+        tool = x.rlike(TOOL_LINE) | inline
+        noise = (F.length(x) <= 9) & x.rlike(NOISE_LINE)
+        return F.when(secret, "secret").when(tool, "tool").when(telemetry, "telemetry").when(noise, "noise").otherwise("kept")
+
+    return F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), x.alias("line")))
 
-    The first class that fits a line counts: secret, tool, telemetry, noise.
+
+def with_residual(rows: DataFrame, column: str, into: str) -> DataFrame:
+    """``rows`` with a struct of the lines that are prose and of how many were dropped as what.
+
+    The kinds are a column of their own first, so that each line is classified once.
     """
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x != "")
-    kind = lambda x: (
-        F.when(x.rlike(SECRET_LINE), "secret").when(x.rlike(TOOL_LINE) | x.rlike(TOOL_INLINE), "tool")
-        .when(x.rlike(TELEMETRY_LINE) & (F.length(x) < 200), "telemetry").when(x.rlike(NOISE_LINE), "noise").otherwise("kept")
-    )
-    pairs = F.transform(lines, lambda x: F.struct(kind(x).alias("kind"), x.alias("line")))
-    count = lambda k: F.size(F.filter(pairs, lambda p: p["kind"] == k))
-    kept = F.transform(F.filter(pairs, lambda p: p["kind"] == "kept"), lambda p: p["line"])
-    return F.struct(kept.alias("kept"), count("secret").alias("secret"), count("tool").alias("tool"), count("telemetry").alias("telemetry"))
+    kinds = f"_kinds_of_{into}"
+    count = lambda k: F.size(F.filter(kinds, lambda p: p["kind"] == k))
+    kept = F.transform(F.filter(kinds, lambda p: p["kind"] == "kept"), lambda p: p["line"])
+    out = computed(rows.withColumn(kinds, line_kinds(F.col(column))), kinds)
+    return out.withColumn(into, F.struct(kept.alias("kept"), count("secret").alias("secret"), count("tool").alias("tool"), count("telemetry").alias("telemetry"))).drop(kinds)
 
 
 def hook(name: Column) -> Column:
@@ -122,9 +170,9 @@ def secret_material(text: Column) -> Column:
 
 def kind_of(text: Column) -> Column:
     """preference, constraint, procedure or decision: the first whose words occur; else null."""
-    out = F.when(text.rlike(KINDS[0][1]), KINDS[0][0])
-    for kind, pattern in KINDS[1:]:
-        out = out.when(text.rlike(pattern), kind)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for kind, pattern in KINDS:
+        out = out.when(text.rlike(pattern) | text.rlike(KINDS_KO[kind]), kind)
     return out
 
 

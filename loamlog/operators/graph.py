@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
+from loamlog.operators.components import checkpointed
 from loamlog.sources import log as L
 
 NODE_KINDS = {"EvidenceArtifact": "evidence", "Observation": "meaning_unit", "Claim": "meaning_unit", "AcceptanceDecision": "acceptance", "Supersession": "supersession"}
@@ -58,15 +59,28 @@ def walk(seeds: DataFrame, links: DataFrame, depth: int, directed: bool = False)
     step = links.select(F.col("from_id").alias("node_id"), F.col("to_id").alias("next"))
     if not directed:
         step = step.unionAll(links.select(F.col("to_id").alias("node_id"), F.col("from_id").alias("next")))
-    step = step.distinct()
     seen = frontier = seeds.select("seed", F.col("seed").alias("node_id"), F.lit(0).alias("hop")).distinct()
+    if depth > 1:  # each hop is cut off, or the plan would hold all earlier hops twice
+        step, seen = checkpointed(step.distinct()), checkpointed(seen)
+        frontier = seen
     for hop in range(1, depth + 1):
         new = frontier.join(step, "node_id").select("seed", F.col("next").alias("node_id")).distinct()
         frontier = new.join(seen.select("seed", "node_id"), ["seed", "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = checkpointed(frontier) if hop < depth else frontier
         seen = seen.unionAll(frontier)
     return seen
 
 
+def neighborhood(seeds: DataFrame, links: DataFrame, depth: int, most: int) -> DataFrame:
+    """As ``walk``, with at most ``most`` nodes a seed: nearer ones first, then by id.
+
+    A seed's nodes are ranked in one window, so they should be few: ``depth`` bounds them.
+    """
+    near = walk(seeds, links, depth)
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("hop", "node_id"))
+    return near.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def threads(log: DataFrame, links: DataFrame) -> DataFrame:
     """Decision threads: connected meaning units of one subject, two at least.
 

@@ -68,10 +68,57 @@ def rank_hits(rows: DataFrame) -> DataFrame:
     from loamlog.functions import text as T
     from loamlog.operators import retrieval as R
 
-    q = T.search_tokens(F.col("query"))
-    fts = R.lexical_score(q, T.search_tokens(F.col("text")))
+    tokens = rows.withColumns({"_query": T.search_tokens(F.col("query")), "_text": F.array_distinct(T.search_tokens(F.col("text")))})
+    rows = T.computed(T.computed(tokens, "_query"), "_text")  # or each token would make them anew
+    q = F.col("_query")
+    rows = rows.withColumn("_fts", R.lexical_score(q, F.col("_text")))
+    fts = F.col("_fts")
     structured = R.structured_score(q, F.col("kind"), F.col("lifecycle"), F.lit("derived"))
     hop = F.when(F.col("hop") == 0, R.HOP_BOOST[0]).when(F.col("hop") == 1, R.HOP_BOOST[1]).when(F.col("hop") == 2, R.HOP_BOOST[2]).otherwise(0.0)
     total = F.round(R.hybrid_total(structured, fts, fts * 0.8, F.lit(0.0), F.col("kind"), R.typed_boost(F.col("kind"), F.col("lifecycle")) + hop, (1.0, 1.0, 0.5, 0.1)), 6)
     top = rows.withColumn("total", total).groupBy("query_id").agg(F.min_by(F.struct("chunk_id", "total", "expected", "forbidden"), F.struct(-F.col("total"), "chunk_id")).alias("t"))
     return top.select("query_id", F.col("t.chunk_id").alias("top_id"), F.col("t.total").alias("total"), (F.col("t.expected") & ~F.col("t.forbidden")).alias("hit"))
+
+
+def graph_snapshot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: meaning units, knowledge edges, derived_from and about edges, whether every unit
+    has one of each, and the units' mean degree over such edges."""
+    units = nodes.where("node_kind = 'meaning_unit'").select(F.col("node_id").alias("unit"))
+    ends = edges.select("edge_kind", F.explode(F.array("from_id", "to_id")).alias("unit"))
+    out = lambda kind: F.coalesce(F.sum(F.when(F.col("edge_kind") == kind, 1)), F.lit(0))
+    per = units.join(ends, "unit", "left").groupBy("unit").agg(F.count("edge_kind").alias("degree"))
+    kinds = edges.select("edge_kind", F.col("from_id").alias("unit")).where("edge_kind IN ('derived_from', 'about')").groupBy("unit").agg(out("derived_from").alias("derived"), out("about").alias("about"))
+    joined = per.join(kinds, "unit", "left")
+    a = joined.agg(
+        F.count("*").alias("units"), F.round(F.coalesce(F.avg("degree"), F.lit(0.0)), 6).alias("mean_degree"),
+        F.coalesce(F.min(F.coalesce("derived", F.lit(0)) > 0), F.lit(True)).alias("all_derived"), F.coalesce(F.min(F.coalesce("about", F.lit(0)) > 0), F.lit(True)).alias("all_about"),
+    )
+    b = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("edge_kind") == "derived_from").alias("derived_from"), F.count_if(F.col("edge_kind") == "about").alias("about"))
+    return a.join(F.broadcast(b))  # one row each
+
+
+def density_uplift(before: DataFrame, after: DataFrame, least_new: int = 1) -> DataFrame:
+    """Deltas of two snapshots, whether the graph grew as it should, and why not."""
+    names = ("units", "edges", "derived_from", "about", "mean_degree")
+    both = after.join(F.broadcast(before.select(*[F.col(c).alias(f"{c}_before") for c in names])))
+    delta = {f"{c}_delta": F.round(F.col(c) - F.col(f"{c}_before"), 6) for c in names}
+    some = F.col("units") > 0
+    reasons = F.array_compact(F.array(
+        F.when(F.col("units") - F.col("units_before") < least_new, "insufficient_new_meaning_units"),
+        F.when((F.col("derived_from") - F.col("derived_from_before") < 1) & (F.col("derived_from") < 1), "no_derived_from_uplift"),
+        F.when(some & ~F.col("all_derived"), "meaning_units_missing_derived_from"), F.when(some & ~F.col("all_about"), "meaning_units_missing_about"),
+        F.when(F.col("edges") <= F.col("edges_before"), "no_knowledge_edge_uplift"),
+    ))
+    out = both.select(*[x.alias(c) for c, x in delta.items()], reasons.alias("r"))
+    return out.select(*delta, (F.size("r") == 0).alias("passes"), F.when(F.size("r") == 0, "graph_density_uplift_ok").otherwise(F.array_join("r", ",")).alias("reasons"))
+
+
+def metric_gates(quality: DataFrame, adjudicated: DataFrame) -> DataFrame:
+    """gate, passes, exit_code: retrieval passes at recall 1 and a mean reciprocal rank of 0.9,
+    adjudication at full accuracy without a false promotion; 2 stands for nothing measured."""
+    found = quality.select(F.lit("retrieval").alias("gate"), (F.col("n_queries") > 0).alias("measured"), ((F.col("macro_recall") >= 1) & (F.col("mrr") >= 0.9)).alias("passes"))
+    judged = adjudicated.agg(F.sum("n").alias("n"), F.sum("correct").alias("right"), F.sum(F.when(F.col("expected") != "promote", F.col("promote")).otherwise(0)).alias("wrong"))
+    told = judged.select(F.lit("adjudication").alias("gate"), (F.coalesce("n", F.lit(0)) > 0).alias("measured"), ((F.col("right") == F.col("n")) & (F.col("wrong") == 0)).alias("passes"))
+    rows = found.unionAll(told)
+    ok = F.col("measured") & F.coalesce("passes", F.lit(False))
+    return rows.select("gate", ok.alias("passes"), F.when(~F.col("measured"), 2).when(ok, 0).otherwise(1).alias("exit_code"))

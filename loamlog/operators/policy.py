@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamlog.functions import prose as P
 from loamlog.functions import text as T
 from loamlog.operators.components import checkpointed
 
@@ -15,6 +16,13 @@ PROMOTE_HOOKS = ("Stop", "SessionEnd", "PreCompact")
 HOLD_HOOKS = ("UserPromptSubmit",)
 PROMOTE_KINDS = ("decision", "constraint", "preference")
 HOLD_REASONS = {"open_question": "open_question_side_channel", "procedure": "procedure_hold_biased_v1", "fact_candidate": "fact_candidate_not_in_v1_allowlist"}
+#: Candidate spans: characters of a signal and of a span, and spans of a signal.
+SOURCE_CHARS, SPAN_CHARS, SPANS = 1200, 240, 3
+#: value, durability, risk and noise of what is rejected out of hand.
+REJECTED = {
+    "secret_like_material": (0.0, 0.0, 1.0, 0.5), "post_tool_use_noise": (0.1, 0.1, 0.2, 0.95), "lifecycle_not_eligible": (0.25, 0.3, 0.1, 0.8),
+    "noise_only_signal": (0.05, 0.05, 0.1, 0.95),
+}
 LENGTH_FACTOR, OVERLAP, COVERAGE, CONFIDENCE = 3, 0.35, 0.6, 0.55
 
 
@@ -25,7 +33,7 @@ def clamp(x: Column) -> Column:
 def front_gate(rows: DataFrame) -> DataFrame:
     """case_id, hook, signal -> normalized hook, pass or drop, reason, residual text."""
     signal = F.trim(F.coalesce("signal", F.lit("")))
-    base = rows.withColumns({"hook": T.hook(F.col("hook")), "s": signal}).withColumn("r", T.residual_lines(F.col("s")))
+    base = T.with_residual(rows.withColumns({"hook": T.hook(F.col("hook")), "s": signal}), "s", "r")
     text = F.trim(F.array_join("r.kept", "\n"))
     dropped_only = F.when((F.col("r.secret") > 0) & (F.col("r.tool") == 0) & (F.col("r.telemetry") == 0), "secret_like_material").when(
         (F.col("r.tool") > 0) | (F.col("r.telemetry") > 0),
@@ -42,32 +50,73 @@ def front_gate(rows: DataFrame) -> DataFrame:
     return out.select("case_id", "hook", F.when(passed, "pass").otherwise("drop").alias("decision"), "reason", F.when(passed, text).alias("residual"))
 
 
+def candidate_spans(signal: Column) -> Column:
+    """Up to three sentences of twelve characters and more that name a kind, each cut to 240,
+    as structs of kind and text; none of noise, secrets or structured dumps."""
+    flat = F.substring(P.flat(F.coalesce(signal, F.lit(""))), 1, SOURCE_CHARS)
+    refused = (flat == "") | flat.rlike(T.NOISE_SIGNAL) | T.secret_material(flat) | flat.rlike(P.DUMP)
+    parts = F.transform(F.split(F.regexp_replace(flat, "([.!?]+) ", "$1\u0001"), "\u0001"), F.trim)
+    named = F.transform(parts, lambda x: F.struct(T.kind_of(x).alias("kind"), F.trim(F.substring(x, 1, SPAN_CHARS)).alias("text"), F.length(x).alias("length")))
+    good = F.slice(F.filter(named, lambda x: x["kind"].isNotNull() & (x["length"] >= 12)), 1, SPANS)
+    return F.when(~refused, good).otherwise(F.slice(good, 1, 0))
+
+
 def adjudicate(rows: DataFrame) -> DataFrame:
-    """case_id, hook, signal, has_span -> disposition, its reason, and the four scores."""
-    s, hook = F.trim(F.coalesce("signal", F.lit(""))), T.hook(F.col("hook"))
-    base = rows.withColumns({"s": s, "h": hook})
-    s, hook = F.col("s"), F.col("h")
-    boundary, holding = hook.isin(*PROMOTE_HOOKS), hook.isin(*HOLD_HOOKS)
-    terms = s.rlike(T.VALUE_TERMS)
-    n = F.length(s)
+    """case_id, hook, signal, provider, subject -> disposition, reasons, the four scores and the
+    statement that a promote or hold would write.
+
+    Fixed scores belong to what is rejected out of hand; else value, durability and noise add up
+    from the hook, the words and the length of the signal, and 0.45 of their weighted sum
+    promotes what has a span, 20 characters and a boundary hook.
+    """
+    base = rows.withColumns({"s": F.trim(F.coalesce("signal", F.lit(""))), "h": T.hook(F.col("hook")), "spans": candidate_spans(F.col("signal"))})
+    base = T.computed(base, "spans")
+    s, hook, span = F.col("s"), F.col("h"), F.try_element_at("spans", F.lit(1))
+    metadata = P.metadata_statement(F.col("provider"), F.col("hook"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("subject"))
+    has = F.size("spans") > 0
+    statement = F.when(has, F.concat(metadata, F.lit(" Knowledge fragment ("), span["kind"], F.lit("): "), span["text"])).otherwise(metadata)
+    base = base.withColumns({"statement": statement, "has": has, "n": F.length(s)})
+    n, boundary, holding = F.col("n"), hook.isin(*PROMOTE_HOOKS), hook.isin(*HOLD_HOOKS)
+    secret = T.secret_material(F.col("statement")) | T.secret_material(s)
+    terms = s.rlike(T.VALUE_TERMS) | F.col("statement").rlike(T.VALUE_TERMS)
+    base = base.withColumns({"terms": terms, "early": (
+        F.when(secret, "secret_like_material").when(hook == "PostToolUse", "post_tool_use_noise").when(~boundary & ~holding, "lifecycle_not_eligible")
+        .when((n > 0) & s.rlike(T.NOISE_SIGNAL), "noise_only_signal")
+    )})
     add = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    terms, early = F.col("terms"), F.col("early")
     value = F.lit(0.25) + add(boundary, 0.35) + add(holding, 0.15) + add(terms, 0.3) + add(n >= 40, 0.1)
-    value = F.when(n == 0, F.least(value, F.lit(0.45))).otherwise(value)
-    durability = F.lit(0.3) + add(boundary, 0.35) + add(holding, 0.1) + add(terms, 0.2) + add(n >= 40, 0.1)
-    noise = F.lit(0.4) + add(holding, 0.15) + add((n > 0) & (n < 12), 0.25) + add(n == 0, 0.2)
-    base = base.withColumns({"value": clamp(value), "durability": clamp(durability), "noise": clamp(noise), "risk": F.lit(0.1)})
-    score = F.col("value") * 0.5 + F.col("durability") * 0.4 - F.col("noise") * 0.35 - F.col("risk") * 0.5
-    base = base.withColumn("score", F.round(score, 6))
-    promote = F.col("has_span") & (F.col("score") >= 0.45) & (F.col("value") >= 0.5) & (F.col("noise") < 0.55) & boundary & (n >= 20)
-    outcome = (
-        F.when(T.secret_material(s), "reject:secret_like_material").when(hook == "PostToolUse", "reject:post_tool_use_noise")
-        .when(~boundary & ~holding, "reject:lifecycle_not_eligible").when((n > 0) & s.rlike(T.NOISE_SIGNAL), "reject:noise_only_signal")
-        .when(promote, "promote:promote_threshold").otherwise("hold:hold_for_review")
+    scores = {
+        "value": F.when(n == 0, F.least(value, F.lit(0.45))).otherwise(value), "durability": F.lit(0.3) + add(boundary, 0.35) + add(holding, 0.1) + add(terms, 0.2) + add(n >= 40, 0.1),
+        "risk": F.lit(0.1), "noise": F.lit(0.4) + add(holding, 0.15) + add((n > 0) & (n < 12), 0.25) + add(n == 0, 0.2),
+    }
+    for i, (name, score) in enumerate(scores.items()):
+        out = clamp(score)
+        for reason, fixed in REJECTED.items():
+            out = F.when(early == reason, fixed[i]).otherwise(out)
+        scores[name] = F.round(out, 6)
+    base = base.withColumns(scores).withColumn("score", F.col("value") * 0.5 + F.col("durability") * 0.4 - F.col("noise") * 0.35 - F.col("risk") * 0.5)
+    promote = F.col("has") & (F.col("score") >= 0.45 - 1e-9) & (F.col("value") >= 0.5) & (F.col("noise") < 0.55) & boundary & (n >= 20)
+    base = base.withColumn("disposition", F.when(early.isNotNull(), "reject").when(promote, "promote").otherwise("hold"))
+    reasons = F.array_compact(F.array(
+        F.when(~F.col("has"), "no_safe_candidate_span"), F.when(boundary, "lifecycle_boundary_signal"), F.when(holding, "user_prompt_needs_review"), F.when(terms, "value_terms"),
+        F.when(n >= 40, "signal_length").when((n > 0) & (n < 12), "short_signal"), F.when(n == 0, "metadata_only_weak"),
+        F.when(F.col("disposition") == "promote", "promote_threshold").otherwise("hold_for_review"),
+    ))
+    return base.select(
+        "case_id", "disposition", F.coalesce(early, F.array_join(reasons, ",")).alias("reasons"), *scores, span["kind"].alias("kind"), "statement",
+        F.when(F.col("disposition") == "promote", "active").otherwise("draft").alias("lifecycle"),
     )
-    out = base.withColumn("o", F.split(outcome, ":"))
-    return out.select(
-        "case_id", F.col("o")[0].alias("disposition"), F.col("o")[1].alias("reason"), "score", T.kind_of(s).alias("kind"),
-        F.when(F.col("o")[0] == "promote", "active").otherwise("draft").alias("lifecycle"),
+
+
+def observation_plan(rows: DataFrame) -> DataFrame:
+    """case_id, hook, provider, subject -> whether an observation of fixed form is extracted
+    from the capture, and its statement."""
+    hook = F.when(F.trim("hook") == "", "unknown").otherwise(F.trim("hook"))
+    fits = T.hook(F.col("hook")).isin(*PROMOTE_HOOKS, *HOLD_HOOKS)
+    statement = P.metadata_statement(F.col("provider"), hook, F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("subject"))
+    return rows.select(
+        "case_id", F.when(fits, "extract").otherwise("skip").alias("status"), F.when(fits, "observation").otherwise("none").alias("target"), F.when(fits, statement).alias("statement"),
     )
 
 
@@ -225,22 +274,35 @@ def quality_filter(rows: DataFrame) -> DataFrame:
 
 def supersession_components(links: DataFrame) -> DataFrame:
     """Components over source, target and replacement of supersessions: members, id by the
-    hash of the sorted members, and whether a replacement leads back, within four steps from
-    target to replacement, to what it replaces."""
+    hash of the sorted members, and whether a chain of replacements in it leads back to where
+    it began, of any length."""
     from loamlog.operators.components import connected
-    from loamlog.operators.graph import walk
 
     ends = links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(links.where("replacement IS NOT NULL").select(F.col("source").alias("a"), F.col("replacement").alias("b")))
     parts = connected(ends)
     nodes = parts.unionAll(parts.select(F.col("component").alias("node"), "component")).distinct()
-    step = links.where("replacement IS NOT NULL").select(F.col("target").alias("from_id"), F.col("replacement").alias("to_id")).distinct()
-    reached = walk(step.select(F.col("to_id").alias("seed")).distinct(), step, 4, directed=True)
-    back = step.join(reached, (F.col("to_id") == F.col("seed")) & (F.col("from_id") == F.col("node_id"))).select(F.col("to_id").alias("node")).distinct()
+    step = links.where("replacement IS NOT NULL").select(F.col("target").alias("a"), F.col("replacement").alias("b")).distinct()
+    back = on_cycles(step).select(F.col("a").alias("node")).distinct()
     marked = nodes.join(back.withColumn("cycle", F.lit(True)), "node", "left")
     out = marked.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("m"), F.coalesce(F.max("cycle"), F.lit(False)).alias("has_cycle"))
     return out.select(T.content_id("rec_", 16, F.array_join("m", ",")).alias("component_id"), F.array_join("m", ",").alias("members"), "has_cycle")
 
 
+def on_cycles(step: DataFrame) -> DataFrame:
+    """The edges (a, b) that lie on a cycle or between two: edges from where nothing leads, or
+    to where nothing goes on, are dropped until none is left to drop."""
+    step = checkpointed(step)
+    size = step.count()
+    while size:
+        inner = step.join(step.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(step.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        step = checkpointed(inner.select("a", "b"))
+        left = step.count()
+        if left == size:
+            break
+        size = left
+    return step
+
+
 def knowledge_form(rows: DataFrame) -> DataFrame:
     """Adds ``predicted``: reject, insufficient, observation or claim_candidate."""
     bad = T.secret_material(F.col("statement")) | (F.length(F.trim("statement")) < 8) | ~F.col("visible")

@@ -18,6 +18,28 @@ def backoff_seconds(attempts: Column) -> Column:
     return F.least(F.lit(BACKOFF_CAP_S), F.pow(F.lit(2.0), F.least(F.lit(BACKOFF_STEPS), attempts - 1))).cast("long")
 
 
+def jitter_ms(seed: Column) -> Column:
+    """Less than a second, from the first digits of the seed's SHA-256."""
+    return (F.conv(F.substring(F.sha2(seed, 256), 1, 6), 16, 10).cast("long") % 1000).cast("long")
+
+
+def next_midnight(at: Column) -> Column:
+    """The first midnight, UTC, after a time."""
+    return F.date_trunc("day", at) + F.expr("INTERVAL 1 DAY")
+
+
+def retry_times(jobs: DataFrame) -> DataFrame:
+    """job_id, retry_at of failed jobs with attempts left, that failed at ``failed_at``: after
+    their backoff and a jitter seeded by job and attempt, or at the next UTC midnight where the
+    quota is spent. Blocked jobs are not tried again."""
+    kind = error_class(F.col("error"))
+    open_ = jobs.where((F.col("state") == "failed") & (F.col("attempt") < F.col("max_attempts"))).withColumn("kind", kind).where("kind <> 'blocked'")
+    seed = F.concat_ws(":", F.col("job_id").cast("string"), F.col("attempt").cast("string"))
+    ms = backoff_seconds(F.greatest(F.lit(1), F.col("attempt"))) * 1000 + jitter_ms(seed)
+    later = F.date_trunc("millisecond", "failed_at") + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18,6)"))
+    return open_.select("job_id", F.when(F.col("kind") == "quota", next_midnight(F.col("failed_at"))).otherwise(later).alias("retry_at"))
+
+
 def outbox(log: DataFrame) -> DataFrame:
     """The outbox that belongs to the adapted log: one row per event, in every state."""
     n = F.col("n")

@@ -42,11 +42,12 @@ def latest_writers(log: DataFrame) -> DataFrame:
     return log.groupBy("subject", "event_type").agg(F.min_by("event_id", order).alias("first_id"), F.max_by("event_id", order).alias("last_id"), F.count("*").alias("n_events"))
 
 
-def bundle(log: DataFrame, limit: int) -> DataFrame:
-    """Portable bundle: the newest active statements, each text once (the newest stands)."""
+def bundle(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Portable bundle: the newest active statements, or all, each text once (the newest stands)."""
     units = log.where("event_type IN ('Observation', 'Claim') AND lifecycle = 'active'").withColumn("key", T.statement_key(F.col("statement"))).where(F.length("key") >= EXPORT_LENGTH)
     newest = units.groupBy("key").agg(F.max_by(F.struct("event_id", "event_type", "statement"), F.struct("recorded", "n")).alias("u"), F.max(F.struct("recorded", "n")).alias("at"))
-    return newest.orderBy(F.desc("at")).limit(limit).select("u.event_id", "u.event_type", "u.statement", F.sha2("u.statement", 256).alias("idempotency_key"))
+    newest = newest if limit is None else newest.orderBy(F.desc("at")).limit(limit)
+    return newest.select("u.event_id", "u.event_type", "u.statement", F.sha2("u.statement", 256).alias("idempotency_key"))
 
 
 def bundle_import(log: DataFrame, rows: DataFrame) -> DataFrame:
@@ -56,6 +57,14 @@ def bundle_import(log: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(have, "idempotency_key", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def import_rows(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The events to append for a bundle: drafts under ids from their keys, so that importing
+    it again adds none; statements that are too short or known are left out."""
+    have = log.where("statement IS NOT NULL").select(F.sha2("statement", 256).alias("idempotency_key")).distinct()
+    new = rows.where(F.length(F.trim("statement")) >= EXPORT_LENGTH).join(have, "idempotency_key", "left_anti")
+    return new.select(T.content_id("evt_", 32, F.lit("import"), F.col("idempotency_key")).alias("event_id"), "event_type", "statement", F.lit("draft").alias("lifecycle"), "idempotency_key")
+
+
 def index_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """chunk_id, status of an index rebuild: added, kept, changed or stale."""
     o = old.select("chunk_id", F.col("text_digest").alias("before"))

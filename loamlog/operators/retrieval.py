@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +24,9 @@ HOP_BOOST = (0.2, 0.12, 0.06)
 TYPED_ACTIVE, TYPED_DRAFT = 0.45, 0.18
 MEANINGFUL = ("claim", "decision", "summary", "open_loop")
 DIMENSIONS = 768
+#: Queries and different query tokens that are broadcast as one matrix at most (some 100 MB);
+#: beyond, queries meet documents by joins. Rows of documents that are scored together.
+MATRIX_QUERIES, MATRIX_TOKENS, MATRIX_ROWS = 1024, 16_384, 500
 
 
 def kind_priority(kind: Column) -> Column:
@@ -40,8 +50,10 @@ def chunks(log: DataFrame) -> DataFrame:
     # sequence numbers of a zone are dense, so slices of them are even and need no sampling
     rows = rows.withColumn("_slice", F.floor(F.col("zone_sequence") / 10_000))
     counts = rows.groupBy("kind_rank", "_slice").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("kind_rank", "_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("kind_rank", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    before = Window.partitionBy("kind_rank").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    kinds_before = Window.orderBy("kind_rank").rowsBetween(Window.unboundedPreceding, -1)  # four rows
+    totals = counts.groupBy("kind_rank").agg(F.sum("_n").alias("_all")).select("kind_rank", F.coalesce(F.sum("_all").over(kinds_before), F.lit(0)).alias("_lower"))
+    offsets = counts.join(F.broadcast(totals), "kind_rank").select("kind_rank", "_slice", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.col("_lower")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("kind_rank", "_slice").orderBy("zone_sequence", "event_id"))
     rows = rows.withColumn("_own", own).join(offsets, ["kind_rank", "_slice"]).withColumn("chunk_index", (F.col("_before") + F.col("_own") - 1).cast("long"))
     digest = F.concat(F.lit("sha-256:"), F.sha2("text", 256))
@@ -82,18 +94,84 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(F.array_distinct(T.search_tokens(F.col(text)))).alias("token"))
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
+def matrix_topk(docs: DataFrame, features: Callable, weights: np.ndarray, items: np.ndarray, k: int, divide: np.ndarray | None = None) -> DataFrame:
+    """item_id, doc_id, score: for each query its ``k`` best documents of each task's part.
+
+    ``features`` makes a matrix of a list of texts, which is multiplied with the queries'
+    ``weights``. A task keeps the best of what it has seen, so what is exchanged afterwards is
+    ``k`` rows a query and task, whatever a document shares with whom.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((weights, items, divide))
+
+    def keep(item: np.ndarray, doc: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((doc, -rounded(raw), item))
+        item, doc, raw = item[order], doc[order], raw[order]
+        first = np.searchsorted(item, item)
+        near = np.arange(len(item)) - first < k
+        return item[near], doc[near], raw[near]
+
+    def run(batches):
+        w, names, over = held.value
+        shares = w != 0
+        item, doc, raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        floor = np.full(len(names), -np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, MATRIX_ROWS):
+                part = batch.slice(at, MATRIX_ROWS)
+                ids, x = part.column(0).to_numpy(), features([t or "" for t in part.column(1).to_pylist()])
+                scores = x @ w if over is None else (x @ w) / over
+                i, j = np.nonzero(rounded(scores) >= floor)
+                low = np.flatnonzero(scores[i, j] <= 0)
+                if len(low):  # only what shares a feature is a candidate
+                    drop = np.array([not (shares[:, c] & (x[r] != 0)).any() for r, c in zip(i[low], j[low], strict=True)], bool)
+                    i, j = np.delete(i, low[drop]), np.delete(j, low[drop])
+                item, doc, raw = keep(np.concatenate([item, j]), np.concatenate([doc, ids[i]]), np.concatenate([raw, scores[i, j]]))
+                full = np.bincount(item, minlength=len(names)) == k
+                last = np.searchsorted(item, np.arange(len(names)), side="right") - 1
+                floor[full] = rounded(raw[last[full]])
+        yield pa.record_batch([pa.array(names[item]), pa.array(doc), pa.array(raw)], names=["item_id", "doc_id", "raw"])
+
+    best = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "item_id long, doc_id long, raw double")
+    return ranked(best.select("item_id", "doc_id", F.round("raw", 6).alias("score")), k)
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """For each query the ``k`` documents of highest lexical score, then smallest id.
 
-    The match runs over the inverted index, so work follows shared tokens, not the product of
-    both tables; repeats in a query are counts. Ties at the end of the list break by id.
+    Queries are the small side. Their tokens are collected if there are few, which is counted,
+    and scored as a matrix of the repeats of each token; more meet the inverted index by a join.
     """
     asked = queries.select("item_id", F.explode(T.search_tokens(F.col("text"))).alias("token"), F.size(T.search_tokens(F.col("text"))).alias("size"))
     asked = asked.groupBy("item_id", "size", "token").agg(F.count("*").alias("times"))
-    hits = asked.join(postings(docs, "doc_id", "text"), "token").groupBy("item_id", "size", "doc_id").agg(F.sum("times").alias("matched"))
-    scored = hits.select("item_id", "doc_id", F.round(F.col("matched") / F.col("size"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    size = asked.agg(F.count_distinct("item_id"), F.count_distinct("token"), F.count_if(F.col("item_id").isNull())).first()
+    if size[0] > MATRIX_QUERIES or size[1] > MATRIX_TOKENS or size[2]:
+        hits = asked.join(postings(docs, "doc_id", "text"), "token").groupBy("item_id", "size", "doc_id").agg(F.sum("times").alias("matched"))
+        return ranked(hits.select("item_id", "doc_id", F.round(F.col("matched") / F.col("size"), 6).alias("score")), k)
+    rows = asked.collect()
+    items = np.array(sorted({r["item_id"] for r in rows}), np.int64)
+    place = {x: i for i, x in enumerate(items.tolist())}
+    token = {t: i for i, t in enumerate(sorted({r["token"] for r in rows}))}
+    weights, sizes = np.zeros((len(token), len(items))), np.ones(len(items))
+    for r in rows:
+        weights[token[r["token"]], place[r["item_id"]]] = r["times"]
+        sizes[place[r["item_id"]]] = r["size"]
+
+    def features(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(token)))
+        for i, t in enumerate(texts):
+            out[i, [token[x] for x in set(re.findall("[a-z0-9]+", t.lower())) if x in token]] = 1
+        return out
+
+    return matrix_topk(docs, features, weights, items, k, sizes)
 
 
 def structured_topk(chunk_rows: DataFrame, query: str, scan: int, k: int) -> DataFrame:
@@ -122,13 +200,38 @@ def hashed_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return weights.unionAll(empty)
 
 
+def hashed_rows(texts: list[str], seen: dict) -> np.ndarray:
+    """The vectors of ``hashed_vectors`` as rows of a matrix; ``seen`` keeps tokens' buckets."""
+    out = np.zeros((len(texts), DIMENSIONS))
+    for i, t in enumerate(texts):
+        for word, n in Counter(re.findall("[a-z0-9_]+", t.lower())).items():
+            if word not in seen:
+                if len(seen) > 500_000:
+                    seen.clear()
+                digest = hashlib.sha256(word.encode()).digest()
+                seen[word] = int.from_bytes(digest[:4]) % DIMENSIONS, 1 if digest[4] % 2 else -1
+            bucket, sign = seen[word]
+            out[i, bucket] += sign * n
+    norms = np.sqrt((out * out).sum(axis=1))
+    out[norms == 0, 0] = 1
+    return out / np.where(norms == 0, 1, norms)[:, None]
+
+
 def hashed_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k between hashed query and document texts, as a sparse join on buckets."""
-    q = hashed_vectors(queries, "item_id").withColumnRenamed("weight", "w2")
-    dot = hashed_vectors(docs).join(q, "bucket").groupBy("item_id", "doc_id").agg(F.sum(F.col("weight") * F.col("w2")).alias("dot"))
-    scored = dot.select("item_id", "doc_id", F.round("dot", 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    """Cosine top-k between hashed query and document texts.
+
+    A few queries, counted, are one matrix that goes to the documents; more meet them by a
+    sparse join on buckets, in which long texts meet every query.
+    """
+    few = queries.select("item_id", "text").limit(MATRIX_QUERIES + 1).collect()
+    if len(few) > MATRIX_QUERIES or len({r["item_id"] for r in few} - {None}) < len(few):
+        q = hashed_vectors(queries, "item_id").withColumnRenamed("weight", "w2")
+        dot = hashed_vectors(docs).join(q, "bucket").groupBy("item_id", "doc_id").agg(F.sum(F.col("weight") * F.col("w2")).alias("dot"))
+        return ranked(dot.select("item_id", "doc_id", F.round("dot", 6).alias("score")), k)
+    few.sort(key=lambda r: r["item_id"])
+    weights = hashed_rows([r["text"] or "" for r in few], {}).T
+    seen: dict = {}
+    return matrix_topk(docs, lambda texts: hashed_rows(texts, seen), weights, np.array([r["item_id"] for r in few], np.int64), k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -138,15 +241,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), 0.0).otherwise(dot(a, b) / norms)
 
 
+#: Query vectors and others that one task multiplies with one another.
+KNN_QUERIES, KNN_ROWS = 512, 8192
+
+
 def vector_knn(vectors: DataFrame, query_every: int, k: int) -> DataFrame:
     """Exact nearest neighbours: every vector whose id is divisible by ``query_every`` against
     all vectors of its label.
 
-    Queries are the small side of an equi-join on the label; each vector meets the queries of
-    its label only.
+    Labels with many vectors are cut into blocks of queries and of others; a block pair is one
+    product of matrices, of which ``k`` neighbours a query go on. Vectors of another length,
+    zero ones and null ones score 0.
     """
-    q = vectors.where(F.col("vec_id") % query_every == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query"))
-    scored = vectors.join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
+    rows = vectors.where("label IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "label", "embedding", (F.col("vec_id") % query_every == 0).alias("asks"))
+    shape = rows.groupBy("label").agg(F.ceil(F.count_if("asks") / KNN_QUERIES).cast("int").alias("xs"), F.ceil(F.count("*") / KNN_ROWS).cast("int").alias("ys")).where("xs > 0")
+    dealt = rows.join(shape, "label")
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = dealt.where("asks").select("label", own("xs").alias("x"), every("ys").alias("y"), F.lit(True).alias("query"), "vec_id", "embedding")
+    others = dealt.select("label", every("xs").alias("x"), own("ys").alias("y"), F.lit(False).alias("query"), "vec_id", "embedding")
+
+    def units(table: pa.Table, size: int) -> np.ndarray:
+        out = np.zeros((table.num_rows, size))
+        for i, v in enumerate(table.column("embedding").to_pylist()):
+            if v is not None and len(v) == size:
+                row = np.array([np.nan if c is None else c for c in v], np.float64)
+                norm = np.sqrt(row @ row)
+                out[i] = row / norm if norm > 0 else 0
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("query").to_numpy()
+        left, right = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+        a, b = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        sizes = sorted({len(v) for v in left.column("embedding").to_pylist() if v is not None})
+        scores = np.zeros((len(a), len(b)))
+        for size in sizes:
+            scores += units(left, size) @ units(right, size).T
+        out_a, out_b, out_s = [], [], []
+        for i in range(len(a)):
+            other = np.flatnonzero(b != a[i])
+            best = other[np.lexsort((b[other], -rounded(scores[i, other])))[:k]]
+            out_a.append(np.full(len(best), a[i]))
+            out_b.append(b[best])
+            out_s.append(scores[i, best])
+        flat = lambda x, t: np.concatenate([np.zeros(0, t), *x])
+        return pa.table({"query_id": flat(out_a, np.int64), "vec_id": flat(out_b, np.int64), "raw": flat(out_s, np.float64)})
+
+    found = asking.unionAll(others).groupBy("label", "x", "y").applyInArrow(run, "query_id long, vec_id long, raw double")
+    scored = found.select("query_id", "vec_id", F.round("raw", 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -21,18 +21,18 @@ FRONT = [
     (14, "", "A line of prose that has no hook at all."),
 ]
 ADJUDICATE = [
-    (1, "SessionEnd", "We decided that every archive must carry its own index from now on.", True),
-    (2, "Stop", "We prefer narrow tables for the hot path of the loader.", True),
-    (3, "Stop", "", False),
-    (4, "UserPromptSubmit", "Should we always sort before the merge step of the loader?", True),
-    (5, "PostToolUse", "Always sort before merging.", True),
-    (6, "Notification", "Always sort before merging.", True),
-    (7, "Stop", "thanks", False),
-    (8, "Stop", "password = swordfish and more", True),
-    (9, "pre_compact", "The runbook lists three steps for restoring a shard.", True),
-    (10, "UserPromptSubmit", "hm", False),
-    (11, "SessionEnd", "Short note on bug", True),
-    (12, "Stop", "A plain sentence about the weather that promises nothing at all.", False),
+    (1, "SessionEnd", "We decided that every archive must carry its own index from now on."),
+    (2, "Stop", "We prefer narrow tables for the hot path of the loader."),
+    (3, "Stop", ""),
+    (4, "UserPromptSubmit", "Should we always sort before the merge step of the loader?"),
+    (5, "PostToolUse", "Always sort before merging."),
+    (6, "Notification", "Always sort before merging."),
+    (7, "Stop", "thanks"),
+    (8, "Stop", "password = swordfish and more"),
+    (9, "pre_compact", "The runbook lists three steps for restoring a shard."),
+    (10, "UserPromptSubmit", "hm"),
+    (11, "SessionEnd", "Short note on bug"),
+    (12, "Stop", "A plain sentence about the weather that promises nothing at all."),
 ]
 GATE = [
     (1, "decision", "Archives carry their own index", "Archives carry their own index", "Notes: Archives carry their own index, says the log.", 0.9),

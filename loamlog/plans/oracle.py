@@ -207,10 +207,12 @@ BUNDLE = f""",
         FROM units WHERE length(key) >= 8 GROUP BY key ORDER BY max((recorded, n)) DESC LIMIT 100)
 """
 NOTES = """,
-    notes AS (SELECT l.n, 'claims/' || category || '/' || l.event_id || '.md' AS path, '---' || chr(10) || 'id: "' || l.event_id || '"' || chr(10) || 'zone: "' || l.zone || '"' || chr(10)
+    notes AS (SELECT l.recorded, 'claims/' || category || '/' || l.event_id || '.md' AS path, '---' || chr(10) || 'id: "' || l.event_id || '"' || chr(10) || 'zone: "' || l.zone || '"' || chr(10)
         || 'category: ' || category || chr(10) || '---' || chr(10) || '# ' || statement || chr(10) || chr(10) || 'Subject: [[' || subject || ']]' || chr(10) AS body
         FROM log l JOIN category c ON c.event_id = l.event_id)
 """
+#: The time as of which the index, manifest and statements of an earlier state stand.
+EARLIER = "2024-01-15 00:00:00"
 MARKER = "chr(10) || '…[truncated]…' || chr(10)"
 PRIORITY = "CASE chunk_kind WHEN 'claim' THEN 1.0 ELSE 0.2 END"
 
@@ -357,7 +359,7 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN p95_ms > 5000 THEN 'latency' END) AS blockers FROM r""",
     "token_stats": """
         SELECT doc_id, len(t) AS n_search, len(list_distinct(t)) AS n_distinct, len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS n_embedding,
-            sha256(array_to_string(t[1:20], ' ')) AS head
+            sha256(array_to_string(t, ' ')) AS digest
         FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents)""",
     "scrub_text": f"SELECT doc_id, length(t) AS n, sha256(t) AS digest FROM (SELECT doc_id, {scrubbed('text')} AS t FROM documents)",
     "head_tail_view": f"""
@@ -390,9 +392,6 @@ ORACLE_SQL: dict[str, str] = {
             FROM r a JOIN r b ON a.doc_id < b.doc_id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 9)
         SELECT a, b, round(shared / (n - shared), 6) AS similarity FROM p WHERE shared * 10 >= (n - shared) * 9""",
     "near_dup_classes": DUPLICATES + "SELECT doc_id, class_id FROM classes",
-    "near_dup_hold": f"""
-        SELECT id, zone, CASE WHEN gap <= 200 THEN 'hold' ELSE 'promote' END AS decision, gap FROM (
-            SELECT doc_id AS id, source AS zone, doc_id - lag(doc_id) OVER (PARTITION BY source, {statement_key('text')} ORDER BY doc_id) AS gap FROM documents)""",
     "retrieval_metrics": TOKENS + """,
         due AS (SELECT item_id, doc_id FROM lexical WHERE rank = 1 AND score = 1.0),
         h AS (SELECT item_id, count(*) FILTER (l.rank <= 3) AS found, min(l.rank) AS best FROM due JOIN lexical l USING (item_id, doc_id) WHERE l.rank <= 10 GROUP BY 1)
@@ -409,46 +408,6 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT *, {statement_key('statement')} AS k FROM s)
         SELECT lower(subject) AS subject, sha256(k) AS key, arg_min(id, (CASE lifecycle WHEN 'active' THEN 0 WHEN 'draft' THEN 1 ELSE 2 END, id)) AS keep_id, count(*) AS n_statements
         FROM k WHERE length(k) >= 8 GROUP BY 1, 2 HAVING count(*) > 1""",
-    "contradiction_pairs": f"""
-        WITH s AS (SELECT subject, id, lower(statement) AS s FROM {cases.values(cases.CONTRADICT, 'subject, id, statement')}),
-        m AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(s, '[^a-z0-9]+'), lambda x: length(x) > 3 AND x NOT IN ('never', 'must', 'always', 'should'))) AS t,
-            regexp_matches(s, '\\b(never|must not)\\b') AS nv, regexp_matches(s, '\\b(always|must)\\b') AS al,
-            regexp_matches(s, '\\b(forbid|forbidden|prohibit|ban|disallow)\\b') AS fo, regexp_matches(s, '\\b(allow|allowed|permit|permitted)\\b') AS pe FROM s)
-        SELECT a.subject, a.id AS left_id, b.id AS right_id, CASE WHEN (a.nv AND b.al) OR (b.nv AND a.al) THEN 'polarity_never_vs_must' ELSE 'allow_vs_forbid' END AS code
-        FROM m a JOIN m b ON a.subject = b.subject AND a.id < b.id
-        WHERE ((a.nv AND b.al) OR (b.nv AND a.al) OR (a.fo AND b.pe) OR (b.fo AND a.pe)) AND len(list_intersect(a.t, b.t)) >= 2""",
-    "front_gate": f"""
-        WITH b AS (SELECT case_id, {hook('hook')} AS hook, trim(signal) AS s FROM {cases.values(cases.FRONT, 'case_id, hook, signal')}),
-        l AS (SELECT *, list_transform(list_filter(list_transform(regexp_split_to_array(s, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> ''), lambda x: {{'k': {line_kinds('x')}, 'l': x}}) AS p FROM b),
-        r AS (SELECT case_id, hook, s, len(list_filter(p, lambda x: x.k = 'secret')) AS sec, len(list_filter(p, lambda x: x.k = 'tool')) AS tool,
-            len(list_filter(p, lambda x: x.k = 'telemetry')) AS tel, len(list_filter(p, lambda x: x.k = 'kept')) AS kept,
-            trim(coalesce(array_to_string(list_transform(list_filter(p, lambda x: x.k = 'kept'), lambda x: x.l), chr(10)), '')) AS t FROM l),
-        d AS (SELECT *, CASE WHEN s = '' THEN 'empty_signal'
-            WHEN regexp_matches(s, '(?i)\\b(ignore previous instructions|SYSTEM:\\s*export all secrets|exfiltrat|jailbreak)\\b') THEN 'injection_or_exfil_pattern'
-            WHEN hook = 'PostToolUse' THEN 'post_tool_use_noise' WHEN regexp_matches(s, '{NOISE}') THEN 'noise_only_signal'
-            WHEN hook NOT IN ('SessionEnd', 'Stop', 'PreCompact') THEN 'lifecycle_not_eligible'
-            WHEN kept = 0 AND sec > 0 AND tool = 0 AND tel = 0 THEN 'secret_like_material' WHEN kept = 0 AND tel > 0 AND tool = 0 THEN 'telemetry_only_signal'
-            WHEN kept = 0 AND tool > 0 THEN 'tool_noise_signal' WHEN kept = 0 THEN 'noise_only_signal'
-            WHEN length(t) < 8 THEN 'signal_too_short' WHEN regexp_matches(t, '{NOISE}') THEN 'noise_only_signal' ELSE 'front_v1_pass' END AS reason FROM r)
-        SELECT case_id, hook, CASE WHEN reason = 'front_v1_pass' THEN 'pass' ELSE 'drop' END AS decision, reason, CASE WHEN reason = 'front_v1_pass' THEN t END AS residual FROM d""",
-    "gate_verify": f"""
-        WITH b AS (SELECT *, trim(quote) AS q, trim(regexp_replace(regexp_replace(lower(statement), '[“”"''`]', '', 'g'), '\\s+', ' ', 'g')) AS s2,
-            trim(regexp_replace(regexp_replace(lower(quote), '[“”"''`]', '', 'g'), '\\s+', ' ', 'g')) AS q2
-            FROM {cases.values(cases.GATE, 'case_id, kind, statement, quote, pack, confidence')}),
-        t AS (SELECT *, list_filter(regexp_split_to_array(s2, '[^a-z0-9]+'), lambda x: length(x) > 2) AS a, list_distinct(list_filter(regexp_split_to_array(q2, '[^a-z0-9]+'), lambda x: length(x) > 2)) AS c FROM b),
-        i AS (SELECT *, len(list_filter(a, lambda x: list_contains(c, x))) AS n, len(list_distinct(list_concat(a, c))) AS u FROM t),
-        g AS (SELECT *, CASE WHEN length(s2) < 8 THEN 'statement_too_short_for_grounding' WHEN q = '' THEN 'no_quote_for_grounding'
-            WHEN length(s2) > length(q2) * 3 THEN 'statement_longer_than_cited_span' WHEN contains(q2, s2) OR contains(s2, q2) THEN 'statement_grounded_containment'
-            WHEN len(a) = 0 OR len(c) = 0 THEN 'statement_ungrounded_empty_tokens' WHEN n / u >= 0.35 OR n / len(a) >= 0.6 THEN 'statement_grounded_overlap'
-            ELSE 'statement_not_grounded_in_citations' END AS grounding FROM i),
-        o AS (SELECT *, CASE
-            WHEN regexp_matches(statement || ' ' || q, '(?i)\\b(api[_-]?key|secret|password|bearer\\s+[a-z0-9._-]+|sk-[a-z0-9]{{10,}})\\b') THEN 'reject:secret_like_material'
-            WHEN q = '' OR NOT contains(pack, q) OR grounding NOT IN ('statement_grounded_containment', 'statement_grounded_overlap') THEN 'reject:missing_or_failed_citation'
-            WHEN length(trim(statement)) < 8 THEN 'reject:statement_too_short' WHEN kind = 'open_question' THEN 'hold:open_question_side_channel'
-            WHEN kind = 'procedure' THEN 'hold:procedure_hold_biased_v1' WHEN kind = 'fact_candidate' THEN 'hold:fact_candidate_not_in_v1_allowlist'
-            WHEN kind NOT IN ('decision', 'constraint', 'preference') THEN 'hold:kind_not_in_usable_allowlist'
-            WHEN confidence IS NULL OR confidence >= 0.55 THEN 'promote:promote_when_verified' ELSE 'hold:hold_confidence_or_features' END AS o FROM g)
-        SELECT case_id, grounding, split_part(o, ':', 1) AS decision, split_part(o, ':', 2) AS reason FROM o""",
     "alias_lookup": LOG + f"""
         SELECT event_id AS alias, event_id FROM log UNION ALL SELECT {PAYLOAD.format('event_type', 'n')}, event_id FROM log""",
     "support_resolution": LOG + f"""
@@ -458,9 +417,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT subject, event_type, arg_min(event_id, (recorded, n)) AS first_id, arg_max(event_id, (recorded, n)) AS last_id, count(*) AS n_events
         FROM log GROUP BY 1, 2""",
     "bundle_export": LOG + BUNDLE + "SELECT event_id, event_type, statement, sha256(statement) AS idempotency_key FROM bundle",
-    "bundle_import": LOG + BUNDLE + """
-        SELECT CASE WHEN length(trim(statement)) < 8 THEN 'too_short' WHEN statement IN (SELECT statement FROM log WHERE n % 2 = 0 AND statement IS NOT NULL) THEN 'skipped'
+    "bundle_import": LOG + BUNDLE.replace(" LIMIT 100", "") + f"""
+        SELECT CASE WHEN length(trim(statement)) < 8 THEN 'too_short' WHEN statement IN (SELECT statement FROM log WHERE recorded < '{EARLIER}' AND statement IS NOT NULL) THEN 'skipped'
             ELSE 'imported' END AS status, count(*) AS n FROM bundle GROUP BY 1""",
+    "index_rebuild": f"""
+        WITH o AS ({LOG.replace("FROM events", f"FROM (SELECT * FROM events WHERE ts < '{EARLIER}')")} SELECT chunk_id, text_digest FROM chunk_ids), n AS ({LOG} SELECT chunk_id, text_digest FROM chunk_ids)
+        SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, CASE WHEN n.chunk_id IS NULL THEN 'stale' WHEN o.chunk_id IS NULL THEN 'added' WHEN o.text_digest <> n.text_digest THEN 'changed' ELSE 'kept' END AS status
+        FROM o FULL JOIN n ON o.chunk_id = n.chunk_id""",
     "source_records": LOG + """,
         r AS (SELECT event_id AS of, zone, lpad(CAST(zone_sequence AS VARCHAR), 16, '0') AS q, event_type, event_id, lifecycle, authority FROM seq
             UNION SELECT a.event_id, b.zone, lpad(CAST(b.zone_sequence AS VARCHAR), 16, '0'), b.event_type, b.event_id, b.lifecycle, b.authority FROM seq a JOIN seq b ON b.event_id = a.target_id)
@@ -469,7 +432,7 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN bool_or(authority = 'verified') THEN 'verified' WHEN bool_or(authority = 'derived') THEN 'derived'
                 ELSE arg_min(authority, (zone, q, event_type, event_id)) END AS authority FROM r GROUP BY 1""",
     "vault_notes": LOG + NOTES + "SELECT path, body, sha256(body) AS digest FROM notes",
-    "missing_files": LOG + NOTES + "SELECT path FROM notes WHERE n % 7 = 0",
+    "missing_files": LOG + NOTES + f"SELECT path FROM notes WHERE recorded >= '{EARLIER}'",
     "dashboard": LOG + "SELECT kind, '- ' || kind || ': ' || count(*) || ' (' || max(loop_id) || ')' AS line FROM loops GROUP BY 1",
     "provenance_paths": LOG + """,
         h1 AS (SELECT l.event_id AS seed, l.target_id AS node, 1 AS hop FROM log l WHERE l.event_type = 'Observation' AND l.target_id IS NOT NULL),
@@ -486,34 +449,14 @@ ORACLE_SQL: dict[str, str] = {
         p AS (SELECT event_id, k % 3 > 0 AS pending, coalesce(sum((k % 3 > 0)::INT) OVER (ORDER BY recorded, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
             FROM log WHERE event_type = 'EvidenceArtifact' AND n % 4 <> 0)
         SELECT event_id, CASE WHEN pending THEN 'pending' ELSE 'skipped' END AS state FROM p WHERE ahead < 40""",
-    "unit_resolution": """
-        WITH u AS (SELECT doc_id, text, substr(text, 1, 900) AS s, asked FROM documents, (VALUES ('R0'), ('R1'), ('R2'), ('R3')) AS v(asked)),
+    "unit_resolution": f"""
+        WITH l AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(x)), lambda x: length(x) >= 8) AS lines FROM documents),
+        b AS (SELECT *, coalesce(list_sort(list_transform(lines, lambda x, i: {{'s': CASE WHEN regexp_matches(x, '(?i)\\b(?:decision|constraint|preference|we will|must never|require|prefer)\\b') THEN 6 ELSE 0 END
+            - CASE WHEN length(x) < 16 THEN 3 ELSE 0 END + CASE WHEN length(x) >= 40 THEN 2 ELSE 0 END, 'n': length(x), 'o': -i, 'l': x}}), 'DESC')[1].l, '') AS s FROM l),
+        u AS (SELECT doc_id, text, s, asked FROM b, (VALUES ('R0'), ('R1'), ('R2'), ('R3')) AS v(asked)),
         r AS (SELECT *, CASE WHEN asked = 'R3' AND length(text) <= 500 THEN 'R3' WHEN asked >= 'R2' THEN 'R2' WHEN asked = 'R1' AND doc_id % 2 = 0 THEN 'R1' ELSE 'R0' END AS level FROM u)
         SELECT doc_id, asked, level, sha256(CASE level WHEN 'R3' THEN text WHEN 'R2' THEN CASE WHEN length(s) <= 500 THEN s ELSE substr(s, 1, 499) || '…' END END) AS digest FROM r""",
     "conversation_roles": """
         SELECT role, count(*) AS n_turns, count(DISTINCT conv_id) AS n_conversations,
             sum(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS n_tokens FROM conversations GROUP BY 1""",
-    "quality_filter": f"""
-        WITH c AS (SELECT *, trim(quote) AS q FROM {cases.values(cases.FILTER, 'case_id, kind, statement, quote, view')}),
-        r AS (SELECT *, CASE WHEN kind NOT IN ('decision', 'constraint', 'preference', 'procedure') THEN 'quality_non_promote_kind_passthrough' WHEN q = '' THEN 'quality_empty_quote'
-            WHEN NOT contains(view, q) THEN 'quality_quote_not_in_extract_view' WHEN len(string_split(view, q)) > 2 THEN 'quality_ambiguous_quote'
-            WHEN regexp_matches(statement, '(?i)\\b(hook captured|captured from provider)\\b') THEN 'quality_metadata_restatement' ELSE 'quality_ok' END AS reason FROM c)
-        SELECT case_id, reason IN ('quality_ok', 'quality_non_promote_kind_passthrough') AS keep, reason FROM r""",
-    "knowledge_form": f"""
-        WITH c AS (SELECT *, CASE WHEN regexp_matches(statement, '(?i)\\bpassword\\s*[:=]') OR length(trim(statement)) < 8 OR NOT visible THEN 'reject'
-            WHEN evidence = 0 THEN 'insufficient' WHEN kind = 'claim' THEN 'claim_candidate' ELSE 'observation' END AS p
-            FROM {cases.values(cases.FORMS, 'case_id, statement, kind, visible, evidence, expected')})
-        SELECT count(*) AS n, round(count(*) FILTER (expected = p) / count(*), 6) AS accuracy,
-            round(count(*) FILTER (expected = 'claim_candidate' AND p = 'claim_candidate') / count(*) FILTER (p = 'claim_candidate'), 6) AS claim_precision,
-            round(count(*) FILTER (expected = 'claim_candidate' AND p = 'claim_candidate') / count(*) FILTER (expected = 'claim_candidate'), 6) AS claim_recall,
-            round(count(*) FILTER (expected = 'observation' AND p = 'observation') / count(*) FILTER (expected = 'observation'), 6) AS preservation FROM c""",
-    "job_queue": f"""
-        WITH j AS (SELECT *, regexp_extract(coalesce(error, ''), 'HTTP ([0-9]{{3}})', 1) AS code FROM {cases.values(cases.JOBS, 'job_id, state, attempt, max_attempts, lease_expired, error')}),
-        k AS (SELECT *, CASE WHEN error IS NULL THEN NULL WHEN code IN ('408', '429') OR code LIKE '5%' THEN 'retry' WHEN code LIKE '4%' THEN 'blocked'
-            WHEN contains(lower(error), 'quota') THEN 'quota' ELSE 'retry' END AS kind FROM j),
-        n AS (SELECT *, CASE WHEN state = 'pending' THEN 'leased' WHEN (state = 'failed' OR (state = 'leased' AND lease_expired)) AND attempt >= max_attempts THEN 'dead'
-            WHEN state = 'leased' AND lease_expired THEN 'pending' WHEN state = 'failed' AND kind = 'blocked' THEN 'blocked' WHEN state = 'failed' THEN 'pending' ELSE state END AS nxt FROM k)
-        SELECT job_id, nxt AS state, kind AS error_class,
-            CASE WHEN state = 'failed' AND nxt = 'pending' AND kind = 'retry' THEN CAST(least(3600, pow(2, least(10, attempt - 1))) AS BIGINT) END AS delay_s,
-            state = 'failed' AND nxt = 'pending' AND coalesce(kind, '') = 'quota' AS until_midnight FROM n""",
 }

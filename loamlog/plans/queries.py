@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
 from loamlog.operators import facts, graph, metrics, policy, queues, records, retrieval
-from loamlog.plans import cases
-from loamlog.plans.oracle import ORACLE_SQL as ORACLE_SQL
+from loamlog.plans import cases, log_queries, signal_queries
+from loamlog.plans.oracle import EARLIER
+from loamlog.plans.oracle import ORACLE_SQL as BASE_SQL
 from loamlog.sources import log as L
+from loamlog.sources.signals import signals
 from loamlog.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = BASE_SQL | signal_queries.ORACLE_SQL | log_queries.ORACLE_SQL
 
 
 def query(f: Callable) -> Callable:
@@ -22,6 +25,11 @@ def query(f: Callable) -> Callable:
     return f
 
 
+def earlier(log: DataFrame) -> DataFrame:
+    """The log as it stood at EARLIER."""
+    return log.where(F.col("recorded") < F.lit(EARLIER).cast("timestamp"))
+
+
 def of_log(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
     """Registers a query over the adapted log."""
     QUERIES[name] = lambda spark, sf_dir: f(L.adapted(spark, sf_dir))
@@ -67,11 +75,11 @@ of_log("alias_lookup", lambda log: records.aliases(log))
 of_log("support_resolution", records.resolved_support)
 of_log("latest_writers", records.latest_writers)
 of_log("bundle_export", lambda log: records.bundle(log, 100))
-of_log("bundle_import", lambda log: records.bundle_import(log.where("n % 2 = 0"), records.bundle(log, 100)))
-of_log("index_rebuild", lambda log: records.index_changes(retrieval.chunks(log.where("n % 10 <> 3")), retrieval.chunks(log)))
+of_log("bundle_import", lambda log: records.bundle_import(earlier(log), records.bundle(log)))
+of_log("index_rebuild", lambda log: records.index_changes(retrieval.chunks(earlier(log)), retrieval.chunks(log)))
 of_log("source_records", records.source_records)
 of_log("vault_notes", lambda log: records.notes(log, facts.claim_category(log)))
-of_log("missing_files", lambda log: records.missing_files(records.notes(log, facts.claim_category(log)), records.notes(log.where("n % 7 <> 0"), facts.claim_category(log))))
+of_log("missing_files", lambda log: records.missing_files(records.notes(log, facts.claim_category(log)), records.notes(earlier(log), facts.claim_category(log))))
 of_log("dashboard", lambda log: records.dashboard(facts.open_loops(log)))
 of_log("provenance_paths", lambda log: records.neighbourhood_paths(log.where("target_id IS NOT NULL").select(F.col("event_id").alias("from_id"), F.col("target_id").alias("to_id")), log.where("event_type = 'Observation'").select(F.col("event_id").alias("seed")), 3))
 of_log("proposal_edges", records.proposal_edges)
@@ -83,12 +91,13 @@ of_log("context_pack", lambda log: records.context_pack(log, 12, 600))
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = L.table(spark, sf_dir, "documents")
     a, c = T.search_tokens(F.col("text")), T.embedding_tokens(F.col("text"))
-    return docs.select("doc_id", F.size(a).alias("n_search"), F.size(F.array_distinct(a)).alias("n_distinct"), F.size(c).alias("n_embedding"), F.sha2(F.array_join(F.slice(a, 1, 20), " "), 256).alias("head"))
+    return docs.select("doc_id", F.size(a).alias("n_search"), F.size(F.array_distinct(a)).alias("n_distinct"), F.size(c).alias("n_embedding"), F.sha2(F.array_join(a, " "), 256).alias("digest"))
 
 
 @query
 def scrub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.table(spark, sf_dir, "documents").select("doc_id", T.scrub(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("digest"))
+    rows = T.scrubbed(L.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")), "t")
+    return rows.select("doc_id", F.length("t").alias("n"), F.sha2("t", 256).alias("digest"))
 
 
 @query
@@ -99,7 +108,7 @@ def head_tail_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def line_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = L.table(spark, sf_dir, "documents").select("doc_id", T.residual_lines(F.col("text")).alias("r"))
+    lines = T.with_residual(L.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "r")
     return lines.select("doc_id", F.size("r.kept").alias("kept"), "r.secret", "r.tool", "r.telemetry")
 
 
@@ -160,26 +169,6 @@ def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.binary_quality(rows)
 
 
-@query
-def adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.adjudicate(cases.rows(spark, cases.ADJUDICATE, "case_id int, hook string, signal string, has_span boolean"))
-
-
-@query
-def front_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.front_gate(cases.rows(spark, cases.FRONT, "case_id int, hook string, signal string"))
-
-
-@query
-def gate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.gate(cases.rows(spark, cases.GATE, "case_id int, kind string, statement string, quote string, pack string, confidence double"))
-
-
-@query
-def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.contradictions(cases.rows(spark, cases.CONTRADICT, "subject string, id int, statement string"))
-
-
 @query
 def statement_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = L.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("id"), F.lit("documents").alias("subject"), F.lit("draft").alias("lifecycle"), F.col("text").alias("statement"))
@@ -189,44 +178,13 @@ def statement_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = L.table(spark, sf_dir, "documents")
+    docs = L.table(spark, sf_dir, "documents").withColumn("summary", F.coalesce(policy.best_line(F.col("text")), F.lit("")))
     ref = F.when(F.col("doc_id") % 2 == 0, "ref")
-    out = [docs.select("doc_id", F.lit(level).alias("asked"), records.resolve_unit(F.col("text"), F.substring("text", 1, 900), ref, level, 500).alias("u")) for level in ("R0", "R1", "R2", "R3")]
+    out = [docs.select("doc_id", F.lit(level).alias("asked"), records.resolve_unit(F.col("text"), F.col("summary"), ref, level, 500).alias("u")) for level in ("R0", "R1", "R2", "R3")]
     rows = out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
     return rows.select("doc_id", "asked", F.col("u.level").alias("level"), F.sha2("u.text", 256).alias("digest"))
 
 
-@query
-def statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cases.rows(spark, cases.KINDS, "case_id int, text string")
-    return rows.select("case_id", policy.inferred_kind(F.col("text")).alias("inferred"), T.kind_of(F.col("text")).alias("candidate"), F.size(policy.sentences(F.col("text"))).alias("n_sentences"), policy.best_line(F.col("text")).alias("quote"))
-
-
-@query
-def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.quality_filter(cases.rows(spark, cases.FILTER, "case_id int, kind string, statement string, quote string, view string"))
-
-
-@query
-def reconcile_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.supersession_components(cases.rows(spark, cases.LINKS, "source string, target string, replacement string"))
-
-
-@query
-def graph_rank_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rank_hits(cases.rows(spark, cases.RANKED, "query_id int, chunk_id string, kind string, lifecycle string, query string, text string, hop int, expected boolean, forbidden boolean"))
-
-
-@query
-def knowledge_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.form_quality(policy.knowledge_form(cases.rows(spark, cases.FORMS, "case_id int, statement string, kind string, visible boolean, evidence int, expected string")))
-
-
-@query
-def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queues.job_step(cases.rows(spark, cases.JOBS, "job_id int, state string, attempt int, max_attempts int, lease_expired boolean, error string"))
-
-
 @query
 def conversation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = L.table(spark, sf_dir, "conversations")
@@ -235,4 +193,7 @@ def conversation_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def transcript_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.fold_transcripts(L.table(spark, sf_dir, "conversations"))
+    return state.fold_transcripts(signals(spark, sf_dir).withColumn("text", F.col("signal")))
+
+
+QUERIES |= signal_queries.QUERIES | log_queries.QUERIES

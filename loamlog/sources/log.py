@@ -55,6 +55,15 @@ def adapted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merged(local: DataFrame, inbox: DataFrame) -> DataFrame:
+    """The events that a projection reads: local ones, and of the pulled inbox those that are
+    not local. An event that arrived twice stands once, local before pulled, then the earlier."""
+    both = local.withColumn("_from", F.lit(0)).unionByName(inbox.withColumn("_from", F.lit(1)))
+    names = [c for c in local.columns if c != "event_id"]
+    best = both.groupBy("event_id").agg(F.min_by(F.struct(*names, F.col("_from")), F.struct("_from", "recorded")).alias("e"))
+    return best.select(*[F.col("event_id") if c == "event_id" else F.col(f"e.{c}").alias(c) for c in local.columns], F.when(F.col("e._from") == 0, "local").otherwise("inbox").alias("origin"))
+
+
 def erasures(log: DataFrame) -> DataFrame:
     """The erasure ledger: every event whose number is divisible by 97 is erased a day later."""
     return log.where(F.col("n") % 97 == 0).select(

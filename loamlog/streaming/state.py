@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Fixed values of the transcript fold.
-KEPT, MAX_CHARS = 8, 1200
+from loamlog.functions import prose as P
+from loamlog.functions import text as T
+
+#: Fixed value of the transcript fold.
+KEPT = 8
 
 
 def idempotent_stream(requests: DataFrame) -> DataFrame:
@@ -52,33 +55,36 @@ def append_new(batch: DataFrame, path: str, key: str) -> None:
 
 
 def fold_transcripts(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text -> what the user said that lasts, in order.
+    """conv_id, turn, role, text -> what was said that lasts, in order.
+
+    A turn counts if its prose is fit for a candidate and durable. It is kept once; a kept
+    correction opens an epoch, in which earlier lines may be said again, and takes away the
+    earlier lines that hold a term which it gives up. The last KEPT lines stay.
 
-    A line is kept once; a line that corrects (starts with "actually", "correction" or
-    "instead") clears what was seen, unless it repeats a kept one; the last KEPT lines stay.
-    The fold is sequential by contract: whether a correction resets depends on what was kept
-    before. State is bounded by KEPT lines and the set of lines since the last correction.
+    Roles, prose and rules are columns, so only the few lines that last reach the fold. The
+    fold is sequential by contract: whether a correction opens an epoch depends on what was
+    kept before. It holds a conversation's lasting lines in one task.
     """
+    said = turns.where(F.lower("role").isin("user", "human", "assistant", "ai")).withColumn("line", P.sanitized(F.regexp_replace("text", "(?i)</?user_query\\s*>", " ")))
+    lasting = T.computed(said, "line").where(P.is_durable(F.col("line")))
+    rows = lasting.select(
+        "conv_id", "turn", "line", F.lower(P.flat(F.col("line"))).alias("key"), P.is_correction(F.col("line")).alias("corrects"), P.obsolete_terms(F.col("line")).alias("terms"),
+    )
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, str]] = []
+        kept: list[tuple] = []
         seen: set[str] = set()
         epoch = 0
-        for turn, role, text in pdf.sort_values(["turn", "text"])[["turn", "role", "text"]].itertuples(index=False):
-            for line in (text or "").split("\n"):
-                line = " ".join(line.split())[:MAX_CHARS]
-                if role != "user" or len(line) < 8:
-                    continue
-                key = line.lower()
-                if key in seen:
-                    continue
-                if key.startswith(("actually", "correction", "instead")):
-                    seen.clear()
-                    epoch += 1
-                seen.add(key)
-                kept.append((turn, line))
-                del kept[:-KEPT]
-        rows = [(pdf["conv_id"].iloc[0], i + 1, t, s, epoch) for i, (t, s) in enumerate(kept)]
+        for turn, line, key, corrects, terms in pdf.sort_values(["turn", "line"])[["turn", "line", "key", "corrects", "terms"]].itertuples(index=False):
+            if key in seen:
+                continue
+            if corrects:
+                seen.clear()
+                epoch += 1
+                kept = [x for x in kept if not any(t in x[2] for t in terms)]
+            seen.add(key)
+            kept.append((turn, line, key))
+        rows = [(pdf["conv_id"].iloc[0], i + 1, t, s, epoch) for i, (t, s, _) in enumerate(kept[-KEPT:])]
         return pd.DataFrame(rows, columns=["conv_id", "place", "turn", "line", "epoch"])
 
-    return turns.groupBy("conv_id").applyInPandas(fold, "conv_id long, place int, turn long, line string, epoch int")
+    return rows.groupBy("conv_id").applyInPandas(fold, "conv_id long, place int, turn long, line string, epoch int")

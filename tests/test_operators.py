@@ -56,12 +56,15 @@ def test_jaccard_of_empty_sets_is_one(spark):
 
 
 def test_adjudication(spark):
-    rows = policy.adjudicate(cases.rows(spark, cases.ADJUDICATE, "case_id int, hook string, signal string, has_span boolean"))
-    got = {r["case_id"]: (r["disposition"], r["reason"]) for r in rows.collect()}
-    assert got[1] == ("promote", "promote_threshold") and got[2][0] == "promote"
-    assert got[3][0] == "hold" and got[4][0] == "hold"
-    assert got[5] == ("reject", "post_tool_use_noise") and got[6] == ("reject", "lifecycle_not_eligible")
-    assert got[7] == ("reject", "noise_only_signal") and got[8] == ("reject", "secret_like_material")
+    frame = cases.rows(spark, cases.ADJUDICATE, "case_id int, hook string, signal string").withColumns({"provider": F.lit("a host"), "subject": F.lit(None).cast("string")})
+    got = {r["case_id"]: r for r in policy.adjudicate(frame).collect()}
+    said = {k: (r["disposition"], r["reasons"].split(",")[-1]) for k, r in got.items()}
+    assert said[1] == ("promote", "promote_threshold") and said[2][0] == "promote"
+    assert said[3][0] == "hold" and said[4][0] == "hold" and "no_safe_candidate_span" in got[3]["reasons"]
+    assert said[5] == ("reject", "post_tool_use_noise") and said[6] == ("reject", "lifecycle_not_eligible")
+    assert said[7] == ("reject", "noise_only_signal") and said[8] == ("reject", "secret_like_material")
+    assert [got[8][c] for c in ("value", "durability", "risk", "noise")] == [0, 0, 1, 0.5]
+    assert got[2]["statement"] == "Captured a_host Stop evidence (transcript, application/json) for project. Knowledge fragment (preference): We prefer narrow tables for the hot path of the loader."
 
 
 def test_visibility_fails_closed(spark):
@@ -132,12 +135,16 @@ def test_windowed_counts_run_on_a_batch(spark):
 
 
 def test_transcripts(spark):
+    small, large, no = "we must keep the archive small", "correction: we should keep it large", "we should use two copies instead of the old tape"
     turns = [
-        (1, 1, "user", "keep the archive small\nkeep the archive small"), (1, 2, "assistant", "keep the archive large"),
-        (1, 3, "user", "actually make it large"), (1, 4, "user", "keep the archive small"), (1, 5, "user", "actually make it large"), (2, 1, "user", None),
+        (1, 1, "user", small), (1, 2, "assistant", "the sky is grey today"), (1, 3, "Human", f"  {small}\n"), (1, 4, "user", large), (1, 5, "user", small),
+        (1, 6, "user", large), (1, 7, "user", "always keep the old tape"), (1, 8, "tool", "always keep tools"), (1, 9, "user", no), (2, 1, "user", None), (2, 2, "user", "ok"),
     ]
     got = state.fold_transcripts(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("place").collect()
-    assert [(r["line"], r["turn"], r["epoch"]) for r in got] == [("keep the archive small", 1, 1), ("actually make it large", 3, 1), ("keep the archive small", 4, 1)]
+    # the first correction lets the assertion be said again; the last one takes the old tape away
+    assert [(r["line"], r["turn"], r["epoch"]) for r in got] == [(small, 1, 2), (large, 4, 2), (small, 5, 2), (no, 9, 2)]
+    many = spark.createDataFrame([(1, i, "user", f"we always keep copy {i}") for i in range(30)], "conv_id long, turn long, role string, text string")
+    assert [r["turn"] for r in state.fold_transcripts(many).orderBy("place").collect()] == list(range(22, 30))
 
 
 def test_cosine_edges(spark):
@@ -176,9 +183,10 @@ def test_backoff_is_bounded(spark):
 
 
 def test_statement_kinds_and_quotes(spark):
-    from loamlog.plans.queries import QUERIES
-
-    got = {r["case_id"]: r for r in QUERIES["statement_kinds"](spark, f"{DATA}/sf0.001").collect()}
+    rows = cases.rows(spark, cases.KINDS, "case_id int, text string")
+    t = F.col("text")
+    told = rows.select("case_id", policy.inferred_kind(t).alias("inferred"), F.size(policy.sentences(t)).alias("n_sentences"), policy.best_line(t).alias("quote"))
+    got = {r["case_id"]: r for r in told.collect()}
     assert [got[i]["inferred"] for i in range(1, 9)] == ["decision", "constraint", "preference", "procedure", "open_question", "fact_candidate", "fact_candidate", "decision"]
     assert got[1]["n_sentences"] == 2 and got[7]["n_sentences"] == 0 and got[7]["quote"] is None
     assert got[8]["quote"] == "We will keep the first answer and drop the rest of them"
