@@ -122,7 +122,7 @@ def head_tail(text: Column, most: int) -> Column:
 def line_kinds(text: Column) -> Column:
     """The lines that are not blank with their kinds: secret, tool, telemetry, noise or kept,
     the first that fits. A pattern is tried where a line holds a word that it needs."""
-    lines = F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
     def holds(x: Column, *signs: str) -> Column:
         out = F.lit(False)

@@ -55,7 +55,7 @@ def candidate_spans(signal: Column) -> Column:
     as structs of kind and text; none of noise, secrets or structured dumps."""
     flat = F.substring(P.flat(F.coalesce(signal, F.lit(""))), 1, SOURCE_CHARS)
     refused = (flat == "") | flat.rlike(T.NOISE_SIGNAL) | T.secret_material(flat) | flat.rlike(P.DUMP)
-    parts = F.transform(F.split(F.regexp_replace(flat, "([.!?]+) ", "$1\u0001"), "\u0001"), F.trim)
+    parts = F.transform(F.split(F.regexp_replace(flat, "([.!?]+) ", "$1\u0001"), "\u0001"), lambda x: F.trim(x))
     named = F.transform(parts, lambda x: F.struct(T.kind_of(x).alias("kind"), F.trim(F.substring(x, 1, SPAN_CHARS)).alias("text"), F.length(x).alias("length")))
     good = F.slice(F.filter(named, lambda x: x["kind"].isNotNull() & (x["length"] >= 12)), 1, SPANS)
     return F.when(~refused, good).otherwise(F.slice(good, 1, 0))
@@ -246,13 +246,13 @@ def inferred_kind(text: Column) -> Column:
 
 def sentences(text: Column, most: int = 3) -> Column:
     """The first sentences of 12 to 240 characters, ``most`` of them."""
-    found = F.transform(F.regexp_extract_all(text, F.lit("([^.!?\n]+[.!?]?)"), F.lit(1)), F.trim)
+    found = F.transform(F.regexp_extract_all(text, F.lit("([^.!?\n]+[.!?]?)"), F.lit(1)), lambda x: F.trim(x))
     return F.slice(F.filter(found, lambda s: F.length(s).between(12, 240)), 1, most)
 
 
 def best_line(text: Column) -> Column:
     """The line that reads most like knowledge; of equals the longer, then the earlier."""
-    lines = F.filter(F.transform(F.split(text, "\n+"), F.trim), lambda x: F.length(x) >= 8)
+    lines = F.filter(F.transform(F.split(text, "\n+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 8)
     strong = T.words("decision", "constraint", "preference", "we will", "must never", "require", "prefer")
     score = lambda x: F.when(x.rlike(strong), 6).otherwise(0) - F.when(F.length(x) < 16, 3).otherwise(0) + F.when(F.length(x) >= 40, 2).otherwise(0)
     ranked = F.transform(lines, lambda x, i: F.struct(score(x).alias("score"), F.length(x).alias("length"), (-i).alias("order"), x.alias("line")))

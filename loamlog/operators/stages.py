@@ -58,7 +58,7 @@ def triage(text: Column) -> Column:
 def best_quote(text: Column) -> Column:
     """The line that bears most: strong words count, longer lines win ties, then earlier ones.
     Without a line of eight characters the whole text, unless it names metadata."""
-    lines = F.filter(F.transform(F.split(text, "\n+"), F.trim), lambda x: (F.length(x) >= 8) & ~x.rlike(META_LINE))
+    lines = F.filter(F.transform(F.split(text, "\n+"), lambda x: F.trim(x)), lambda x: (F.length(x) >= 8) & ~x.rlike(META_LINE))
     score = lambda x: (
         F.when(x.rlike(DECISION) | x.rlike(DECISION_KO), 12).otherwise(0) + F.when(x.rlike(STRONG), 6).otherwise(0)
         + F.when(x.rlike(DECISION_KO), 6).otherwise(0) - F.when(F.length(x) < 16, 3).otherwise(0) + F.when(F.length(x) >= 40, 2).otherwise(0)

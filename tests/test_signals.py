@@ -160,3 +160,11 @@ def test_bundle_faults(spark):
     files = spark.createDataFrame([("claims/a.md", good), ("claims/b.md", good), ("claims/b.md", good), ("../x.md", good), ("index.md", "no front"), ("a.txt", "---\ntitle: t\n---\n[z](gone.md)")], "path string, body string")
     got = {(r["path"], r["code"]) for r in bundles.conformance(files).collect()}
     assert got == {("claims/b.md", "duplicate_path"), ("../x.md", "invalid_path"), ("index.md", "reserved_path"), ("index.md", "invalid_front_matter"), ("a.txt", "not_markdown"), ("a.txt", "missing_type"), ("a.txt", "unresolved_link")}
+
+
+def test_lines_are_trimmed_of_blanks_only(spark):
+    """Leading blanks go, leading digits stay, whatever place a line has."""
+    texts = ["  0 copies are left here\n  1 copy is left here too\n12 more lines of it"]
+    lines = each(spark, texts, T.line_kinds)[0]
+    assert [r["line"] for r in lines] == ["0 copies are left here", "1 copy is left here too", "12 more lines of it"]
+    assert each(spark, [" ok go on now. 1 two three four."], policy.sentences) == [["ok go on now.", "1 two three four."]]
