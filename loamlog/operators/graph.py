@@ -85,7 +85,8 @@ def threads(log: DataFrame, links: DataFrame) -> DataFrame:
     """Decision threads: connected meaning units of one subject, two at least.
 
     Connections are derived_from, supports and supersedes edges within the subject. The
-    thread's id hashes its sorted members.
+    thread's id is a digest of its members as a set: of their number, the first one and the sum
+    of their hashes, so members are never gathered in one row.
     """
     from loamlog.operators.components import connected
 
@@ -95,8 +96,10 @@ def threads(log: DataFrame, links: DataFrame) -> DataFrame:
     pairs = links.where("edge_kind IN ('derived_from', 'supports', 'supersedes')").join(a, "from_id").join(b, "to_id").where("s1 = s2").select("a", "b")
     parts = connected(pairs)
     members = units.join(parts.select(F.col("node").alias("n"), "component"), "n", "left").withColumn("component", F.coalesce("component", "n"))
-    thread = members.groupBy("subject", "component").agg(F.count("*").alias("n_members"), F.sort_array(F.collect_list("id")).alias("ids")).where("n_members > 1")
-    return thread.select(T.content_id("thread_", 24, F.array_join("ids", ",")).alias("thread_id"), "subject", "n_members", F.element_at("ids", 1).alias("first_member"))
+    digits = F.conv(F.substring(F.sha2("id", 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    thread = members.groupBy("subject", "component").agg(F.count("*").alias("n_members"), F.min("id").alias("first_member"), F.sum(digits).alias("_sum")).where("n_members > 1")
+    seed = (F.col("n_members").cast("string"), F.col("first_member"), F.col("_sum").cast("string"))
+    return thread.select(T.content_id("thread_", 24, *seed).alias("thread_id"), "subject", "n_members", "first_member")
 
 
 def density(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:

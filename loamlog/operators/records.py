@@ -163,12 +163,17 @@ def backfill(log: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("ahead", before).where(F.col("ahead") < limit).select("event_id", F.when(F.col("pending") == 1, "pending").otherwise("skipped").alias("state"))
 
 
-def context_pack(log: DataFrame, max_items: int, max_chars: int) -> DataFrame:
+def context_pack(log: DataFrame, max_items: int, max_chars: int, most_of_key: int = 8) -> DataFrame:
     """Per subject the records of its context pack, by section slots, then what is left over,
-    within a budget; an item that does not fit is skipped and later ones may still fit.
-
-    A section offers its first ``max_items`` records only: no more than that can be taken, so
-    a subject's group stays bounded.
+    within a budget; an item that does not fit is skipped and later ones may still fit. Of one
+    diversity key, here the claim or other record that is referred to, a section takes
+    ``most_of_key`` at most.
+
+    What goes to a subject's group is bounded and loses nothing. The budget only shrinks, so of
+    equal size, section and key none is taken after one that did not fit: ``most_of_key`` at
+    most, the first ones. Of equal size and section ``max_items`` are taken at most, and before
+    them stand no more than the rows of keys that are used up. What is larger than the whole
+    budget is never taken.
     """
     import pandas as pd
 
@@ -177,23 +182,29 @@ def context_pack(log: DataFrame, max_items: int, max_chars: int) -> DataFrame:
     slots = {"accepted": 6, "conflict": 2, "supersession": 1, "observation": 4, "evidence": 1, "draft": 0, "rejected": 0, "erasure": 0}
     rows = log.join(classify(log).select("event_id", "section"), "event_id").where(F.col("section").isin(*slots))
     text = F.coalesce("statement", F.concat(F.lit("Record "), "event_id"))
-    rank = F.row_number().over(Window.partitionBy("subject", "section").orderBy(F.desc("recorded"), "event_id"))
-    rows = rows.select("subject", "section", "event_id", F.length(text).alias("size"), rank.alias("rank")).where(F.col("rank") <= max_items)
+    rows = rows.select("subject", "section", "event_id", "recorded", F.length(text).alias("size"), F.coalesce("target_id", "event_id").alias("key")).where(F.col("size") <= max_chars)
+    keyed = F.row_number().over(Window.partitionBy("subject", "section", "size", "key").orderBy(F.desc("recorded"), "event_id"))
+    alike = F.row_number().over(Window.partitionBy("subject", "section", "size").orderBy(F.desc("recorded"), "event_id"))
+    few = rows.withColumn("r", keyed).where(F.col("r") <= most_of_key).withColumn("r", alike).where(F.col("r") <= max_items + most_of_key * (max_items // most_of_key)).drop("r")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        queues = {s: [r for r in pdf[pdf["section"] == s].sort_values("rank")[["event_id", "size"]].itertuples(index=False)] for s in slots}
+        pdf = pdf.sort_values(["recorded", "event_id"], ascending=[False, True])
+        queues = {s: list(pdf[pdf["section"] == s][["event_id", "size", "key"]].itertuples(index=False)) for s in slots}
+        met: dict = {}
         out, used = [], 0
         for most in (slots, dict.fromkeys(slots, max_items)):
             for section in slots:
                 taken, rest = 0, []
                 for r in queues[section]:
-                    if taken < most[section] and len(out) < max_items and used + r.size <= max_chars:
-                        out.append((pdf["subject"].iloc[0], section, r.event_id, len(out) + 1))
-                        used += r.size
-                        taken += 1
-                    elif taken >= most[section]:
+                    if taken < most[section]:
+                        if len(out) < max_items and used + r.size <= max_chars and met.get((section, r.key), 0) < most_of_key:
+                            out.append((pdf["subject"].iloc[0], section, r.event_id, len(out) + 1))
+                            used += r.size
+                            taken += 1
+                            met[section, r.key] = met.get((section, r.key), 0) + 1
+                    else:
                         rest.append(r)
                 queues[section] = rest
         return pd.DataFrame(out, columns=["subject", "section", "event_id", "place"])
 
-    return rows.groupBy("subject").applyInPandas(pack, "subject string, section string, event_id string, place int")
+    return few.groupBy("subject").applyInPandas(pack, "subject string, section string, event_id string, place int")

@@ -363,6 +363,10 @@ def token_classes(docs: DataFrame) -> DataFrame:
     return keyed.join(least, "key").select("doc_id", "class_id", "tokens")
 
 
+#: Sets of a token that are compared with as many others in one group.
+TOKEN_BLOCK = 1024
+
+
 def near_duplicate_pairs(docs: DataFrame, num: int = 9, den: int = 10) -> DataFrame:
     """Pairs of different token sets with Jaccard similarity of at least num / den.
 
@@ -375,9 +379,14 @@ def near_duplicate_pairs(docs: DataFrame, num: int = 9, den: int = 10) -> DataFr
     order = Window.partitionBy("id").orderBy("df", "token")
     least = F.ceil(F.col("n") * num / den)
     prefix = terms.join(df, "token").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - least + 1).where("df > 1").select("id", "n", "token")
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "token"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "token")
-    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") < F.col("b"))
-    pairs = a.join(b, "token").where(fits).select("a", "b").distinct()
+    # a token that many sets have at their front is dealt in pairs of blocks
+    blocks = prefix.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).cast("int").alias("blocks"))
+    dealt = prefix.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    a = dealt.select("token", F.col("own").alias("lo"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("hi"), F.col("id").alias("a"), F.col("n").alias("na"))
+    b = dealt.select("token", F.explode(F.sequence(F.lit(0), "own")).alias("lo"), F.col("own").alias("hi"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
+    met = a.join(b, ["token", "lo", "hi"]).where(fits)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = pairs.join(reps.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(reps.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
     total = F.size("ta") + F.size("tb") - shared

@@ -340,8 +340,8 @@ ORACLE_SQL: dict[str, str] = {
         both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
         reach AS (SELECT n AS x, n AS y FROM unit UNION SELECT r.x, s.b FROM reach r JOIN both_ways s ON s.a = r.y),
         comp AS (SELECT x AS n, min(y) AS component FROM reach GROUP BY 1),
-        thread AS (SELECT subject, component, count(*) AS n_members, list_sort(list(id)) AS ids FROM unit JOIN comp USING (n) GROUP BY 1, 2)
-        SELECT 'thread_' || substr(sha256(list_aggregate(ids, 'string_agg', ',')), 1, 24) AS thread_id, subject, n_members, ids[1] AS first_member
+        thread AS (SELECT subject, component, count(*) AS n_members, min(id) AS first_member, sum(('0x' || substr(sha256(id), 1, 12))::BIGINT) AS total FROM unit JOIN comp USING (n) GROUP BY 1, 2)
+        SELECT 'thread_' || substr(sha256(n_members || ':' || first_member || ':' || total), 1, 24) AS thread_id, subject, n_members, first_member
         FROM thread WHERE n_members > 1""",
     "lineage_trace": LOG + """,
         step AS (SELECT DISTINCT event_id AS a, target_id AS b FROM log WHERE target_id IS NOT NULL),

@@ -78,11 +78,20 @@ def superseded(log: DataFrame) -> DataFrame:
 
 
 def decisions(log: DataFrame) -> DataFrame:
-    """Decisions with the claim they are about: the subject's latest claim before them."""
+    """Decisions with the claim they are about: the subject's latest claim before them.
+
+    A subject's days are looked through on their own, and the last claim of its earlier days,
+    one row a day, is carried over, so no subject has to fit into one task.
+    """
+    seen = log.where(F.col("event_type").isin("Claim", "AcceptanceDecision")).withColumn("_day", F.to_date("recorded"))
     claim = F.when(F.col("event_type") == "Claim", F.col("event_id"))
-    before = Window.partitionBy("user_id").orderBy("recorded", "n").rowsBetween(Window.unboundedPreceding, -1)
-    seen = log.where(F.col("event_type").isin("Claim", "AcceptanceDecision")).withColumn("claim_id", F.last(claim, ignorenulls=True).over(before))
-    return seen.where((F.col("event_type") == "AcceptanceDecision") & F.col("claim_id").isNotNull())
+    days = seen.groupBy(F.col("user_id").alias("_u"), F.col("_day").alias("_d")).agg(F.max_by("event_id", F.when(F.col("event_type") == "Claim", F.struct("recorded", "n"))).alias("_claim"))
+    earlier = Window.partitionBy("_u").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_earlier", F.last("_claim", ignorenulls=True).over(earlier)).drop("_claim")
+    within = Window.partitionBy("user_id", "_day").orderBy("recorded", "n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = seen.withColumn("_within", F.last(claim, ignorenulls=True).over(within)).join(days, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("_day").eqNullSafe(F.col("_d")))
+    rows = rows.withColumn("claim_id", F.coalesce("_within", "_earlier")).drop("_day", "_u", "_d", "_within", "_earlier")
+    return rows.where((F.col("event_type") == "AcceptanceDecision") & F.col("claim_id").isNotNull())
 
 
 def sequenced(log: DataFrame, zone: str = "zone", time: str = "recorded", tie: str = "n", into: str = "zone_sequence") -> DataFrame:

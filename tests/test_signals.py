@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loamlog.functions import prose as P
 from loamlog.functions import text as T
-from loamlog.operators import bundles, intake, metrics, policy, search, stages
+from loamlog.operators import bundles, facts, intake, metrics, policy, records, search, stages
 from loamlog.sources import log as L
 from tests.conftest import DATA
 
@@ -168,3 +168,29 @@ def test_lines_are_trimmed_of_blanks_only(spark):
     lines = each(spark, texts, T.line_kinds)[0]
     assert [r["line"] for r in lines] == ["0 copies are left here", "1 copy is left here too", "12 more lines of it"]
     assert each(spark, [" ok go on now. 1 two three four."], policy.sentences) == [["ok go on now.", "1 two three four."]]
+
+
+@pytest.mark.parametrize(("items", "chars", "cap"), [(12, 600, 8), (5, 130, 1), (9, 260, 2)])
+def test_context_packs_lose_nothing(spark, items, chars, cap):
+    """The packs that come from bounded groups are those of all rows."""
+    slots = {"accepted": 6, "conflict": 2, "supersession": 1, "observation": 4, "evidence": 1, "draft": 0, "rejected": 0, "erasure": 0}
+    log = L.adapted(spark, SF).withColumn("subject", F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string"))).withColumn("statement", F.concat("statement", F.repeat(F.lit("x"), (F.col("k") % 30).cast("int"))))
+    rows = log.join(facts.classify(log).select("event_id", "section"), "event_id").collect()
+    want = set()
+    for subject in {r["subject"] for r in rows}:
+        queues = {s: sorted((r for r in rows if r["subject"] == subject and r["section"] == s), key=lambda r: (-r["recorded"].timestamp(), r["event_id"])) for s in slots}
+        met, used, n = {}, 0, 0
+        for most in (slots, dict.fromkeys(slots, items)):
+            for section in slots:
+                taken, rest = 0, []
+                for r in queues[section]:
+                    size, key = len(r["statement"] or f"Record {r['event_id']}"), (section, r["target_id"] or r["event_id"])
+                    if taken >= most[section]:
+                        rest.append(r)
+                    elif n < items and used + size <= chars and met.get(key, 0) < cap:
+                        n, used, taken = n + 1, used + size, taken + 1
+                        met[key] = met.get(key, 0) + 1
+                        want.add((subject, section, r["event_id"], n))
+                queues[section] = rest
+    got = records.context_pack(log, items, chars, cap).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
