@@ -189,7 +189,9 @@ def context_pack(log: DataFrame, max_items: int, max_chars: int, most_of_key: in
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["recorded", "event_id"], ascending=[False, True])
-        queues = {s: list(pdf[pdf["section"] == s][["event_id", "size", "key"]].itertuples(index=False)) for s in slots}
+        queues: dict[str, list] = {s: [] for s in slots}
+        for r in pdf[["section", "event_id", "size", "key"]].itertuples(index=False):
+            queues[r.section].append(r)
         met: dict = {}
         out, used = [], 0
         for most in (slots, dict.fromkeys(slots, max_items)):

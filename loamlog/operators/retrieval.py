@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
+from loamlog.operators.components import checkpointed
 from loamlog.sources import log as L
 
 #: Fixed values of the ranking.
@@ -373,7 +374,10 @@ def near_duplicate_pairs(docs: DataFrame, num: int = 9, den: int = 10) -> DataFr
     Sets are taken once (token_classes tells their members). Two such sets share a token
     among the rarest n - ceil(t n) + 1 of each, which is all that is joined.
     """
-    reps = token_classes(docs).where("doc_id = class_id AND size(tokens) > 0").select(F.col("doc_id").alias("id"), "tokens")
+    sets = docs.select("doc_id", F.sort_array(F.array_distinct(T.search_tokens(F.col("text")))).alias("tokens"))
+    sets = T.computed(sets, "tokens").where(F.size("tokens") > 0)
+    one = sets.groupBy(F.sha2(F.array_join("tokens", " "), 256).alias("key")).agg(F.min("doc_id").alias("id"), F.any_value("tokens").alias("tokens"))
+    reps = checkpointed(one.select("id", "tokens"))  # read four times below
     terms = reps.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = terms.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "token")
