@@ -499,8 +499,9 @@ def sharing_texts(docs: DataFrame) -> DataFrame:
 
     rows = staged(text.select("text_key", "text").mapInArrow(run, "text_key long, gram long"), "grams")
     by_gram = rows.groupBy("gram").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count("*").alias("n"))
-    shared = staged(by_gram.where("lo < hi").select("gram"), "shared-grams")
-    found = skew_join(rows, shared, "gram").select("text_key").distinct()
+    shared = staged(by_gram.where("lo < hi").select("gram", "n"), "shared-grams")
+    hot = [r[0] for r in shared.where(F.col("n") > max(rows.count() // HOT, LEAST)).select("gram").collect()]  # fewer than HOT
+    found = skew_join(rows, shared.select("gram"), "gram", hot=hot).select("text_key").distinct()
     long = F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))) >= PASSAGE
     copies = text.groupBy("text_key").agg(F.count("*").alias("n"), F.any_value(long).alias("long")).where("n > 1 AND long").select("text_key")
     return found.unionAll(copies).distinct()

@@ -191,3 +191,34 @@ def test_pipeline_keeps_one_copy_of_a_repeated_text(spark):
     got = {r["doc_id"]: r["text"] for r in docs.where("doc_id >= 1000000").collect()}
     assert got == {10**6: text} | {10**6 + 10 + i: t for i, t in enumerate(clean)}
     assert docs.where("doc_id = 1000000").count() == 1
+
+
+def sharing_by_force(rows, n):
+    """Places of the rows that hold n words in a row which another row holds as well."""
+    words = [(t or "").split() for _, t in rows]
+    met = {}
+    for i, w in enumerate(words):
+        for a in range(len(w) - n + 1):
+            met.setdefault(tuple(w[a : a + n]), set()).add(i)
+    return {i for held in met.values() if len(held) > 1 for i in held}
+
+
+def test_shared_passages_against_all_windows(spark):
+    """Every passage of 50 words is reported, none of fewer than 40, copies among them."""
+    rng = random.Random(19)
+    rows = [(i, prose(rng, rng.randrange(10, 260))) for i in range(60)]
+    for n in (20, 39, 41, 50, 51, 75, 140):
+        passage = prose(rng, n)
+        for _ in range(2):
+            i = rng.randrange(60)
+            w = rows[i][1].split()
+            at = rng.randrange(len(w))
+            rows[i] = (i, " ".join([*w[:at], passage, *w[at:]]))
+    rows += [(100, prose(rng, 60)), (101, prose(rng, 30)), (102, None), (103, "")]
+    rows += [(200, rows[-4][1]), (201, rows[-3][1]), (202, None), (None, rows[0][1])]
+    got = suffix_dedup.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    told = {(r["doc_id"], r["shares_passage"]) for r in got}
+    must, may = ({rows[i][0] for i in sharing_by_force(rows, n)} for n in (50, 40))
+    said = {d for d, shares in told if shares}
+    assert must <= said <= may and len(got) == len(rows)
+    assert {100, 200} <= said and not {101, 201, 102, 202, 103} & said
