@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,16 @@ SLACK = 1e-7
 def unit_vectors(column: pa.Array) -> tuple[list[bytes | None], list[int]]:
     """Unit vectors as bytes of doubles, and dimensions; None where a vector is null, zero,
     empty, or holds null or non-finite components."""
+    sizes = pa.compute.list_value_length(column)
+    flat = column.flatten()
+    if len(column) and not column.null_count and not flat.null_count and pa.compute.min(sizes).as_py() == pa.compute.max(sizes).as_py() != 0:
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        top = np.abs(x).max(axis=1)
+        good = np.isfinite(x).all(axis=1) & (top > 0)
+        x[~good], top[~good] = 1, 1
+        x /= top[:, None]
+        x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        return [row.tobytes() if ok else None for row, ok in zip(x, good.tolist(), strict=True)], np.where(good, x.shape[1], 0).tolist()
     out, sizes = [], []
     for v in column:
         x = None if not v.is_valid else np.array([np.nan if c is None else c for c in v.as_py()], np.float64)
