@@ -12,6 +12,7 @@ from loamlog.functions import text as T
 from loamlog.operators import intake, metrics, policy, stages
 from loamlog.plans.oracle import NOISE, hook, line_kinds, scrubbed, statement_key
 from loamlog.sources import signals as S
+from loamlog.sources import transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -88,6 +89,15 @@ def taken(rows: DataFrame) -> DataFrame:
     return intake.intake(intake.envelopes(rows))
 
 
+def sent_envelopes(rows: DataFrame) -> DataFrame:
+    """A pack of a title and the signal for each case; some are damaged on the way."""
+    record = lambda ordinal, text: F.to_json(F.struct(ordinal.cast("int").alias("ordinal"), text.alias("text")))
+    second = F.when(F.col("turn") % 9 == 5, 2).otherwise(1)
+    body = F.base64(F.concat(record(F.lit(0), F.lit("evidence")), F.lit("\n"), record(second, F.col("signal"))).cast("binary"))
+    return rows.select(F.col("case_id").alias("pack_id"), F.when(F.col("turn") % 9 == 4, "not base64!").otherwise(body).alias("body"))
+
+
+of_signals("envelope_redaction", lambda rows: transcripts.redact_envelopes(sent_envelopes(rows)))
 of_signals("prose_rules", prose_rules)
 of_signals("redaction_checks", redaction_checks)
 of_signals("evidence_packs", lambda rows: packs(rows).select("case_id", "error", "pack_digest", F.sha2("view", 256).alias("view")))
@@ -265,6 +275,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT case_id, NOT {matches('signal', P.SHORT_NOISE)} AND NOT future AND {matches('signal', P.DURABLE, P.DURABLE_KO)} AS durable, future, {matches('signal', P.CORRECTION, P.CORRECTION_KO)} AS correction,
             coalesce(array_to_string(terms, '|'), '') AS terms, CASE WHEN NOT bad AND length(f) >= 8 AND NOT {matches('f', P.DUMP)} THEN sha256(substr(f, 1, 1200)) END AS strict,
             CASE WHEN NOT bad THEN sha256(substr(f, 1, 1200)) END AS relaxed FROM t""",
+    "envelope_redaction": SIGNALS + f""",
+        t AS (SELECT case_id, turn, {nfc_lf('signal')} AS t FROM signals),
+        e AS (SELECT *, CASE turn % 9 WHEN 4 THEN 'invalid_base64' WHEN 5 THEN 'ordinal_mismatch' ELSE {policy_code('t')} END AS error FROM t)
+        SELECT case_id AS pack_id, error, CASE WHEN error IS NULL THEN 2 END AS n_records, CASE WHEN error IS NULL THEN sha256('evidence' || chr(10) || t) END AS digest FROM e""",
     "redaction_checks": SIGNALS + f""",
         t AS (SELECT case_id, {nfc_lf('signal')} AS t FROM signals)
         SELECT case_id, sha256(t) AS digest, length(t) AS scalars, {policy_code('t')} AS code FROM t""",

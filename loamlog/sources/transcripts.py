@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamlog.functions import prose as P
+
 #: Bytes read from a transcript's end, characters of one item.
 TAIL_BYTES, ITEM_CHARS = 256_000, 1200
 LINE = "type string, role string, text string, prompt string, last_prompt string, message struct<role string, content string>"
@@ -63,6 +65,25 @@ def envelope_records(envelopes: DataFrame) -> DataFrame:
     return base.select("pack_id", "error", F.explode_outer(rows).alias("r")).select("pack_id", "r.ordinal", "r.text", "error")
 
 
+def redact_envelopes(envelopes: DataFrame) -> DataFrame:
+    """pack_id, error, n_records, digest: envelopes after redaction.
+
+    The first fault of the envelope itself counts, then the first record, by ordinal, that a
+    policy refuses. Without any, the digest is of the records' normal forms, joined by line
+    ends. Envelopes are bounded by contract, so one row holds the records of one.
+    """
+    rows = envelope_records(envelopes)
+    coded = rows.withColumn("normal", P.nfc_lf(F.col("text")))
+    coded = coded.withColumn("code", P.policy_code(F.col("normal")))
+    refused = F.when(F.col("code").isNotNull(), F.struct("ordinal", "code"))
+    packs = coded.groupBy("pack_id").agg(
+        F.max("error").alias("fault"), F.min(refused).alias("bad"), F.sort_array(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "normal")))).alias("parts")
+    )
+    error = F.coalesce("fault", F.col("bad.code"))
+    joined = F.array_join(F.transform("parts", lambda p: p["normal"]), "\n")
+    return packs.select("pack_id", error.alias("error"), F.when(error.isNull(), F.size("parts")).alias("n_records"), F.when(error.isNull(), F.sha2(joined, 256)).alias("digest"))
+
+
 def lenient_json(text: Column, schema: str) -> Column:
     """The whole text as JSON, else its first braced block; null if neither parses."""
     block = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
