@@ -483,13 +483,15 @@ def document_roots(docs: DataFrame) -> DataFrame:
     with scratch():
         text = keyed(docs)
         frequent = docs.sparkSession.sparkContext.broadcast(frequent_counters(text))
-        held = staged(sets(text, frequent), "shingle-sets")
-        found, big = regions(held)
-        found, big = staged(found, "regions"), staged(big, "large-regions-rows")
-        needed = found.select(F.explode("sids").alias("sid")).unionAll(big.select("sid")).distinct()
-        carriers = held.where(F.size("prefix") > 0).select("doc_id", "text_key", "sid", "n", "counts", "brief")
-        chosen = carriers.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
-        chosen = staged(chosen.select("sid", "n", "counts", "brief", "one.doc_id", "one.text_key"), "region-sets")
+        with scratch():  # prefixes and vectors of all sets go when regions and their sets are laid down
+            held = staged(sets(text, frequent), "shingle-sets")
+            named = staged(held.select("doc_id", "text_key", "n", "sid"), "set-names", keep=True)
+            found, big = regions(held)
+            found, big = staged(found, "regions", keep=True), staged(big, "large-regions-rows", keep=True)
+            needed = found.select(F.explode("sids").alias("sid")).unionAll(big.select("sid")).distinct()
+            carriers = held.where(F.size("prefix") > 0).select("doc_id", "text_key", "sid", "n", "counts", "brief")
+            chosen = carriers.join(needed, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.any_value("n").alias("n"), F.any_value("counts").alias("counts"), F.any_value("brief").alias("brief"))
+            chosen = staged(chosen.select("sid", "n", "counts", "brief", "one.doc_id", "one.text_key"), "region-sets", keep=True)
         any_big = not big.isEmpty()
         pairs = pivot_pairs(found)
         if any_big:
@@ -513,7 +515,6 @@ def document_roots(docs: DataFrame) -> DataFrame:
                 parts = components(measured.where("linked").select("a", "b"))
             if pivots is not None:
                 rows = staged(open_regions(rows.drop("part").join(more, "region", "left_semi"), parts), "open-regions")
-        named = held.select("doc_id", "text_key", "n", "sid")
         linked = skew_join(named.where("n > 0"), staged(parts, "parts").withColumnRenamed("node", "sid"), "sid", "left")
         linked = linked.select("doc_id", "text_key", "n", F.coalesce("component", "sid").alias("root"))
         return staged(linked.unionAll(named.where("n = 0").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("root"))), "roots", keep=True)
