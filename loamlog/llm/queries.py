@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamlog.llm import decontamination, embedding_dedup, jaccard_join, language_id, sentencepiece_backend, sharding, suffix_dedup, token_files, toxicity, warc
+from loamlog.llm import (
+    decontamination,
+    embedding_dedup,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    sentencepiece_backend,
+    sharding,
+    spelling,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    warc,
+    whitening,
+)
 from loamlog.llm.common import table
 
 
@@ -56,6 +70,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_revisits,
         op9_language_id,
         op10_suffix_dedup,
+        op11_whitening,
+        op12_spelling_variants,
+        op13_exact_dedup,
     )
 }
 
@@ -83,4 +112,12 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first_page <> page_id THEN first_page END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op13_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+            FROM documents)
+        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = min(doc_id) OVER g AS kept, text_sha256
+        FROM d WINDOW g AS (PARTITION BY text_sha256)
+    """,
 }
