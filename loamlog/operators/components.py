@@ -1,10 +1,11 @@
-"""Connected components of an edge list, as alternating large-star and small-star steps."""
+"""Connected components, cycles and reachability of edge lists, as iterated joins."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +37,75 @@ def connected(edges: DataFrame) -> DataFrame:
         if now == before:
             return pairs.select(F.col("b").alias("node"), F.col("a").alias("component"))
         before = now
+
+
+def shrunk(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One round of the search for cycles in edges (a, b, component): what is left of them, and
+    the components that were found to have one.
+
+    Edges from where nothing leads or to where nothing goes on are dropped. A component that
+    loses none by that has a cycle: each of its nodes leads on. Else nodes with one edge in and
+    one out are bridged where their hash is the least among their neighbours', so a chain loses
+    about a third of its nodes a round.
+    """
+    tails, heads = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+    marked = edges.join(tails.withColumn("led", F.lit(True)), "a", "left").join(heads.withColumn("goes", F.lit(True)), "b", "left")
+    marked = checkpointed(marked.select("a", "b", "component", (F.col("led").isNotNull() & F.col("goes").isNotNull()).alias("inner")))
+    whole = marked.groupBy("component").agg(F.min("inner").alias("all"), F.max(F.col("a") == F.col("b")).alias("loop")).where("all OR loop").select("component")
+    rest = marked.where("inner").select("a", "b", "component").join(whole, "component", "left_anti").select("a", "b", "component")
+    out = rest.groupBy(F.col("a").alias("v"), "component").agg(F.count("*").alias("n"), F.min("b").alias("w")).where("n = 1").drop("n")
+    into = rest.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("n"), F.min("a").alias("u")).where("n = 1").drop("n")
+    between = out.join(into, "v").withColumn("h", F.struct(F.xxhash64("v", F.lit(turn)), "v"))
+    beside = between.select("v", "h")
+    before, after = beside.select(F.col("v").alias("u"), F.col("h").alias("hu")), beside.select(F.col("v").alias("w"), F.col("h").alias("hw"))
+    bridged = between.join(before, "u", "left").join(after, "w", "left").where("(hu IS NULL OR h < hu) AND (hw IS NULL OR h < hw)")
+    bridged = checkpointed(bridged.select("u", "v", "w", "component"))
+    gone_a, gone_b = bridged.select(F.col("v").alias("a")), bridged.select(F.col("v").alias("b"))
+    kept = rest.join(gone_a, "a", "left_anti").join(gone_b, "b", "left_anti").select("a", "b", "component")
+    left = kept.unionAll(bridged.select(F.col("u").alias("a"), F.col("w").alias("b"), "component")).distinct()
+    return checkpointed(left), checkpointed(whole)
+
+
+def cyclic_components(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """The components (of ``parts``: node, component) in which directed edges (a, b) lead from
+    some node back to it. A chain of n edges takes some 2.5 log2(n) rounds."""
+    named = edges.join(parts.withColumnRenamed("node", "a"), "a").select("a", "b", "component").distinct()
+    left, found, turn = checkpointed(named), None, 0
+    while not left.isEmpty():
+        left, here = shrunk(left, turn)
+        found, turn = here if found is None else found.unionAll(here), turn + 1
+    return named.select("component").limit(0) if found is None else found.distinct()
+
+
+def reaching(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs (start, goal) whose goal is reached from their start over edges (a, b), and those
+    whose two ends are one.
+
+    Only pairs whose ends share a component in which edges and pairs (goal to start) together
+    have a cycle can be such; the others are not followed. The rounds that are left are as
+    many as the longest way within such a component has edges.
+    """
+    pairs = checkpointed(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
+    both = edges.select("a", "b").unionAll(pairs.select(F.col("goal").alias("a"), F.col("start").alias("b")))
+    ends = connected(both.where("a <> b"))
+    parts = ends.unionAll(ends.select(F.col("component").alias("node"), "component")).distinct()
+    cyclic = checkpointed(parts.join(cyclic_components(both.where("a <> b"), parts), "component", "left_semi"))
+    steps = checkpointed(edges.join(cyclic.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b").distinct())
+    apart = pairs.where("start <> goal").join(cyclic.select(F.col("node").alias("start")), "start", "left_semi")
+    front = checkpointed(apart.withColumn("at", F.col("start")))
+    seen, found = front, pairs.where("start = goal")
+    while not front.isEmpty():
+        on = front.join(steps.withColumnRenamed("a", "at"), "at").select("start", "goal", F.col("b").alias("at")).distinct()
+        on = checkpointed(on.join(seen, ["start", "goal", "at"], "left_anti"))
+        hit = on.where("at = goal").select("start", "goal").distinct()
+        found = checkpointed(found.unionAll(hit))
+        front = checkpointed(on.join(hit, ["start", "goal"], "left_anti"))
+        seen = checkpointed(seen.unionAll(front))
+    return found
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the one that driver and executors share."""
+    checkpointed(spark.range(0))  # sets the folder in local mode where none is set
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir().rsplit("/", 1)[0]
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

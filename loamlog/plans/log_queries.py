@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamlog.functions import prose as P
-from loamlog.operators import bundles, facts, graph, intake, metrics, policy, queues, records, retrieval, search, stages
-from loamlog.plans import signal_queries
+from loamlog.operators import bundles, facts, graph, intake, metrics, policy, queues, reconcile, records, retrieval, search, stages
+from loamlog.operators.components import checkpointed
+from loamlog.plans import reconcile_sql, signal_queries
 from loamlog.plans.oracle import BUNDLE, LOG, LOG_RECURSIVE, TOKENS
 from loamlog.plans.oracle import ORACLE_SQL as BASE_SQL
+from loamlog.sources import judged as J
 from loamlog.sources import log as L
 from loamlog.sources import signals as S
 
@@ -109,6 +111,21 @@ of_log("bundle_rows", lambda log: records.import_rows(log.where("recorded < '202
 of_log("reconcile_components", lambda log: policy.supersession_components(links(log)))
 
 
+def reconciled(log: DataFrame) -> DataFrame:
+    found = reconcile.verdicts(J.sources(log), J.observations(log), J.judgements(log), J.reviews(log), J.relations(log), J.OLD, J.NEW)
+    return reconcile.entries(found, J.lineage(log), J.relations(log))
+
+
+def reconcile_plan(log: DataFrame) -> DataFrame:
+    found = checkpointed(reconciled(log))
+    return reconcile.plan(found, reconcile.taints(found, J.relations(log)))
+
+
+of_log("reconcile_verdicts", lambda log: reconciled(log).select("source_id", "zone", "target_id", "replacement_id", "bucket", "action", "reason", "conforms", "component_id"))
+of_log("reconcile_taints", lambda log: reconcile.taints(checkpointed(reconciled(log)), J.relations(log)))
+of_log("reconcile_plan", reconcile_plan)
+
+
 @query
 def stable_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = L.adapted(spark, sf_dir)
@@ -349,4 +366,4 @@ ORACLE_SQL: dict[str, str] = {
         cyclic AS (SELECT DISTINCT a AS node FROM leads WHERE a = b),
         m AS (SELECT component, string_agg(p.node, ',' ORDER BY p.node) AS members, bool_or(c.node IS NOT NULL) AS has_cycle FROM parts p LEFT JOIN cyclic c USING (node) GROUP BY 1)
         SELECT 'rec_' || substr(sha256(members), 1, 16) AS component_id, members, has_cycle FROM m""",
-}
+} | reconcile_sql.ORACLE_SQL

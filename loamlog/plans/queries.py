@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
 from loamlog.operators import facts, graph, metrics, policy, queues, records, retrieval
-from loamlog.plans import cases, log_queries, signal_queries
+from loamlog.plans import cases, log_queries, signal_queries, table_queries
 from loamlog.plans.oracle import EARLIER
 from loamlog.plans.oracle import ORACLE_SQL as BASE_SQL
 from loamlog.sources import log as L
@@ -17,7 +17,7 @@ from loamlog.sources.signals import signals
 from loamlog.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = BASE_SQL | signal_queries.ORACLE_SQL | log_queries.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = BASE_SQL | signal_queries.ORACLE_SQL | log_queries.ORACLE_SQL | table_queries.ORACLE_SQL
 
 
 def query(f: Callable) -> Callable:
@@ -196,4 +196,4 @@ def transcript_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fold_transcripts(signals(spark, sf_dir).withColumn("text", F.col("signal")))
 
 
-QUERIES |= signal_queries.QUERIES | log_queries.QUERIES
+QUERIES |= signal_queries.QUERIES | log_queries.QUERIES | table_queries.QUERIES
