@@ -303,13 +303,14 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     """``left`` joined to ``right`` by ``key`` ("inner" or "left"), rows of hot keys spread.
 
     ``left`` may hold a third of its rows under one key; it is counted first, unless ``hot``
-    names the keys. ``right`` has few rows a key, which go to all parts of a hot one.
+    names the keys. ``right`` has few rows a key, which go to all parts of a hot one. A row's
+    part follows from the row itself, so a task that runs again deals its rows alike.
     """
     if hot is None:
         hot = hot_keys(left, key)
     if not hot:
         return left.join(right, key, how)
-    parted = F.when(F.col(key).isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int")).otherwise(0)
+    parted = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(SALT)).cast("int")).otherwise(0)
     every = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
     salt = free_name("salt", [*left.columns, *right.columns])
     return left.withColumn(salt, parted).join(right.withColumn(salt, F.explode(every)), [key, salt], how).drop(salt)

@@ -177,7 +177,11 @@ def score_texts(docs: DataFrame, labelled: DataFrame, labels: DataFrame, per_cla
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from ``threshold`` on) of every document."""
+    """doc_id, held_out, score, predicted (1 from ``threshold`` on) of every document.
+
+    Labels of held-out documents are left out before anything is counted or chosen, so they
+    have no part even in which others are learned from.
+    """
     out_of = held_out(F.col("doc_id"), 3, 1)
-    scored = score_texts(docs.select("doc_id", "text"), docs.where(~out_of), labels)
+    scored = score_texts(docs.select("doc_id", "text"), docs.where(~out_of), labels.where(~out_of))
     return scored.select("doc_id", out_of.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

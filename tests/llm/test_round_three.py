@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamlog.llm import common, exact_dedup, queries, spelling, whitening
+from loamlog.llm import common, exact_dedup, queries, spelling, toxicity, whitening
 from tests.conftest import DATA
 
 
@@ -254,3 +254,22 @@ def test_flat_directions_and_lengths(spark):
     assert {r["deviation"] for r in wide} == {None}  # more than a long holds
     kept = whitening.whiten(frame).collect()
     assert len(kept) == 5 and all(len(r["whitened"]) in (2, 3) for r in kept)
+
+
+# ---- mended: what is held out, and salts ----
+
+def test_labels_held_out_change_no_score(spark):
+    """All held-out labels flipped, or gone: every score of the given documents stays."""
+    docs, labels = common.table(spark, f"{DATA}/sf0.01", "documents"), common.table(spark, f"{DATA}/sf0.01", "labels")
+    out = toxicity.held_out(F.col("doc_id"), 3, 1)
+    first = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_documents(docs, labels).collect()}
+    for other in (labels.withColumn("toxic", F.when(out, 1 - F.col("toxic")).otherwise(F.col("toxic"))), labels.where(~out)):
+        assert {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_documents(docs, other).collect()} == first
+
+
+def test_salts_follow_from_the_row(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i}") for i in range(3000)]
+    left, right = spark.createDataFrame(rows, "i long, k string"), spark.createDataFrame([("hot", 1), ("k3", 2)], "k string, v int")
+    joined = common.skew_join(left, right, "k", "left", ["hot"])
+    assert "monotonically" not in joined._jdf.queryExecution().analyzed().toString()
+    assert sorted((r["i"], r["v"]) for r in joined.collect()) == sorted((i, 1 if k == "hot" else 2 if k == "k3" else None) for i, k in rows)
