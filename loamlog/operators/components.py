@@ -22,6 +22,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the shared folder. Unlike a checkpoint's, its size is known
+    from its files; estimates carried through many rounds of joins grow without bound."""
+    path = shared_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b) of any orderable type; component is the least node."""
     pairs = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
@@ -50,7 +58,7 @@ def shrunk(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """
     tails, heads = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
     marked = edges.join(tails.withColumn("led", F.lit(True)), "a", "left").join(heads.withColumn("goes", F.lit(True)), "b", "left")
-    marked = checkpointed(marked.select("a", "b", "component", (F.col("led").isNotNull() & F.col("goes").isNotNull()).alias("inner")))
+    marked = written(marked.select("a", "b", "component", (F.col("led").isNotNull() & F.col("goes").isNotNull()).alias("inner")))
     whole = marked.groupBy("component").agg(F.min("inner").alias("all"), F.max(F.col("a") == F.col("b")).alias("loop")).where("all OR loop").select("component")
     rest = marked.where("inner").select("a", "b", "component").join(whole, "component", "left_anti").select("a", "b", "component")
     out = rest.groupBy(F.col("a").alias("v"), "component").agg(F.count("*").alias("n"), F.min("b").alias("w")).where("n = 1").drop("n")
@@ -59,18 +67,18 @@ def shrunk(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     beside = between.select("v", "h")
     before, after = beside.select(F.col("v").alias("u"), F.col("h").alias("hu")), beside.select(F.col("v").alias("w"), F.col("h").alias("hw"))
     bridged = between.join(before, "u", "left").join(after, "w", "left").where("(hu IS NULL OR h < hu) AND (hw IS NULL OR h < hw)")
-    bridged = checkpointed(bridged.select("u", "v", "w", "component"))
+    bridged = written(bridged.select("u", "v", "w", "component"))
     gone_a, gone_b = bridged.select(F.col("v").alias("a")), bridged.select(F.col("v").alias("b"))
     kept = rest.join(gone_a, "a", "left_anti").join(gone_b, "b", "left_anti").select("a", "b", "component")
     left = kept.unionAll(bridged.select(F.col("u").alias("a"), F.col("w").alias("b"), "component")).distinct()
-    return checkpointed(left), checkpointed(whole)
+    return written(left), written(whole)
 
 
 def cyclic_components(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """The components (of ``parts``: node, component) in which directed edges (a, b) lead from
     some node back to it. A chain of n edges takes some 2.5 log2(n) rounds."""
     named = edges.join(parts.withColumnRenamed("node", "a"), "a").select("a", "b", "component").distinct()
-    left, found, turn = checkpointed(named), None, 0
+    left, found, turn = written(named), None, 0
     while not left.isEmpty():
         left, here = shrunk(left, turn)
         found, turn = here if found is None else found.unionAll(here), turn + 1
@@ -85,22 +93,26 @@ def reaching(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     have a cycle can be such; the others are not followed. The rounds that are left are as
     many as the longest way within such a component has edges.
     """
-    pairs = checkpointed(pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct())
+    pairs = pairs.select("start", "goal").where("start IS NOT NULL AND goal IS NOT NULL").distinct()
+    leads = pairs.join(edges.select(F.col("a").alias("start")), "start", "left_semi").join(edges.select(F.col("b").alias("goal")), "goal", "left_semi")
+    pairs = written(leads.select("start", "goal").unionByName(pairs.where("start = goal")).distinct())
+    if pairs.where("start <> goal").isEmpty():
+        return pairs
     both = edges.select("a", "b").unionAll(pairs.select(F.col("goal").alias("a"), F.col("start").alias("b")))
     ends = connected(both.where("a <> b"))
     parts = ends.unionAll(ends.select(F.col("component").alias("node"), "component")).distinct()
-    cyclic = checkpointed(parts.join(cyclic_components(both.where("a <> b"), parts), "component", "left_semi"))
-    steps = checkpointed(edges.join(cyclic.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b").distinct())
+    cyclic = written(parts.join(cyclic_components(both.where("a <> b"), parts), "component", "left_semi"))
+    steps = written(edges.join(cyclic.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b").distinct())
     apart = pairs.where("start <> goal").join(cyclic.select(F.col("node").alias("start")), "start", "left_semi")
-    front = checkpointed(apart.withColumn("at", F.col("start")))
+    front = written(apart.withColumn("at", F.col("start")))
     seen, found = front, pairs.where("start = goal")
     while not front.isEmpty():
         on = front.join(steps.withColumnRenamed("a", "at"), "at").select("start", "goal", F.col("b").alias("at")).distinct()
-        on = checkpointed(on.join(seen, ["start", "goal", "at"], "left_anti"))
+        on = written(on.join(seen, ["start", "goal", "at"], "left_anti"))
         hit = on.where("at = goal").select("start", "goal").distinct()
-        found = checkpointed(found.unionAll(hit))
-        front = checkpointed(on.join(hit, ["start", "goal"], "left_anti"))
-        seen = checkpointed(seen.unionAll(front))
+        found = written(found.unionAll(hit))
+        front = written(on.join(hit, ["start", "goal"], "left_anti"))
+        seen = written(seen.unionAll(front))
     return found
 
 
