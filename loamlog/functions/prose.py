@@ -43,9 +43,13 @@ POLICY = (
 STRICT_LEAST, RELAXED_LEAST, PROSE_MOST = 8, 4, 1200
 
 
+#: White space of any script, as the policies mean it: a pattern's own class is ASCII alone.
+SPACES = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]+"
+
+
 def flat(text: Column) -> Column:
-    """Runs of white space as one space."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of white space, of any script, as one space."""
+    return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
 def sanitized(text: Column, strict: bool = True) -> Column:
@@ -74,7 +78,7 @@ def is_correction(text: Column) -> Column:
 
 def obsolete_terms(text: Column) -> Column:
     """What a correction says to give up: the first match of each form, two characters at least."""
-    low = F.lower(flat(text))
+    low = repeat_key(text)
     found = F.array(*[F.trim(F.regexp_extract(low, p, 1)) for p in OBSOLETE])
     return F.filter(found, lambda t: F.length(t) >= 2)
 
@@ -84,6 +88,16 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+
+
+def repeat_key(text: Column) -> Column:
+    """What makes two lines the same: compatible characters as one, spaces and case aside."""
+    return F.lower(flat(nfkc(text)))
+
+
 def nfc_lf(text: Column) -> Column:
     """Unicode composition and line feeds alone as line ends."""
     return F.regexp_replace(nfc(text), "\r\n?", "\n")

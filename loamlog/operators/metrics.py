@@ -35,6 +35,19 @@ def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int = 3) -> Dat
     return per.toDF("recall", "rr").agg(F.count("*").alias("n_queries"), F.round(F.avg("recall"), 6).alias("macro_recall"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
+def containing(items: DataFrame, docs: DataFrame, block: int = 1024) -> DataFrame:
+    """item_id, doc_id: the documents that hold an item's text as it stands, which is what makes
+    them relevant to it whatever a ranking says. Items are a stated set of queries: blocks of
+    them, bounded in number, go to the documents. Empty and null texts are held by none."""
+    asked = items.where("text <> ''").select("item_id", F.col("text").alias("asked"))
+    blocks, found = max(1, -(-asked.count() // block)), None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        held = docs.select("doc_id", "text").join(F.broadcast(part), F.contains("text", "asked")).select("item_id", "doc_id")
+        found = held if found is None else found.unionAll(held)
+    return found
+
+
 def ledger_gates(log: DataFrame) -> DataFrame:
     """Rates over attempted cases per zone, and the 95th latency: the value at place
     floor(0.95 n) from 0 in ascending order, found by rank rather than by gathering a list.

@@ -154,7 +154,7 @@ def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = L.table(spark, sf_dir, "documents"), L.table(spark, sf_dir, "benchmark")
     ranked = retrieval.lexical_topk(items, docs, 10)
-    quality = metrics.retrieval_quality(ranked, ranked.where("rank = 1 AND score = 1.0").select("item_id", "doc_id"))
+    quality = metrics.retrieval_quality(ranked, metrics.containing(items, docs))
     return metrics.metric_gates(quality, signal_queries.confusion(S.signals(spark, sf_dir)))
 
 

@@ -393,10 +393,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT a, b, round(shared / (n - shared), 6) AS similarity FROM p WHERE shared * 10 >= (n - shared) * 9""",
     "near_dup_classes": DUPLICATES + "SELECT doc_id, class_id FROM classes",
     "retrieval_metrics": TOKENS + """,
-        due AS (SELECT item_id, doc_id FROM lexical WHERE rank = 1 AND score = 1.0),
+        due AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''),
+        n AS (SELECT item_id, count(*) AS due FROM due GROUP BY 1),
         h AS (SELECT item_id, count(*) FILTER (l.rank <= 3) AS found, min(l.rank) AS best FROM due JOIN lexical l USING (item_id, doc_id) WHERE l.rank <= 10 GROUP BY 1)
-        SELECT count(*) AS n_queries, round(avg(coalesce(found, 0) / 1), 6) AS macro_recall, round(avg(coalesce(1 / best, 0.0)), 6) AS mrr
-        FROM due LEFT JOIN h USING (item_id)""",
+        SELECT count(*) AS n_queries, round(avg(coalesce(found, 0) / least(due, 3)), 6) AS macro_recall, round(avg(coalesce(1 / best, 0.0)), 6) AS mrr
+        FROM n LEFT JOIN h USING (item_id)""",
     "quality_metrics": """
         WITH p AS (SELECT quality AS a, (length(text) > 500)::INT AS p FROM labels JOIN documents USING (doc_id))
         SELECT count(*) AS n, round(count(*) FILTER (a = p) / count(*), 6) AS accuracy,

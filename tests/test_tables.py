@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamlog.operators import chunk_table, fulltext, retrieval, vector_table
+from loamlog.sources import notes as N
 from loamlog.sources import store as S
 
 
@@ -192,3 +193,43 @@ def test_freshness_can_be_behind(spark):
         spark.createDataFrame([("a", 7), ("b", 4), ("c", 1)], z.format("after_sequence")),
     )
     assert sorted(map(tuple, out.collect())) == [("a", 7, 7, False), ("b", 2, 4, True), ("c", 0, 1, True)]
+
+
+def files(folder):
+    return {str(p.relative_to(folder)): (p.read_text(), p.stat().st_mtime_ns) for p in folder.rglob("*") if p.is_file() and ".drafts" not in p.parts}
+
+
+def test_notes_are_written_once(spark, store, tmp_path):
+    folder = tmp_path / "vault"
+    sink = N.NoteSink(store, f"file://{folder}")
+    rows = {f"claims/n{i}.md": f"body {i}\n" for i in range(40)} | {"index.md": None, "log.md": "x"}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "path string, body string")
+    assert sink.write(frame(rows)) == {"written": 42, "removed": 0}
+    first = files(folder)
+    assert {p: b for p, (b, _) in first.items()} == {p: b or "" for p, b in rows.items()}
+    assert sink.write(frame(rows)) == {"written": 0, "removed": 0} and files(folder) == first
+    rows = rows | {"claims/n3.md": "other", "evidence/new.md": "new"}
+    del rows["log.md"]
+    assert sink.write(frame(rows)) == {"written": 2, "removed": 1}
+    now = files(folder)
+    assert {p: b for p, (b, _) in now.items()} == {p: b or "" for p, b in rows.items()}
+    assert {p for p in first if p in now and first[p] == now[p]} == set(first) - {"claims/n3.md", "log.md"}
+    for path in ("../out.md", "/abs.md", ".hidden", "a//b", None):
+        with pytest.raises(ValueError):
+            sink.write(frame({path: "x"}))
+
+
+def test_notes_of_a_run_that_was_lost(spark, store, tmp_path, monkeypatch):
+    """The commit stands, the moves were not made: the next run makes them."""
+    folder = tmp_path / "vault"
+    sink = N.NoteSink(store, f"file://{folder}")
+    rows = spark.createDataFrame([("a.md", "one"), ("b.md", "two")], "path string, body string")
+    real = N.NoteSink.finish
+    calls = []
+    monkeypatch.setattr(N.NoteSink, "finish", lambda self: calls.append(1) or (real(self) if len(calls) == 1 else (_ for _ in ()).throw(RuntimeError("lost"))))
+    with pytest.raises(RuntimeError):
+        sink.write(rows)
+    assert files(folder) == {} or all(".drafts" in p for p in files(folder))
+    monkeypatch.setattr(N.NoteSink, "finish", real)
+    assert sink.write(rows) == {"written": 0, "removed": 0}
+    assert {p: b for p, (b, _) in files(folder).items()} == {"a.md": "one", "b.md": "two"}
