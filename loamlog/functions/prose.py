@@ -52,6 +52,11 @@ def flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+
+
 def sanitized(text: Column, strict: bool = True) -> Column:
     """Prose fit for a candidate, or null. Strictly, dumps and structured text are refused and
     eight characters are due; otherwise four are, and only noise and secrets are refused."""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamlog.operators import facts
+from loamlog.operators import records as records_
 from loamlog.operators.chunk_table import ChunkTable, freshness
 from loamlog.operators.components import shared_folder
 from loamlog.operators.fulltext import TextIndex
@@ -14,6 +16,8 @@ from loamlog.operators.vector_table import VectorTable, records
 from loamlog.plans.oracle import EARLIER, LOG
 from loamlog.plans.oracle import ORACLE_SQL as BASE_SQL
 from loamlog.sources import log as L
+from loamlog.sources import pulled, transcripts
+from loamlog.sources.notes import NoteSink
 from loamlog.sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +86,72 @@ def vector_table_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.nearest(asked, 5)[0].select("query_id", "vec_id", "score", "rank")
 
 
+def captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as captured payloads of five shapes; one of them lies deeper than is looked."""
+    n, text = F.col("conv_id") + F.col("turn"), F.coalesce("text", F.lit(""))
+    under = lambda value, *keys: under(F.struct(value.alias(keys[-1])), *keys[:-1]) if keys else value
+    part = F.struct(F.lit("text").alias("type"), text.alias("text"))
+    shapes = (
+        F.struct(F.lit(1).alias("id"), text.alias("text")), under(F.array(part, F.struct(F.lit("tool").alias("type"), F.lit("tail").alias("text"))), "payload", "event", "message", "content"),
+        F.struct(F.lit("x").alias("other"), F.struct(F.lit(" ").alias("summary"), F.struct(text.alias("body")).alias("result")).alias("data")), under(text, "session", "data", "payload", "event", "text"),
+        F.struct(F.struct(F.lit("user").alias("role"), text.alias("content")).alias("message"), F.when(n % 2 == 0, "later").alias("prompt")),
+    )
+    payload = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        payload = F.when(n % 5 == i, F.to_json(shape)).otherwise(payload)
+    return L.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), payload.alias("payload"))
+
+
+@query
+def payload_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.payload_prose(captured(spark, sf_dir)).select("id", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"))
+
+
+@query
+def transcript_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines of transcripts in six forms of a record."""
+    n, text, role = F.col("conv_id") + F.col("turn"), F.coalesce("text", F.lit("")), F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
+    of = lambda kind, said: F.struct(F.lit(kind).alias("type"), said.alias("text"))
+    lines = (
+        F.struct(role.alias("type"), text.alias("text")), F.struct(F.struct(role.alias("role"), text.alias("content")).alias("message")), F.struct(role.alias("role"), text.alias("content")),
+        F.struct(role.alias("type"), F.array(text, F.lit("and a part")).alias("content")), F.struct(F.struct(role.alias("role"), F.array(of("input_text", text), of("tool_use", F.lit("no prose")), of("output_text", F.lit("an end"))).alias("content")).alias("message")),
+        F.struct(F.lit("system").alias("type"), text.alias("text")),
+    )
+    line = F.lit(None).cast("string")
+    for i, form in enumerate(lines):
+        line = F.when(n % 6 == i, F.to_json(form)).otherwise(line)
+    rows = L.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("place"), line.alias("line"))
+    return transcripts.parse(rows).select("conv_id", "place", "role", F.sha2("text", 256).alias("digest"))
+
+
+@query
+def pulled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and erasures of the log as a remote's records; what lies behind the cursors."""
+    log = L.sequenced(L.adapted(spark, sf_dir))
+    events = log.select("zone", "zone_sequence", F.col("event_id").alias("record_id"), F.lit("event").alias("record_kind"), F.col("event_type").alias("body"))
+    gone = L.erasures(log).join(log.select(F.col("event_id").alias("target_id"), "zone_sequence"), "target_id").select("zone", "zone_sequence", F.col("erasure_id").alias("record_id"), F.lit("erasure").alias("record_kind"), F.col("target_id").alias("body"))
+    path = shared_folder(spark, "remote")
+    events.unionAll(gone).write.parquet(path)
+    return pulled.pull(spark, path, CURSORS, limit=50)
+
+
+@query
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of the log at EARLIER as files, then brought up to the whole log: what the manifest
+    names, and what the second run wrote and removed."""
+    log = L.adapted(spark, sf_dir)
+    folder = shared_folder(spark, "vault")
+    sink = NoteSink(Store(spark, f"{folder}/store"), f"{folder}/notes")
+    old = log.where(F.col("recorded") < F.lit(EARLIER).cast("timestamp"))
+    sink.write(records_.notes(old, facts.claim_category(log)).select("path", "body"))
+    done = sink.write(records_.notes(log, facts.claim_category(log)).select("path", "body"))
+    return sink.table().select("path", "digest", F.lit(done["written"]).cast("long").alias("n_written"), F.lit(done["removed"]).cast("long").alias("n_removed"))
+
+
+#: Where pulling stands in each zone.
+CURSORS = {"tz_0": 20, "tz_1": 0, "tz_2": 41}
+KEYS = ", ".join(f"({i}, '{k}')" for i, k in enumerate((*transcripts.INLINE_KEYS, *transcripts.PATH_KEYS, *transcripts.NEST_KEYS)))
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 CHUNKS = """,
 wiped AS (SELECT target_id FROM erasures),
 built AS (
@@ -106,4 +176,33 @@ ORACLE_SQL: dict[str, str] = {
         WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
             FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "payload_prose": f"""
+        WITH RECURSIVE c AS (SELECT conv_id || ':' || turn AS id, (conv_id + turn) % 5 AS shape, (conv_id + turn) % 2 AS odd, coalesce(text, '') AS t FROM conversations),
+        p AS (SELECT id, CASE shape WHEN 0 THEN json_object('id', 1, 'text', t)
+            WHEN 1 THEN json_object('payload', json_object('event', json_object('message', json_object('content', json_array(json_object('type', 'text', 'text', t), json_object('type', 'tool', 'text', 'tail'))))))
+            WHEN 2 THEN json_object('other', 'x', 'data', json_object('summary', ' ', 'result', json_object('body', t)))
+            WHEN 3 THEN json_object('session', json_object('data', json_object('payload', json_object('event', json_object('text', t)))))
+            ELSE json_object('message', json_object('role', 'user', 'content', t), 'prompt', CASE WHEN odd = 0 THEN 'later' END) END AS value FROM c),
+        keys AS (SELECT * FROM (VALUES {KEYS}) AS k(rank, key)),
+        walk AS (
+            SELECT id, [rank] AS ranks, rank, json_extract(value, '$.' || key) AS v, 0 AS depth FROM p, keys WHERE json_extract(value, '$.' || key) IS NOT NULL
+            UNION ALL SELECT w.id, list_append(w.ranks, k.rank), k.rank, json_extract(w.v, '$.' || k.key), depth + 1 FROM walk w, keys k
+            WHERE json_type(w.v) = 'OBJECT' AND depth < {transcripts.DEEPEST} AND w.rank NOT IN (16, 17) AND json_extract(w.v, '$.' || k.key) IS NOT NULL),
+        hits AS (SELECT id, ranks, CASE WHEN rank < 16 AND json_type(v) = 'VARCHAR' THEN {STRIP.format("json_extract_string(v, '$')")}
+            WHEN rank < 16 AND json_type(v) = 'ARRAY' THEN array_to_string(list_filter(list_transform(json_extract_string(v, '$[*].text'), lambda x: {STRIP.format('x')}), lambda x: x <> ''), chr(10)) END AS text FROM walk),
+        f AS (SELECT id, text FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ranks) AS place FROM hits WHERE text <> '') WHERE place = 1)
+        SELECT id, sha256(coalesce(f.text, '')) AS digest, length(coalesce(f.text, '')) AS n_chars FROM p LEFT JOIN f USING (id)""",
+    "transcript_records": f"""
+        WITH c AS (SELECT conv_id, turn AS place, (conv_id + turn) % 6 AS form, role, {STRIP.format("coalesce(text, '')")} AS t FROM conversations),
+        s AS (SELECT conv_id, place, CASE WHEN role IN ('user', 'assistant') THEN role END AS role,
+            substr(CASE WHEN form < 3 THEN t WHEN form = 3 THEN CASE WHEN t = '' THEN '' ELSE t || ' ' END || 'and a part' WHEN form = 4 THEN CASE WHEN t = '' THEN '' ELSE t || ' ' END || 'an end' END, 1, {transcripts.ITEM_CHARS}) AS text FROM c)
+        SELECT conv_id, place, role, sha256(text) AS digest FROM s WHERE role IS NOT NULL AND text <> ''""",
+    "pulled_records": LOG + f""",
+        r AS (SELECT zone, zone_sequence, event_id AS record_id, 'event' AS record_kind, event_type AS body FROM seq
+            UNION ALL SELECT e.zone, s.zone_sequence, erasure_id, 'erasure', e.target_id FROM erasures e JOIN seq s ON s.event_id = e.target_id)
+        SELECT * FROM r WHERE zone_sequence > CASE zone {' '.join(f"WHEN '{z}' THEN {n}" for z, n in CURSORS.items())} ELSE 0 END""",
+    "note_files": f"""
+        WITH now AS ({BASE_SQL["vault_notes"]}),
+        counts AS (SELECT (SELECT count(*) FROM ({BASE_SQL["missing_files"]})) AS w)
+        SELECT path, digest, w AS n_written, 0 AS n_removed FROM now, counts""",
 }

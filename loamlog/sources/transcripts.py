@@ -96,13 +96,13 @@ def _text(value: Column, path: str = "$") -> Column:
 def _clean(strict: bool | None):
     """Prose as it stands if ``strict`` is None, else what is fit for a candidate."""
     if strict is None:
-        return lambda x: F.when(F.trim(x) != "", F.trim(x))
+        return lambda x: F.when(P.trimmed(x) != "", P.trimmed(x))
     return lambda x: P.sanitized(x, strict)
 
 
 def content_prose(content: Column, strict: bool | None) -> Column:
     """The prose of a variant: a text, or the texts of a list's parts that are prose."""
-    clean, plain = _clean(strict), lambda x: F.trim(F.regexp_replace(x, r"(?i)</?user_query\s*>", " "))
+    clean, plain = _clean(strict), lambda x: P.trimmed(F.regexp_replace(x, r"(?i)</?user_query\s*>", " "))
     one = lambda i: F.when(_kind(i) == "STRING", clean(plain(_text(i)))).when(_text(i, "$.type").isin(*PART_TYPES), clean(plain(_text(i, "$.text"))))
     parts = F.filter(F.transform(F.try_variant_get(content, "$", "array<variant>"), one), lambda x: x.isNotNull())
     joined = F.when(F.size(parts) > 0, clean(F.array_join(parts, " ")))
@@ -153,7 +153,7 @@ def payload_prose(payloads: DataFrame, transcripts: DataFrame | None = None) ->
     resolves paths. A payload that is a text is its own prose; without prose the text is empty.
     """
     whole = F.try_parse_json("payload")
-    top = payloads.select("id", whole.alias("value"), F.when(whole.isNull(), F.trim("payload")).when(_kind(whole) == "STRING", F.trim(_text(whole))).alias("own"))
+    top = payloads.select("id", whole.alias("value"), F.when(whole.isNull(), P.trimmed(F.col("payload"))).when(_kind(whole) == "STRING", P.trimmed(_text(whole))).alias("own"))
     level = top.where(_kind(F.col("value")) == "OBJECT").select("id", "value", F.expr("cast(array() as array<int>)").alias("ranks"))
     keys = (*INLINE_KEYS, *PATH_KEYS, *NEST_KEYS)
     paths, nests = len(INLINE_KEYS), len(INLINE_KEYS) + len(PATH_KEYS)
@@ -161,11 +161,11 @@ def payload_prose(payloads: DataFrame, transcripts: DataFrame | None = None) ->
     for depth in range(DEEPEST + 1):
         members = F.array(*[F.struct(F.lit(i).alias("rank"), _at(F.col("value"), f"$.{k}").alias("value")) for i, k in enumerate(keys)])
         each = level.select("id", "ranks", F.explode(F.filter(members, lambda m: m["value"].isNotNull())).alias("m")).select("id", F.concat("ranks", F.array("m.rank")).alias("ranks"), "m.rank", F.col("m.value").alias("value"), _kind(F.col("m.value")).alias("kind"))
-        item = lambda i: F.when(_kind(i) == "STRING", F.trim(_text(i))).otherwise(
-            F.coalesce(*[F.when((_kind(_at(i, p)) == "STRING") & (F.trim(_text(i, p)) != ""), F.trim(_text(i, p))) for p in ("$.text", "$.content")])
+        item = lambda i: F.when(_kind(i) == "STRING", P.trimmed(_text(i))).otherwise(
+            F.coalesce(*[F.when((_kind(_at(i, p)) == "STRING") & (P.trimmed(_text(i, p)) != ""), P.trimmed(_text(i, p))) for p in ("$.text", "$.content")])
         )
         texts = F.filter(F.transform(F.try_variant_get("value", "$", "array<variant>"), item), lambda x: x.isNotNull() & (x != ""))
-        text = F.when((F.col("kind") == "STRING") & (F.col("rank") < nests), F.trim(_text(F.col("value")))).when(
+        text = F.when((F.col("kind") == "STRING") & (F.col("rank") < nests), P.trimmed(_text(F.col("value")))).when(
             (F.col("kind") == "ARRAY") & (F.col("rank") < paths), F.substring(F.array_join(texts, "\n"), 1, PROSE_CHARS)
         )
         found.append(each.withColumn("text", text).where("text <> ''").select("id", "ranks", "text", F.col("rank").between(paths, nests - 1).alias("is_path"), (F.col("kind") == "STRING").alias("single")))
