@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from loamlog.llm.common import components, scratch, skew_join, staged
 
 #: Vectors that a cell should hold, vectors that a task compares with as many others, and
-#: pivots over all labels: 2048 vectors are what is broadcast at most.
+#: pivots of a round over all labels: 2048 vectors are what is broadcast at most.
 CELL, BLOCK, PIVOTS = 4096, 4096, 2048
+#: Every label is parted, by this many pivots at least; below as many vectors a cell there is
+#: nothing to part. Rounds in which large cells get pivots of their own, and how far a cell must
+#: have shrunk against the one that it comes from to get another.
+FEWEST, ROUNDS, SHRUNK = 4, 4, 0.8
 #: Rounding of distances: pairs this much further apart are compared as well.
 SLACK = 1e-7
 
@@ -71,14 +75,15 @@ def matrix(units: list[bytes]) -> np.ndarray:
 
 
 def choose_pivots(rows: DataFrame) -> dict[str, np.ndarray]:
-    """Pivots of the groups that exceed a cell, spread out greedily over a bounded sample.
+    """Pivots of each group, spread out greedily over a bounded sample.
 
-    The number of pivots follows a group's size until PIVOTS is reached in all; what is then
-    still larger than a cell is cut into blocks, so nothing is left out.
+    Their number follows a group's size until PIVOTS is reached in all; the smallest groups
+    beyond that stay whole, and what is then still larger than a cell is parted again or cut
+    into blocks, so nothing is left out.
     """
-    sizes = rows.groupBy("grp").count().where(F.col("count") > CELL).orderBy(F.desc("count"), "grp").limit(PIVOTS // 2).collect()
+    sizes = rows.groupBy("grp").count().where(F.col("count") >= FEWEST * FEWEST).orderBy(F.desc("count"), "grp").limit(PIVOTS // (2 * FEWEST)).collect()
     total = sum(math.ceil(r["count"] / CELL) for r in sizes)
-    wanted = {r["grp"]: max(2, math.floor(math.ceil(r["count"] / CELL) * min(1.0, PIVOTS / 2 / total))) for r in sizes}
+    wanted = {r["grp"]: max(FEWEST, math.floor(math.ceil(r["count"] / CELL) * min(1.0, PIVOTS / 2 / total))) for r in sizes}
     if not wanted:
         return {}
     chance = F.create_map(*[x for r in sizes for x in (F.lit(r["grp"]), F.lit(min(1.0, 4 * wanted[r["grp"]] / r["count"])))])
@@ -98,19 +103,20 @@ def choose_pivots(rows: DataFrame) -> dict[str, np.ndarray]:
 
 
 def into_cells(rows: DataFrame, pivots: dict[str, np.ndarray], reach: float) -> DataFrame:
-    """cell, home, uid, unit: each vector in its own cell, and in those it may reach."""
+    """cell, home, uid, unit: each vector in its own cell, and in those it may reach. A vector that
+    was a replica in its group is one in all cells."""
     held = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
         for batch in batches:
-            groups = np.array(batch.column(0).to_pylist(), dtype=object)
+            groups, here = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(3).to_numpy(zero_copy_only=False)
             cells, home, take = [], [], []
             for group in sorted(set(groups.tolist())):
                 at = np.flatnonzero(groups == group)
                 p = held.value.get(group)
                 if p is None:
                     cells += [group] * len(at)
-                    home += [True] * len(at)
+                    home += here[at].tolist()
                     take += at.tolist()
                     continue
                 square = np.maximum(2 - 2 * (matrix(batch.column(2).take(pa.array(at)).to_pylist()) @ p.T), 0)
@@ -121,7 +127,7 @@ def into_cells(rows: DataFrame, pivots: dict[str, np.ndarray], reach: float) ->
                 near[np.arange(len(at)), own] = True
                 i, j = np.nonzero(near)
                 cells += [f"{group}/{c}" for c in j.tolist()]
-                home += (own[i] == j).tolist()
+                home += ((own[i] == j) & here[at[i]]).tolist()
                 take += at[i].tolist()
             index = pa.array(take, pa.int64())
             yield pa.record_batch(
@@ -129,18 +135,38 @@ def into_cells(rows: DataFrame, pivots: dict[str, np.ndarray], reach: float) ->
                 names=["cell", "home", "uid", "unit"],
             )
 
-    return rows.select("grp", "uid", "unit").mapInArrow(run, "cell string, home boolean, uid long, unit binary")
+    return rows.select("grp", "uid", "unit", "home").mapInArrow(run, "cell string, home boolean, uid long, unit binary")
+
+
+def split(rows: DataFrame, reach: float) -> DataFrame:
+    """cell, home, uid, unit of all rows (grp, uid, unit): labels in cells, and large cells in
+    cells of their own, as long as that makes them smaller."""
+    left, done = rows.where("grp IS NOT NULL").withColumn("home", F.lit(True)), None
+    for turn in range(ROUNDS):
+        cells = staged(into_cells(left, choose_pivots(left), reach), "vector-cells")
+        counts = cells.groupBy("cell").count()
+        if turn:
+            before = left.groupBy(F.col("grp").alias("from")).agg(F.count("*").alias("was"))
+            counts = counts.join(before, F.substring_index("cell", "/", turn + 2) == F.col("from")).where(F.col("count") < SHRUNK * F.col("was"))
+        large = staged(counts.where(F.col("count") > CELL).select("cell"), "large-cells")
+        if turn + 1 == ROUNDS or large.isEmpty():
+            return cells if done is None else done.unionAll(cells)
+        rest = cells.join(large, "cell", "left_anti")
+        done = rest if done is None else done.unionAll(rest)
+        left = cells.join(large, "cell", "left_semi").withColumnRenamed("cell", "grp")
+    raise AssertionError("the last round returns")
 
 
 def join_block(least: float):
     """Compares the two blocks of a key: how many partners each home vector has, and edges
-    from each vector to the smallest one of its component within the two blocks."""
+    from each vector to the smallest one of its component within the two blocks. Replicas are
+    not compared among themselves: they meet where they are at home."""
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         uid, home = table.column("uid").to_numpy(), table.column("home").to_numpy()
         x = matrix(table.column("unit").to_pylist())
-        a = np.flatnonzero(side <= 1)
+        a = np.flatnonzero((side == 1) | ((side == 0) & home))
         b = np.flatnonzero((side == 0) | (side == 2))
         linked = np.empty((len(a), len(b)), bool)
         for i in range(0, len(a), 512):
@@ -188,8 +214,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """
     with scratch():
         rows = prepared(vectors)
-        usable = rows.where("grp IS NOT NULL")
-        cells = staged(into_cells(usable, choose_pivots(usable), math.sqrt(2 - 2 * least) + SLACK), "vector-cells")
+        cells = split(rows, math.sqrt(2 - 2 * least) + SLACK)
         many = cells.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
         dealt = cells.join(staged(many, "vector-blocks"), "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")
