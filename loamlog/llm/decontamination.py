@@ -8,6 +8,10 @@ hit, and several masks cover for each other. Around each hit the aligned tokens
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,10 +19,9 @@ from pyspark.sql import functions as F
 
 from loamlog.llm.common import ALNUM, free_name, mix64, scratch, skew_join, slices, staged, utf8_buffers, word_hashes
 
-#: 1 counts, 0 is ignored. Each mask has five places that count. Items of fewer tokens have one
-#: seed, the whole item; texts are hashed by such a mask only if there are items of its length.
+#: 1 counts, 0 is ignored. Each mask has five places that count. They find all that may be
+#: replaced in WINDOW tokens; shorter items have further masks of their own length.
 MASKS = ("11111", "1101011", "110010011", "1010110001")
-SHORT = ("1", "11", "111", "1111")
 #: log2 of the bits of the filter that hashes of training texts pass before they are joined:
 #: 2 MB whatever the benchmark's size; a fuller filter lets more through, never less.
 FILTER_BITS = 24
@@ -28,6 +31,29 @@ WINDOW, SHARE = 13, 0.8
 MARGIN = WINDOW
 
 
+@functools.cache
+def short_masks(share: float) -> dict[int, tuple[str, ...]]:
+    """For each length of item below WINDOW the masks of that length that it needs besides MASKS.
+
+    Any set of tokens that may be replaced must leave some mask whole. Sets that MASKS do not
+    leave whole anywhere are covered by masks that, one by one, leave most of them whole. Items
+    of fewer than five tokens have the whole item as their mask.
+    """
+    out = {}
+    for n in range(1, WINDOW):
+        replaced = n - math.ceil(n * share)
+        placed = [{p + i for i, x in enumerate(m) if x == "1"} for m in MASKS for p in range(n - len(m) + 1)]
+        left = [set(c) for c in itertools.combinations(range(n), replaced) if not any(m.isdisjoint(c) for m in placed)]
+        weight = min(n - replaced, 4 if n < 8 else 5)
+        own = []
+        while left and weight:
+            best = max(itertools.combinations(range(n), weight), key=lambda c: sum(x.isdisjoint(c) for x in left))
+            own.append("".join("1" if i in best else "0" for i in range(n)))
+            left = [x for x in left if not x.isdisjoint(best)]
+        out[n] = tuple(own)
+    return out
+
+
 def seeds(tokens: np.ndarray, offsets: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and position of every mask at every place where it fits into one text."""
     n = len(tokens)
@@ -42,7 +68,7 @@ def seeds(tokens: np.ndarray, offsets: np.ndarray, masks: tuple[str, ...]) -> tu
             if x == "1":
                 total = total * np.uint64(0x9E3779B97F4A7C15) + tokens[i : i + len(total)]
         fits = at[: len(total)] + len(mask) <= end[: len(total)]
-        hashes.append(mix64(total[fits] + np.uint64(int(mask, 2))))
+        hashes.append(mix64(total[fits] + np.uint64(int("1" + mask, 2))))
         places.append(at[: len(total)][fits])
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -60,20 +86,22 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bits[a >> 6] >> (a & 63).astype(np.uint64)) & (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """Row key of the item, position and hash of each seed."""
+def item_seeds(items: DataFrame, share: float) -> DataFrame:
+    """Row key of the item, position and hash of each seed, and the item's length if the mask is
+    for items of that length alone (else 0)."""
+    short = {mask for masks in short_masks(share).values() for mask in masks}
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 tokens, offsets = word_hashes(*utf8_buffers(part.column(1)), ALNUM)
-                for mask in (*MASKS, *SHORT):
+                for mask in (*MASKS, *sorted(short)):
                     hashes, places = seeds(tokens, offsets, (mask,))
                     owner = np.searchsorted(offsets, places, side="right") - 1
-                    if mask in SHORT:  # for items of this length only
+                    if mask in short:
                         whole = np.diff(offsets)[owner] == len(mask)
                         hashes, places, owner = hashes[whole], places[whole], owner[whole]
-                    length = np.full(len(owner), len(mask) if mask in SHORT else 0, np.int32)
+                    length = np.full(len(owner), len(mask) if mask in short else 0, np.int32)
                     yield pa.record_batch(
                         [part.column(0).take(pa.array(owner)), pa.array(places - offsets[owner], pa.int64()), pa.array(hashes.view(np.int64)), pa.array(length)],
                         names=["item", "item_at", "seed", "short"],
@@ -184,10 +212,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     """
     texts = items.where("text IS NOT NULL").select(F.col("item_id").cast("long"), "text").distinct()
     texts = staged(texts.withColumn("item", F.monotonically_increasing_id()), "items")
-    found = staged(item_seeds(texts), "item-seeds")
+    found = staged(item_seeds(texts, share), "item-seeds")
     bits = docs.sparkSession.sparkContext.broadcast(filter_of(found))
-    short = sorted(r[0] for r in found.where("short > 0").select("short").distinct().collect())  # four values at most
-    masks = (*MASKS, *(SHORT[n - 1] for n in short))
+    short = sorted(r[0] for r in found.where("short > 0").select("short").distinct().collect())  # fewer than WINDOW values
+    masks = (*MASKS, *(m for n in short for m in short_masks(share)[n]))
     near = staged(regions(docs.where("text IS NOT NULL"), bits, masks).withColumn("region", F.monotonically_increasing_id()), "leak-regions")
     hits = near.select("region", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("region", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
     # a passage may be in a third of all texts: its seeds and its item are dealt over several tasks
