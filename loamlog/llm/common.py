@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
@@ -175,9 +176,17 @@ def spans_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * GOLDEN)
 
 
+#: Words of more bytes are hashed each on its own: polynomials modulo 2^64, whatever their base,
+#: give some pairs of words of 1,024 bytes and more one value.
+LONG_WORD = 255
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans of ``raw``."""
-    return spans_of(prefix_sums(BYTE_VALUE[raw]), starts, ends)
+    """Hashes of words, which are spans of ``raw`` that do not overlap."""
+    out = spans_of(prefix_sums(BYTE_VALUE[raw]), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 #: ASCII lower case of each byte (A-Z alone change), and the white space bytes 09-0D and 20.

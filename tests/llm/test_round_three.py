@@ -1,6 +1,7 @@
 """Whitening, spelling variants and exact copies against plain versions."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamlog.llm import common, exact_dedup, queries, spelling, toxicity, whitening
+from loamlog.llm import common, decontamination, embedding_dedup, exact_dedup, jaccard_join, queries, spelling, toxicity, whitening
 from tests.conftest import DATA
 
 
@@ -273,3 +274,62 @@ def test_salts_follow_from_the_row(spark):
     joined = common.skew_join(left, right, "k", "left", ["hot"])
     assert "monotonically" not in joined._jdf.queryExecution().analyzed().toString()
     assert sorted((r["i"], r["v"]) for r in joined.collect()) == sorted((i, 1 if k == "hot" else 2 if k == "k3" else None) for i, k in rows)
+
+
+def test_every_allowed_replacement_is_found(spark):
+    """All sets of tokens that may be replaced, in items of 1 to 13 tokens."""
+    items, docs = [], []
+    for n in range(1, 14):
+        words = [f"item{n}word{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in itertools.combinations(range(n), n - math.ceil(n * 0.8)):
+            docs.append((1000 * n + len(docs), n, "before it " + " ".join("other" if k in gone else w for k, w in enumerate(words)) + " after it"))
+    frame = spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, n) for d, n, _ in docs}
+    over = [(9000 + n, f"{' '.join(w for k, w in enumerate(t.split()) if k >= n - math.ceil(n * 0.8) + 1)}") for n, t in items if n > 1]
+    assert decontamination.find_leaks(spark.createDataFrame(over, "doc_id long, text string"), spark.createDataFrame(items[1:], "item_id long, text string")).where("doc_id % 1000 = item_id").count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [256, 512, 1024, 2048, 65536])
+def test_words_that_polynomials_mix_up(spark, size):
+    word = thue_morse(size)
+    other = word.translate(str.maketrans("ab", "ba"))
+    tail = " and some more words here"
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word + tail), (4, other + tail), (5, word)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_documents(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_pivots_part_every_label(spark):
+    """The given vectors have several cells a label and vectors that stand in more than one."""
+    frame = common.table(spark, f"{DATA}/sf0.1", "embeddings")
+    rows = embedding_dedup.prepared(frame).where("grp IS NOT NULL")
+    cells = common.staged(embedding_dedup.into_cells(rows.withColumn("home", F.lit(True)), embedding_dedup.choose_pivots(rows), math.sqrt(0.04) + 1e-7), "cells")
+    per = cells.groupBy(F.substring_index("cell", "/", 2).alias("grp")).agg(F.count_distinct("cell").alias("n"), F.count_if(~F.col("home")).alias("copies"), F.count_if("home").alias("own")).collect()
+    assert len(per) == 10 and all(r["n"] >= 4 and r["copies"] > 0 for r in per) and sum(r["own"] for r in per) == 2000
+
+
+def test_large_cells_are_parted_again(spark, monkeypatch):
+    """Clusters in clusters; cells beyond the limit get pivots of their own, results stay exact."""
+    monkeypatch.setattr(embedding_dedup, "CELL", 40)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(30, 12)) + 0.1 * rng.normal(size=(1, 12)) for c in np.repeat(rng.normal(size=(6, 12)), 6, axis=0)])
+    frame = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.98
+    np.fill_diagonal(linked, False)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_vectors(frame).collect()}
+    root = list(range(len(x)))
+    for _ in range(len(x)):
+        new = [min([root[i], *(root[j] for j in np.flatnonzero(linked[i]))]) for i in range(len(x))]
+        if new == root:
+            break
+        root = new
+    assert got == {i: (int(linked[i].sum()), root[i]) for i in range(len(x))}
+    deep = embedding_dedup.split(embedding_dedup.prepared(frame), math.sqrt(0.04) + 1e-7)
+    assert deep.where(F.size(F.split("cell", "/")) > 3).count() > 0
