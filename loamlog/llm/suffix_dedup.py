@@ -32,10 +32,13 @@ GRAM = 32
 SYMBOL = 8
 #: Window starts looked at together: a longer text is worked through in overlapping pieces.
 PIECE = 500_000
-#: Symbols of a shard whose transform is built by sorting.
-SHARD = 200_000
+#: Symbols of a shard whose transform is built by sorting, at most, and shards that a task's
+#: symbols are cut into at least; transforms are merged whatever there is to merge.
+SHARD, SHARDS = 16_000, 8
 #: Different extents of an anchor, of under two windows each, that one task merges at most.
 KINDS = 4096
+#: White space bytes.
+BLANKS = frozenset(b" \t\n\v\f\r")
 #: Words of a passage that is always reported as shared, and words below which none is.
 PASSAGE, PART = 50, 40
 
@@ -117,9 +120,10 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def extent_bytes(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """anchor, extent, n, starts, bytes of the wanted extents, cut out of their texts."""
+    """anchor, extent, n, starts, bytes, doc_id, text_key, start of the wanted extents, cut out of
+    their texts."""
     lists = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "starts", "anchor", "extent", "n")).alias("cuts"))
-    found = docs.join(lists, (docs.doc_id.eqNullSafe(lists.doc_id)) & (docs.text_key == lists.text_key)).select("text", "cuts")
+    found = docs.join(lists, (docs.doc_id.eqNullSafe(lists.doc_id)) & (docs.text_key == lists.text_key)).select("text", "cuts", docs.doc_id, docs.text_key)
 
     def run(batches):
         for batch in batches:
@@ -132,12 +136,13 @@ def extent_bytes(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> Da
                 a = offsets[owner] + starts
                 data = raw.tobytes()
                 rows = [data[i : i + n + window - 1] for i, n in zip(a.tolist(), counts.tolist(), strict=True)]
+                of = pa.array(owner)
                 yield pa.record_batch(
-                    [flat.field("anchor"), flat.field("extent"), flat.field("n"), flat.field("starts"), pa.array(rows, pa.binary())],
-                    names=["anchor", "extent", "n", "starts", "bytes"],
+                    [flat.field("anchor"), flat.field("extent"), flat.field("n"), flat.field("starts"), pa.array(rows, pa.binary()), part.column(2).take(of), part.column(3).take(of), flat.field("start")],
+                    names=["anchor", "extent", "n", "starts", "bytes", "doc_id", "text_key", "start"],
                 )
 
-    return found.mapInArrow(run, "anchor long, extent long, n long, starts int, bytes binary")
+    return found.mapInArrow(run, "anchor long, extent long, n long, starts int, bytes binary, doc_id long, text_key long, start long")
 
 
 def shard_transform(symbols: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,12 +230,15 @@ def anchor_places(grams: np.ndarray, base: np.ndarray, sizes: np.ndarray, counts
 
 
 def repeated_starts(
-    data: list[bytes], counts: np.ndarray, anchor: np.ndarray, copies: np.ndarray, shard: int = SHARD, window: int = WINDOW
+    data: list[bytes], counts: np.ndarray, anchor: np.ndarray, copies: np.ndarray, shard: int = SHARD, window: int = WINDOW, rank: np.ndarray | None = None
 ) -> list[np.ndarray]:
     """Of each extent the window starts whose window occurs again in any of the extents.
 
-    ``counts`` are the extents' window starts, ``copies`` how often an extent occurs.
+    ``counts`` are the extents' window starts, ``copies`` how often an extent occurs. With
+    ``rank``, the order of the extents' first places, only windows that occurred before are
+    given, as they stand in an extent's first copy.
     """
+    shard = max(1, min(shard, -(-sum(len(x) // SYMBOL + 1 for x in data) // SHARDS)))
     depth = window // SYMBOL - 1
     sizes = np.array([len(x) for x in data], np.int64)
     base = np.cumsum(sizes) - sizes
@@ -275,13 +283,13 @@ def repeated_starts(
             continue
         mask = np.uint64((1 << (8 * t)) - 1)
         edge = (load(joined, base[own] + begin) & mask) | (load(joined, base[own] + begin + window - SYMBOL) & ~mask)
-        order = np.lexsort((edge, g))
+        order = np.lexsort((edge, g) if rank is None else (begin, rank[own], edge, g))
         g, edge = g[order], edge[order]
         new = np.ones(len(order), bool)
         new[1:] = (g[1:] != g[:-1]) | (edge[1:] != edge[:-1])
         heads = np.flatnonzero(new)
         total = np.add.reduceat(copies[own[order]], heads)
-        again = np.repeat(total >= 2, np.diff(np.append(heads, len(order))))
+        again = np.repeat(total >= 2, np.diff(np.append(heads, len(order)))) & (~new if rank is not None else True)
         owners.append(own[order][again])
         found.append(begin[order][again])
     if owners:
@@ -290,11 +298,22 @@ def repeated_starts(
         own, begin = own[order], begin[order]
         cuts = np.searchsorted(own, np.arange(len(data) + 1))
         flags = [begin[cuts[i] : cuts[i + 1]] for i in range(len(data))]
-    return [np.arange(counts[i]) if copies[i] > 1 else f for i, f in enumerate(flags)]
+    return flags if rank is not None else [np.arange(counts[i]) if copies[i] > 1 else f for i, f in enumerate(flags)]
 
 
-def merged(cut_out: DataFrame, window: int = WINDOW) -> DataFrame:
-    """anchor, extent, lo, hi: runs [lo, hi] of repeated starts in extents that occur once."""
+def first_places(table: pa.Table) -> np.ndarray:
+    """Ranks of extents by document, text and place; a null document comes first."""
+    doc = table.column("doc_id")
+    known = doc.is_valid().to_numpy()
+    order = np.lexsort((table.column("start").to_numpy(), table.column("text_key").to_numpy(), doc.fill_null(0).to_numpy(), known))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank
+
+
+def merged(cut_out: DataFrame, window: int = WINDOW, keep_first: bool = False) -> DataFrame:
+    """anchor, extent, lo, hi: runs [lo, hi] of repeated starts in extents that occur once. With
+    ``keep_first`` runs of starts whose windows occurred before, in the first copy of any extent."""
 
     def run(batches):
         for table in by_anchor(batches):
@@ -303,10 +322,10 @@ def merged(cut_out: DataFrame, window: int = WINDOW) -> DataFrame:
             counts = table.column("starts").to_numpy().astype(np.int64)
             copies = table.column("n").to_numpy()
             anchor = table.column("anchor").to_numpy()
-            flags = repeated_starts(data, counts, anchor, copies, window=window)
+            flags = repeated_starts(data, counts, anchor, copies, window=window, rank=first_places(table) if keep_first else None)
             rows, lo, hi = [], [], []
             for i, f in enumerate(flags):
-                if len(f) and copies[i] == 1:
+                if len(f) and (keep_first or copies[i] == 1):
                     gap = np.flatnonzero(np.diff(f) > 1)
                     lo += f[np.concatenate([[0], gap + 1])].tolist()
                     hi += f[np.append(gap, len(f) - 1)].tolist()
@@ -360,7 +379,7 @@ def hashed_windows(batches, blocks_only: bool, window: int = WINDOW):
             )
 
 
-def aggregated(cut_out: DataFrame, window: int = WINDOW) -> DataFrame:
+def aggregated(cut_out: DataFrame, window: int = WINDOW, keep_first: bool = False) -> DataFrame:
     """As ``merged``, for anchors of very many extents: counts by partial aggregation only."""
     schema = "anchor long, extent long, n long, at long, hash long"
     held = staged(cut_out, "hot-extents")
@@ -369,7 +388,12 @@ def aggregated(cut_out: DataFrame, window: int = WINDOW) -> DataFrame:
     open_blocks = blocks.join(twice(blocks, "anchor", "at", "hash"), ["anchor", "at", "hash"]).groupBy("anchor", "extent").agg(F.collect_set("at").alias("blocks"))
     windows = held.join(open_blocks, ["anchor", "extent"]).select("anchor", "extent", "n", "starts", "bytes", "blocks")
     windows = staged(windows.mapInArrow(lambda batches: hashed_windows(batches, False, window), schema), "hot-windows")
-    again = windows.where("n = 1").join(twice(windows, "anchor", "hash"), ["anchor", "hash"]).select("anchor", "extent", "at")
+    if keep_first:
+        placed = windows.join(held.select("anchor", "extent", F.struct("doc_id", "text_key", "start").alias("place")), ["anchor", "extent"]).withColumn("own", F.struct("place", "at"))
+        first = placed.groupBy("anchor", "hash").agg(F.sum("n").alias("total"), F.min("own").alias("first")).where("total > 1")
+        again = placed.join(first, ["anchor", "hash"]).where(~F.col("own").eqNullSafe(F.col("first"))).select("anchor", "extent", "at")
+    else:
+        again = windows.where("n = 1").join(twice(windows, "anchor", "hash"), ["anchor", "hash"]).select("anchor", "extent", "at")
     # an extent has fewer windows than a window has bytes
     island = F.col("at") - F.row_number().over(Window.partitionBy("anchor", "extent").orderBy("at"))
     return again.withColumn("island", island).groupBy("anchor", "extent", "island").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("anchor", "extent", "lo", "hi")
@@ -412,23 +436,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_key, spans: for texts with repeats, the runs [lo, hi] of repeated starts."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, keep_first: bool = False) -> DataFrame:
+    """doc_id, text_key, spans: for texts with repeats, the runs [lo, hi] of repeated starts.
+
+    With ``keep_first`` the first of all equal windows, by document, text and place, is no
+    repeat. Rows that share id and text are one text then. ``window`` is a multiple of SYMBOL.
+    """
+    if window % SYMBOL or window < 2 * GRAM:
+        raise ValueError(f"a window has a multiple of {SYMBOL} bytes, {2 * GRAM} at least")
     text = keyed(docs)
     rows = staged(anchors(text, window), "extents")
     each = rows.groupBy("anchor", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "starts")).alias("one"))
     each = staged(each, "extent-counts")
     many = each.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = each.join(many, "anchor").select("anchor", "extent", "n", "one.*", "kinds")
-    part = merged(extent_bytes(text, wanted.where(F.col("kinds") <= KINDS), window), window)
+    part = merged(extent_bytes(text, wanted.where(F.col("kinds") <= KINDS), window), window, keep_first)
     hot = staged(wanted.where(F.col("kinds") > KINDS), "hot-wanted")
     if not hot.isEmpty():
-        part = part.unionAll(aggregated(extent_bytes(text, hot, window), window))
-    whole = each.where("n > 1").select("anchor", "extent", F.lit(0).cast("long").alias("lo"), (F.col("one.starts") - 1).cast("long").alias("hi"))
-    again = staged(whole.unionAll(part), "repeats")
+        part = part.unionAll(aggregated(extent_bytes(text, hot, window), window, keep_first))
+    place = F.struct("doc_id", "text_key", "start")
+    spared = F.col("one").dropFields("starts") if keep_first else F.lit(None).cast("struct<doc_id:bigint,text_key:bigint,start:bigint>")
+    whole = each.where("n > 1").select("anchor", "extent", F.lit(0).cast("long").alias("lo"), (F.col("one.starts") - 1).cast("long").alias("hi"), spared.alias("spared"))
+    again = staged(whole.unionByName(part.withColumn("spared", F.lit(None).cast("struct<doc_id:bigint,text_key:bigint,start:bigint>"))), "repeats")
     # one extent may be in a third of all texts, so its rows are dealt over several tasks
     key = F.xxhash64("anchor", "extent")
-    spans = skew_join(rows.withColumn("key", key), again.withColumn("key", key).drop("anchor", "extent"), "key", hot=hot_extents(each)).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    spans = skew_join(rows.withColumn("key", key), again.withColumn("key", key).drop("anchor", "extent"), "key", hot=hot_extents(each)).where(~F.coalesce(place.eqNullSafe(F.col("spared")), F.lit(False)) | F.col("spared").isNull()).select("doc_id", "text_key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     return spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -452,11 +484,38 @@ def remaining(data: bytes, spans: list[tuple[int, int]], window: int = WINDOW) -
     return b"".join(out), runs
 
 
-def with_spans(docs: DataFrame, window: int, into: str) -> DataFrame:
+def at_words(data: bytes, spans: list[tuple[int, int]], window: int) -> bytes:
+    """The bytes outside the windows with starts in the runs, but for words that a run's end
+    would cut: these stay whole. What goes ends before a blank or at the end of the text."""
+    out, at = [], 0
+    for lo, hi in merged_runs(spans, window):
+        if lo and data[lo - 1] not in BLANKS:  # within a word: it stays
+            while lo < hi and data[lo] not in BLANKS:
+                lo += 1
+        while hi > lo and hi < len(data) and data[hi] not in BLANKS:
+            hi -= 1
+        out.append(data[at:lo])
+        at = max(at, hi, lo)
+    out.append(data[at:])
+    return b"".join(out)
+
+
+def merged_runs(spans: list[tuple[int, int]], window: int) -> list[list[int]]:
+    """Byte ranges that the windows with starts in the runs cover."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi + window)
+        else:
+            out.append([lo, hi + window])
+    return out
+
+
+def with_spans(docs: DataFrame, window: int, into: str, keep_first: bool = False) -> DataFrame:
     """``docs`` plus ``into``, the runs of repeated starts (null where nothing repeats)."""
     doc, key = free_name("doc", [*docs.columns, into]), free_name("key", [*docs.columns, into])
     with scratch():
-        spans = staged(repeated_spans(docs, window), "spans", keep=True)
+        spans = staged(repeated_spans(docs, window, keep_first), "spans", keep=True)
     spans = spans.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("spans").alias(into))
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     return docs.join(spans, (F.col("doc_id").cast("long").eqNullSafe(F.col(doc))) & (text_key == F.col(key)), "left").drop(doc, key)
@@ -543,26 +602,30 @@ def dedup_digests(docs: DataFrame) -> DataFrame:
     return rows.join(spans, same, "left").select("doc_id", "text", "spans", F.coalesce("shares", F.lit(False)).alias("shares")).mapInArrow(run, schema)
 
 
-def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = WINDOW, keep_first: bool = False) -> DataFrame:
     """``docs`` with repeated bytes, of strings of ``window`` bytes, cut out of ``text``; all
     columns stay.
 
-    Cuts that fall inside a character leave its other bytes out as well. A text that was
-    not empty and of which nothing is left goes.
+    With ``keep_first`` the first copy of what repeats stays, and no word is cut: one that a
+    repeat's end falls into stays whole. Otherwise all copies go, and cuts that fall inside a
+    character leave its other bytes out as well. A text that was not empty and of which nothing
+    but blanks is left goes.
     """
     names = docs.columns
     at, text_at = len(names), names.index("text")
 
+    def cut(text: str, spans: list[dict]) -> str | None:
+        data, runs_ = text.encode(), [(s["lo"], s["hi"]) for s in spans]
+        left = at_words(data, runs_, window) if keep_first else remaining(data, runs_, window)[0]
+        out = left.decode("utf-8", "ignore")
+        return out if out.strip(" \t\n\v\f\r") else None
+
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                if spans:
-                    text = remaining(text.encode(), [(s["lo"], s["hi"]) for s in spans], window)[0].decode("utf-8", "ignore") or None
-                texts.append(text)
+            texts = [cut(t, s) if s else t for t, s in zip(batch.column(text_at).to_pylist(), batch.column(at).to_pylist(), strict=True)]
             gone = [bool(s) and t is None for s, t in zip(batch.column(at).to_pylist(), texts, strict=True)]
             columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(at)]
             yield pa.record_batch(columns, names=names).filter(pa.array([not g for g in gone], pa.bool_()))
 
     into = free_name("spans", names)
-    return with_spans(docs, window, into).select(*names, into).mapInArrow(run, docs.schema)
+    return with_spans(docs, window, into, keep_first).select(*names, into).mapInArrow(run, docs.schema)

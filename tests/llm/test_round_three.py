@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamlog.llm import common, decontamination, embedding_dedup, exact_dedup, jaccard_join, queries, spelling, toxicity, whitening
+from loamlog.llm import common, decontamination, embedding_dedup, exact_dedup, jaccard_join, queries, spelling, suffix_dedup, toxicity, whitening
 from tests.conftest import DATA
 
 
@@ -333,3 +333,83 @@ def test_large_cells_are_parted_again(spark, monkeypatch):
     assert got == {i: (int(linked[i].sum()), root[i]) for i in range(len(x))}
     deep = embedding_dedup.split(embedding_dedup.prepared(frame), math.sqrt(0.04) + 1e-7)
     assert deep.where(F.size(F.split("cell", "/")) > 3).count() > 0
+
+
+# ---- repeated passages of which one copy stays ----
+
+def first_copies_by_force(rows, window):
+    """Window starts, per (doc_id, text), whose window stands at an earlier place."""
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    seen, out = set(), {}
+    for i, t in order:
+        data, gone = t.encode(), []
+        for at in range(len(data) - window + 1):
+            w = data[at : at + window]
+            if w in seen:
+                gone.append(at)
+            seen.add(w)
+        out[i, t] = gone
+    return out
+
+
+def cut_by_force(text, gone, window):
+    data = text.encode()
+    dead = [False] * len(data)
+    for at in gone:
+        dead[at : at + window] = [True] * window
+    blank = [c in b" \t\n\v\f\r" for c in data]
+    i = 0
+    while i < len(data):  # words that are cut in part stay whole
+        if blank[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(data) and not blank[j]:
+            j += 1
+        if not all(dead[i:j]):
+            dead[i:j] = [False] * (j - i)
+        i = j
+    return bytes(32 if d else c for c, d in zip(data, dead, strict=True)).decode()
+
+
+@pytest.mark.parametrize("kinds", [4096, 1])
+def test_one_copy_of_a_passage_stays(spark, monkeypatch, kinds):
+    monkeypatch.setattr(suffix_dedup, "KINDS", kinds)
+    rng = random.Random(11)
+    words = [a + b for a in ("ba", "ké", "lo", "mu", "nä") for b in ("da", "fe", "gi", "lo", "st")]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passages = [say(40), say(60), say(30) + "\n" + say(20)]
+    rows = [(i, f"{say(rng.randrange(5, 30))} {rng.choice(passages)}{rng.choice(['', 'tail'])} {say(rng.randrange(3, 20))}") for i in range(24)]
+    rows += [(50, passages[0]), (51, passages[0]), (52, "x" * 300), (53, "x" * 301), (54, None), (55, ""), (56, "ab " * 200), (57, f"{passages[1]} {passages[1]}")]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 104, keep_first=True).collect()}
+    gone = first_copies_by_force(rows, 104)
+    for i, t in rows:
+        want = cut_by_force(t or "", gone[i, t or ""], 104)
+        if not gone[i, t or ""]:
+            assert got[i] == t
+        elif not want.strip():
+            assert i not in got
+        else:
+            assert got[i].split() == want.split()
+    text = "\n".join(t for t in got.values() if t)
+    for p in passages:  # of a passage one copy is left, but for words at the ends of its copies
+        assert sum(" ".join(p.split()[2:-2]) in " ".join(t.split()) for t in got.values() if t) == 1
+    assert set(text.split()) <= {w for _, t in rows for w in (t or "").split()}
+
+
+def test_transforms_of_several_shards_are_merged(spark, monkeypatch):
+    calls = []
+    real = suffix_dedup.merge_transforms
+    monkeypatch.setattr(suffix_dedup, "merge_transforms", lambda t, c, d: calls.append(len(t)) or real(t, c, d))
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = " ".join(word() for _ in range(90))
+    data = [(" ".join(word() for _ in range(20)) + passage + " ".join(word() for _ in range(20))).encode() for _ in range(40)]
+    parts = suffix_dedup.extents(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 400)
+    owner, start, count, anchor, extent = parts
+    for a in np.unique(anchor):
+        at = np.flatnonzero(anchor == a)
+        if len(at) > 8:
+            blobs = [b"".join(data)[s : s + n + 399] for s, n in zip(start[at].tolist(), count[at].tolist(), strict=True)]
+            suffix_dedup.repeated_starts(blobs, count[at].astype(np.int64), anchor[at].view(np.int64), np.ones(len(at), np.int64))
+    assert calls and min(calls) >= 4
