@@ -36,9 +36,10 @@ REPEAT = 256
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur more than once in what the stage gets, all their
-    occurrences; what becomes empty goes. Null and empty texts stay."""
-    cut = suffix_dedup.drop_repeats(docs, REPEAT)
+    """Texts without the passages that occurred before in what the stage gets, by document and
+    place: the first copy of a passage stays, and no word is cut. What becomes blank goes. Null
+    and empty texts stay."""
+    cut = suffix_dedup.drop_repeats(docs, REPEAT, keep_first=True)
     return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))) if "n_chars" in cut.columns else cut
 
 
