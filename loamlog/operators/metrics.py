@@ -126,6 +126,37 @@ def density_uplift(before: DataFrame, after: DataFrame, least_new: int = 1) -> D
     return out.select(*delta, (F.size("r") == 0).alias("passes"), F.when(F.size("r") == 0, "graph_density_uplift_ok").otherwise(F.array_join("r", ",")).alias("reasons"))
 
 
+#: Bounds of the evaluation gates: least rates of quality, review and baseline, most of what is
+#: new and of drifted identities, the latest 95th latency and the highest cost.
+BOUNDS = {"quality": 0.7, "reviewer": 0.85, "baseline": 0.6, "novel": 0.3, "p95_ms": 5000, "cost": 100_000.0, "drift": 0.05}
+
+
+def evaluation_gates(cases: DataFrame, bounds: dict[str, float] = BOUNDS) -> DataFrame:
+    """Per ledger: rates over its attempted cases, and the gates that they do not pass.
+
+    cases (ledger, attempted, eligible, quality, reviewer, baseline, novel, stable, latency, cost).
+    A case that is not eligible may not claim quality. The 95th latency is the value at place
+    floor(0.95 n) from 0 in ascending order, found by counts of latencies. A ledger without
+    attempted cases is blocked for that alone.
+    """
+    tried = F.col("attempted")
+    rate = lambda c: F.round(F.coalesce(F.avg(F.when(tried, F.col(c).cast("int"))), F.lit(0.0)), 6)
+    sums = cases.groupBy("ledger").agg(
+        F.count_if(tried).alias("n"), rate("quality").alias("quality"), rate("reviewer").alias("reviewer"), rate("baseline").alias("baseline"), rate("novel").alias("novel"),
+        F.round(F.coalesce(F.avg(F.when(tried, 1 - F.col("stable").cast("int"))), F.lit(0.0)), 6).alias("drift"), F.round(F.coalesce(F.sum(F.when(tried, F.col("cost"))), F.lit(0.0)), 6).alias("cost"),
+        F.coalesce(F.max(tried & ~F.col("eligible") & F.col("quality")), F.lit(False)).alias("claimed"),
+    )
+    counts = cases.where(tried).groupBy("ledger", "latency").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("ledger").orderBy("latency"))).join(sums.select("ledger", "n"), "ledger")
+    p95 = upto.where(F.col("upto") > F.floor(F.col("n") * 0.95)).groupBy("ledger").agg(F.min("latency").alias("p95_ms"))
+    rows = sums.join(p95, "ledger", "left").withColumn("p95_ms", F.coalesce("p95_ms", F.lit(0)).cast("long"))
+    below = lambda c: F.when(F.col(c) < bounds[c], f"{c}_below")
+    above = lambda c: F.when(F.col(c) > bounds[c], f"{c}_above")
+    each = F.array_compact(F.array(F.when(F.col("claimed"), "noneligible_claim"), below("quality"), below("reviewer"), below("baseline"), above("novel"), above("p95_ms"), above("cost"), above("drift")))
+    blockers = F.when(F.col("n") == 0, "no_attempts").otherwise(F.array_join(each, ","))
+    return rows.select("ledger", "n", "quality", "reviewer", "baseline", "novel", "drift", "p95_ms", "cost", blockers.alias("blockers"), (blockers == "").alias("passes"))
+
+
 def metric_gates(quality: DataFrame, adjudicated: DataFrame) -> DataFrame:
     """gate, passes, exit_code: retrieval passes at recall 1 and a mean reciprocal rank of 0.9,
     adjudication at full accuracy without a false promotion; 2 stands for nothing measured."""

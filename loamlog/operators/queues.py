@@ -57,6 +57,28 @@ def admission(event_type: Column, lifecycle: Column) -> Column:
     return F.when(event_type == "EvidenceArtifact", "skip_evidence").when(lifecycle == "active", "admit").otherwise("skip_not_promoted")
 
 
+#: Policies of what may leave the machine, and which stands where none is known.
+POLICIES = ("remote_thin_promoted_v1", "full_log", "off")
+
+
+def sync_admission(rows: DataFrame, policies: tuple[str | None, ...] = POLICIES) -> DataFrame:
+    """event_id, policy, decision, reason of each event under each policy.
+
+    rows (event_id, event_type, lifecycle, disposition). An unknown policy counts as the thin
+    one, which lets units go that are active, or promoted by their latest disposition.
+    """
+    life, said = F.lower(F.coalesce("lifecycle", F.lit(""))), F.lower(F.coalesce("disposition", F.lit("")))
+    unit = (
+        F.when(life.isin("active", "promoted"), "thin_admit_active_unit").when(said.isin("promote", "promoted"), "thin_admit_promoted_unit")
+        .when(life.isin("draft", "held", ""), "thin_skip_draft_or_held_unit").otherwise("thin_skip_non_promoted_unit")
+    )
+    thin = F.when(F.col("event_type") == "EvidenceArtifact", "thin_skip_raw_evidence").when(F.col("event_type").isin("Observation", "Claim"), unit).otherwise("thin_skip_event_type")
+    named = F.explode(F.array(*[F.lit(p if p in POLICIES else POLICIES[0]) for p in policies])).alias("policy")
+    out = rows.select("event_id", "event_type", "lifecycle", "disposition", named)
+    reason = F.when(F.col("policy") == "off", "admission_off").when(F.col("policy") == "full_log", "full_log").otherwise(thin)
+    return out.select("event_id", "policy", F.when((reason == "full_log") | reason.startswith("thin_admit"), "admit").otherwise("skip").alias("decision"), reason.alias("reason"))
+
+
 def lease(queue: DataFrame, now: str, limit: int) -> DataFrame:
     """The next ``limit`` due rows: pending and available, or leased with an expired lease.
 
@@ -125,12 +147,20 @@ def telemetry(log: DataFrame) -> DataFrame:
     return out.select("status", "n_requests", debit(0).alias("reads"), debit(1).alias("writes"), debit(2).alias("bytes"), debit(3).alias("row_count"))
 
 
-def freshness(log: DataFrame) -> DataFrame:
-    """Per zone: highest event sequence, highest indexed sequence (active events here), the
-    sync cursor (nine tenths), and whether the index is behind the cursor."""
+def freshness(log: DataFrame, upto: dict[str, str] | None = None) -> DataFrame:
+    """Per zone: highest event sequence scanned, highest indexed one (active events here), the
+    sync cursor (nine tenths of all), and whether the index is behind the cursor.
+
+    ``upto`` says until when a zone was scanned; zones that it does not name were wholly.
+    """
     rows = L.sequenced(log)
-    out = rows.groupBy("zone").agg(F.max("zone_sequence").alias("scanned"), F.coalesce(F.max(F.when(F.col("lifecycle") == "active", F.col("zone_sequence"))), F.lit(0)).alias("indexed"))
-    cursor = F.floor(F.col("scanned") * 9 / 10)
+    until = F.create_map(*[F.lit(x) for kv in upto.items() for x in kv])[F.col("zone")].cast("timestamp") if upto else F.lit(None).cast("timestamp")
+    seen = F.when(until.isNull() | (F.col("recorded") < until), F.col("zone_sequence"))
+    none = F.lit(0).cast("long")
+    out = rows.groupBy("zone").agg(
+        F.coalesce(F.max(seen), none).alias("scanned"), F.coalesce(F.max(F.when(F.col("lifecycle") == "active", seen)), none).alias("indexed"), F.max("zone_sequence").alias("all")
+    )
+    cursor = F.floor(F.col("all") * 9 / 10)
     last = F.greatest(F.lit(0), "indexed", "scanned")
     return out.select("zone", "scanned", "indexed", cursor.alias("cursor"), last.alias("last_indexed"), (last < cursor).alias("stale"))
 
@@ -144,6 +174,29 @@ def dispositions(log: DataFrame) -> DataFrame:
     return first.unionAll(second)
 
 
+def disposition_history(rows: DataFrame) -> DataFrame:
+    """All dispositions of each event in the order in which they were made, then by policy:
+    event_id, place, policy, disposition, created, and what the one before said."""
+    order = Window.partitionBy("event_id").orderBy("created", "policy")
+    return rows.select("event_id", F.row_number().over(order).alias("place"), "policy", "disposition", "created", F.lag("disposition").over(order).alias("before"))
+
+
+def disposition_counts(rows: DataFrame) -> DataFrame:
+    """Per zone and policy how many dispositions promote, hold and reject, and of how many events
+    the last one of all policies does."""
+    n = lambda word: F.count_if(F.col("disposition") == word).alias(word)
+    last = rows.groupBy("zone", "event_id").agg(F.max_by("disposition", F.struct("created", "policy")).alias("disposition")).withColumn("policy", F.lit("latest"))
+    both = rows.select("zone", "policy", "disposition").unionByName(last.select("zone", "policy", "disposition"))
+    return both.groupBy("zone", "policy").agg(n("promote"), n("hold"), n("reject"), F.count("*").alias("total"))
+
+
+def job_list(queue: DataFrame, limit: int = 50) -> DataFrame:
+    """The first ``limit`` jobs of each zone and state by when they can be taken, then by id.
+    A task keeps the first of its part before anything meets by zone and state."""
+    order = Window.partitionBy("zone", "state").orderBy("available_at", "outbox_id")
+    return queue.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("zone", "state", "place", "outbox_id", "available_at")
+
+
 def latest_disposition(log: DataFrame) -> DataFrame:
     """Each claim's disposition: its own target's latest, else unknown."""
     latest = dispositions(log).groupBy("event_id").agg(F.max_by("disposition", F.struct("created", "policy")).alias("disposition"))

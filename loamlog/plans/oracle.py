@@ -265,9 +265,10 @@ ORACLE_SQL: dict[str, str] = {
             WHEN s.event_id IS NOT NULL THEN 'superseded' END AS reason
         FROM log l LEFT JOIN erasures e ON e.target_id = l.event_id LEFT JOIN superseded s ON s.event_id = l.event_id""",
     "zone_sequence": LOG + "SELECT event_id, zone, zone_sequence FROM seq",
-    "zone_freshness": LOG + """
+    "zone_freshness": LOG + f"""
         SELECT zone, scanned, indexed, cursor, greatest(0, indexed, scanned) AS last_indexed, greatest(0, indexed, scanned) < cursor AS stale
-        FROM (SELECT zone, max(zone_sequence) AS scanned, coalesce(max(CASE WHEN lifecycle = 'active' THEN zone_sequence END), 0) AS indexed,
+        FROM (SELECT zone, coalesce(max(zone_sequence) FILTER (zone NOT IN ('tz_0', 'tz_1') OR recorded < TIMESTAMP '{EARLIER}'), 0) AS scanned,
+            coalesce(max(zone_sequence) FILTER (lifecycle = 'active' AND (zone NOT IN ('tz_0', 'tz_1') OR recorded < TIMESTAMP '{EARLIER}')), 0) AS indexed,
             max(zone_sequence) * 9 // 10 AS cursor FROM seq GROUP BY 1)""",
     "pull_page": LOG + """,
         recs AS (
@@ -409,6 +410,15 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT *, {statement_key('statement')} AS k FROM s)
         SELECT lower(subject) AS subject, sha256(k) AS key, arg_min(id, (CASE lifecycle WHEN 'active' THEN 0 WHEN 'draft' THEN 1 ELSE 2 END, id)) AS keep_id, count(*) AS n_statements
         FROM k WHERE length(k) >= 8 GROUP BY 1, 2 HAVING count(*) > 1""",
+    "near_dup_hold": f"""
+        WITH RECURSIVE t AS (SELECT doc_id AS id, source AS zone, nullif({statement_key('text')}, '') AS key FROM documents),
+        k AS (SELECT id, zone, CASE WHEN key IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY key) END AS kid, row_number() OVER (PARTITION BY zone ORDER BY id) AS n FROM t),
+        walk AS (
+            SELECT DISTINCT zone, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS promoted, FALSE AS held, CAST(NULL AS INTEGER) AS gap FROM k
+            UNION ALL SELECT zone, n, id, CASE WHEN gap <= 200 THEN promoted ELSE list_append(promoted, kid) END, coalesce(gap <= 200, FALSE), gap FROM (
+                SELECT k.zone, k.n, k.id, k.kid, w.promoted, CASE WHEN kid >= 0 THEN nullif(list_position(list_reverse(promoted), kid), 0) END AS gap
+                FROM walk w JOIN k ON k.zone IS NOT DISTINCT FROM w.zone AND k.n = w.n + 1))
+        SELECT id, zone, CASE WHEN held THEN 'hold' ELSE 'promote' END AS decision, CAST(gap AS BIGINT) AS gap FROM walk WHERE n > 0""",
     "alias_lookup": LOG + f"""
         SELECT event_id AS alias, event_id FROM log UNION ALL SELECT {PAYLOAD.format('event_type', 'n')}, event_id FROM log""",
     "support_resolution": LOG + f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
 from loamlog.operators import facts, graph, metrics, policy, queues, records, retrieval
-from loamlog.plans import cases, log_queries, signal_queries, table_queries
+from loamlog.plans import cases, log_queries, queue_queries, signal_queries, table_queries
 from loamlog.plans.oracle import EARLIER
 from loamlog.plans.oracle import ORACLE_SQL as BASE_SQL
 from loamlog.sources import log as L
@@ -17,7 +17,7 @@ from loamlog.sources.signals import signals
 from loamlog.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = BASE_SQL | signal_queries.ORACLE_SQL | log_queries.ORACLE_SQL | table_queries.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = BASE_SQL | signal_queries.ORACLE_SQL | log_queries.ORACLE_SQL | table_queries.ORACLE_SQL | queue_queries.ORACLE_SQL
 
 
 def query(f: Callable) -> Callable:
@@ -49,7 +49,7 @@ of_log("origin_inherit", facts.inherited_origin)
 of_log("origin_scope", lambda log: facts.inherited_origin(log).where(facts.in_scope(F.col("project_id"), ["prj_1", "prj_2"])).groupBy("zone").agg(F.count("*").alias("n")))
 of_log("recheck_reasons", facts.recheck)
 of_log("zone_sequence", lambda log: L.sequenced(log).select("event_id", "zone", "zone_sequence"))
-of_log("zone_freshness", queues.freshness)
+of_log("zone_freshness", lambda log: queues.freshness(log, {"tz_0": EARLIER, "tz_1": EARLIER}))
 of_log("pull_page", lambda log: queues.pull_page(log, 100, 50))
 of_log("outbox_lease", lambda log: queues.lease(queues.outbox(log), "2024-06-01 00:00:00", 200))
 of_log("outbox_retry", lambda log: queues.retry(queues.outbox(log)))
@@ -195,4 +195,4 @@ def transcript_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.fold_transcripts(signals(spark, sf_dir).withColumn("text", F.col("signal")))
 
 
-QUERIES |= signal_queries.QUERIES | log_queries.QUERIES | table_queries.QUERIES
+QUERIES |= signal_queries.QUERIES | log_queries.QUERIES | table_queries.QUERIES | queue_queries.QUERIES

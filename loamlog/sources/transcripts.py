@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loamlog.functions import prose as P
+from loamlog.operators.components import checkpointed
 
 #: Bytes read from a transcript's end, characters and items of one prose.
 TAIL_BYTES, ITEM_CHARS, PROSE_CHARS, PROSE_ITEMS = 256_000, 1200, 48_000, 64
@@ -125,8 +126,9 @@ def parse(lines: DataFrame, strict: bool | None = None) -> DataFrame:
     """
     row = F.try_parse_json("line")
     fields = FIELDS + (MORE_FIELDS if strict is False else ())
-    prose = F.coalesce(F.when(_kind(_at(row, "$.message")) == "OBJECT", content_prose(_at(row, "$.message.content"), strict)), *[content_prose(_at(row, f"$.{f}"), strict) for f in fields])
-    said = F.when((_kind(row) == "OBJECT") & speaker(row).isNotNull(), prose)
+    contents = F.array(F.when(_kind(_at(row, "$.message")) == "OBJECT", _at(row, "$.message.content")), *[_at(row, f"$.{f}") for f in fields])
+    prose = F.filter(F.transform(contents, lambda c: content_prose(c, strict)), lambda x: x.isNotNull())
+    said = F.when((_kind(row) == "OBJECT") & speaker(row).isNotNull(), F.get(prose, 0))
     text = F.coalesce(said, F.when(row.isNull(), P.sanitized(F.col("line"), False))) if strict is False else said
     others = [c for c in lines.columns if c not in ("place", "role", "text", "line")]
     out = lines.where(F.trim("line") != "").select("place", speaker(row).alias("role"), (F.substring(text, 1, ITEM_CHARS)).alias("text"), *others)
@@ -168,11 +170,13 @@ def payload_prose(payloads: DataFrame, transcripts: DataFrame | None = None) ->
         text = F.when((F.col("kind") == "STRING") & (F.col("rank") < nests), P.trimmed(_text(F.col("value")))).when(
             (F.col("kind") == "ARRAY") & (F.col("rank") < paths), F.substring(F.array_join(texts, "\n"), 1, PROSE_CHARS)
         )
+        each = checkpointed(each)  # read for what it holds and for what lies below
         found.append(each.withColumn("text", text).where("text <> ''").select("id", "ranks", "text", F.col("rank").between(paths, nests - 1).alias("is_path"), (F.col("kind") == "STRING").alias("single")))
         level = each.where(F.col("kind") == "OBJECT").where(~F.col("rank").between(paths, nests - 1)).select("id", "value", "ranks")
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionAll(more)
+    hits = checkpointed(hits)
     shown = hits.where("NOT is_path")
     several = F.col("single") & F.contains("text", F.lit("\n")) & F.contains("text", F.lit("{")) & F.col("text").rlike('"type"\\s*:|"role"\\s*:')
     lines = shown.where(several).select("id", "ranks", F.posexplode(F.split("text", "\n+")).alias("place", "line"))
