@@ -126,6 +126,24 @@ def density_uplift(before: DataFrame, after: DataFrame, least_new: int = 1) -> D
     return out.select(*delta, (F.size("r") == 0).alias("passes"), F.when(F.size("r") == 0, "graph_density_uplift_ok").otherwise(F.array_join("r", ",")).alias("reasons"))
 
 
+def kind_recall(cases: DataFrame) -> DataFrame:
+    """Per expected kind: how many cases expect it, how many were promoted and as that kind, and
+    the share of these. And per kind that came out: how many of its promotes were expected.
+
+    cases (expect_kind, kind, gate); a null kind is a case of which nothing was extracted.
+    """
+    promoted = F.coalesce(F.col("gate") == "promote", F.lit(False))
+    right = promoted & F.coalesce(F.col("kind") == F.col("expect_kind"), F.lit(False))
+    due = cases.where("expect_kind IS NOT NULL").groupBy(F.col("expect_kind").alias("name")).agg(F.count("*").alias("expected"), F.count_if(promoted).alias("promoted"), F.count_if(right).alias("observed"))
+    made = cases.where(promoted).groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("n_promotes"), F.count_if(right).alias("n_right"))
+    none = F.lit(0).cast("long")
+    rows = due.join(made, "name", "full")
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)), 6)
+    return rows.select(
+        F.col("name").alias("kind"), *[F.coalesce(c, none).alias(c) for c in ("expected", "promoted", "observed", "n_promotes")], share("observed", "expected").alias("recall"), share("n_right", "n_promotes").alias("precision")
+    )
+
+
 #: Bounds of the evaluation gates: least rates of quality, review and baseline, most of what is
 #: new and of drifted identities, the latest 95th latency and the highest cost.
 BOUNDS = {"quality": 0.7, "reviewer": 0.85, "baseline": 0.6, "novel": 0.3, "p95_ms": 5000, "cost": 100_000.0, "drift": 0.05}

@@ -110,6 +110,7 @@ of_signals("proposal_lists", lambda rows: stages.proposal_lists(stages.proposals
 of_signals("report_redaction", lambda rows: stages.redacted(stages.proposals(extracted(rows))))
 of_signals("adjudicate", lambda rows: adjudicated(rows).select("case_id", "disposition", "reasons", "value", "durability", "risk", "noise", "kind", F.sha2("statement", 256).alias("statement"), "lifecycle"))
 of_signals("adjudication_confusion", confusion)
+of_signals("kind_recall", lambda rows: metrics.kind_recall(rows.select("case_id", "expect_kind").join(extracted(rows).select("case_id", "kind", F.when(F.col("kind").isin(*policy.PROMOTE_KINDS), "promote").otherwise("hold").alias("gate")), "case_id", "left")))
 of_signals("observation_plans", lambda rows: policy.observation_plan(subject(rows)))
 of_signals("capture_intake", lambda rows: taken(rows).drop("conv_id", "turn"))
 of_signals("feed_list", lambda rows: intake.feed_list(taken(rows), "tz_1", "pending", 40))
@@ -317,6 +318,12 @@ ORACLE_SQL: dict[str, str] = {
     "adjudication_confusion": ADJUDICATED + """
         SELECT expected, count(*) FILTER (disposition = 'promote') AS promote, count(*) FILTER (disposition = 'hold') AS hold, count(*) FILTER (disposition = 'reject') AS reject,
             count(*) FILTER (disposition = expected) AS correct, count(*) AS n, round(count(*) FILTER (disposition = expected) / count(*), 6) AS recall FROM judged WHERE boundary GROUP BY 1""",
+    "kind_recall": EXTRACTED + f""",
+        c AS (SELECT e.kind, CASE WHEN (conv_id + turn) % 3 <> 2 THEN nullif({at(S.PHRASE_KINDS, 'conv_id * 7 + turn')}, '') END AS expect_kind, coalesce(kind IN ('decision', 'constraint', 'preference'), FALSE) AS promoted FROM extracted e),
+        d AS (SELECT expect_kind AS kind, count(*) AS expected, count(*) FILTER (promoted) AS promoted, count(*) FILTER (promoted AND kind = expect_kind) AS observed FROM c WHERE expect_kind IS NOT NULL GROUP BY 1),
+        m AS (SELECT kind, count(*) AS n_promotes, count(*) FILTER (kind = expect_kind) AS n_right FROM c WHERE promoted GROUP BY 1)
+        SELECT kind, coalesce(expected, 0) AS expected, coalesce(promoted, 0) AS promoted, coalesce(observed, 0) AS observed, coalesce(n_promotes, 0) AS n_promotes,
+            round(observed / nullif(expected, 0), 6) AS recall, round(n_right / nullif(n_promotes, 0), 6) AS precision FROM d FULL JOIN m USING (kind)""",
     "observation_plans": SIGNALS + f""",
         h AS (SELECT *, {hook('hook')} IN ('Stop', 'SessionEnd', 'PreCompact', 'UserPromptSubmit') AS fits FROM signals)
         SELECT case_id, CASE WHEN fits THEN 'extract' ELSE 'skip' END AS status, CASE WHEN fits THEN 'observation' ELSE 'none' END AS target, CASE WHEN fits THEN {metadata('hook')} END AS statement FROM h""",

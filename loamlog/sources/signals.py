@@ -34,12 +34,14 @@ PHRASES = (
     ("", "hold"),
     ("Which copy of the archive is the newest one?", "hold"),
 )
+#: What kind of knowledge a phrase states, for those that are to be promoted ("" for others).
+PHRASE_KINDS = ("decision", "preference", "constraint", "constraint", "constraint", "", "", "", "", "", "", "", "", "fact_candidate", "", "", "", "")
 HOOK_NAMES = ("SessionEnd", "session_end", "Stop", "pre-compact", "UserPromptSubmit", "PostToolUse", "Notification", "")
 PROVIDERS = ("alpha host", "beta", "")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, conv_id, turn, hook, provider, zone, signal, expected."""
+    """case_id, conv_id, turn, hook, provider, zone, signal, expected, expect_kind."""
     c, t = F.col("conv_id"), F.col("turn")
     at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
     phrase, mode = at([p for p, _ in PHRASES], c * 7 + t), (c + t) % 3
@@ -48,5 +50,5 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         F.concat_ws(":", c.cast("string"), t.cast("string")).alias("case_id"), "conv_id", "turn", at(HOOK_NAMES, c + t * 3).alias("hook"),
         at(PROVIDERS, c).alias("provider"), F.concat(F.lit("tz_"), (c % 4).cast("string")).alias("zone"), "role", signal.alias("signal"),
-        at([e for _, e in PHRASES], c * 7 + t).alias("expected"),
+        at([e for _, e in PHRASES], c * 7 + t).alias("expected"), F.when(mode != 2, F.nullif(at(PHRASE_KINDS, c * 7 + t), F.lit(""))).alias("expect_kind"),
     )
