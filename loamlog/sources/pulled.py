@@ -35,7 +35,7 @@ class Remote:
     def ends(self) -> dict[str, int]:
         """The last sequence of each zone; few rows a file are kept while it is read."""
         last: dict[str, int] = {}
-        for batch in self._data().to_batches(columns=["zone", "zone_sequence"]):
+        for batch in self._data().to_batches(columns=["zone", "zone_sequence"], use_threads=False):
             for zone, top in batch.to_pandas().groupby("zone")["zone_sequence"].max().items():
                 last[zone] = max(int(top), last.get(zone, 0))
         return last
@@ -49,7 +49,7 @@ class Remote:
         # sequences are dense, so a range of numbers holds a page; a range with gaps is widened
         while len(rows) <= limit:
             wanted = (pc.field("zone") == zone) & (pc.field("zone_sequence") > after) & (pc.field("zone_sequence") <= after + span)
-            rows = self._data().to_table(columns=COLUMNS, filter=wanted).to_pylist()
+            rows = self._data().to_table(columns=COLUMNS, filter=wanted, use_threads=False).to_pylist()
             if len(rows) > limit or after + span >= self.top(zone):
                 break
             span *= 2
