@@ -276,15 +276,14 @@ def supersession_components(links: DataFrame) -> DataFrame:
     """Components over source, target and replacement of supersessions: members, id by the
     hash of the sorted members, and whether a chain of replacements in it leads back to where
     it began, of any length."""
-    from loamlog.operators.components import connected
+    from loamlog.operators.components import connected, cyclic_components
 
     ends = links.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(links.where("replacement IS NOT NULL").select(F.col("source").alias("a"), F.col("replacement").alias("b")))
     parts = connected(ends)
     nodes = parts.unionAll(parts.select(F.col("component").alias("node"), "component")).distinct()
     step = links.where("replacement IS NOT NULL").select(F.col("target").alias("a"), F.col("replacement").alias("b")).distinct()
-    back = on_cycles(step).select(F.col("a").alias("node")).distinct()
-    marked = nodes.join(back.withColumn("cycle", F.lit(True)), "node", "left")
-    out = marked.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("m"), F.coalesce(F.max("cycle"), F.lit(False)).alias("has_cycle"))
+    back = cyclic_components(step, nodes).withColumn("cycle", F.lit(True))
+    out = nodes.groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("m")).join(back, "component", "left").withColumn("has_cycle", F.coalesce("cycle", F.lit(False)))
     return out.select(T.content_id("rec_", 16, F.array_join("m", ",")).alias("component_id"), F.array_join("m", ",").alias("members"), "has_cycle")
 
 
