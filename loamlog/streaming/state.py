@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -56,6 +56,12 @@ def append_new(batch: DataFrame, path: str, key: str, writer: str = "batch", num
     log.append(batch, writer if number is not None else f"{writer}-{uuid.uuid4().hex}", number or 0)
 
 
+def appended(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``append_new`` has put under ``path``."""
+    folders = Store(spark, path).latest()[1].get("folders", [])
+    return spark.read.parquet(*[f"{path.rstrip('/')}/{f}" for f in folders])
+
+
 def lasting_lines(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text -> conv_id, turn, line, key, corrects, terms of what lasts."""
     said = turns.where(F.lower("role").isin("user", "human", "assistant", "ai")).withColumn("line", P.sanitized(F.regexp_replace("text", "(?i)</?user_query\\s*>", " ")))
