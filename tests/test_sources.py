@@ -152,6 +152,25 @@ def test_pages_give_each_record_once(spark, tmp_path):
     assert len(page) == 6 and more and not pulled.Remote(path).page("c", 0, 9)[1]
 
 
+def test_pages_are_cut_from_blocks_and_long_zones_from_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "remote")
+    rows = records("a", range(1, 3000)) + records("b", range(1, 40)) + [(None, n, f"x{n}", "event", "") for n in range(1, 30)]
+    remote(spark, path, rows)
+    reads = []
+    real = pulled.dataset_of
+    monkeypatch.setattr(pulled, "dataset_of", lambda source: reads.append(source) or real(source))
+    part = pulled.ZoneRange("a", 0, 2999)
+    got = list(pulled.read_range(pulled.Remote(path), part, 10))
+    assert sorted(got) == sorted(r for r in rows if r[0] == "a") and len(reads) == 1
+    monkeypatch.setattr(pulled, "SPAN", 500)
+    parts = pulled.PulledReader({"path": path, "cursors": '{"a": 700}'}).partitions()
+    assert [(p.zone, p.after, p.upto) for p in parts] == [(None, 0, 29), ("a", 700, 1200), ("a", 1200, 1700), ("a", 1700, 2200), ("a", 2200, 2700), ("a", 2700, 2999), ("b", 0, 39)]
+    got = [r for p in parts for r in pulled.read_range(pulled.remote_of(path, p), p, 7)]
+    key = lambda r: (r[0] or "", *r[1:])
+    assert sorted(got, key=key) == sorted((r for r in rows if r[0] != "a" or r[1] > 700), key=key)
+    assert pulled.pull(spark, path).where("zone IS NULL").count() == 29
+
+
 def test_a_stream_goes_on_behind_its_cursors(spark, tmp_path):
     path, out = str(tmp_path / "remote"), str(tmp_path / "out")
 
