@@ -286,3 +286,25 @@ def test_holds_count_the_promotes_of_their_zone(spark):
     frame = spark.createDataFrame(rows, "id long, zone string, statement string, position long").repartition(5)
     got = {r["id"]: (r["decision"], r["gap"]) for r in policy.hold_repeats(frame, 20).collect()}
     assert got == want and {d for d, _ in got.values()} == {"hold", "promote"}
+
+
+def test_signatures_meet_where_sets_are_alike_and_hardly_elsewhere(spark):
+    """Texts of 300 common words: nearly all have a frequent one in front, few are alike."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(4)
+    sets = [rng.sample(range(300), n) for n in rng.choices(range(1, 90), k=250)]
+    sets += [s[: len(s) - rng.randrange(0, 1 + len(s) // 9)] + [300 + i] for i, s in enumerate(sets[:120])]
+    rows = spark.createDataFrame([(i, [f"w{w}" for w in s]) for i, s in enumerate(sets)], "id long, tokens array<string>")
+    for num, den in ((9, 10), (7, 10)):
+        held = retrieval.signatures(rows.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes")), num, den).collect()
+        by = {}
+        for r in held:
+            by.setdefault(r["signature"], []).append(r)
+        met = {tuple(sorted((x["id"], y["id"]))) for g in by.values() for x, y in combinations(g, 2) if x["low"] or y["low"]}
+        like = lambda a, b: len(a & b) * den >= len(a | b) * num
+        due = {(i, j) for i, j in combinations(range(len(sets)), 2) if like(set(sets[i]), set(sets[j]))}
+        assert due and due <= met and len(met) < 17_000  # of 68,265 pairs
+        docs = rows.select(F.col("id").alias("doc_id"), F.array_join("tokens", " ").alias("text"))
+        assert {(r["a"], r["b"]) for r in retrieval.near_duplicate_pairs(docs, num, den).collect()} == due
