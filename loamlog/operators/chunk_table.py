@@ -1,13 +1,17 @@
 """The chunk table: chunks of the log, kept up to date slice by slice.
 
-Events are numbered as they are appended, so a slice of numbers is a folder, and new events fall
-into new slices. A snapshot keeps, for each slice, order-free sums of all that its chunks
-depend on. A rebuild sums the log again, one pass without a shuffle of rows, and makes the
-chunks of those slices anew whose sums differ; the other folders stay as they are.
+Events are numbered as they are appended, so new events fall into new slices of numbers. A
+snapshot keeps, for each slice, order-free sums of all that its chunks depend on, and the folder
+that holds them. A rebuild sums the log again, one pass without a shuffle of rows, and makes the
+chunks of those slices anew whose sums differ: all of them in one folder, sorted by slice, so the
+number of files follows the rows and not the slices. Other folders stay as they are; a folder
+of which less than half is still named is written anew with the next rebuild.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +50,7 @@ def chunk_rows(log: DataFrame, erasures: DataFrame) -> DataFrame:
 
 
 class ChunkTable:
-    """The chunks of a log in a store, one folder a slice of event numbers."""
+    """The chunks of a log in a store, by slices of event numbers."""
 
     def __init__(self, store: Store, width: int = WIDTH):
         self.store, self.width = store, int(store.latest()[1].get("width", width))
@@ -71,37 +75,53 @@ class ChunkTable:
         now = self._sums(log, erasures)
 
         def change_of(state: dict) -> tuple[list[int], dict]:
-            held = state.get("slices", {})
-            due = sorted({s for s in now if held.get(str(s), {}).get("sums") != now[s]} | {int(s) for s in held if int(s) not in now and held[s]["sums"] != ""})
-            return due, held
+            held, sizes = state.get("slices", {}), state.get("folders", {})
+            due = {s for s in now if held.get(str(s), {}).get("sums") != now[s]} | {int(s) for s in held if int(s) not in now and held[s]["sums"] != ""}
+            if due:
+                left = Counter(v["folder"] for s, v in held.items() if int(s) not in due)
+                due |= {int(s) for s, v in held.items() if 2 * left[v["folder"]] < sizes[v["folder"]]}
+            return sorted(due), held
 
         while True:
             base, state = self.store.latest()
             due, held = change_of(state)
             if not due:
                 return {"written": 0, "kept": len(held), "snapshot": base}
-            own = chunk_rows(log.where(self.slice(F.col("n")).isin(due)), erasures).withColumn("slice", self.slice(F.col("n")))
-            before = self._read([held[str(s)]["folder"] for s in due if str(s) in held])
+            asked = log if set(now) <= set(due) else self._among(log, due, self.slice(F.col("n")))
+            own = chunk_rows(asked, erasures).withColumn("slice", self.slice(F.col("n")))
+            before = self._read({str(s): held[str(s)] for s in due if str(s) in held}, state)
             lost = before.join(own.select("chunk_id"), "chunk_id", "left_anti").withColumn("status", F.lit("stale"))
-            folder = self.store.write(own.unionByName(lost).repartition("slice", F.pmod(F.xxhash64("event_id"), F.lit(16))), "chunks", ["slice"])
-            slices = held | {str(s): {"sums": now.get(s, ""), "folder": f"{folder}/slice={s}"} for s in due}
+            rows = own.unionByName(lost).repartition("slice", F.pmod(F.xxhash64("event_id"), F.lit(16))).sortWithinPartitions("slice")
+            folder = self.store.write(rows, "chunks")
+            slices = held | {str(s): {"sums": now.get(s, ""), "folder": folder} for s in due}
+            named = {v["folder"] for v in slices.values()}
+            sizes = {f: n for f, n in (state.get("folders", {}) | {folder: len(due)}).items() if f in named}
             try:
-                return {"written": len(due), "kept": len(held) - sum(str(s) in held for s in due), "snapshot": self.store.commit(base, {"width": self.width, "slices": slices})}
+                return {"written": len(due), "kept": len(held) - sum(str(s) in held for s in due), "snapshot": self.store.commit(base, {"width": self.width, "slices": slices, "folders": sizes})}
             except Conflict:
                 continue
 
-    def _read(self, folders: list[str]) -> DataFrame:
-        spark = self.store.spark
-        paths = [f"{self.store.root}/{f}" for f in folders if self.store._fs().exists(self.store._path(f))]
-        if not paths:
-            return spark.createDataFrame([], SCHEMA)
-        rows = spark.read.schema(SCHEMA.rsplit(", slice", 1)[0]).parquet(*paths)
-        return rows.withColumn("slice", self.slice(F.col("n")))
+    def _among(self, rows: DataFrame, slices: list[int], column: Column) -> DataFrame:
+        """The rows of some slices; many of them are a small table, not a list in the plan."""
+        if len(slices) <= 100:
+            return rows.where(column.isin(slices))
+        wanted = self.store.spark.createDataFrame([(s,) for s in slices], "_slice long")
+        return rows.join(F.broadcast(wanted), column == F.col("_slice"), "left_semi")
+
+    def _read(self, slices: dict[str, dict], state: dict) -> DataFrame:
+        by: dict[str, list[int]] = {}
+        for s, v in slices.items():
+            by.setdefault(v["folder"], []).append(int(s))
+        out = self.store.spark.createDataFrame([], SCHEMA)
+        for folder, own in sorted(by.items()):
+            rows = self.store.read(folder, SCHEMA)
+            out = out.unionByName(rows if len(own) == state["folders"][folder] else self._among(rows, sorted(own), F.col("slice")))
+        return out
 
     def rows(self, number: int | None = None) -> DataFrame:
         """The chunks of a snapshot (None: the current one)."""
         state = self.store.latest()[1] if number is None else self.store.at(number)
-        return self._read([s["folder"] for s in state.get("slices", {}).values()])
+        return self._read(state.get("slices", {}), state)
 
     def folders(self) -> dict[int, str]:
         return {int(s): v["folder"] for s, v in self.store.latest()[1].get("slices", {}).items()}

@@ -1,5 +1,6 @@
 """Tables that outlive a query: snapshots, appends, the text index, chunks, vectors."""
 
+import pathlib
 import random
 import threading
 
@@ -153,6 +154,26 @@ def test_chunks_follow_the_log_and_leave_other_slices_alone(spark, store):
     assert table.rows().where("status = 'stale'").isEmpty()
 
 
+def test_files_of_chunks_follow_rows_and_not_slices(spark, store):
+    table = chunk_table.ChunkTable(store, width=2)
+    none = spark.createDataFrame([], "target_id string")
+    assert table.rebuild(log_rows(spark, 600), none)["written"] == 300
+    first = set(table.folders().values())
+    files = list((pathlib.Path(store.root.removeprefix("file://")) / "data").rglob("*.parquet"))
+    assert len(first) == 1 and len(files) <= 8  # not one and more a slice
+    new = log_rows(spark, 600, draft="new ")
+    assert table.rebuild(new, none)["written"] == 80 and first < set(table.folders().values())
+    rows = [(r["chunk_id"], r["status"]) for r in table.rows().collect()]
+    full = {r["chunk_id"] for r in chunk_table.chunk_rows(new, none).collect()}
+    assert {c for c, status in rows if status != "stale"} == full and len(rows) == len(set(rows)) == 480 + 80
+    # 202 slices change; of both folders less than half is left, which is written anew
+    erased = spark.createDataFrame([(f"evt_{i}",) for i in range(400)], "target_id string")
+    assert table.rebuild(new, erased)["written"] == 300 and len(set(table.folders().values())) == 1
+    rows = [(r["chunk_id"], r["status"]) for r in table.rows().collect()]
+    assert {c for c, status in rows if status != "stale"} == full and len(rows) == len(set(rows)) == 480 + 80
+    assert table.rows(1).count() == 480
+
+
 def test_an_empty_log(spark, store):
     table = chunk_table.ChunkTable(store)
     table.rebuild(log_rows(spark, 10).limit(0), spark.createDataFrame([], "target_id string"))
