@@ -9,15 +9,20 @@ of all segments as one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamlog.functions import text as T
-from loamlog.operators.retrieval import ranked
+from loamlog.operators.retrieval import asked_matrix, asked_tokens, few, matrix_topk, ranked
 from loamlog.sources.store import Store
 
 #: Buckets of tokens: folders that a segment has at most, and that a search chooses among.
 BUCKETS = 256
+#: Parts of a bucket by documents.
+SLOTS = 16
 POSTINGS, DEAD = "token string, doc_id long, bucket int", "doc_id long"
 
 
@@ -31,12 +36,14 @@ class TextIndex:
         return F.pmod(F.xxhash64(token), F.lit(self.buckets)).cast("int")
 
     def _segment(self, docs: DataFrame) -> str:
-        """Ranges of (bucket, token, document) make files of even size, so a token that most
-        documents hold is cut by documents, and a file holds few tokens."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("token"))
-        rows = rows.withColumn("bucket", self.bucket(F.col("token")))
-        order = ["bucket", "token", "doc_id"]
-        return self.store.write(rows.select("token", "doc_id", "bucket").repartitionByRange(*order).sortWithinPartitions(*order), "postings", ["bucket"])
+        return self._write(rows.withColumn("bucket", self.bucket(F.col("token"))))
+
+    def _write(self, rows: DataFrame) -> str:
+        """A bucket is cut by documents, so a token that most of them hold is too, and its files
+        are sorted by token. Ranges would be evener, but a sample of them makes all rows twice."""
+        dealt = rows.select("token", "doc_id", "bucket").repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+        return self.store.write(dealt.sortWithinPartitions("bucket", "token", "doc_id"), "postings", ["bucket"])
 
     def upsert(self, docs: DataFrame, gone: DataFrame | None = None) -> int:
         """Adds documents (doc_id, text), in place of what is known of their ids; ``gone``
@@ -55,26 +62,26 @@ class TextIndex:
 
         return self.store.update(change)
 
-    def postings(self, buckets: list[int] | None = None, state: dict | None = None) -> DataFrame:
-        """Live (token, doc_id) of the given buckets (None: all)."""
+    def postings(self, buckets: list[int] | None = None, state: dict | None = None, of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Live (token, doc_id) of the given buckets (None: all), or what ``of`` makes of a
+        segment's rows, by doc_id, before the void ones go."""
         state = self.store.latest()[1] if state is None else state
         live = None
         for segment in state.get("segments", []):
             rows = self.store.read(segment["folder"], POSTINGS)
             rows = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+            rows = rows.select("token", "doc_id", "bucket") if of is None else of(rows)
             later = [d["folder"] for d in state.get("dead", []) if d["turn"] > segment["turn"]]
             if later:
                 void = self.store.spark.read.schema(DEAD).parquet(*[f"{self.store.root}/{f}" for f in later]).distinct()
                 rows = rows.join(void, "doc_id", "left_anti")
-            rows = rows.select("token", "doc_id", "bucket")
-            live = rows if live is None else live.unionAll(rows)
+            live = rows if live is None else live.unionByName(rows)  # an anti join puts its key first
         return self.store.spark.createDataFrame([], POSTINGS) if live is None else live
 
     def merge(self) -> int:
         """All segments as one without what is void; an upsert that comes meanwhile stays."""
         base, state = self.store.latest()
-        order = ["bucket", "token", "doc_id"]
-        name = self.store.write(self.postings(state=state).repartitionByRange(*order).sortWithinPartitions(*order), "postings", ["bucket"])
+        name = self._write(self.postings(state=state))
         upto, old = state.get("turn", 0), {s["folder"] for s in state.get("segments", [])}
 
         def change(now: dict) -> dict | None:
@@ -87,14 +94,32 @@ class TextIndex:
 
     def asked(self, queries: DataFrame) -> tuple[DataFrame, list[int]]:
         """Tokens of each query with their repeats, and the buckets they lie in."""
-        tokens = T.search_tokens(F.col("text"))
-        rows = queries.select("item_id", F.explode(tokens).alias("token"), F.size(tokens).alias("size")).groupBy("item_id", "size", "token").agg(F.count("*").alias("times"))
+        rows = asked_tokens(queries)
         rows = rows.withColumn("bucket", self.bucket(F.col("token")))
         return rows, sorted(r[0] for r in rows.select("bucket").distinct().collect())
 
     def topk(self, queries: DataFrame, k: int) -> DataFrame:
-        """item_id, doc_id, score, rank: as ``retrieval.lexical_topk`` over the documents."""
+        """item_id, doc_id, score, rank: as ``retrieval.lexical_topk`` over the documents.
+
+        A few queries, counted, are one matrix: postings of their tokens are gathered by
+        document, and each task keeps the best; pairs of queries and documents are not exchanged.
+        """
         rows, buckets = self.asked(queries)
-        met = rows.join(self.postings(buckets), ["bucket", "token"])
-        hits = met.groupBy("item_id", "size", "doc_id").agg(F.sum("times").alias("matched"))
-        return ranked(hits.select("item_id", "doc_id", F.round(F.col("matched") / F.col("size"), 6).alias("score")), k)
+        state = self.store.latest()[1]
+        if not state.get("segments") or not few(rows):
+            met = rows.join(self.postings(buckets, state), ["bucket", "token"])
+            hits = met.groupBy("item_id", "size", "doc_id").agg(F.sum("times").alias("matched"))
+            return ranked(hits.select("item_id", "doc_id", F.round(F.col("matched") / F.col("size"), 6).alias("score")), k)
+        token, items, weights, sizes = asked_matrix(rows)
+        if not token:
+            return ranked(rows.select("item_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")), k)
+        places = F.broadcast(self.store.spark.createDataFrame(list(token.items()), "token string, place int"))
+        held = self.postings(buckets, state, lambda p: p.join(places, "token").groupBy("doc_id").agg(F.collect_list("place").alias("text")))
+
+        def features(docs: list[list[int]]) -> np.ndarray:
+            out = np.zeros((len(docs), len(token)))
+            for i, places in enumerate(docs):
+                out[i, places] = 1
+            return out
+
+        return matrix_topk(held, features, weights, items, k, sizes)

@@ -117,6 +117,25 @@ def test_a_search_reads_the_buckets_of_its_tokens(spark, store):
     assert read == {str(b) for b in buckets} and len(folders) > 20  # ... of which only these are read
 
 
+def test_a_segment_reads_each_text_once_and_a_search_exchanges_no_pairs(spark, store):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    docs = spark.createDataFrame([(i, f"common word{i % 7} x{i}") for i in range(300)], "doc_id long, text string")
+    index = fulltext.TextIndex(store, buckets=4)
+    index.upsert(docs.select("doc_id", counted("text").alias("text")))
+    assert seen.value == 300
+    queries = spark.createDataFrame([(i, f"common word{i % 7}") for i in range(40)] + [(99, None), (98, "absent")], "item_id long, text string")
+    assert same_topk(index, docs, queries, 3)
+    plan = index.topk(queries, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(times" not in plan  # a row for each query and document that share a token
+    assert index.topk(queries.where("item_id = 99"), 3).isEmpty()
+
+
 def log_rows(spark, n, skip=(), draft=""):
     kinds = ["EvidenceArtifact", "Observation", "Claim", "AcceptanceDecision", "Supersession"]
     rows = []
