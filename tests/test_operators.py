@@ -288,6 +288,33 @@ def test_holds_count_the_promotes_of_their_zone(spark):
     assert got == want and {d for d, _ in got.values()} == {"hold", "promote"}
 
 
+def test_holds_take_few_rounds_over_slices(spark, monkeypatch):
+    """Slices of 60 rows, so what one leaves behind reaches the next; each decision hangs on many
+    before it, which took a round each."""
+    import random
+
+    rng, rounds = random.Random(3), []
+    rows = [(i, "z", f"say {rng.randrange(40)}", i) for i in range(600)]
+    want, done = {}, []
+    for i, _, text, _ in rows:
+        gap = next((n for n, k in enumerate(reversed(done), 1) if k == text), None)
+        want[i] = ("hold" if gap and gap <= 20 else "promote", gap)
+        done += [text] if want[i][0] == "promote" else []
+    cut = policy.checkpointed
+    monkeypatch.setattr(policy, "checkpointed", lambda df: rounds.append(1) or cut(df))
+    frame = spark.createDataFrame(rows, "id long, zone string, statement string, position long").repartition(3)
+    for size in (60, policy.HOLD_SLICE):
+        rounds.clear()
+        assert {r["id"]: (r["decision"], r["gap"]) for r in policy.hold_repeats(frame, 20, size).collect()} == want
+        assert len(rounds) <= 5 + 2 * 10
+    assert len(rounds) <= 5 + 2  # one slice is walked once
+
+
+def test_statement_keys_join_runs_of_all_that_is_no_letter_or_digit(spark):
+    rows = spark.createDataFrame([("Don't  say\t“No” -- ever!\x0b",), ("\u00e9 a\u00a0_b",), ("``",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.statement_key(F.col("t"))).collect()] == ["dont say no ever", "a b", "", None]
+
+
 def test_signatures_meet_where_sets_are_alike_and_hardly_elsewhere(spark):
     """Texts of 300 common words: nearly all have a frequent one in front, few are alike."""
     import random
