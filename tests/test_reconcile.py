@@ -1,5 +1,7 @@
 """Reconciliation: each verdict from records made for it, taints, cycles at length."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +161,25 @@ def test_reaching(spark):
     pairs = [("a", "d"), ("d", "a"), ("b", "d"), ("c", "b"), ("x", "y"), ("y", "x"), ("k", "k"), ("a", "x"), ("e", "e"), (None, "a")]
     got = {tuple(r) for r in components.reaching(spark.createDataFrame(pairs, "start string, goal string"), edges).collect()}
     assert got == {("a", "d"), ("b", "d"), ("c", "b"), ("x", "y"), ("k", "k"), ("e", "e")}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_leaves_stay_out_of_the_rounds_of_components(spark, monkeypatch, kind):
+    """Against union-find; pairs, stars and whiskers of cores, and the least node may be a leaf."""
+    rng, seen, parent = random.Random(1), [], {}
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 420)] + [(500, 501), (501, 500), (7, 7)]
+    edges = [(f"x{a}", f"x{b}") for a, b in edges] if kind == "string" else edges
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    rounds = components.in_rounds
+    monkeypatch.setattr(components, "in_rounds", lambda pairs: seen.append(pairs.count()) or rounds(pairs))
+    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, f"a {kind}, b {kind}")).collect()}
+    assert got == {x: root(x) for x in parent if root(x) != x}
+    assert len(seen) == 1 and 0 < seen[0] < len(set(edges)) * 2 // 3
