@@ -48,6 +48,8 @@ BRIEF = 128
 FEW = 200_000
 #: Sets of a region that one task holds at most, and sets of a block of a larger region.
 MEMBERS, BLOCK = 4096, 4096
+#: One document in so many is counted first for the shingles of large regions.
+ONE_IN = 16
 #: Pivots that an open region chooses before all its members take that part, and members
 #: among which it chooses.
 MORE, TRIED = 8, 64
@@ -152,6 +154,23 @@ def sets(docs: DataFrame, frequent) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
+def large_shingles(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """The shingles of more than MEMBERS of ``rows``, one row each.
+
+    Most shingles stand in one prefix, and to count all of them would exchange all prefixes once
+    more. So one document in ONE_IN, by hash, is counted first, and what stands in half as many of
+    these as a large region has on average is counted in all rows, each task its own part first. A
+    large region that is missed by that (fewer than one in 10^12) is joined as a small one; its
+    pairs are the same.
+    """
+    one_in = max(1, min(ONE_IN, MEMBERS // 256))
+    some = held.where((F.size("prefix") > 0) & (F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(one_in)) == 0))
+    often = some.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count().where(F.col("count") > MEMBERS // one_in // 2)
+    often = staged(often.select("shingle"), "frequent-shingles")
+    exact = rows.join(often, "shingle", "left_semi").groupBy("shingle").count().where(F.col("count") > MEMBERS)
+    return staged(exact.select("shingle"), "large-regions")
+
+
 def regions(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Regions of two sets and more: region, sids, sizes, indexed; ordered by (size, sid).
     Regions with the same members are one. And the members of large regions as rows: region,
@@ -160,7 +179,7 @@ def regions(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = held.where(F.size("prefix") > 0).select("n", "sid", "index", F.posexplode("prefix").alias("at", "shingle"))
     rows = rows.select("shingle", "n", "sid", (F.col("at") < F.col("index")).alias("indexed"))
 
-    large = staged(rows.groupBy("shingle").count().where(F.col("count") > MEMBERS).select("shingle"), "large-regions")
+    large = large_shingles(held, rows)
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)))
     big = rows.join(large, "shingle", "left_semi").dropDuplicates(["shingle", "sid"]).select(F.col("shingle").alias("region"), "n", "sid", "indexed", band.alias("band"))
     rows = rows.join(large, "shingle", "left_anti").select("shingle", "n", "sid", "indexed")

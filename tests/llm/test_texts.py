@@ -475,3 +475,11 @@ def test_components_of_stars_and_chains(spark):
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert all(got[i] == 0 for i in range(1, 400)) and all(got[1001 + i] == 1000 for i in range(60))
     assert SCHEMA
+
+
+def test_large_regions_are_counted_exactly_among_frequent_shingles(spark):
+    """Shingle 1 stands in all of 6,000 prefixes, 2 in 4,097, 3 in 4,096, the others in one."""
+    rows = [(i, i * 7, [1, *([2] if i < 4097 else []), *([3] if i >= 6000 - 4096 else []), 10_000 + i]) for i in range(6000)]
+    held = spark.createDataFrame(rows, "doc_id long, text_key long, prefix array<long>")
+    shingles = held.select(F.explode("prefix").alias("shingle"), F.col("doc_id").alias("sid"))
+    assert sorted(r[0] for r in jaccard_join.large_shingles(held, shingles).collect()) == [1, 2]
