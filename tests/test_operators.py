@@ -335,3 +335,28 @@ def test_signatures_meet_where_sets_are_alike_and_hardly_elsewhere(spark):
         assert due and due <= met and len(met) < 17_000  # of 68,265 pairs
         docs = rows.select(F.col("id").alias("doc_id"), F.array_join("tokens", " ").alias("text"))
         assert {(r["a"], r["b"]) for r in retrieval.near_duplicate_pairs(docs, num, den).collect()} == due
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containing_hashes_a_text_once_whatever_the_number_of_items(spark):
+    words = "the cat of Ñandú sat on a mat and 猫はマット の上に座った while K ran".split()
+    texts = [" ".join(words[(i * j) % len(words)] for j in range(i % 23)) for i in range(150)] + [None, "", "a", "x" * 300_000 + "needle in a haystack" + "y" * 10, "needle in a hay", "stack of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asked = ["the cat of", "Ñandú sat", "猫はマット", "の", "K ran", "a", "", None, "needle in a haystack", "sat on a mat and 猫はマット の上に座った", "xx", "absent from all of them", "x" * 17, "a"]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id int, text string")
+    found = metrics.containing(items, docs)
+    want = sorted((i, d) for i, a in enumerate(asked) for d, t in enumerate(texts) if a and t is not None and a in t)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "NestedLoop" not in plan_of(found)
+
+
+def test_retrieval_quality_reads_what_is_relevant_once(spark, tmp_path):
+    spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 13), (2, 20), (3, 30), (None, 40)], "item_id int, doc_id int").write.parquet(str(tmp_path / "relevant"))
+    relevant = spark.read.parquet(str(tmp_path / "relevant"))
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 4), (2, 21, 1), (2, 20, 2), (9, 1, 1)], "item_id int, doc_id int, rank int")
+    quality = metrics.retrieval_quality(ranked, relevant)
+    assert tuple(quality.first()) == (4, round((1 / 3 + 1 + 0 + 0) / 4, 6), round((1 + 0.5) / 4, 6))
+    assert plan_of(quality).split("== Initial Plan ==")[0].count("FileScan parquet") == 1

@@ -194,3 +194,26 @@ def test_context_packs_lose_nothing(spark, items, chars, cap):
                 queues[section] = rest
     got = records.context_pack(log, items, chars, cap).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_secret_patterns_are_found_behind_their_signs(spark):
+    texts = [
+        "x CipherText y", "plaintexts", "a RAW_PAYLOAD", "local-AES256.key", "sk-abcdefgh1", "xsk-abcdefgh1", "Bearer abc.def", "bearer abc", "-----BEGIN RSA PRIVATE KEY-----", "a-----BEGIN EC PRIVATE KEY-----",
+        "API-KEY = z", "api key: z", "access_token:q", "SecretKey=1", "client-secret : v", "Passwd:x", "passphrase=x", "password", "ghp_" + "a" * 20, "xoxb-" + "1" * 10, "", None, "plain: words = here",
+    ]
+    for text, found in zip(texts, each(spark, texts, T.secret_material), strict=True):
+        bare = each(spark, [text], lambda t: F.coalesce(F.greatest(*[t.rlike(p).cast("int") for p in T.SECRET_MATERIAL]), F.lit(0)))
+        assert found == bool(bare[0]), text
+
+
+def test_adjudication_flattens_a_signal_once_and_only_at_the_hooks_that_count(spark):
+    from loamlog.plans import signal_queries
+    from loamlog.sources import signals
+
+    found = signal_queries.confusion(signals.signals(spark, SF))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\u1680") == 1
+    promoted = [n for n in signals.HOOK_NAMES if each(spark, [n], T.hook)[0] in policy.PROMOTE_HOOKS]
+    rows = signals.signals(spark, SF)
+    assert sum(r["n"] for r in found.collect()) == rows.where(F.col("hook").isin(*promoted)).count()
+    assert plan.count("IN (Stop,SessionEnd,PreCompact)") > 0 and plan.count("+- Filter") >= 2
