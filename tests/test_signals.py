@@ -217,3 +217,27 @@ def test_adjudication_flattens_a_signal_once_and_only_at_the_hooks_that_count(sp
     rows = signals.signals(spark, SF)
     assert sum(r["n"] for r in found.collect()) == rows.where(F.col("hook").isin(*promoted)).count()
     assert plan.count("IN (Stop,SessionEnd,PreCompact)") > 0 and plan.count("+- Filter") >= 2
+
+
+def test_search_looks_at_the_events_around_what_it_found(spark, monkeypatch):
+    log = L.adapted(spark, SF)
+    everything, seen = log.count(), {}
+    for module, name in ((search.graph, "edges"), (search.facts, "recheck"), (search.facts, "bitemporal"), (search.facts, "inherited_origin")):
+        made = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda rows, *more, made=made, name=name: seen.setdefault(name, []).append(rows.count()) or made(rows, *more))
+    asked = search.Query("statement 7 about subject_12", ["tz_0", "tz_1"], recorded=("2024-01-02 00:00:00", "2024-01-25 00:00:00"), projects=["prj_1"], budget=2)
+    assert search.search(log, asked).count() <= 2
+    assert set(seen) == {"edges", "recheck", "bitemporal", "inherited_origin"} and max(n for counts in seen.values() for n in counts) < everything / 4
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_neighbours_are_those_of_all_edges(spark, depth):
+    from loamlog.operators import graph, retrieval
+
+    log = L.adapted(spark, SF)
+    zones, chunks = ["tz_0", "tz_1", "tz_2"], retrieval.chunks(log).select("chunk_id", "event_id", "zone").localCheckpoint()
+    seeds = log.where("event_type IN ('Claim', 'AcceptanceDecision', 'EvidenceArtifact') AND zone <> 'tz_3' AND n % 50 < 4").select("event_id", "target_id", "user_id")
+    links = graph.edges(log).where(F.col("edge_kind").isin(*search.KNOWLEDGE))
+    want = search.expand(seeds.select("event_id"), links, chunks, zones, depth).join(chunks, "chunk_id").select("event_id", "hop")
+    got = search.neighbours(log, seeds, zones, depth)
+    assert seeds.count() > 5 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
