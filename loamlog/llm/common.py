@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of one Arrow batch between Spark and Python at most.
-BATCH_BYTES = 4 << 20
+#: Bytes of one Arrow batch between Spark and Python at most, and bytes of text that a worker
+#: looks at together: its arrays take some hundred times as much.
+BATCH_BYTES, SLICE_BYTES = 1 << 20, 450_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -253,7 +254,7 @@ def trim() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 900_000, model: bool = False, rows: int = 4000):
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, model: bool = False, rows: int = 4000):
     """Zero-copy slices of a batch with about ``most`` bytes of text and ``rows`` rows at most each.
 
     Unless the caller works with a resident ``model``, one left by another stage is freed.

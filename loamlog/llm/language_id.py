@@ -26,7 +26,7 @@ LANE = 256
 #: Breaks per symbol over which no learned language accounts for a text.
 MOST_BREAKS = 0.5
 #: Characters worked on at once.
-PIECE = 1_000_000
+PIECE = 600_000
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -40,13 +40,15 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
     the root's transition is stored, so that a sign tells the end of a phrase. The last row
     is the state to start from.
     """
-    size = 2 * len(text) + 2
-    table = np.full((size, ALPHABET), -1, np.int32)
+    size = 2 * len(text) + 4  # two states of its own at the end; rows that no state uses are never touched
+    table = np.empty((size, ALPHABET), np.int32)
+    table[0] = -1
     link, length = [-1] * size, [0] * size
     last, states = 0, 1
     for c in text.tolist():
         new = states
         states += 1
+        table[new] = -1
         length[new] = length[last] + 1
         p = last
         while p >= 0 and table[p, c] < 0:
@@ -68,13 +70,15 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = table[:states]
     # two states more: after a symbol that the text lacks, where any symbol starts a phrase,
     # and before the first symbol, where none ends one
     lone = np.int64(states) * ALPHABET
-    root = np.where(table[0] < 0, lone, table[0].astype(np.int64) * ALPHABET)
-    inner = np.where(table < 0, ~root[None, :], table.astype(np.int64) * ALPHABET)
-    return np.concatenate([inner, ~root[None, :], root[None, :]]).astype(np.int32).ravel()
+    root = np.where(table[0] < 0, lone, table[0].astype(np.int64) * ALPHABET).astype(np.int32)
+    for a in range(0, states, 4096):  # in place: a copy of each table would be the worker's peak
+        part = table[a : min(a + 4096, states)]
+        part[:] = np.where(part < 0, ~root, part * np.int32(ALPHABET))
+    table[states], table[states + 1] = ~root, root
+    return table[: states + 2].ravel()
 
 
 class Parser:
@@ -299,7 +303,7 @@ def identify(
     names = [c for c in docs.columns if c not in into]
 
     def predict(batches):
-        for batch in (part for whole in batches for part in slices(whole, at, model=True)):
+        for batch in (part for whole in batches for part in slices(whole, at, PIECE, model=True)):
             languages, *numbers = parser(training.value).parse(batch.column(at).to_pylist())
             held = [batch.column(docs_at[c]) for c in names]
             yield pa.record_batch([*held, pa.array(languages, pa.string()), *(pa.array(x, pa.float64()) for x in numbers[: len(into) - 1])], names=[*names, *into])

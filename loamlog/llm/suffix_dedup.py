@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamlog.llm.common import BYTE_VALUE, HOT, LEAST, SPACE, free_name, prefix_sums, release, runs, scratch, skew_join, slices, span_hashes, spans_of, staged, trim, utf8_buffers
+from loamlog.llm.common import BYTE_VALUE, HOT, LEAST, SLICE_BYTES, SPACE, free_name, prefix_sums, release, runs, scratch, skew_join, slices, span_hashes, spans_of, staged, trim, utf8_buffers
 
 #: Bytes of a repeat; other lengths are a parameter of the functions.
 WINDOW = 400
@@ -35,6 +35,8 @@ PIECE = 500_000
 #: Symbols of a shard whose transform is built by sorting, at most, and shards that a task's
 #: symbols are cut into at least; transforms are merged whatever there is to merge.
 SHARD, SHARDS = 16_000, 8
+#: Bytes of extents whose 32-grams are hashed together.
+AT_ONCE = 200_000
 #: Different extents of an anchor, of under two windows each, that one task merges at most.
 KINDS = 4096
 #: White space bytes.
@@ -219,6 +221,20 @@ def load(data: bytes | np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1))[at].copy().view("<u8").ravel()
 
 
+def places_of(raw: np.ndarray, base: np.ndarray, sizes: np.ndarray, counts: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Place of the anchor in each extent, some AT_ONCE bytes of extents after the others: an anchor of
+    thousands of extents is one group, and hashes of all its 32-grams are not held at a time."""
+    out = [np.zeros(0, np.int64)]
+    a = 0
+    while a < len(base):
+        b = max(a + 1, int(np.searchsorted(base, base[a] + AT_ONCE)))
+        own = slice(a, b)
+        sums = prefix_sums(BYTE_VALUE[raw[base[a] : base[b - 1] + sizes[b - 1]]])
+        out.append(anchor_places(gram_hashes(sums), base[own] - base[a], sizes[own], counts[own], anchor[own]))
+        a = b
+    return np.concatenate(out)
+
+
 def anchor_places(grams: np.ndarray, base: np.ndarray, sizes: np.ndarray, counts: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Place of the anchor in each extent: the first 32-gram with its hash from the last start on."""
     tail = base + counts - 1
@@ -243,9 +259,7 @@ def repeated_starts(
     sizes = np.array([len(x) for x in data], np.int64)
     base = np.cumsum(sizes) - sizes
     joined = b"".join(data)
-    raw = np.frombuffer(joined, np.uint8)
-    grams = gram_hashes(prefix_sums(BYTE_VALUE[raw]))
-    place = anchor_places(grams, base, sizes, counts, anchor)
+    place = places_of(np.frombuffer(joined, np.uint8), base, sizes, counts, anchor)
     first = place % SYMBOL
     blocks = (sizes - first) // SYMBOL
     cut = np.concatenate([[0], np.cumsum(blocks + 1)])  # with a closing symbol each
@@ -349,8 +363,8 @@ def hashed_windows(batches, blocks_only: bool, window: int = WINDOW):
     is of the bytes that all eight hold, so equal windows are in equal blocks.
     """
     for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
+        for a in range(0, batch.num_rows, 500):
+            part = batch.slice(a, 500)
             counts, anchor = part.column(3).to_numpy().astype(np.int64), part.column(0).to_numpy()
             raw, offsets = utf8_buffers(part.column(4).cast(pa.large_binary()).view(pa.large_string()))
             base, sizes = offsets[:-1], np.diff(offsets)
@@ -399,7 +413,7 @@ def aggregated(cut_out: DataFrame, window: int = WINDOW, keep_first: bool = Fals
     return again.withColumn("island", island).groupBy("anchor", "extent", "island").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).select("anchor", "extent", "lo", "hi")
 
 
-def by_anchor(batches, most: int = 900_000):
+def by_anchor(batches, most: int = SLICE_BYTES):
     """Tables of whole anchors with about ``most`` bytes each, from batches sorted by anchor."""
     held: list[pa.RecordBatch] = []
     size = 0
