@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import io
+import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -248,6 +250,55 @@ def test_vector_join_of_nothing(spark):
     assert embedding_dedup.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_are_laid_down_once(spark, monkeypatch):
+    """Vectors at right angles, which pivots cannot part: they are written once, and go to a task once."""
+    n, held = 3000, []
+
+    def weighed(*args, **more):
+        out = staged(*args, **more)
+        held.append(sum(os.path.getsize(f.removeprefix("file://")) for f in out.inputFiles()))
+        return out
+
+    staged = embedding_dedup.staged
+    monkeypatch.setattr(embedding_dedup, "staged", weighed)
+    monkeypatch.setattr(embedding_dedup, "CELL", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.link_vectors(frame).collect()
+    assert sum(held) < 2 * x.nbytes
+    assert len(got) == n and all(r["n_links"] == 0 and r["kept"] for r in got)
+    cells = embedding_dedup.split(embedding_dedup.prepared(frame), math.sqrt(0.04) + embedding_dedup.SLACK)
+    assert n < cells.count() < 2.5 * n and cells.where("home").count() == n
+    assert embedding_dedup.packed(cells).count() < 1.1 * n
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 600)
+    dealt = embedding_dedup.packed(embedding_dedup.split(embedding_dedup.prepared(frame), math.sqrt(0.04) + embedding_dedup.SLACK))
+    assert {r["blocks"] for r in dealt.select("blocks").distinct().collect()} == {2} and dealt.count() < 1.1 * n
+
+
+@pytest.mark.parametrize(("block", "size"), [(10**6, 1 << 25), (60, 1 << 25), (10**6, 60 * 48)])
+def test_vector_join_in_small_tiles(spark, monkeypatch, block, size):
+    """Components that grow together over tiles, cells and blocks; labels that hold the mark of cells."""
+    for name, value in (("CELL", 30), ("BLOCK", block), ("BLOCK_BYTES", size), ("TILE", (7, 16))):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, (c + rng.normal(size=6) * 0.05).tolist(), "a") for c in rng.normal(size=(5, 6)) for i in rng.integers(0, 10**6, 40).tolist()]
+    rows += [(2_000_000 - i, [float(np.cos(i / 8)), float(np.sin(i / 8)), 0.0, 0.0, 0.0, 0.0], "a") for i in range(50)]
+    rows += [(3_000_000 + i, v, f"a/6/{i % 4}"[: [1, 3, 5][i % 3]]) for i, (_, v, _) in enumerate(rows[:60])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(3)
+    got = embedding_dedup.link_vectors(frame).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == vectors_by_force(rows)
+
+
+def test_labels_like_names_of_cells(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(rng.normal(size=(40, 2)))]
+    rows += [(100 + i, rows[i][1], "a/2") for i in range(10)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = embedding_dedup.link_vectors(frame).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == vectors_by_force(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
